@@ -118,3 +118,60 @@ SELECT query_id, rank, {id_col}, {rscore(metric_name, 'score')} AS similarity_sc
   FROM ({table_sql}) t CROSS JOIN ({query_sql}) qq
   WHERE {s} IS NOT NULL AND NOT isnan({s})
 ) WHERE rank <= {k}"""
+
+
+def _valid(expr: str) -> str:
+    return f"{expr} IS NOT NULL AND NOT isnan({expr})"
+
+
+def references_ctes(table_sql: str, id_col: str, metric_name: str, n_refs: int, sample_n: int,
+                    seed: int, use_median: bool = False) -> str:
+    """CTE list ending in ``refs(ref_no, id, vec)``: the diverse references."""
+    center = median_vector_sql("SELECT vec FROM samp") if use_median else mean_vector_sql("SELECT vec FROM samp")
+    s_first = metric(metric_name, "s.vec", "c.center")
+    s_next = metric(metric_name, "s.vec", "r.vec")
+    return f"""
+base AS ({table_sql}),
+samp AS (SELECT {id_col} AS id, vec FROM base
+         ORDER BY md5(CAST({id_col} AS VARCHAR) || '{seed}'), {id_col} LIMIT {sample_n}),
+ctr AS ({center}),
+first_ref AS (SELECT s.id, s.vec FROM samp s, ctr c WHERE {_valid(s_first)}
+              ORDER BY {s_first} DESC, s.id LIMIT {1 if n_refs > 0 else 0}),
+chain(ref_no, id, vec, chosen) AS (
+  SELECT 0, id, vec, [id] FROM first_ref
+  UNION ALL
+  SELECT r.ref_no + 1, nx.id, nx.vec, list_append(r.chosen, nx.id)
+  FROM chain r, LATERAL (SELECT s.id, s.vec FROM samp s
+                         WHERE NOT list_contains(r.chosen, s.id) AND {_valid(s_next)}
+                         ORDER BY {s_next} ASC, s.id LIMIT 1) nx
+  WHERE r.ref_no + 1 < {n_refs}
+),
+refs AS (SELECT ref_no, id, vec FROM chain)"""
+
+
+def space_ctes(id_col: str, metric_name: str, query_sql: str) -> str:
+    """After ``references_ctes``: ``space(id, sims)`` and ``qspace(query_id, q)``."""
+    m_row = metric(metric_name, "t.vec", "r.vec", "matrix")
+    m_q = metric(metric_name, "qq.q", "r.vec", "matrix")
+    return f""",
+space AS (SELECT t.{id_col} AS id, list({m_row} ORDER BY r.ref_no) AS sims
+          FROM base t CROSS JOIN refs r GROUP BY t.{id_col}),
+qspace AS (SELECT qq.query_id, list({m_q} ORDER BY r.ref_no) AS q
+           FROM ({query_sql}) qq CROSS JOIN refs r GROUP BY qq.query_id)"""
+
+
+def round_list(expr: str) -> str:
+    return f"list_transform({expr}, lambda x: round(x, 6))"
+
+
+def transform_topk_sql(table_sql: str, id_col: str, query_sql: str, metric_name: str, k: int,
+                       n_refs: int, sample_n: int, seed: int) -> str:
+    ctes = references_ctes(table_sql, id_col, metric_name, n_refs, sample_n, seed) + space_ctes(
+        id_col, metric_name, query_sql)
+    s = metric(metric_name, "t.sims", "qq.q")
+    return f"""WITH RECURSIVE {ctes}
+SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similarity_score FROM (
+  SELECT qq.query_id, t.id, {s} AS score,
+         CAST(row_number() OVER (PARTITION BY qq.query_id ORDER BY {s} DESC, t.id) AS INTEGER) AS rank
+  FROM space t CROSS JOIN qspace qq WHERE {_valid(s)}
+) WHERE rank <= {k}"""

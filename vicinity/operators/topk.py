@@ -40,14 +40,25 @@ def null_score_last(score_col: str = SCORE) -> Column:
     return F.coalesce(F.col(score_col), F.lit(float("-inf")))
 
 
+def rank_key(score) -> Column:
+    """The score with NaN turned into null, so invalid scores sort last."""
+    score = F.col(score) if isinstance(score, str) else score
+    return F.nanvl(score, F.lit(None).cast("double"))
+
+
 def top_k(scored: DataFrame, k: int, id_col: str, score_col: str = SCORE,
           by: list[str] | str | None = "query_id") -> DataFrame:
-    """Best k rows per group (per query by default), with ``rank`` 1..k."""
+    """Best k rows per group (per query by default), with ``rank`` 1..k.
+
+    Invalid (null/NaN) scores are ranked last and removed *after* the window:
+    a filter before it would be pushed into the join below and make Catalyst
+    evaluate the score expression once more per conjunct.
+    """
     validate_k(k)
     keys = [by] if isinstance(by, str) else list(by or [])
-    w = Window.partitionBy(*keys).orderBy(F.col(score_col).desc(), F.col(id_col).asc())
-    ranked = drop_invalid_scores(scored, score_col).withColumn(RANK, F.row_number().over(w))
-    return ranked.filter(F.col(RANK) <= k)
+    w = Window.partitionBy(*keys).orderBy(F.col(score_col).desc_nulls_last(), F.col(id_col).asc())
+    ranked = scored.withColumn(score_col, rank_key(score_col)).withColumn(RANK, F.row_number().over(w))
+    return ranked.filter((F.col(RANK) <= k) & F.col(score_col).isNotNull())
 
 
 def ranked_report(result: DataFrame, score_col: str = SCORE) -> DataFrame:

@@ -258,3 +258,129 @@ for _m in M.METRIC_NAMES:
           "FROM (" + O.exact_topk_sql(O.EMB, "vec_id", _Q0, "cosine", 5) + ")")
 def _report(spark: SparkSession, d: str) -> DataFrame:
     return ranked_report(flagship(spark, d))
+
+
+# ---------------------------------------------------------------- sampling, centers, references
+
+from vicinity.operators.centers import CENTER, mean_vector, median_vector  # noqa: E402
+from vicinity.operators.references import REF_NO, diverse_references, nearest_to  # noqa: E402
+from vicinity.operators.sampling import bernoulli_sample, hash_sample  # noqa: E402
+from vicinity.plans.transform import (SIMS, TransformParams, pack_references,  # noqa: E402
+                                      query_to_similarity_space, select_references,
+                                      to_similarity_space, transform_top_k)
+from vicinity.functions.vectors import vector_to_wide  # noqa: E402
+
+# Build parameters sized for the 500-row fixture.
+TP = TransformParams(n_refs=8, sample_size=200, seed=42)
+_Q7 = f"SELECT vec_id AS query_id, vec AS q FROM ({O.EMB}) WHERE vec_id = 7"
+
+
+def r6_list(c) -> F.Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.transform(c, lambda x: F.round(x, 6))
+
+
+@register("hash_sample", f"SELECT vec_id FROM ({O.hash_sample_sql(O.EMB, 'vec_id', 200, 42)})")
+def _hash_sample(spark: SparkSession, d: str) -> DataFrame:
+    return hash_sample(T.embeddings(spark, d), "vec_id", 200, 42).select("vec_id")
+
+
+@register("bernoulli_sample")
+def _bernoulli(spark: SparkSession, d: str) -> DataFrame:
+    t = T.embeddings(spark, d)
+    return bernoulli_sample(t, 200, t.count(), 42).select("vec_id")
+
+
+@register("center_mean", "SELECT label, " + O.round_list("center") + " AS center FROM (" + O.mean_vector_sql(
+    "SELECT label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings", group=["label"]) + ")")
+def _center_mean(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read_table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias(VEC))
+    return mean_vector(e, VEC, ["label"]).select("label", r6_list(CENTER).alias(CENTER))
+
+
+@register("center_median", "SELECT " + O.round_list("center") + " AS center FROM (" + O.median_vector_sql(
+    O.hash_sample_sql(O.EMB, "vec_id", 200, 42)) + ")")
+def _center_median(spark: SparkSession, d: str) -> DataFrame:
+    s = hash_sample(T.embeddings(spark, d), "vec_id", 200, 42)
+    return median_vector(s).select(r6_list(CENTER).alias(CENTER))
+
+
+@register("nearest_to_center", f"""
+SELECT vec_id, {O.r6('score')} AS similarity_score FROM (
+  SELECT t.vec_id, {O.metric('cosine', 't.vec', 'c.center')} AS score
+  FROM ({O.SCALED_EMB}) t, ({O.mean_vector_sql(O.SCALED_EMB)}) c
+  ORDER BY score DESC, t.vec_id LIMIT 1)""")
+def _nearest_center(spark: SparkSession, d: str) -> DataFrame:
+    t = T.scaled_embeddings(spark, d)
+    s = nearest_to(t, mean_vector(t), CENTER, "cosine", "vec_id").withColumnRenamed("_score", SCORE)
+    from vicinity.operators.topk import top_k
+    return round_scores(top_k(s, 1, "vec_id", by=None).select("vec_id", SCORE))
+
+
+def _refs(metric: str, use_median: bool = False) -> QueryFn:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        p = TransformParams(TP.n_refs, TP.sample_size, TP.seed, use_median)
+        return select_references(T.embeddings(spark, d), "vec_id", metric, p).select(REF_NO, "vec_id")
+    return fn
+
+
+def _refs_sql(metric: str, use_median: bool = False) -> str:
+    return ("WITH RECURSIVE " + O.references_ctes(O.EMB, "vec_id", metric, TP.n_refs, TP.sample_size,
+                                                  TP.seed, use_median)
+            + " SELECT ref_no, id AS vec_id FROM refs")
+
+
+register("diverse_references", _refs_sql("cosine"))(_refs("cosine"))
+register("diverse_references_median", _refs_sql("cosine", True))(_refs("cosine", True))
+register("diverse_references_manhattan", _refs_sql("manhattan_sim"))(_refs("manhattan_sim"))
+
+
+def _space(spark: SparkSession, d: str, metric: str = "cosine") -> tuple[DataFrame, DataFrame, int]:
+    t = T.embeddings(spark, d)
+    refs = select_references(t, "vec_id", metric, TP).cache()
+    n = refs.count()
+    packed = pack_references(refs)
+    return to_similarity_space(t, packed, metric, "vec_id", n, dim=64), packed, n
+
+
+@register("similarity_space", "WITH RECURSIVE " + O.references_ctes(O.EMB, "vec_id", "cosine", TP.n_refs,
+                                                                      TP.sample_size, TP.seed)
+          + O.space_ctes("vec_id", "cosine", _Q7) + f" SELECT id AS vec_id, {O.round_list('sims')} AS sims FROM space")
+def _sim_space(spark: SparkSession, d: str) -> DataFrame:
+    sp, _, _ = _space(spark, d)
+    return sp.select("vec_id", r6_list(SIMS).alias(SIMS))
+
+
+@register("similarity_space_wide", "WITH RECURSIVE " + O.references_ctes(
+    O.EMB, "vec_id", "euclidean_sim", TP.n_refs, TP.sample_size, TP.seed)
+    + O.space_ctes("vec_id", "euclidean_sim", _Q7) + " SELECT id AS vec_id, "
+    + ", ".join(f"round(sims[{i + 1}], 6) AS sim_to_ref_{i}" for i in range(TP.n_refs)) + " FROM space")
+def _sim_space_wide(spark: SparkSession, d: str) -> DataFrame:
+    sp, _, n = _space(spark, d, "euclidean_sim")
+    w = vector_to_wide(sp, "vec_id", SIMS, n, "sim_to_ref_")
+    return w.select("vec_id", *[r6(c).alias(c) for c in w.columns if c != "vec_id"])
+
+
+@register("query_in_similarity_space", "WITH RECURSIVE " + O.references_ctes(
+    O.EMB, "vec_id", "dot_product", TP.n_refs, TP.sample_size, TP.seed)
+    + O.space_ctes("vec_id", "dot_product", _Q7) + f" SELECT query_id, {O.round_list('q')} AS q FROM qspace")
+def _q_space(spark: SparkSession, d: str) -> DataFrame:
+    t = T.embeddings(spark, d)
+    refs = select_references(t, "vec_id", "dot_product", TP).cache()
+    n = refs.count()
+    qs = query_to_similarity_space(queries_by_id(t, "vec_id", 7), pack_references(refs), "dot_product", n, 64)
+    return qs.select(QID, r6_list(Q).alias(Q))
+
+
+def _topk_transform(metric: str) -> QueryFn:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        t = T.embeddings(spark, d)
+        r = transform_top_k(t, queries_by_id(t, "vec_id", 7), metric, 10, "vec_id", TP, n_queries=1, dim=64)
+        return round_scores(r, metric=metric)
+    return fn
+
+
+for _m in M.METRIC_NAMES:
+    register(f"topk_transform_{SHORT[_m]}",
+             O.transform_topk_sql(O.EMB, "vec_id", _Q7, _m, 10, TP.n_refs, TP.sample_size, TP.seed))(
+        _topk_transform(_m))
