@@ -175,3 +175,108 @@ SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similar
          CAST(row_number() OVER (PARTITION BY qq.query_id ORDER BY {s} DESC, t.id) AS INTEGER) AS rank
   FROM space t CROSS JOIN qspace qq WHERE {_valid(s)}
 ) WHERE rank <= {k}"""
+
+
+def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: int, max_depth: int,
+                min_leaf: int, iterations: int, seed: int) -> str:
+    """CTE list building the sharded k-means forest: ends with ``nodes`` and
+    ``members(shard, leaf_id, id, vec)``.  One CTE per level and Lloyd step."""
+    sq = "list_sum(list_transform(list_zip(w.vec, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+    def assign(w: str, c: str) -> str:
+        return (f"SELECT w.shard, w.node_id, w.id, any_value(w.vec) AS vec, "
+                f"arg_min(c.child_no, ({sq}, c.child_no)) AS child_no "
+                f"FROM {w} w JOIN {c} c ON w.shard = c.shard AND w.node_id = c.node_id "
+                f"GROUP BY w.shard, w.node_id, w.id")
+
+    parts = [f"base AS ({table_sql})",
+             f"r0 AS (SELECT {id_col} AS id, vec, "
+             f"CAST((('0x' || substr(md5(CAST({id_col} AS VARCHAR)), 1, 8))::BIGINT % {shards}) AS INTEGER) "
+             f"AS shard, 'root' AS node_id FROM base)"]
+    leaf_parts, kid_parts = [], []
+    can_split = k >= 2
+    depth_range = range(max_depth if can_split else 0)
+    for d in depth_range:
+        parts.append(f"st{d} AS (SELECT shard, node_id, count(*) AS n FROM r{d} GROUP BY shard, node_id)")
+        parts.append(f"act{d} AS (SELECT shard, node_id, least({k}, n) AS kk FROM st{d} "
+                     f"WHERE n >= {min_leaf} AND n >= 2)")
+        parts.append(f"w{d} AS (SELECT r.* FROM r{d} r SEMI JOIN act{d} a ON r.shard = a.shard "
+                     f"AND r.node_id = a.node_id)")
+        parts.append(f"lm{d} AS (SELECT r.shard, r.node_id AS leaf_id, r.id, r.vec FROM r{d} r "
+                     f"ANTI JOIN act{d} a ON r.shard = a.shard AND r.node_id = a.node_id)")
+        leaf_parts.append(f"SELECT * FROM lm{d}")
+        parts.append(f"c{d}_0 AS (SELECT shard, node_id, child_no, vec AS c FROM ("
+                     f"SELECT shard, node_id, vec, CAST(row_number() OVER (PARTITION BY shard, node_id "
+                     f"ORDER BY md5(CAST(id AS VARCHAR) || '{seed}'), id) - 1 AS INTEGER) AS child_no FROM w{d}) "
+                     f"WHERE child_no < {k})")
+        for t in range(1, iterations + 1):
+            parts.append(f"a{d}_{t} AS ({assign(f'w{d}', f'c{d}_{t - 1}')})")
+            mean = mean_vector_sql(f"SELECT * FROM a{d}_{t}", group=["shard", "node_id", "child_no"])
+            parts.append(f"c{d}_{t} AS (SELECT shard, node_id, child_no, center AS c FROM ({mean}))")
+        cf = f"c{d}_{iterations}"
+        parts.append(f"a{d} AS ({assign(f'w{d}', cf)})")
+        rep_score = metric(metric_name, "a.vec", "c.c")
+        parts.append(f"rep{d} AS (SELECT shard, node_id, child_no, id AS rep_id, vec AS rep_vec FROM ("
+                     f"SELECT a.*, row_number() OVER (PARTITION BY a.shard, a.node_id, a.child_no "
+                     f"ORDER BY {rep_score} DESC, a.id) AS rn FROM a{d} a JOIN {cf} c "
+                     f"ON a.shard = c.shard AND a.node_id = c.node_id AND a.child_no = c.child_no) WHERE rn = 1)")
+        parts.append(f"cnt{d} AS (SELECT shard, node_id, child_no, count(*) AS n FROM a{d} "
+                     f"GROUP BY shard, node_id, child_no)")
+        parts.append(f"g{d} AS (SELECT shard, node_id, CAST(unnest(range(kk)) AS INTEGER) AS child_no FROM act{d})")
+        parts.append(f"kid{d} AS (SELECT g.shard, g.node_id || '_' || g.child_no AS node_id, g.node_id AS parent_id, "
+                     f"g.child_no, {d + 1} AS depth, CAST(coalesce(cnt.n, 0) AS BIGINT) AS member_count, "
+                     f"rep.rep_id, rep.rep_vec FROM g{d} g "
+                     f"LEFT JOIN cnt{d} cnt ON g.shard = cnt.shard AND g.node_id = cnt.node_id "
+                     f"AND g.child_no = cnt.child_no "
+                     f"LEFT JOIN rep{d} rep ON g.shard = rep.shard AND g.node_id = rep.node_id "
+                     f"AND g.child_no = rep.child_no)")
+        kid_parts.append(f"SELECT * FROM kid{d}")
+        parts.append(f"r{d + 1} AS (SELECT shard, node_id || '_' || child_no AS node_id, id, vec FROM a{d})")
+    last = len(depth_range)
+    leaf_parts.append(f"SELECT shard, node_id AS leaf_id, id, vec FROM r{last}")
+    parts.append("roots AS (SELECT shard, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, "
+                 "CAST(NULL AS INTEGER) AS child_no, 0 AS depth, CAST(count(*) AS BIGINT) AS member_count, "
+                 "CAST(NULL AS BIGINT) AS rep_id, CAST(NULL AS DOUBLE[]) AS rep_vec FROM r0 GROUP BY shard)")
+    parts.append("allnodes AS (" + " UNION ALL ".join(["SELECT * FROM roots"] + kid_parts) + ")")
+    parts.append("nodes AS (SELECT n.*, NOT EXISTS (SELECT 1 FROM allnodes c WHERE c.shard = n.shard "
+                 "AND c.parent_id = n.node_id) AS is_leaf FROM allnodes n)")
+    parts.append("members AS (" + " UNION ALL ".join(leaf_parts) + ")")
+    return ",\n".join(parts)
+
+
+def descent_ctes(query_sql: str, metric_name: str, max_depth: int) -> str:
+    """After ``forest_ctes``: ``hits(query_id, q, shard, leaf_id)``."""
+    parts = [f"qs AS ({query_sql})",
+             "f0 AS (SELECT qs.query_id, qs.q, s.shard, 'root' AS node_id FROM qs "
+             "CROSS JOIN (SELECT DISTINCT shard FROM roots) s)"]
+    s = metric(metric_name, "f.q", "kn.rep_vec")
+    for step in range(1, max_depth + 1):
+        parts.append(
+            f"f{step} AS (SELECT query_id, q, shard, nxt AS node_id FROM ("
+            f"SELECT query_id, q, shard, CASE WHEN child IS NULL THEN node_id "
+            f"WHEN score IS NOT NULL AND NOT isnan(score) THEN child END AS nxt FROM ("
+            f"SELECT f.query_id, f.q, f.shard, f.node_id, kn.node_id AS child, kn.child_no, "
+            f"CASE WHEN kn.node_id IS NULL THEN NULL ELSE {s} END AS score, "
+            f"row_number() OVER (PARTITION BY f.query_id, f.shard ORDER BY "
+            f"CASE WHEN kn.node_id IS NULL THEN NULL ELSE {s} END DESC NULLS LAST, kn.child_no NULLS LAST) AS rn "
+            f"FROM f{step - 1} f LEFT JOIN (SELECT * FROM nodes WHERE parent_id IS NOT NULL AND rep_vec IS NOT NULL) kn "
+            f"ON kn.shard = f.shard AND kn.parent_id = f.node_id) WHERE rn = 1) WHERE nxt IS NOT NULL)")
+    parts.append(f"hits AS (SELECT query_id, q, shard, node_id AS leaf_id FROM f{max_depth} "
+                 f"UNION ALL SELECT query_id, q, shard, 'invalid' FROM f{max_depth})")
+    return ",\n".join(parts)
+
+
+def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp) -> str:
+    return ("WITH " + forest_ctes(table_sql, id_col, metric_name, fp.shards, fp.k, fp.max_depth, fp.min_leaf,
+                                  fp.iterations, fp.seed)
+            + ",\n" + descent_ctes(query_sql, metric_name, fp.max_depth))
+
+
+def forest_topk_sql(table_sql: str, id_col: str, query_sql: str, metric_name: str, k: int, fp) -> str:
+    s = metric(metric_name, "m.vec", "h.q")
+    return forest_all_ctes(table_sql, id_col, metric_name, query_sql, fp) + f"""
+SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similarity_score FROM (
+  SELECT h.query_id, m.id, {s} AS score,
+         CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY {s} DESC, m.id) AS INTEGER) AS rank
+  FROM members m JOIN hits h ON m.shard = h.shard AND m.leaf_id = h.leaf_id WHERE {_valid(s)}
+) WHERE rank <= {k}"""

@@ -384,3 +384,121 @@ for _m in M.METRIC_NAMES:
     register(f"topk_transform_{SHORT[_m]}",
              O.transform_topk_sql(O.EMB, "vec_id", _Q7, _m, 10, TP.n_refs, TP.sample_size, TP.seed))(
         _topk_transform(_m))
+
+
+# ---------------------------------------------------------------- forest index
+
+import hashlib  # noqa: E402
+
+from vicinity.plans import forest as FO  # noqa: E402
+
+FP = FO.ForestParams(shards=2, k=3, max_depth=2, min_leaf=20, iterations=3, seed=42)
+FP_ONE = FO.ForestParams(shards=2, k=3, max_depth=1, min_leaf=20, iterations=3, seed=42)
+
+
+def forest_for(spark: SparkSession, d: str, metric: str, fp: FO.ForestParams = FP) -> FO.Forest:
+    """Load the stored index for (table, metric, params), building it if absent or stale."""
+    key = hashlib.md5(f"{d}|{metric}|{fp}|{FO.FORMAT}".encode()).hexdigest()[:16]
+    return FO.load_or_build_forest(T.embeddings(spark, d), "vec_id", metric, fp,
+                                   scratch_path(spark, f"forest-{key}"), dim=64)
+
+
+def _fsql(metric: str, fp: FO.ForestParams = FP, query_sql: str = _Q7) -> str:
+    return O.forest_all_ctes(O.EMB, "vec_id", metric, query_sql, fp)
+
+
+_LABEL_Q_EMB = (f"SELECT t.vec_id AS query_id, t.vec AS q FROM ({O.EMB}) t "
+                f"JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) f ON t.vec_id = f.vec_id")
+
+
+@register("shard_assign", "SELECT l_orderkey, CAST((('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8))"
+                          "::BIGINT % 8) AS INTEGER) AS shard FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def _shard_assign(spark: SparkSession, d: str) -> DataFrame:
+    keys = T.read_table(spark, d, "lineitem").select("l_orderkey").distinct()
+    return keys.select("l_orderkey", FO.shard_of("l_orderkey", 8).alias(FO.SHARD))
+
+
+@register("kmeans_one_level", _fsql("cosine", FP_ONE) + " SELECT shard, leaf_id, id AS vec_id FROM members")
+def _kmeans_one(spark: SparkSession, d: str) -> DataFrame:
+    f = forest_for(spark, d, "cosine", FP_ONE)
+    return f.members.select(FO.SHARD, FO.LEAF, "vec_id")
+
+
+_NODE_COLS = [FO.SHARD, FO.NODE, FO.PARENT, FO.CHILD, FO.DEPTH, FO.IS_LEAF, FO.COUNT, FO.REP_ID]
+
+
+@register("tree_nodes", _fsql("cosine") + " SELECT " + ", ".join(_NODE_COLS) + " FROM nodes")
+def _tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return forest_for(spark, d, "cosine").nodes.select(*_NODE_COLS)
+
+
+@register("node_counts", _fsql("cosine") + " SELECT shard, node_id, member_count FROM nodes")
+def _node_counts(spark: SparkSession, d: str) -> DataFrame:
+    return forest_for(spark, d, "cosine").nodes.select(FO.SHARD, FO.NODE, FO.COUNT)
+
+
+@register("leaf_members", _fsql("cosine") + " SELECT shard, leaf_id, id AS vec_id FROM members")
+def _leaf_members(spark: SparkSession, d: str) -> DataFrame:
+    return forest_for(spark, d, "cosine").members.select(FO.SHARD, FO.LEAF, "vec_id")
+
+
+@register("cluster_representatives", _fsql("euclidean_sim")
+          + " SELECT shard, node_id, rep_id FROM nodes WHERE rep_id IS NOT NULL")
+def _reps(spark: SparkSession, d: str) -> DataFrame:
+    n = forest_for(spark, d, "euclidean_sim").nodes
+    return n.filter(F.col(FO.REP_ID).isNotNull()).select(FO.SHARD, FO.NODE, FO.REP_ID)
+
+
+@register("forest_invariants", _fsql("cosine") + """
+ SELECT p.shard, p.node_id, p.member_count, CAST(sum(c.member_count) AS BIGINT) AS children_total
+ FROM nodes p JOIN nodes c ON c.shard = p.shard AND c.parent_id = p.node_id
+ GROUP BY p.shard, p.node_id, p.member_count""")
+def _invariants(spark: SparkSession, d: str) -> DataFrame:
+    n = forest_for(spark, d, "cosine").nodes
+    kids = n.filter(F.col(FO.PARENT).isNotNull()).groupBy(FO.SHARD, F.col(FO.PARENT).alias(FO.NODE)).agg(
+        F.sum(FO.COUNT).cast("long").alias("children_total"))
+    return n.select(FO.SHARD, FO.NODE, FO.COUNT).join(kids, [FO.SHARD, FO.NODE])
+
+
+@register("forest_descent", _fsql("cosine", FP, _LABEL_Q_EMB)
+          + " SELECT query_id, shard, node_id AS leaf_id FROM f" + str(FP.max_depth))
+def _descent(spark: SparkSession, d: str) -> DataFrame:
+    f = forest_for(spark, d, "cosine")
+    q = per_label_queries(spark, d, T.embeddings(spark, d))
+    return FO.descend(f, q, "cosine", 10).select(QID, FO.SHARD, FO.LEAF)
+
+
+@register("leaf_scan", _fsql("cosine") + f"""
+ SELECT h.query_id, m.id AS vec_id, {O.r6(O.metric('cosine', 'm.vec', 'h.q'))} AS similarity_score
+ FROM members m JOIN hits h ON m.shard = h.shard AND m.leaf_id = h.leaf_id""")
+def _leaf_scan(spark: SparkSession, d: str) -> DataFrame:
+    f = forest_for(spark, d, "cosine")
+    t = T.embeddings(spark, d)
+    s = FO.leaf_scores(f, queries_by_id(t, "vec_id", 7), "cosine", 1)
+    return round_scores(s.select(QID, "vec_id", SCORE))
+
+
+def _topk_forest(metric: str, multi: bool = False) -> QueryFn:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        f = forest_for(spark, d, metric)
+        t = T.embeddings(spark, d)
+        q = per_label_queries(spark, d, t) if multi else queries_by_id(t, "vec_id", 7)
+        r = FO.forest_top_k(f, q, metric, 10, QueryInfo(10 if multi else 1, 64))
+        return round_scores(r, metric=metric)
+    return fn
+
+
+for _m in M.METRIC_NAMES:
+    register(f"topk_forest_{SHORT[_m]}", O.forest_topk_sql(O.EMB, "vec_id", _Q7, _m, 10, FP))(_topk_forest(_m))
+register("topk_forest_multi_cosine", O.forest_topk_sql(O.EMB, "vec_id", _LABEL_Q_EMB, "cosine", 10, FP))(
+    _topk_forest("cosine", True))
+
+
+@register("index_roundtrip")
+def _index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Build (forced), then load through the fingerprint check, then search."""
+    t = T.embeddings(spark, d)
+    path = scratch_path(spark, "forest-roundtrip-" + hashlib.md5(d.encode()).hexdigest()[:12])
+    FO.build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
+    f = FO.load_or_build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
+    return FO.forest_top_k(f, queries_by_id(t, "vec_id", 7), "manhattan_sim", 10, QueryInfo(1, 64))
