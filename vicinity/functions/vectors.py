@@ -68,5 +68,4 @@ def check_dim(df: DataFrame, dim: int, vec_col: str = VEC) -> DataFrame:
 
 def is_valid_vector(vec_col: str = VEC) -> Column:
     """True when the vector is non-null and has no null or NaN element."""
-    v = F.col(vec_col)
-    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return F.expr(f"{vec_col} IS NOT NULL AND NOT exists({vec_col}, x -> x IS NULL OR isnan(x))")

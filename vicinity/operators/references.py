@@ -9,6 +9,8 @@ sample; only the chosen ids (at most n) pass through the driver.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,42 +24,55 @@ REF_NO = "ref_no"
 _S = "_score"
 
 
-def _pick(scored: DataFrame, id_col: str, best: bool):
-    """Id of the best (or worst) valid score; ties -> lowest id; None if no
-    valid score.  NaN becomes null and sorts last, so no filter is needed."""
-    key = rank_key(_S)
+def vector_literal(values) -> str:
+    """SQL text of a constant ``array<double>`` (one JSON literal, folded by
+    the optimizer) -- used for single vectors of K numbers, never for tables."""
+    return f"from_json('{json.dumps([float(v) for v in values])}', 'array<double>')"
+
+
+def _pick(df: DataFrame, target: str, metric: str, id_col: str, vec_col: str, best: bool):
+    """``(id, vec)`` of the row with the best (or worst) valid score against
+    ``target``; ties -> lowest id; None if no score is valid.  NaN becomes
+    null and sorts last, so no filter is needed.  One job."""
+    key = rank_key(M.score(metric, vec_col, target))
     order = key.desc_nulls_last() if best else key.asc_nulls_last()
-    row = scored.orderBy(order, F.col(id_col).asc()).select(id_col, key.alias("_k")).first()
-    return None if row is None or row["_k"] is None else row[0]
+    rows = df.select(id_col, vec_col, key.alias("_k")).orderBy(order, F.col(id_col).asc()).take(1)
+    if not rows or rows[0]["_k"] is None:
+        return None
+    return rows[0][id_col], rows[0][vec_col]
 
 
 def nearest_to(df: DataFrame, target: DataFrame, target_col: str, metric: str, id_col: str,
                vec_col: str = VEC) -> DataFrame:
     """Rows of ``df`` scored against the single vector in ``target`` (1 row)."""
     t = F.broadcast(target.select(F.col(target_col).alias("_t")))
-    return df.crossJoin(t).withColumn(_S, M.score(metric, vec_col, "_t")).drop("_t")
+    return df.crossJoin(t).select(*df.columns, M.score(metric, vec_col, "_t").alias(_S))
 
 
 def diverse_references(sample: DataFrame, id_col: str, n: int, metric: str,
                        use_median: bool = False, vec_col: str = VEC) -> DataFrame:
-    """``(ref_no, id, vec)`` for up to n references chosen from ``sample``."""
+    """``(ref_no, id, vec)`` for up to n references chosen from ``sample``.
+
+    Each step is one job over the bounded sample; the previous reference's
+    vector (K numbers) is carried as a constant, so the plan stays small.
+    """
     metric = M.resolve_metric(metric)
     spark = sample.sparkSession
     id_type = sample.schema[id_col].dataType
     chosen: list = []
     if n > 0:
-        center = center_vector(sample, vec_col, use_median)
-        first = _pick(nearest_to(sample, center, CENTER, metric, id_col, vec_col), id_col, best=True)
-        if first is not None:
-            chosen.append(first)
+        c = center_vector(sample, vec_col, use_median).first()
+        if c is not None and c[CENTER] is not None:
+            hit = _pick(sample, vector_literal(c[CENTER]), metric, id_col, vec_col, best=True)
+            if hit is not None:
+                chosen.append(hit)
     while 0 < len(chosen) < n:
-        last = sample.filter(F.col(id_col) == F.lit(chosen[-1]))
-        cand = sample.filter(~F.col(id_col).isin(chosen))
-        nxt = _pick(nearest_to(cand, last, vec_col, metric, id_col, vec_col), id_col, best=False)
-        if nxt is None:
+        cand = sample.filter(~F.col(id_col).isin([i for i, _ in chosen]))
+        hit = _pick(cand, vector_literal(chosen[-1][1]), metric, id_col, vec_col, best=False)
+        if hit is None:
             break
-        chosen.append(nxt)
-    order = spark.createDataFrame(list(enumerate(chosen)),
+        chosen.append(hit)
+    order = spark.createDataFrame([(i, rid) for i, (rid, _) in enumerate(chosen)],
                                   T.StructType([T.StructField(REF_NO, T.IntegerType(), False),
                                                 T.StructField(id_col, id_type, False)]))
     return F.broadcast(order).join(sample.select(id_col, vec_col), id_col).select(REF_NO, id_col, vec_col)

@@ -38,21 +38,19 @@ def query_info(queries: DataFrame) -> QueryInfo:
     return QueryInfo(int(r["n"]), int(r["lo"] or 0))
 
 
-def search_score(metric: str, vec, q, dim: int | None, q_norm=None) -> F.Column:
+def search_score_sql(metric: str, vec: str, q: str, q_norm: str | None = None) -> str:
     """Score of a table row against a query with the search-level rules:
     empty query against features -> null (no result); no features on either
     side -> 0.0; length mismatch -> the job fails."""
-    metric = M.resolve_metric(metric)
-    vec = F.col(vec) if isinstance(vec, str) else vec
-    q = F.col(q) if isinstance(q, str) else q
-    norms = {"b_norm": q_norm} if (metric == "cosine" and q_norm is not None) else {}
-    s = M.score(metric, vec, q, dim=dim, **norms)
-    bad_dim = F.raise_error(F.concat(F.lit("vector dimension mismatch: row has "),
-                                     F.size(vec).cast("string"), F.lit(", query has "),
-                                     F.size(q).cast("string")))
-    return (F.when((F.size(q) == 0) & (F.size(vec) > 0), F.lit(None).cast("double"))
-            .when(vec.isNotNull() & (F.size(vec) != F.size(q)), bad_dim)
-            .otherwise(s))
+    s = M.score_sql(metric, vec, q, b_norm=q_norm if M.resolve_metric(metric) == "cosine" else None)
+    bad = (f"CAST(raise_error(concat('vector dimension mismatch: row has ', CAST(size({vec}) AS STRING), "
+           f"', query has ', CAST(size({q}) AS STRING))) AS DOUBLE)")
+    return (f"CASE WHEN size({q}) = 0 AND size({vec}) > 0 THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {vec} IS NOT NULL AND size({vec}) != size({q}) THEN {bad} ELSE {s} END")
+
+
+def search_score(metric: str, vec: str, q: str, dim: int | None = None, q_norm: str | None = None) -> F.Column:
+    return F.expr(search_score_sql(metric, vec, q, q_norm))
 
 
 def with_query_norm(queries: DataFrame) -> DataFrame:
@@ -68,8 +66,7 @@ def score_all(table: DataFrame, queries: DataFrame, metric: str, id_col: str,
     qb, _ = broadcast_checked(qs, info.dim, known_rows=info.rows)
     dim = info.dim if info.dim > 0 else None
     joined = table.select(id_col, vec_col).crossJoin(qb)
-    return joined.select(F.col(QID), F.col(id_col),
-                         search_score(metric, vec_col, Q, dim, F.col(Q_NORM)).alias(SCORE))
+    return joined.select(F.col(QID), F.col(id_col), search_score(metric, vec_col, Q, dim, Q_NORM).alias(SCORE))
 
 
 def exact_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_col: str,

@@ -67,6 +67,8 @@ FORMAT = 1
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
 CHECKPOINT_INTERVAL = 4
+# Largest number of (shard, leaf) keys turned into a static partition filter.
+MAX_STATIC_LEAVES = 20000
 
 
 @dataclass(frozen=True)
@@ -116,9 +118,9 @@ def _pack(cents: DataFrame) -> DataFrame:
 def _assign(work: DataFrame, packed: DataFrame, id_col: str, n_nodes: int, k: int, dim: int) -> DataFrame:
     """Nearest centroid of the row's own node (squared Euclidean, then child)."""
     j = _join_small(work, packed, [SHARD, NODE], n_nodes, k * dim)
-    best = F.array_min(F.transform(CENTS, lambda s: F.struct(
-        M.sq_distance(VEC, s["c"]).alias("d"), s[CHILD].alias("ch"))))
-    return j.select(SHARD, NODE, id_col, VEC, best["ch"].alias(CHILD))
+    best = F.expr(f"array_min(transform({CENTS}, cc -> named_struct('d', {M.sq_distance_sql(VEC, 'cc.c')}, "
+                  f"'ch', cc.{CHILD}))).ch")
+    return j.select(SHARD, NODE, id_col, VEC, best.alias(CHILD))
 
 
 def _seeds(work: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
@@ -299,6 +301,23 @@ def leaf_hits(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -
     return leaves.withColumn(LEAF, F.explode(F.array(F.col(LEAF), F.lit(INVALID))))
 
 
+def chosen_members(forest: Forest, hits: DataFrame, n_queries: int) -> DataFrame:
+    """Members of the hit leaves only.
+
+    The hit keys (at most queries x shards x 2 pairs, a bound checked here)
+    become a partition filter on the ``members`` table, so the scan lists and
+    reads only the chosen ``shard=/leaf_id=`` directories.  Beyond the bound
+    the members are filtered by the join alone.
+    """
+    bound = n_queries * int(forest.meta["shards"]) * 2
+    if bound > MAX_STATIC_LEAVES:
+        return forest.members
+    keys = [f"{r[0]}/{r[1]}" for r in hits.select(SHARD, LEAF).distinct().collect()]
+    if not keys:
+        return forest.members.limit(0)
+    return forest.members.filter(F.concat_ws("/", F.col(SHARD).cast("string"), F.col(LEAF)).isin(keys))
+
+
 def leaf_scores(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -> DataFrame:
     """``(query_id, shard, leaf_id, id, similarity_score)`` for every member of
     the chosen leaves."""
@@ -306,9 +325,10 @@ def leaf_scores(forest: Forest, queries: DataFrame, metric: str, n_queries: int)
     id_col, dim = meta["id_col"], int(meta["dim"])
     hits = with_query_norm(leaf_hits(forest, queries, metric, n_queries))
     rows = n_queries * 2 * int(meta["shards"])
-    j = _join_small(forest.members, hits, [SHARD, LEAF], rows, dim)
+    members = chosen_members(forest, hits, n_queries)
+    j = _join_small(members, hits, [SHARD, LEAF], rows, dim)
     return j.select(QID, SHARD, LEAF, id_col,
-                    search_score(metric, VEC, Q, dim if dim > 0 else None, F.col(Q_NORM)).alias(SCORE))
+                    search_score(metric, VEC, Q, dim if dim > 0 else None, Q_NORM).alias(SCORE))
 
 
 def forest_top_k(forest: Forest, queries: DataFrame, metric: str, k: int,

@@ -43,19 +43,18 @@ class TransformParams:
 def pack_references(refs: DataFrame, vec_col: str = VEC) -> DataFrame:
     """One row: ``_refs`` (vectors in ref_no order) and their norms."""
     s = refs.agg(F.array_sort(F.collect_list(F.struct(F.col(REF_NO), F.col(vec_col)))).alias("_s"))
-    return s.select(F.transform("_s", lambda r: r[vec_col]).alias(_REFS)).select(
-        _REFS, F.transform(_REFS, lambda v: M.norm(v)).alias(_RNORMS))
+    return s.select(F.expr(f"transform(_s, r -> r.{vec_col})").alias(_REFS)).select(
+        _REFS, F.expr(f"transform({_REFS}, rv -> {M.norm_sql('rv')})").alias(_RNORMS))
 
 
-def profile(vec, metric: str) -> F.Column:
+def profile(vec: str, metric: str) -> F.Column:
     """Array of similarities of ``vec`` to each packed reference."""
     metric = M.resolve_metric(metric)
-    vec = F.col(vec) if isinstance(vec, str) else vec
     if metric == "cosine":
-        return F.transform(F.col(_REFS), lambda r, i: M.cosine_clamped(
-            vec, r, a_norm=F.col(_N), b_norm=F.get(F.col(_RNORMS), i)))
-    fn = M.metric_fn(metric, "matrix")
-    return F.transform(F.col(_REFS), lambda r: fn(vec, r))
+        body = M.cosine_clamped_sql(vec, "rv", a_norm=_N, b_norm=f"{_RNORMS}[ri]")
+        return F.expr(f"transform({_REFS}, (rv, ri) -> {body})")
+    body = M.score_sql(metric, vec, "rv", shape="matrix")
+    return F.expr(f"transform({_REFS}, rv -> {body})")
 
 
 def _attach(df: DataFrame, packed: DataFrame, n_refs: int, dim: int | None) -> DataFrame:
