@@ -75,3 +75,27 @@ def exact_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_co
     validate_k(k)
     scored = score_all(table, queries, metric, id_col, vec_col, info)
     return top_k(scored, k, id_col).select(QID, "rank", id_col, SCORE)
+
+
+METRIC = "metric"
+
+
+def mixed_score_sql(vec: str, q: str, metric_col: str = METRIC, q_norm: str | None = None) -> str:
+    """One expression for queries that name their own metric: each (query,
+    row) pair evaluates only its query's branch; unknown names score null."""
+    branches = " ".join(f"WHEN lower({metric_col}) = '{m}' THEN {search_score_sql(m, vec, q, q_norm)}"
+                        for m in M.METRIC_NAMES)
+    return f"CASE {branches} END"
+
+
+def exact_top_k_mixed(table: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str = VEC,
+                      info: QueryInfo | None = None) -> DataFrame:
+    """Exact top-k for a query table ``(query_id, q, metric)`` with a metric per
+    query, in one scan of ``table``: ``(query_id, metric, rank, id, score)``."""
+    validate_k(k)
+    info = info or query_info(queries)
+    qs = with_query_norm(queries.select(QID, Q, F.lower(F.col(METRIC)).alias(METRIC)))
+    qb, _ = broadcast_checked(qs, info.dim, known_rows=info.rows)
+    joined = table.select(id_col, vec_col).crossJoin(qb)
+    scored = joined.select(QID, METRIC, id_col, F.expr(mixed_score_sql(vec_col, Q, METRIC, Q_NORM)).alias(SCORE))
+    return top_k(scored, k, id_col).select(QID, METRIC, "rank", id_col, SCORE)

@@ -389,6 +389,7 @@ for _m in M.METRIC_NAMES:
 # ---------------------------------------------------------------- forest index
 
 import hashlib  # noqa: E402
+import time  # noqa: E402
 
 from vicinity.plans import forest as FO  # noqa: E402
 
@@ -502,3 +503,55 @@ def _index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     FO.build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
     f = FO.load_or_build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
     return FO.forest_top_k(f, queries_by_id(t, "vec_id", 7), "manhattan_sim", 10, QueryInfo(1, 64))
+
+
+# ---------------------------------------------------------------- requests with a metric each, as a stream
+
+from vicinity.plans.exact import exact_top_k_mixed  # noqa: E402
+from vicinity.streaming.query_stream import REQUEST_SCHEMA, start_search_stream  # noqa: E402
+
+_LABEL_METRIC = ("CASE WHEN label < 3 THEN 'cosine' WHEN label < 5 THEN 'euclidean_sim' "
+                 "WHEN label < 8 THEN 'manhattan_sim' ELSE 'dot_product' END")
+
+
+def label_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One request per label (its smallest vec_id), metric chosen by label."""
+    e = T.read_table(spark, d, "embeddings")
+    firsts = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    return (e.join(F.broadcast(firsts), ["label", "vec_id"])
+            .select(F.col("vec_id").alias(QID), F.col("embedding").cast("array<double>").alias(Q),
+                    F.expr(_LABEL_METRIC).alias("metric")))
+
+
+def _mixed_sql() -> str:
+    parts = []
+    for m in M.METRIC_NAMES:
+        q = (f"SELECT e.vec_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS q FROM embeddings e "
+             f"JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) f ON e.vec_id = f.vec_id "
+             f"WHERE {_LABEL_METRIC} = '{m}'")
+        parts.append(f"SELECT query_id, '{m}' AS metric, rank, vec_id, similarity_score FROM ("
+                     + O.exact_topk_sql(O.EMB, "vec_id", q, m, 5) + ")")
+    return " UNION ALL ".join(parts)
+
+
+def _round_mixed(df: DataFrame) -> DataFrame:
+    return df.withColumn(SCORE, F.when(F.col("metric") == "dot_product", round_sig(SCORE)).otherwise(r6(SCORE)))
+
+
+@register("topk_mixed_metrics", _mixed_sql())
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    r = exact_top_k_mixed(T.embeddings(spark, d), label_requests(spark, d), 5, "vec_id", info=QueryInfo(10, 64))
+    return _round_mixed(r)
+
+
+@register("stream_requests", _mixed_sql())
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests delivered as a file stream (one file per label) and
+    answered micro-batch by micro-batch."""
+    base = scratch_path(spark, "stream-" + hashlib.md5(f"{d}{time.time_ns()}".encode()).hexdigest()[:12])
+    label_requests(spark, d).repartition(10, QID).write.parquet(f"{base}/requests")
+    reqs = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", 3).parquet(f"{base}/requests")
+    q = start_search_stream(reqs, T.embeddings(spark, d), 5, "vec_id", f"{base}/out", f"{base}/ckpt",
+                            available_now=True)
+    q.awaitTermination()
+    return _round_mixed(spark.read.parquet(f"{base}/out").drop("epoch"))
