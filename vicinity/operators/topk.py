@@ -47,17 +47,27 @@ def rank_key(score) -> Column:
 
 
 def top_k(scored: DataFrame, k: int, id_col: str, score_col: str = SCORE,
-          by: list[str] | str | None = "query_id") -> DataFrame:
+          by: list[str] | str | None = "query_id", single_group: bool = False) -> DataFrame:
     """Best k rows per group (per query by default), with ``rank`` 1..k.
 
+    With ``single_group`` (the caller proves there is one group) the plan is a
+    TakeOrderedAndProject instead (one stage fewer).
+
     Invalid (null/NaN) scores are ranked last and removed *after* the window:
     a filter before it would be pushed into the join below and make Catalyst
     evaluate the score expression once more per conjunct.
     """
     validate_k(k)
     keys = [by] if isinstance(by, str) else list(by or [])
-    w = Window.partitionBy(*keys).orderBy(F.col(score_col).desc_nulls_last(), F.col(id_col).asc())
-    ranked = scored.withColumn(score_col, rank_key(score_col)).withColumn(RANK, F.row_number().over(w))
+    order = [F.col(score_col).desc_nulls_last(), F.col(id_col).asc()]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    keyed = scored.withColumn(score_col, rank_key(score_col))
+    if single_group:
+        # One group (e.g. one query, proven by the caller): TakeOrderedAndProject
+        # keeps k rows per partition and merges them; ranks are then numbered
+        # over those k rows only.
+        keyed = keyed.orderBy(*order).limit(k)
+    ranked = keyed.withColumn(RANK, F.row_number().over(w))
     return ranked.filter((F.col(RANK) <= k) & F.col(score_col).isNotNull())
 
 

@@ -73,8 +73,9 @@ def exact_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_co
                 vec_col: str = VEC, info: QueryInfo | None = None) -> DataFrame:
     """Exact top-k per query: ``(query_id, rank, <id_col>, similarity_score)``."""
     validate_k(k)
+    info = info or query_info(queries)
     scored = score_all(table, queries, metric, id_col, vec_col, info)
-    return top_k(scored, k, id_col).select(QID, "rank", id_col, SCORE)
+    return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)
 
 
 METRIC = "metric"

@@ -63,7 +63,8 @@ LEAF = "leaf_id"
 ROOT = "root"
 INVALID = "invalid"
 CENTS = "_cents"
-FORMAT = 1
+CENTROID = "centroid"
+FORMAT = 2
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
 CHECKPOINT_INTERVAL = 4
@@ -132,49 +133,47 @@ def _seeds(work: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     return ranked.select(SHARD, NODE, (F.col("_rn") - 1).alias(CHILD), F.col(VEC).alias(CENTER))
 
 
-def _children(active: DataFrame, assigned: DataFrame, cents: DataFrame, id_col: str, metric: str,
-              depth: int, n_nodes: int, k: int, dim: int) -> DataFrame:
-    from pyspark.sql import Window
+def _children(active: DataFrame, assigned: DataFrame, cents: DataFrame, depth: int) -> DataFrame:
+    """Child node rows of the split nodes: count and final centroid (null for
+    a child that lost its centroid)."""
     kids = active.select(SHARD, NODE, F.explode(F.sequence(F.lit(0), F.col("kk") - 1)).alias(CHILD))
     counts = assigned.groupBy(SHARD, NODE, CHILD).agg(F.count(F.lit(1)).alias(COUNT))
-    scored = _join_small(assigned, cents, [SHARD, NODE, CHILD], n_nodes * k, dim).withColumn(
-        "_s", rank_key(M.score(metric, VEC, CENTER)))
-    w = Window.partitionBy(SHARD, NODE, CHILD).orderBy(F.col("_s").desc_nulls_last(), F.col(id_col).asc())
-    reps = (scored.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= 1) & F.col("_s").isNotNull())
-            .select(SHARD, NODE, CHILD, F.col(id_col).alias(REP_ID), F.col(VEC).alias(REP_VEC)))
-    out = kids.join(counts, [SHARD, NODE, CHILD], "left").join(reps, [SHARD, NODE, CHILD], "left")
+    out = (kids.join(counts, [SHARD, NODE, CHILD], "left")
+           .join(cents.select(SHARD, NODE, CHILD, F.col(CENTER).alias(CENTROID)), [SHARD, NODE, CHILD], "left"))
     return out.select(
         SHARD, F.concat(F.col(NODE), F.lit("_"), F.col(CHILD).cast("string")).alias(NODE),
         F.col(NODE).alias(PARENT), F.col(CHILD).cast("int").alias(CHILD), F.lit(depth + 1).alias(DEPTH),
-        F.coalesce(F.col(COUNT), F.lit(0)).cast("long").alias(COUNT), REP_ID, REP_VEC)
+        F.coalesce(F.col(COUNT), F.lit(0)).cast("long").alias(COUNT), CENTROID)
 
 
 def _members(df: DataFrame, id_col: str, leaf: Column) -> DataFrame:
     return df.select(SHARD, leaf.alias(LEAF), id_col, VEC)
 
 
-def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParams, path: str,
-                 dim: int | None = None, vec_col: str = VEC) -> Forest:
-    """Build the index of ``table`` (``id``, ``vec``) and write it under ``path``
-    as ``nodes``, ``members`` (partitioned by shard and leaf) and ``meta``."""
-    metric = M.resolve_metric(metric)
-    p = params
+def _check_params(p: ForestParams) -> None:
     if p.shards < 1 or p.k < 0 or p.max_depth < 0 or p.iterations < 0:
         raise ValueError(f"invalid forest parameters {p}")
+
+
+def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path: str,
+                     dim: int | None = None, vec_col: str = VEC) -> dict:
+    """The metric-independent part of the index: k-means tree per shard
+    (``tree``: node rows with counts and centroids) and ``members``
+    (partitioned by shard and leaf), plus ``meta``.  Returns the meta."""
+    p = params
+    _check_params(p)
     spark = table.sparkSession
     rows = table.select(F.col(id_col), F.col(vec_col).alias(VEC)).withColumn(SHARD, shard_of(id_col, p.shards))
     if dim is None:
         first = rows.select(F.size(VEC).alias("k")).filter(F.col("k") > 0).first()
         dim = int(first["k"]) if first else 0
-    id_type = rows.schema[id_col].dataType
-    members_path = f"{path}/members"
 
     member_parts = [_members(rows.filter(~is_valid_vector(VEC)), id_col, F.lit(INVALID))]
     level = rows.filter(is_valid_vector(VEC)).withColumn(NODE, F.lit(ROOT)).persist(StorageLevel.MEMORY_AND_DISK)
     roots = level.groupBy(SHARD).agg(F.count(F.lit(1)).cast("long").alias(COUNT)).select(
         SHARD, F.lit(ROOT).alias(NODE), F.lit(None).cast("string").alias(PARENT),
         F.lit(None).cast("int").alias(CHILD), F.lit(0).alias(DEPTH), COUNT,
-        F.lit(None).cast(id_type).alias(REP_ID), F.lit(None).cast("array<double>").alias(REP_VEC))
+        F.lit(None).cast("array<double>").alias(CENTROID))
     node_parts = [roots]
     persisted = [level]
     can_split = p.k >= 2 and dim > 0
@@ -199,8 +198,7 @@ def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParam
                 cents = cut_lineage(cents, "cents")
         cents = cut_lineage(cents, "cents")
         assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim).persist(StorageLevel.MEMORY_AND_DISK)
-        kids = _children(active, assigned, cents, id_col, metric, d, n_active, p.k, dim).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        kids = _children(active, assigned, cents, d).persist(StorageLevel.MEMORY_AND_DISK)
         persisted += [assigned, kids]
         node_parts.append(kids)
         level = assigned.select(SHARD, F.concat(F.col(NODE), F.lit("_"), F.col(CHILD).cast("string")).alias(NODE),
@@ -209,8 +207,10 @@ def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParam
     members = member_parts[0]
     for part in member_parts[1:]:
         members = members.unionByName(part)
-    # One write; rows sorted by leaf inside each shard/leaf directory.
-    write_parquet(members.repartition(SHARD, LEAF), members_path, [SHARD, LEAF])
+    # One write.  ``rebalance`` lets AQE split a leaf holding a large share of
+    # the rows over several tasks (and merge small ones) instead of one task
+    # per (shard, leaf) hash bucket.
+    write_parquet(members.hint("rebalance", SHARD, LEAF), f"{path}/members", [SHARD, LEAF])
 
     nodes = node_parts[0]
     for part in node_parts[1:]:
@@ -218,27 +218,82 @@ def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParam
     parents = nodes.filter(F.col(PARENT).isNotNull()).select(F.col(SHARD), F.col(PARENT).alias(NODE)).distinct()
     nodes = nodes.join(parents.withColumn("_has_kids", F.lit(True)), [SHARD, NODE], "left").withColumn(
         IS_LEAF, F.col("_has_kids").isNull()).drop("_has_kids")
-    write_parquet(nodes.select(SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, REP_ID, REP_VEC),
-                  f"{path}/nodes")
-    meta = {"format": FORMAT, "metric": metric, "dim": dim, "id_col": id_col, **asdict(p),
-            **fingerprint(rows, id_col)}
+    write_parquet(nodes.select(SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, CENTROID), f"{path}/tree")
+    meta = {"format": FORMAT, "dim": dim, "id_col": id_col, **asdict(p), **fingerprint(rows, id_col)}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(
         "overwrite").json(f"{path}/meta")
     for df in persisted:
         df.unpersist()
-    return load_forest(spark, path)
+    return meta
+
+
+def representatives(members: DataFrame, tree: DataFrame, metric: str, id_col: str, dim: int) -> DataFrame:
+    """``(shard, node_id, rep_id, rep_vec)``: for every non-root node, the
+    member of its subtree most similar (by ``metric``) to its centroid, ties
+    to the lowest id.
+
+    One pass for all levels: each member row is expanded to its ancestors
+    (node ids are ``root_<i>_<j>...``, so ancestors are prefixes of the leaf
+    id; at most ``max_depth`` copies), joined to the small centroid table and
+    reduced by a partial per-node top-1 before the shuffle.
+    """
+    from pyspark.sql import Window
+    metric = M.resolve_metric(metric)
+    parts = F.split(F.col(LEAF), "_")
+    anc = F.explode(F.sequence(F.lit(2), F.size(parts))).alias("_n")
+    expanded = (members.filter((F.col(LEAF) != INVALID) & F.col(LEAF).contains("_"))
+                .select(SHARD, id_col, VEC, parts.alias("_p"), anc)
+                .select(SHARD, id_col, VEC, F.array_join(F.slice("_p", 1, F.col("_n")), "_").alias(NODE)))
+    cents = tree.filter(F.col(CENTROID).isNotNull()).select(SHARD, NODE, CENTROID)
+    n_nodes = tree.count()
+    scored = _join_small(expanded, cents, [SHARD, NODE], n_nodes, dim).select(
+        SHARD, NODE, id_col, VEC, rank_key(M.score(metric, VEC, CENTROID)).alias("_s"))
+    w = Window.partitionBy(SHARD, NODE).orderBy(F.col("_s").desc_nulls_last(), F.col(id_col).asc())
+    return (scored.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= 1) & F.col("_s").isNotNull())
+            .select(SHARD, NODE, F.col(id_col).alias(REP_ID), F.col(VEC).alias(REP_VEC)))
+
 
+def _reps_path(path: str, metric: str) -> str:
+    return f"{path}/reps/{M.resolve_metric(metric)}"
 
-def load_forest(spark: SparkSession, path: str) -> Forest | None:
+
+def build_representatives(spark: SparkSession, path: str, metric: str) -> None:
+    meta = read_meta(spark, path)
+    tree = spark.read.parquet(f"{path}/tree")
+    members = spark.read.parquet(f"{path}/members")
+    write_parquet(representatives(members, tree, metric, meta["id_col"], int(meta["dim"])),
+                  _reps_path(path, metric))
+
+
+def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParams, path: str,
+                 dim: int | None = None, vec_col: str = VEC) -> Forest:
+    """Build the whole index of ``table`` under ``path``: the clustering
+    (``meta``, ``tree``, ``members``) and the representatives for ``metric``."""
+    metric = M.resolve_metric(metric)
+    build_clustering(table, id_col, params, path, dim, vec_col)
+    spark = table.sparkSession
+    build_representatives(spark, path, metric)
+    return load_forest(spark, path, metric)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict | None:
     meta_df = try_read_json(spark, f"{path}/meta")
-    nodes = try_read(spark, f"{path}/nodes")
+    row = None if meta_df is None else meta_df.first()
+    return None if row is None else json.loads(row["meta"])
+
+
+def load_forest(spark: SparkSession, path: str, metric: str) -> Forest | None:
+    """The stored index with the representatives of ``metric``, or None."""
+    metric = M.resolve_metric(metric)
+    meta = read_meta(spark, path)
+    tree = try_read(spark, f"{path}/tree")
     members = try_read(spark, f"{path}/members")
-    if meta_df is None or nodes is None or members is None:
-        return None
-    row = meta_df.first()
-    if row is None:
+    reps = try_read(spark, _reps_path(path, metric))
+    if meta is None or tree is None or members is None or reps is None:
         return None
-    return Forest(nodes, members, json.loads(row["meta"]))
+    nodes = tree.join(reps, [SHARD, NODE], "left").select(
+        SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, REP_ID, REP_VEC)
+    return Forest(nodes, members, {**meta, "metric": metric})
 
 
 def try_read_json(spark: SparkSession, path: str) -> DataFrame | None:
@@ -251,19 +306,25 @@ def try_read_json(spark: SparkSession, path: str) -> DataFrame | None:
 
 def load_or_build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParams, path: str,
                          force: bool = False, dim: int | None = None) -> Forest:
-    """Reuse the stored index when its meta matches (metric, parameters and a
-    fingerprint of the table); otherwise (or when forced) rebuild it."""
+    """Reuse what is stored: the clustering when its meta matches (format,
+    id column, parameters and a fingerprint of the table), the representatives
+    of ``metric`` when present.  Missing or stale parts are (re)built; the
+    clustering is shared by all metrics."""
     spark = table.sparkSession
+    metric = M.resolve_metric(metric)
+    fresh = False
     if not force:
-        f = load_forest(spark, path)
-        if f is not None:
-            m = f.meta
-            want = {"format": FORMAT, "metric": M.resolve_metric(metric), "id_col": id_col, **asdict(params)}
-            if all(m.get(key) == val for key, val in want.items()):
-                fp = fingerprint(table, id_col)
-                if m.get("rows") == fp["rows"] and m.get("id_hash") == fp["id_hash"]:
-                    return f
-    return build_forest(table, id_col, metric, params, path, dim)
+        m = read_meta(spark, path)
+        want = {"format": FORMAT, "id_col": id_col, **asdict(params)}
+        if m is not None and all(m.get(key) == val for key, val in want.items()):
+            fp = fingerprint(table, id_col)
+            fresh = m.get("rows") == fp["rows"] and m.get("id_hash") == fp["id_hash"]
+    if not fresh:
+        build_clustering(table, id_col, params, path, dim)
+        build_representatives(spark, path, metric)
+    elif try_read(spark, _reps_path(path, metric)) is None:
+        build_representatives(spark, path, metric)
+    return load_forest(spark, path, metric)
 
 
 def descend(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -> DataFrame:
@@ -339,4 +400,4 @@ def forest_top_k(forest: Forest, queries: DataFrame, metric: str, k: int,
     info = info or query_info(queries)
     id_col = forest.meta["id_col"]
     scored = leaf_scores(forest, queries, metric, info.rows)
-    return top_k(scored, k, id_col).select(QID, "rank", id_col, SCORE)
+    return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)

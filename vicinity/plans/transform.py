@@ -101,3 +101,18 @@ def transform_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, i
     qspace = query_to_similarity_space(queries, packed, metric, n_refs, dim)
     info = QueryInfo(n_queries, n_refs) if n_queries is not None else None
     return exact_top_k(space, qspace, metric, k, id_col, SIMS, info=info)
+
+
+def build_similarity_space(table: DataFrame, id_col: str, metric: str, params: TransformParams, path: str,
+                           vec_col: str = VEC, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Choose the references and write ``refs`` and the profile table
+    ``space`` (id, sims) under ``path``; returns both, read back.  Searches
+    then scan the N-dim ``space`` table instead of the K-dim vectors."""
+    spark = table.sparkSession
+    refs = select_references(table, id_col, metric, params, vec_col)
+    refs.write.mode("overwrite").parquet(f"{path}/refs")
+    refs = spark.read.parquet(f"{path}/refs")
+    n = refs.count()
+    space = to_similarity_space(table, pack_references(refs, vec_col), metric, id_col, n, vec_col, dim)
+    space.write.mode("overwrite").parquet(f"{path}/space")
+    return spark.read.parquet(f"{path}/space"), refs

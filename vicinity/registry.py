@@ -399,7 +399,7 @@ FP_ONE = FO.ForestParams(shards=2, k=3, max_depth=1, min_leaf=20, iterations=3,
 
 def forest_for(spark: SparkSession, d: str, metric: str, fp: FO.ForestParams = FP) -> FO.Forest:
     """Load the stored index for (table, metric, params), building it if absent or stale."""
-    key = hashlib.md5(f"{d}|{metric}|{fp}|{FO.FORMAT}".encode()).hexdigest()[:16]
+    key = hashlib.md5(f"{d}|{fp}|{FO.FORMAT}".encode()).hexdigest()[:16]
     return FO.load_or_build_forest(T.embeddings(spark, d), "vec_id", metric, fp,
                                    scratch_path(spark, f"forest-{key}"), dim=64)
 
