@@ -168,26 +168,39 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         first = rows.select(F.size(VEC).alias("k")).filter(F.col("k") > 0).first()
         dim = int(first["k"]) if first else 0
 
-    member_parts = [_members(rows.filter(~is_valid_vector(VEC)), id_col, F.lit(INVALID))]
+    members_path = f"{path}/members"
+
+    def write_members(df: DataFrame, mode: str) -> None:
+        # ``rebalance`` lets AQE split a leaf holding a large share of the rows
+        # over several tasks (and merge small ones) instead of one task per
+        # (shard, leaf) hash bucket.
+        df.hint("rebalance", SHARD, LEAF).write.mode(mode).partitionBy(SHARD, LEAF).parquet(members_path)
+
+    write_members(_members(rows.filter(~is_valid_vector(VEC)), id_col, F.lit(INVALID)), "overwrite")
     level = rows.filter(is_valid_vector(VEC)).withColumn(NODE, F.lit(ROOT)).persist(StorageLevel.MEMORY_AND_DISK)
     roots = level.groupBy(SHARD).agg(F.count(F.lit(1)).cast("long").alias(COUNT)).select(
         SHARD, F.lit(ROOT).alias(NODE), F.lit(None).cast("string").alias(PARENT),
         F.lit(None).cast("int").alias(CHILD), F.lit(0).alias(DEPTH), COUNT,
         F.lit(None).cast("array<double>").alias(CENTROID))
+    roots = roots.persist(StorageLevel.MEMORY_AND_DISK)
     node_parts = [roots]
-    persisted = [level]
+    small = [roots]           # node tables: kept until the end
+    big = [level]             # row tables: released once the next level exists
     can_split = p.k >= 2 and dim > 0
     for d in range(p.max_depth if can_split else 0):
         stats = level.groupBy(SHARD, NODE).agg(F.count(F.lit(1)).alias("n"))
         active = stats.filter((F.col("n") >= p.min_leaf) & (F.col("n") >= 2)).select(
             SHARD, NODE, F.least(F.lit(p.k), F.col("n")).alias("kk")).persist(StorageLevel.MEMORY_AND_DISK)
-        persisted.append(active)
-        n_active = active.count()
+        small.append(active)
+        n_active = active.count()          # materialises ``level``
+        for df in big[:-1]:
+            df.unpersist()
+        big = big[-1:]
         if n_active == 0:
             break
         keys = active.select(SHARD, NODE)
-        member_parts.append(_members(_join_small(level, keys, [SHARD, NODE], n_active, 0, "left_anti"),
-                                     id_col, F.col(NODE)))
+        write_members(_members(_join_small(level, keys, [SHARD, NODE], n_active, 0, "left_anti"),
+                               id_col, F.col(NODE)), "append")
         work = _join_small(level, keys, [SHARD, NODE], n_active, 0, "left_semi")
 
         cents = _seeds(work, id_col, p.k, p.seed)
@@ -199,18 +212,13 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         cents = cut_lineage(cents, "cents")
         assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim).persist(StorageLevel.MEMORY_AND_DISK)
         kids = _children(active, assigned, cents, d).persist(StorageLevel.MEMORY_AND_DISK)
-        persisted += [assigned, kids]
+        big.append(assigned)
+        small.append(kids)
         node_parts.append(kids)
         level = assigned.select(SHARD, F.concat(F.col(NODE), F.lit("_"), F.col(CHILD).cast("string")).alias(NODE),
                                 id_col, VEC)
-    member_parts.append(_members(level, id_col, F.col(NODE)))
-    members = member_parts[0]
-    for part in member_parts[1:]:
-        members = members.unionByName(part)
-    # One write.  ``rebalance`` lets AQE split a leaf holding a large share of
-    # the rows over several tasks (and merge small ones) instead of one task
-    # per (shard, leaf) hash bucket.
-    write_parquet(members.hint("rebalance", SHARD, LEAF), f"{path}/members", [SHARD, LEAF])
+    write_members(_members(level, id_col, F.col(NODE)), "append")
+    persisted = big + small
 
     nodes = node_parts[0]
     for part in node_parts[1:]:
