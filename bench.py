@@ -23,6 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vicinity.functions.metrics import METRIC_NAMES  # noqa: E402
 from vicinity.plans import forest as FO  # noqa: E402
+from vicinity.plans.arrow_scan import arrow_top_k  # noqa: E402
 from vicinity.plans.exact import QueryInfo, exact_top_k  # noqa: E402
 from vicinity.plans.transform import TransformParams, build_similarity_space, transform_top_k  # noqa: E402
 from vicinity.sources.generate import uniform_vectors  # noqa: E402
@@ -95,6 +96,9 @@ def main() -> None:
     exact_top_k(uni, uq, "cosine", K, "ecg_id", info=QueryInfo(1, 250)).collect()
     out["exact_uniform_1e5x250_cosine"], _ = timed(
         lambda: exact_top_k(uni, uq, "cosine", K, "ecg_id", info=QueryInfo(1, 250)).collect())
+    arrow_top_k(uni, uq, "cosine", K, "ecg_id", info=QueryInfo(1, 250)).collect()  # Python worker start
+    out["arrow_uniform_1e5x250_cosine"], _ = timed(
+        lambda: arrow_top_k(uni, uq, "cosine", K, "ecg_id", info=QueryInfo(1, 250)).collect())
 
     # The clustering is metric-independent: built once, then representatives
     # per metric (one pass over the members each).

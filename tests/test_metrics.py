@@ -109,3 +109,23 @@ def test_vector_norm(spark):
     t = table(spark, [(1, [3.0, 4.0])])
     assert t.select(M.norm("vec").alias("n")).first()["n"] == pytest.approx(5.0)
     assert t.select(F.expr(M.sq_norm_sql("vec")).alias("n")).first()["n"] == pytest.approx(25.0)
+
+
+def test_query_sources(spark):
+    from vicinity.sources.queries import constant_query, seeded_query
+    import numpy as np
+    c = constant_query(spark, 4).first()
+    assert c["q"] == [0.5] * 4 and c["query_id"] == 0
+    s = seeded_query(spark, 5, 42).first()["q"]
+    assert s == pytest.approx(np.random.RandomState(42).rand(5).tolist())
+    assert constant_query(spark, 0).first()["q"] == []
+
+
+def test_wide_and_back(spark):
+    from vicinity.functions.vectors import vector_to_wide, wide_to_vector
+    wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "ecg_id long, col_0 double, col_1 double, col_2 double")
+    v = wide_to_vector(wide, "ecg_id", ["col_0", "col_1", "col_2"])
+    assert v.first()["vec"] == [1.0, 2.0, 3.0]
+    back = vector_to_wide(v, "ecg_id", "vec", 3, "col_").first()
+    assert (back["col_0"], back["col_2"]) == (1.0, 3.0)
+    assert wide_to_vector(wide, "ecg_id", []).first()["vec"] == []

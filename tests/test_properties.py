@@ -133,3 +133,26 @@ def test_forest_index_reused_when_fresh(spark, emb, forest):
     assert again.meta["rows"] == 500
     other = FO.load_or_build_forest(emb.limit(100), "vec_id", "cosine", p, path, dim=64)
     assert other.meta["rows"] == 100  # stale fingerprint -> rebuilt
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_arrow_scan_equals_native(spark, metric):
+    from vicinity.plans.arrow_scan import arrow_top_k
+    t = T.scaled_embeddings(spark, SF001)
+    q = queries_by_id(t, "vec_id", [4, 40])
+    a = arrow_top_k(t, q, metric, 7, "vec_id", info=QueryInfo(2, 64)).orderBy("query_id", "rank").collect()
+    b = exact_top_k(t, q, metric, 7, "vec_id", info=QueryInfo(2, 64)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in a] == [(r.query_id, r.vec_id) for r in b]
+    assert [r.similarity_score for r in a] == pytest.approx([r.similarity_score for r in b], rel=1e-9)
+
+
+def test_arrow_scan_edge_rows(spark):
+    from vicinity.plans.arrow_scan import arrow_top_k
+    from vicinity.sources.queries import literal_query
+    rows = [(1, [float("nan"), 1.0]), (2, [None, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (7, [1.0, 1.0])]
+    t = spark.createDataFrame(rows, "id long, vec array<double>")
+    cos = arrow_top_k(t, literal_query(spark, [1.0, 1.0]), "cosine", 10, "id", info=QueryInfo(1, 2)).collect()
+    assert {r.id: r.similarity_score for r in cos} == pytest.approx({1: 0.0, 2: 0.0, 3: 1.0, 4: 0.0, 7: 1.0})
+    assert [r.id for r in sorted(cos, key=lambda r: r.rank)][:2] == [3, 7]
+    euc = arrow_top_k(t, literal_query(spark, [1.0, 1.0]), "euclidean_sim", 10, "id", info=QueryInfo(1, 2))
+    assert sorted(r.id for r in euc.collect()) == [3, 4, 7]

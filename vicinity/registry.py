@@ -555,3 +555,39 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
                             available_now=True)
     q.awaitTermination()
     return _round_mixed(spark.read.parquet(f"{base}/out").drop("epoch"))
+
+
+# ---------------------------------------------------------------- stored similarity space (write once, search many)
+
+from vicinity.plans.transform import build_similarity_space  # noqa: E402
+
+
+@register("topk_transform_stored_manhattan",
+          O.transform_topk_sql(O.EMB, "vec_id", _LABEL_Q_EMB, "manhattan_sim", 10, TP.n_refs, TP.sample_size,
+                               TP.seed))
+def _transform_stored(spark: SparkSession, d: str) -> DataFrame:
+    """References and the profile table written once, then searched by ten
+    queries at once from the stored tables."""
+    t = T.embeddings(spark, d)
+    path = scratch_path(spark, "space-" + hashlib.md5(f"{d}{time.time_ns()}".encode()).hexdigest()[:12])
+    space, refs = build_similarity_space(t, "vec_id", "manhattan_sim", TP, path, dim=64)
+    q = per_label_queries(spark, d, t)
+    r = transform_top_k(t, q, "manhattan_sim", 10, "vec_id", TP, n_queries=10, dim=64, space=space, refs=refs)
+    return round_scores(r)
+
+
+# ---------------------------------------------------------------- opt-in vectorised scorer (mapInArrow + NumPy)
+
+from vicinity.plans.arrow_scan import arrow_top_k  # noqa: E402
+
+
+def _topk_arrow(metric: str) -> QueryFn:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        t = T.scaled_embeddings(spark, d)
+        q = per_label_queries(spark, d, t)
+        return round_scores(arrow_top_k(t, q, metric, 10, "vec_id", info=QueryInfo(10, 64)), metric=metric)
+    return fn
+
+
+for _m in ("cosine", "manhattan_sim"):
+    register(f"topk_arrow_{SHORT[_m]}", O.exact_topk_sql(O.SCALED_EMB, "vec_id", _LABEL_Q, _m, 10))(_topk_arrow(_m))
