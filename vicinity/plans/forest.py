@@ -7,7 +7,8 @@ The tree is built level by level for all nodes of all shards at once:
   ``k >= 2`` and its depth is below ``max_depth``; otherwise it is a leaf;
 * splitting runs Lloyd's k-means (always squared Euclidean) with
   ``min(k, n)`` seeds = the node's rows with the smallest md5(id || seed),
-  a fixed number of iterations, ties to the lowest child number; a child that
+  at most ``iterations`` iterations (stopping early once two written
+  centroid checkpoints agree), ties to the lowest child number; a child that
   loses all rows keeps its node (a leaf with 0 members, no representative)
   and gets no centroid in later iterations;
 * each child's representative is the member most similar, by the search
@@ -68,6 +69,8 @@ FORMAT = 2
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
 CHECKPOINT_INTERVAL = 4
+# Relative centroid movement below which two checkpoints count as converged.
+CONVERGENCE_TOL = 1e-12
 # Largest number of (shard, leaf) keys turned into a static partition filter.
 MAX_STATIC_LEAVES = 20000
 
@@ -133,6 +136,17 @@ def _seeds(work: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     return ranked.select(SHARD, NODE, (F.col("_rn") - 1).alias(CHILD), F.col(VEC).alias(CENTER))
 
 
+def _converged(before: DataFrame, after: DataFrame, tol: float = CONVERGENCE_TOL) -> bool:
+    """True when both written centroid tables have the same (node, child) keys
+    and no element moved by more than ``tol`` (relative): assignments are then
+    stable, so further Lloyd iterations would reproduce the same clusters."""
+    a = before.select(SHARD, NODE, CHILD, F.col(CENTER).alias("_a"))
+    b = after.select(SHARD, NODE, CHILD, F.col(CENTER).alias("_b"))
+    moved = F.expr(f"_a IS NULL OR _b IS NULL OR aggregate(zip_with(_a, _b, (x, y) -> abs(x - y) / "
+                   f"greatest(1D, abs(x))), 0D, (m, v) -> greatest(m, v)) > {tol!r}")
+    return a.join(b, [SHARD, NODE, CHILD], "full").filter(moved).limit(1).count() == 0
+
+
 def _children(active: DataFrame, assigned: DataFrame, cents: DataFrame, depth: int) -> DataFrame:
     """Child node rows of the split nodes: count and final centroid (null for
     a child that lost its centroid)."""
@@ -204,12 +218,18 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         work = _join_small(level, keys, [SHARD, NODE], n_active, 0, "left_semi")
 
         cents = _seeds(work, id_col, p.k, p.seed)
+        written, previous = False, None
         for it in range(p.iterations):
             assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim)
             cents = mean_vector(assigned, VEC, [SHARD, NODE, CHILD])
+            written = False
             if (it + 1) % CHECKPOINT_INTERVAL == 0 and it + 1 < p.iterations:
-                cents = cut_lineage(cents, "cents")
-        cents = cut_lineage(cents, "cents")
+                cents, written = cut_lineage(cents, "cents"), True
+                if previous is not None and _converged(previous, cents):
+                    break
+                previous = cents
+        if not written:
+            cents = cut_lineage(cents, "cents")
         assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim).persist(StorageLevel.MEMORY_AND_DISK)
         kids = _children(active, assigned, cents, d).persist(StorageLevel.MEMORY_AND_DISK)
         big.append(assigned)
