@@ -65,7 +65,7 @@ ROOT = "root"
 INVALID = "invalid"
 CENTS = "_cents"
 CENTROID = "centroid"
-FORMAT = 2
+FORMAT = 3
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
 CHECKPOINT_INTERVAL = 4
@@ -247,7 +247,9 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
     nodes = nodes.join(parents.withColumn("_has_kids", F.lit(True)), [SHARD, NODE], "left").withColumn(
         IS_LEAF, F.col("_has_kids").isNull()).drop("_has_kids")
     write_parquet(nodes.select(SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, CENTROID), f"{path}/tree")
-    meta = {"format": FORMAT, "dim": dim, "id_col": id_col, **asdict(p), **fingerprint(rows, id_col)}
+    n_nodes = spark.read.parquet(f"{path}/tree").count()
+    meta = {"format": FORMAT, "dim": dim, "id_col": id_col, "nodes": n_nodes, **asdict(p),
+            **fingerprint(rows, id_col)}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(
         "overwrite").json(f"{path}/meta")
     for df in persisted:
@@ -273,7 +275,7 @@ def representatives(members: DataFrame, tree: DataFrame, metric: str, id_col: st
                 .select(SHARD, id_col, VEC, parts.alias("_p"), anc)
                 .select(SHARD, id_col, VEC, F.array_join(F.slice("_p", 1, F.col("_n")), "_").alias(NODE)))
     cents = tree.filter(F.col(CENTROID).isNotNull()).select(SHARD, NODE, CENTROID)
-    n_nodes = tree.count()
+    n_nodes = tree.count()   # small table (node rows)
     scored = _join_small(expanded, cents, [SHARD, NODE], n_nodes, dim).select(
         SHARD, NODE, id_col, VEC, rank_key(M.score(metric, VEC, CENTROID)).alias("_s"))
     w = Window.partitionBy(SHARD, NODE).orderBy(F.col("_s").desc_nulls_last(), F.col(id_col).asc())
@@ -390,31 +392,33 @@ def leaf_hits(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -
     return leaves.withColumn(LEAF, F.explode(F.array(F.col(LEAF), F.lit(INVALID))))
 
 
-def chosen_members(forest: Forest, hits: DataFrame, n_queries: int) -> DataFrame:
-    """Members of the hit leaves only.
-
-    The hit keys (at most queries x shards x 2 pairs, a bound checked here)
-    become a partition filter on the ``members`` table, so the scan lists and
-    reads only the chosen ``shard=/leaf_id=`` directories.  Beyond the bound
-    the members are filtered by the join alone.
-    """
-    bound = n_queries * int(forest.meta["shards"]) * 2
-    if bound > MAX_STATIC_LEAVES:
-        return forest.members
-    keys = [f"{r[0]}/{r[1]}" for r in hits.select(SHARD, LEAF).distinct().collect()]
-    if not keys:
-        return forest.members.limit(0)
-    return forest.members.filter(F.concat_ws("/", F.col(SHARD).cast("string"), F.col(LEAF)).isin(keys))
-
-
 def leaf_scores(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -> DataFrame:
     """``(query_id, shard, leaf_id, id, similarity_score)`` for every member of
-    the chosen leaves."""
+    the chosen leaves.
+
+    The descent runs once: its leaf keys (ids only, at most queries x shards
+    x 2, a bound checked here) are collected and become (a) a partition filter
+    on ``members``, so the scan lists and reads only the chosen
+    ``shard=/leaf_id=`` directories, and (b) a small local table joined back
+    to the query vectors.  Beyond the bound the descent stays lazy and the
+    members are filtered by the join alone.
+    """
     meta = forest.meta
     id_col, dim = meta["id_col"], int(meta["dim"])
-    hits = with_query_norm(leaf_hits(forest, queries, metric, n_queries))
     rows = n_queries * 2 * int(meta["shards"])
-    members = chosen_members(forest, hits, n_queries)
+    hits = leaf_hits(forest, queries, metric, n_queries)
+    members = forest.members
+    if rows <= MAX_STATIC_LEAVES:
+        spark = queries.sparkSession
+        keys = hits.select(QID, SHARD, LEAF).collect()
+        qid_type = queries.schema[QID].dataType
+        key_df = spark.createDataFrame([tuple(r) for r in keys], T.StructType([
+            T.StructField(QID, qid_type), T.StructField(SHARD, T.IntegerType()), T.StructField(LEAF, T.StringType())]))
+        hits = key_df.join(F.broadcast(queries.select(QID, Q)), QID)
+        wanted = sorted({f"{r[SHARD]}/{r[LEAF]}" for r in keys})
+        members = members.filter(F.concat_ws("/", F.col(SHARD).cast("string"), F.col(LEAF)).isin(wanted)) \
+            if wanted else members.limit(0)
+    hits = with_query_norm(hits)
     j = _join_small(members, hits, [SHARD, LEAF], rows, dim)
     return j.select(QID, SHARD, LEAF, id_col,
                     search_score(metric, VEC, Q, dim if dim > 0 else None, Q_NORM).alias(SCORE))
