@@ -18,8 +18,11 @@ left-to-right order (last-ulp differences).
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,6 +34,12 @@ from vicinity.plans.exact import QueryInfo, query_info
 from vicinity.sources.queries import Q, QID
 
 
+# Task-side helpers below use only NumPy / PyArrow and this module's own
+# globals; the module is pickled by value, so executors need no copy of the
+# package installed.
+_EPS = M.EPS
+
+
 def _batch_matrix(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows x dim float64 matrix with NaN for null elements, row-valid mask)."""
     n = len(vecs)
@@ -51,7 +60,7 @@ def _batch_matrix(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _scores(metric: str, X: np.ndarray, Qm: np.ndarray, present: np.ndarray) -> np.ndarray:
     """rows x queries score matrix under the engine's rules (NaN = no result)."""
-    eps = M.EPS
+    eps = _EPS
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
         if metric == "cosine":
             qn = np.linalg.norm(Qm, axis=1)
@@ -130,5 +139,6 @@ def arrow_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_co
                     [pa.array(np.concatenate(out_q)), pa.concat_arrays(out_i), pa.array(np.concatenate(out_s))],
                     names=[QID, id_col, SCORE])
 
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     scored = table.select(id_col, vec_col).mapInArrow(score_partition, out_schema)
     return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)
