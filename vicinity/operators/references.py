@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,18 +62,24 @@ def diverse_references(sample: DataFrame, id_col: str, n: int, metric: str,
     spark = sample.sparkSession
     id_type = sample.schema[id_col].dataType
     chosen: list = []
-    if n > 0:
-        c = center_vector(sample, vec_col, use_median).first()
-        if c is not None and c[CENTER] is not None:
-            hit = _pick(sample, vector_literal(c[CENTER]), metric, id_col, vec_col, best=True)
-            if hit is not None:
-                chosen.append(hit)
-    while 0 < len(chosen) < n:
-        cand = sample.filter(~F.col(id_col).isin([i for i, _ in chosen]))
-        hit = _pick(cand, vector_literal(chosen[-1][1]), metric, id_col, vec_col, best=False)
-        if hit is None:
-            break
-        chosen.append(hit)
+    # The sample is bounded; it is held in memory only while the loop runs
+    # (lost blocks are recomputed from the sample's lineage).
+    work = sample.select(id_col, vec_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if n > 0:
+            c = center_vector(work, vec_col, use_median).first()
+            if c is not None and c[CENTER] is not None:
+                hit = _pick(work, vector_literal(c[CENTER]), metric, id_col, vec_col, best=True)
+                if hit is not None:
+                    chosen.append(hit)
+        while 0 < len(chosen) < n:
+            cand = work.filter(~F.col(id_col).isin([i for i, _ in chosen]))
+            hit = _pick(cand, vector_literal(chosen[-1][1]), metric, id_col, vec_col, best=False)
+            if hit is None:
+                break
+            chosen.append(hit)
+    finally:
+        work.unpersist()
     order = spark.createDataFrame([(i, rid) for i, (rid, _) in enumerate(chosen)],
                                   T.StructType([T.StructField(REF_NO, T.IntegerType(), False),
                                                 T.StructField(id_col, id_type, False)]))
