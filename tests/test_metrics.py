@@ -123,9 +123,9 @@ def test_query_sources(spark):
 
 def test_wide_and_back(spark):
     from vicinity.functions.vectors import vector_to_wide, wide_to_vector
-    wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "ecg_id long, col_0 double, col_1 double, col_2 double")
-    v = wide_to_vector(wide, "ecg_id", ["col_0", "col_1", "col_2"])
+    wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "row_id long, col_0 double, col_1 double, col_2 double")
+    v = wide_to_vector(wide, "row_id", ["col_0", "col_1", "col_2"])
     assert v.first()["vec"] == [1.0, 2.0, 3.0]
-    back = vector_to_wide(v, "ecg_id", "vec", 3, "col_").first()
+    back = vector_to_wide(v, "row_id", "vec", 3, "col_").first()
     assert (back["col_0"], back["col_2"]) == (1.0, 3.0)
-    assert wide_to_vector(wide, "ecg_id", []).first()["vec"] == []
+    assert wide_to_vector(wide, "row_id", []).first()["vec"] == []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vicinity.functions.vectors import VEC
 
 
-def uniform_vectors(spark: SparkSession, rows: int, cols: int, id_col: str = "ecg_id",
+def uniform_vectors(spark: SparkSession, rows: int, cols: int, id_col: str = "row_id",
                     partitions: int | None = None, wide: bool = False) -> DataFrame:
     """``rows`` x ``cols`` uniform [0,1) table; ``cols == 0`` gives ids only."""
     base = spark.range(0, rows, 1, partitions).withColumnRenamed("id", id_col)
