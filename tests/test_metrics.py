@@ -129,3 +129,28 @@ def test_wide_and_back(spark):
     back = vector_to_wide(v, "row_id", "vec", 3, "col_").first()
     assert (back["col_0"], back["col_2"]) == (1.0, 3.0)
     assert wide_to_vector(wide, "row_id", []).first()["vec"] == []
+
+
+def test_user_metric_in_all_native_modes(spark):
+    import tempfile
+    from vicinity.plans import forest as FO
+    from vicinity.plans.transform import TransformParams, transform_top_k
+    from vicinity.sources import tables as T
+    from vicinity.sources.queries import queries_by_id
+    name = M.register_metric("neg_sq_l2", lambda a, b: f"-({M.sq_distance_sql(a, b)})")
+    t = T.embeddings(spark, "/root/testdata/sf0.01")
+    q = queries_by_id(t, "vec_id", 5)
+    mine = [r.vec_id for r in exact_top_k(t, q, name, 8, "vec_id", info=QueryInfo(1, 64)).orderBy("rank").collect()]
+    ref = [r.vec_id for r in exact_top_k(t, q, "euclidean_sim", 8, "vec_id", info=QueryInfo(1, 64))
+           .orderBy("rank").collect()]
+    assert mine == ref                      # same order as 1/(1+L2)
+    p = TransformParams(n_refs=3, sample_size=50, seed=1)
+    assert transform_top_k(t, q, name, 3, "vec_id", p, n_queries=1, dim=64).count() == 3
+    f = FO.build_forest(t, "vec_id", name, FO.ForestParams(shards=2, k=2, max_depth=1, min_leaf=10,
+                                                           iterations=1), tempfile.mkdtemp(), dim=64)
+    assert FO.forest_top_k(f, q, name, 3, QueryInfo(1, 64)).count() == 3
+    with pytest.raises(ValueError):
+        M.register_metric("cosine", lambda a, b: "0D")
+    from vicinity.plans.arrow_scan import arrow_top_k
+    with pytest.raises(ValueError):
+        arrow_top_k(t, q, name, 3, "vec_id", info=QueryInfo(1, 64))

@@ -134,6 +134,23 @@ _METRICS: dict[str, Callable[..., str]] = {
 _MATRIX_METRICS: dict[str, Callable[..., str]] = {**_METRICS, "cosine": cosine_clamped_sql}
 
 
+def register_metric(name: str, sql_builder: Callable[[str, str], str],
+                    matrix_builder: Callable[[str, str], str] | None = None) -> str:
+    """Add a user metric usable by every native plan (exact, similarity space,
+    forest).  ``sql_builder(a, b)`` returns Spark SQL text for the similarity
+    of row ``a`` to target ``b`` (higher = more similar); ``matrix_builder``
+    is the row-to-reference form (defaults to the same).  Returns the
+    canonical (lower-case) name."""
+    key = name.strip().lower()
+    if key in _ALIASES and _ALIASES[key] in METRIC_NAMES:
+        raise ValueError(f"{name!r} is a built-in metric")
+    _ALIASES[key] = key
+    _METRICS[key] = lambda a, b, **_: _guard(_s(a), _s(b), sql_builder(_s(a), _s(b)))
+    mb = matrix_builder or sql_builder
+    _MATRIX_METRICS[key] = lambda a, b, **_: _guard(_s(a), _s(b), mb(_s(a), _s(b)))
+    return key
+
+
 def resolve_metric(name: str) -> str:
     """Canonical metric name; unknown names raise ValueError at plan time."""
     if not isinstance(name, str):
