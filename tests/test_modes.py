@@ -44,3 +44,16 @@ def test_cli_generates_and_searches(spark, mode, tmp_path_factory):
     # the stored table is reused on the second run (same ids)
     again = run(spark, parse_args(args + ["--query-id", str(out[0]["row_id"])])).collect()
     assert again[0]["row_id"] == out[0]["row_id"] or mode != "absolute"
+
+
+def test_empty_inputs_give_empty_results(spark):
+    empty = spark.createDataFrame([], "vec_id long, vec array<double>")
+    t = T.embeddings(spark, SF001)
+    q = queries_by_id(t, "vec_id", 3)
+    opts = SearchOptions(transform=TransformParams(3, 50, 1),
+                         forest=FO.ForestParams(shards=2, k=2, max_depth=1, min_leaf=5, iterations=1),
+                         index_path=tempfile.mkdtemp(prefix="vicinity-empty-"))
+    for mode in ("absolute", "optimized_transform", "hierarchical_kmeans"):
+        assert search(empty, q, mode, "cosine", 3, "vec_id", opts, info=QueryInfo(1, 64)).count() == 0
+    no_queries = queries_by_id(t, "vec_id", -1)
+    assert search(t, no_queries, "absolute", "cosine", 3, "vec_id").count() == 0

@@ -24,7 +24,10 @@ def mean_vector(df: DataFrame, vec_col: str = VEC, group_cols: list[str] | None
     """
     g = list(group_cols or [])
     valid = df.filter(is_valid_vector(vec_col))
-    agg = valid.groupBy(*g).agg(Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_m"))
+    # A global mean groups by a constant key: empty input then yields no row
+    # (a missing center) instead of a summarizer that has seen nothing.
+    keys = g or [F.lit(0).alias("_all")]
+    agg = valid.groupBy(*keys).agg(Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_m"))
     return agg.select(*g, vector_to_array(F.col("_m")).alias(out))
 
 

@@ -49,7 +49,7 @@ from vicinity.operators.topk import SCORE, rank_key, top_k, validate_k
 from vicinity.plans.exact import QueryInfo, query_info, search_score, with_query_norm, Q_NORM
 from vicinity.session import cut_lineage
 from vicinity.sources.queries import Q, QID
-from vicinity.sources.store import try_read, write_parquet
+from vicinity.sources.store import read_parquet, try_read, write_parquet
 
 SHARD = "shard"
 NODE = "node_id"
@@ -190,7 +190,9 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         # (shard, leaf) hash bucket.
         df.hint("rebalance", SHARD, LEAF).write.mode(mode).partitionBy(SHARD, LEAF).parquet(members_path)
 
-    write_members(_members(rows.filter(~is_valid_vector(VEC)), id_col, F.lit(INVALID)), "overwrite")
+    invalid = _members(rows.filter(~is_valid_vector(VEC)), id_col, F.lit(INVALID))
+    members_schema = invalid.schema
+    write_members(invalid, "overwrite")
     level = rows.filter(is_valid_vector(VEC)).withColumn(NODE, F.lit(ROOT)).persist(StorageLevel.MEMORY_AND_DISK)
     roots = level.groupBy(SHARD).agg(F.count(F.lit(1)).cast("long").alias(COUNT)).select(
         SHARD, F.lit(ROOT).alias(NODE), F.lit(None).cast("string").alias(PARENT),
@@ -246,10 +248,12 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
     parents = nodes.filter(F.col(PARENT).isNotNull()).select(F.col(SHARD), F.col(PARENT).alias(NODE)).distinct()
     nodes = nodes.join(parents.withColumn("_has_kids", F.lit(True)), [SHARD, NODE], "left").withColumn(
         IS_LEAF, F.col("_has_kids").isNull()).drop("_has_kids")
-    write_parquet(nodes.select(SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, CENTROID), f"{path}/tree")
-    n_nodes = spark.read.parquet(f"{path}/tree").count()
+    tree = nodes.select(SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, CENTROID)
+    write_parquet(tree, f"{path}/tree")
+    n_nodes = read_parquet(spark, f"{path}/tree", tree.schema).count()
     meta = {"format": FORMAT, "dim": dim, "id_col": id_col, "nodes": n_nodes, **asdict(p),
-            **fingerprint(rows, id_col)}
+            **fingerprint(rows, id_col), "tree_schema": tree.schema.json(),
+            "members_schema": members_schema.json()}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(
         "overwrite").json(f"{path}/meta")
     for df in persisted:
@@ -289,8 +293,8 @@ def _reps_path(path: str, metric: str) -> str:
 
 def build_representatives(spark: SparkSession, path: str, metric: str) -> None:
     meta = read_meta(spark, path)
-    tree = spark.read.parquet(f"{path}/tree")
-    members = spark.read.parquet(f"{path}/members")
+    tree = read_parquet(spark, f"{path}/tree", _schema(meta, "tree_schema"))
+    members = read_parquet(spark, f"{path}/members", _schema(meta, "members_schema"))
     write_parquet(representatives(members, tree, metric, meta["id_col"], int(meta["dim"])),
                   _reps_path(path, metric))
 
@@ -306,6 +310,28 @@ def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParam
     return load_forest(spark, path, metric)
 
 
+def _schema(meta: dict, key: str) -> T.StructType | None:
+    return T.StructType.fromJson(json.loads(meta[key])) if meta and meta.get(key) else None
+
+
+def _reps_schema(meta: dict) -> T.StructType | None:
+    members = _schema(meta, "members_schema")
+    if members is None:
+        return None
+    id_type = members[meta["id_col"]].dataType
+    return T.StructType([T.StructField(SHARD, T.IntegerType()), T.StructField(NODE, T.StringType()),
+                         T.StructField(REP_ID, id_type), T.StructField(REP_VEC, T.ArrayType(T.DoubleType()))])
+
+
+def _reps_written(spark: SparkSession, path: str, metric: str) -> bool:
+    """True once the representatives of ``metric`` were written (the write's
+    ``_SUCCESS`` marker is present, even for an empty table)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(f"{_reps_path(path, metric)}/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
 def read_meta(spark: SparkSession, path: str) -> dict | None:
     meta_df = try_read_json(spark, f"{path}/meta")
     row = None if meta_df is None else meta_df.first()
@@ -316,9 +342,11 @@ def load_forest(spark: SparkSession, path: str, metric: str) -> Forest | None:
     """The stored index with the representatives of ``metric``, or None."""
     metric = M.resolve_metric(metric)
     meta = read_meta(spark, path)
-    tree = try_read(spark, f"{path}/tree")
-    members = try_read(spark, f"{path}/members")
-    reps = try_read(spark, _reps_path(path, metric))
+    if meta is None:
+        return None
+    tree = try_read(spark, f"{path}/tree", _schema(meta, "tree_schema"))
+    members = try_read(spark, f"{path}/members", _schema(meta, "members_schema"))
+    reps = try_read(spark, _reps_path(path, metric), _reps_schema(meta))
     if meta is None or tree is None or members is None or reps is None:
         return None
     nodes = tree.join(reps, [SHARD, NODE], "left").select(
@@ -352,7 +380,7 @@ def load_or_build_forest(table: DataFrame, id_col: str, metric: str, params: For
     if not fresh:
         build_clustering(table, id_col, params, path, dim)
         build_representatives(spark, path, metric)
-    elif try_read(spark, _reps_path(path, metric)) is None:
+    elif not _reps_written(spark, path, metric):
         build_representatives(spark, path, metric)
     return load_forest(spark, path, metric)
 

@@ -111,8 +111,8 @@ def build_similarity_space(table: DataFrame, id_col: str, metric: str, params: T
     spark = table.sparkSession
     refs = select_references(table, id_col, metric, params, vec_col)
     refs.write.mode("overwrite").parquet(f"{path}/refs")
-    refs = spark.read.parquet(f"{path}/refs")
+    refs = spark.read.schema(refs.schema).parquet(f"{path}/refs")
     n = refs.count()
     space = to_similarity_space(table, pack_references(refs, vec_col), metric, id_col, n, vec_col, dim)
     space.write.mode("overwrite").parquet(f"{path}/space")
-    return spark.read.parquet(f"{path}/space"), refs
+    return spark.read.schema(space.schema).parquet(f"{path}/space"), refs

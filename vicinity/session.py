@@ -55,7 +55,7 @@ def cut_lineage(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

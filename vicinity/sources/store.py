@@ -19,9 +19,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
-def try_read(spark: SparkSession, path: str) -> DataFrame | None:
+def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a table this engine wrote; with its schema, an empty table (no
+    data files, e.g. a partitioned write of no rows) reads back as empty."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+def try_read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return read_parquet(spark, path, schema)
     except AnalysisException:
         return None
 
@@ -34,5 +40,6 @@ def load_or_materialise(spark: SparkSession, path: str, build: Callable[[], Data
         df = try_read(spark, path)
         if df is not None and all(c in df.columns for c in required_cols):
             return df
-    write_parquet(build(), path)
-    return spark.read.parquet(path)
+    built = build()
+    write_parquet(built, path)
+    return read_parquet(spark, path, built.schema)
