@@ -156,3 +156,24 @@ def test_arrow_scan_edge_rows(spark):
     assert [r.id for r in sorted(cos, key=lambda r: r.rank)][:2] == [3, 7]
     euc = arrow_top_k(t, literal_query(spark, [1.0, 1.0]), "euclidean_sim", 10, "id", info=QueryInfo(1, 2))
     assert sorted(r.id for r in euc.collect()) == [3, 4, 7]
+
+
+def test_hot_cluster_stays_whole(spark, emb):
+    """A third of the rows carry one identical vector: one node/leaf is hot and
+    k-means sees duplicate seeds.  Every row must still land in exactly one
+    leaf, counts must add up, and search must return the hot rows in full
+    order (ties broken by id)."""
+    hot = emb.withColumn("vec", F.when(F.col("vec_id") % 3 == 0, F.array([F.lit(0.5)] * 64))
+                         .otherwise(F.col("vec")))
+    p = FO.ForestParams(shards=2, k=3, max_depth=2, min_leaf=10, iterations=2, seed=5)
+    f = FO.build_forest(hot, "vec_id", "euclidean_sim", p, tempfile.mkdtemp(prefix="vicinity-hot-"), dim=64)
+    m = f.members
+    assert m.count() == 500 and m.select("vec_id").distinct().count() == 500
+    n = f.nodes
+    kids = n.filter(F.col("parent_id").isNotNull()).groupBy("shard", F.col("parent_id").alias("node_id")).agg(
+        F.sum("member_count").alias("kids"))
+    assert n.join(kids, ["shard", "node_id"]).filter(F.col("kids") != F.col("member_count")).count() == 0
+    from vicinity.sources.queries import literal_query
+    r = exact_top_k(hot, literal_query(spark, [0.5] * 64), "euclidean_sim", 20, "vec_id", info=QueryInfo(1, 64))
+    got = [x.vec_id for x in r.orderBy("rank").collect()]
+    assert got == sorted(i for i in range(0, 500, 3))[:20]
