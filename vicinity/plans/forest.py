@@ -404,6 +404,7 @@ def descend(forest: Forest, queries: DataFrame, metric: str, n_queries: int) ->
     if estimate_bytes(n_nodes, dim) <= MAX_BROADCAST_BYTES:
         kids = F.broadcast(kids)
     shards = nodes.filter(F.col(DEPTH) == 0).select(SHARD)
+    # at most ``shards`` rows (one root per shard)
     frontier = queries.select(QID, Q).crossJoin(F.broadcast(shards)).withColumn(NODE, F.lit(ROOT))
     w = Window.partitionBy(QID, SHARD).orderBy(F.col("_s").desc_nulls_last(), F.col(CHILD).asc_nulls_last())
     for _ in range(int(meta["max_depth"])):
@@ -442,7 +443,7 @@ def leaf_scores(forest: Forest, queries: DataFrame, metric: str, n_queries: int)
         qid_type = queries.schema[QID].dataType
         key_df = spark.createDataFrame([tuple(r) for r in keys], T.StructType([
             T.StructField(QID, qid_type), T.StructField(SHARD, T.IntegerType()), T.StructField(LEAF, T.StringType())]))
-        hits = key_df.join(F.broadcast(queries.select(QID, Q)), QID)
+        hits = _join_small(key_df, queries.select(QID, Q), [QID], n_queries, dim)
         wanted = sorted({f"{r[SHARD]}/{r[LEAF]}" for r in keys})
         members = members.filter(F.concat_ws("/", F.col(SHARD).cast("string"), F.col(LEAF)).isin(wanted)) \
             if wanted else members.limit(0)

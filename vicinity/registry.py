@@ -60,6 +60,7 @@ def round_scores(df: DataFrame, col: str = SCORE, metric: str = "cosine") -> Dat
 def min_id_query(table: DataFrame, id_col: str) -> DataFrame:
     """The row with the smallest id as a one-row query table (data-derived)."""
     lo = table.agg(F.min(id_col).alias("_lo"))
+    # ``lo`` is a one-row global aggregate
     return (table.join(F.broadcast(lo), F.col(id_col) == F.col("_lo"))
             .select(F.col(id_col).alias(QID), F.col(VEC).alias(Q)))
 
@@ -68,7 +69,8 @@ def per_label_queries(spark: SparkSession, sf_dir: str, table: DataFrame) -> Dat
     """One query per label: the row with the smallest vec_id of each label."""
     e = T.read_table(spark, sf_dir, "embeddings")
     firsts = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return table.join(F.broadcast(firsts.select("vec_id")), "vec_id").select(
+    # one row per label: size depends on the data, so the planner chooses the join
+    return table.join(firsts.select("vec_id"), "vec_id").select(
         F.col("vec_id").alias(QID), F.col(VEC).alias(Q))
 
 
@@ -518,7 +520,7 @@ def label_requests(spark: SparkSession, d: str) -> DataFrame:
     """One request per label (its smallest vec_id), metric chosen by label."""
     e = T.read_table(spark, d, "embeddings")
     firsts = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return (e.join(F.broadcast(firsts), ["label", "vec_id"])
+    return (e.join(firsts, ["label", "vec_id"])
             .select(F.col("vec_id").alias(QID), F.col("embedding").cast("array<double>").alias(Q),
                     F.expr(_LABEL_METRIC).alias("metric")))
 
