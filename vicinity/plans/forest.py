@@ -190,10 +190,14 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         # (shard, leaf) hash bucket.
         df.hint("rebalance", SHARD, LEAF).write.mode(mode).partitionBy(SHARD, LEAF).parquet(members_path)
 
-    invalid = _members(rows.filter(~is_valid_vector(VEC)), id_col, F.lit(INVALID))
+    # The source is read once: a validity-tagged copy is persisted and both the
+    # fingerprint, the ``invalid`` leaf and the first level come from it.
+    tagged = rows.withColumn("_ok", is_valid_vector(VEC)).persist(StorageLevel.MEMORY_AND_DISK)
+    fp = fingerprint(tagged, id_col)
+    invalid = _members(tagged.filter(~F.col("_ok")), id_col, F.lit(INVALID))
     members_schema = invalid.schema
     write_members(invalid, "overwrite")
-    level = rows.filter(is_valid_vector(VEC)).withColumn(NODE, F.lit(ROOT)).persist(StorageLevel.MEMORY_AND_DISK)
+    level = tagged.filter(F.col("_ok")).drop("_ok").withColumn(NODE, F.lit(ROOT))
     roots = level.groupBy(SHARD).agg(F.count(F.lit(1)).cast("long").alias(COUNT)).select(
         SHARD, F.lit(ROOT).alias(NODE), F.lit(None).cast("string").alias(PARENT),
         F.lit(None).cast("int").alias(CHILD), F.lit(0).alias(DEPTH), COUNT,
@@ -201,7 +205,7 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
     roots = roots.persist(StorageLevel.MEMORY_AND_DISK)
     node_parts = [roots]
     small = [roots]           # node tables: kept until the end
-    big = [level]             # row tables: released once the next level exists
+    big = [tagged]            # row tables: released once the next level exists
     can_split = p.k >= 2 and dim > 0
     for d in range(p.max_depth if can_split else 0):
         stats = level.groupBy(SHARD, NODE).agg(F.count(F.lit(1)).alias("n"))
@@ -252,7 +256,7 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
     write_parquet(tree, f"{path}/tree")
     n_nodes = read_parquet(spark, f"{path}/tree", tree.schema).count()
     meta = {"format": FORMAT, "dim": dim, "id_col": id_col, "nodes": n_nodes, **asdict(p),
-            **fingerprint(rows, id_col), "tree_schema": tree.schema.json(),
+            **fp, "tree_schema": tree.schema.json(),
             "members_schema": members_schema.json()}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(
         "overwrite").json(f"{path}/meta")
