@@ -57,3 +57,17 @@ def test_empty_inputs_give_empty_results(spark):
         assert search(empty, q, mode, "cosine", 3, "vec_id", opts, info=QueryInfo(1, 64)).count() == 0
     no_queries = queries_by_id(t, "vec_id", -1)
     assert search(t, no_queries, "absolute", "cosine", 3, "vec_id").count() == 0
+
+
+def test_engines_agree(spark):
+    t = T.embeddings(spark, SF001)
+    q = queries_by_id(t, "vec_id", 21)
+    info = QueryInfo(1, 64)
+    native = [r.vec_id for r in search(t, q, "absolute", "manhattan", 6, "vec_id", info=info).orderBy("rank").collect()]
+    arrow = [r.vec_id for r in search(t, q, "absolute", "manhattan", 6, "vec_id", SearchOptions(engine="arrow"),
+                                      info=info).orderBy("rank").collect()]
+    auto = [r.vec_id for r in search(t, q, "absolute", "manhattan", 6, "vec_id", SearchOptions(engine="auto"),
+                                     info=info).orderBy("rank").collect()]
+    assert native == arrow == auto
+    with pytest.raises(ValueError):
+        search(t, q, "absolute", "manhattan", 6, "vec_id", SearchOptions(engine="gpu"), info=info)

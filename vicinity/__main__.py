@@ -35,6 +35,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--num-partitions", type=int, default=None)
     p.add_argument("--regenerate-data", action="store_true")
     p.add_argument("--search-mode", choices=MODES, default="absolute")
+    p.add_argument("--engine", choices=["native", "arrow", "auto"], default="native",
+                   help="scorer for the absolute mode")
     p.add_argument("--top-x-results", type=int, default=5)
     p.add_argument("--similarity-metric", default="cosine")
     p.add_argument("--query-vector-seed", type=int, default=None, help="seeded uniform query; default 0.5s")
@@ -82,7 +84,8 @@ def run(spark: SparkSession, a: argparse.Namespace):
                                a.kmeans_seed),
         index_path=a.index_path or a.data_path.rstrip("/") + "_forest",
         force_rebuild=a.force_rebuild_tree,
-        space_path=a.save_transformed_data_path)
+        space_path=a.save_transformed_data_path,
+        engine=a.engine)
     result = search(table, queries, a.search_mode, a.similarity_metric, a.top_x_results, a.id_column_name,
                     opts, info=info)
     return ranked_report(result).orderBy("query_id", "rank")
