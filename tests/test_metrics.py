@@ -154,3 +154,14 @@ def test_user_metric_in_all_native_modes(spark):
     from vicinity.plans.arrow_scan import arrow_top_k
     with pytest.raises(ValueError):
         arrow_top_k(t, q, name, 3, "vec_id", info=QueryInfo(1, 64))
+
+
+def test_large_k_single_query_only(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 1501)]
+    got = ranked(spark, rows, [1.0, 1.0], "manhattan_sim", k=1200)
+    assert len(got) == 1200 and got[0][0] == 1
+    from vicinity.plans.exact import exact_top_k as etk
+    t = table(spark, rows)
+    two = spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0, 1.0])], "query_id long, q array<double>")
+    with pytest.raises(ValueError):
+        etk(t, two, "cosine", 1200, "id", info=QueryInfo(2, 2))

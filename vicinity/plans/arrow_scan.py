@@ -96,11 +96,11 @@ def _candidates(col: np.ndarray, k: int) -> np.ndarray:
 def arrow_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_col: str, vec_col: str = VEC,
                 info: QueryInfo | None = None) -> DataFrame:
     """Exact top-k per query, scored with NumPy per Arrow batch."""
-    validate_k(k)
     metric = M.resolve_metric(metric)
     if metric not in M.METRIC_NAMES:
         raise ValueError(f"the Arrow scorer supports the built-in metrics only, not {metric!r}")
     info = info or query_info(queries)
+    validate_k(k, info.rows == 1)
     if estimate_bytes(info.rows, info.dim) > MAX_BROADCAST_BYTES:
         raise ValueError("query set exceeds the broadcast limit; use plans.exact")
     spark = table.sparkSession

@@ -72,8 +72,8 @@ def score_all(table: DataFrame, queries: DataFrame, metric: str, id_col: str,
 def exact_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_col: str,
                 vec_col: str = VEC, info: QueryInfo | None = None) -> DataFrame:
     """Exact top-k per query: ``(query_id, rank, <id_col>, similarity_score)``."""
-    validate_k(k)
     info = info or query_info(queries)
+    validate_k(k, info.rows == 1)
     scored = score_all(table, queries, metric, id_col, vec_col, info)
     return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)
 
@@ -93,8 +93,8 @@ def exact_top_k_mixed(table: DataFrame, queries: DataFrame, k: int, id_col: str,
                       info: QueryInfo | None = None) -> DataFrame:
     """Exact top-k for a query table ``(query_id, q, metric)`` with a metric per
     query, in one scan of ``table``: ``(query_id, metric, rank, id, score)``."""
-    validate_k(k)
     info = info or query_info(queries)
+    validate_k(k)
     qs = with_query_norm(queries.select(QID, Q, F.lower(F.col(METRIC)).alias(METRIC)))
     qb, _ = broadcast_checked(qs, info.dim, known_rows=info.rows)
     joined = table.select(id_col, vec_col).crossJoin(qb)

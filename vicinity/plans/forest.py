@@ -460,9 +460,9 @@ def leaf_scores(forest: Forest, queries: DataFrame, metric: str, n_queries: int)
 def forest_top_k(forest: Forest, queries: DataFrame, metric: str, k: int,
                  info: QueryInfo | None = None) -> DataFrame:
     """Approximate top-k per query through the index."""
-    validate_k(k)
     metric = M.resolve_metric(metric)
     info = info or query_info(queries)
+    validate_k(k, info.rows == 1)
     id_col = forest.meta["id_col"]
     scored = leaf_scores(forest, queries, metric, info.rows)
     return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)
