@@ -89,8 +89,9 @@ def transform_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, i
                     space: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """Top-k per query in the similarity space.  ``space`` may be a stored
     profile table built with the same ``refs``."""
+    # references come from a written sample (or a stored table): cheap to re-read,
+    # so nothing is cached and nothing leaks past the returned plan
     refs = refs if refs is not None else select_references(table, id_col, metric, params, vec_col)
-    refs = refs.cache()
     n_refs = refs.count()
     if n_refs == 0:
         return exact_top_k(table.limit(0), queries, metric, k, id_col, vec_col,
