@@ -21,7 +21,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only == {"uniform_vectors", "bernoulli_sample", "index_roundtrip"}
+    assert rows_only == {"uniform_vectors", "bernoulli_sample"}
 
 
 def test_entry_smoke(spark):

@@ -497,14 +497,15 @@ register("topk_forest_multi_cosine", O.forest_topk_sql(O.EMB, "vec_id", _LABEL_Q
     _topk_forest("cosine", True))
 
 
-@register("index_roundtrip")
+@register("index_roundtrip", O.forest_topk_sql(O.EMB, "vec_id", _Q7, "manhattan_sim", 10, FP))
 def _index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Build (forced), then load through the fingerprint check, then search."""
     t = T.embeddings(spark, d)
     path = scratch_path(spark, "forest-roundtrip-" + hashlib.md5(d.encode()).hexdigest()[:12])
     FO.build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
     f = FO.load_or_build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
-    return FO.forest_top_k(f, queries_by_id(t, "vec_id", 7), "manhattan_sim", 10, QueryInfo(1, 64))
+    return round_scores(FO.forest_top_k(f, queries_by_id(t, "vec_id", 7), "manhattan_sim", 10, QueryInfo(1, 64)),
+                        metric="manhattan_sim")
 
 
 # ---------------------------------------------------------------- requests with a metric each, as a stream
