@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from vicinity.plans import forest as FO
 from vicinity.plans.exact import QueryInfo, exact_top_k
-from vicinity.plans.transform import TransformParams, pack_references, to_similarity_space
+from vicinity.plans.transform import pack_references, to_similarity_space
 from vicinity.sources import tables as T
 from vicinity.sources.queries import queries_by_id
 

@@ -265,7 +265,7 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sampling, centers, references
 
 from vicinity.operators.centers import CENTER, mean_vector, median_vector  # noqa: E402
-from vicinity.operators.references import REF_NO, diverse_references, nearest_to  # noqa: E402
+from vicinity.operators.references import REF_NO, nearest_to  # noqa: E402
 from vicinity.operators.sampling import bernoulli_sample, hash_sample  # noqa: E402
 from vicinity.plans.transform import (SIMS, TransformParams, pack_references,  # noqa: E402
                                       query_to_similarity_space, select_references,
