@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import repetition
+from vicinity.llm import packing, repetition, tokencount
 from vicinity.llm.common import read_table
 
 
@@ -14,8 +14,18 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op9_token_counts": op9_token_counts,
+    "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
 ORACLES: dict[str, str] = {}
