@@ -1,12 +1,13 @@
 """Operator 10, packing: cutting stock by column generation.
 
 Each text is tokenized, ended by one closing id and cut at multiples of the sequence length, so
-only its last piece is shorter.  Piece lengths, rounded up to a small unit, make a histogram of at
-most ``capacity / unit`` classes, whatever the corpus.  On that histogram the driver solves the
-cutting-stock linear program by column generation: a knapsack dynamic program over the classes
-prices new patterns, a simplex step takes the best one in.  Pattern counts are rounded down, what
-is left over (a few pieces for each class) is filled first-fit-decreasing.  Spark then ranks the
-pieces of each class and a small table of rank ranges gives every piece its sequence.
+only its last piece is shorter.  Piece lengths make a histogram of at most ``capacity`` classes,
+whatever the corpus.  On that histogram the driver solves the cutting-stock linear program by
+column generation: a knapsack dynamic program over the classes prices new patterns, and a simplex
+step takes the best one in.  Where patterns alone leave room (say, a third of all texts have one
+awkward length), a second kind of column cuts pieces into powers of two.  Pattern counts are
+rounded down; what is left over (a few pieces for each class) is filled largest first.  Spark then
+ranks the pieces of each class, and a small table of rank ranges gives every piece its sequence.
 
 A rank within a class is the rank within one of many hash buckets plus the sizes of the buckets
 before, so a class with a third of all pieces is still ranked by many tasks.
@@ -30,8 +31,10 @@ from vicinity.llm.pretoken import PreTokens
 
 CAPACITY = 2048
 CLOSING_ID = 1
-#: Tokens by which lengths are rounded up for the linear program.
-UNIT = 4
+#: Share of the total length by which the plan may miss the bound total length / capacity, and
+#: simplex steps after which the plan found so far is used (it is always a whole plan).
+GAP = 2e-3
+MAX_STEPS = 500
 #: Pre-tokens whose ids a task remembers.
 REMEMBERED = 300_000
 #: Pieces of one class that one ranking task should see.
@@ -52,9 +55,11 @@ class _Ids(dict):
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str | None) -> DataFrame:
-    """``(doc_id, start, length, ids_crc32, doc_tokens)``: texts cut at multiples of the capacity."""
+    """``(doc_id, start, length, ids_crc32, doc_tokens, part_crcs)``: texts cut at multiples of the
+    capacity, with the checksums of the binary parts that a last piece can be cut into."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(
-        T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))])
+        T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")),
+        T.StructField("part_crcs", T.ArrayType(T.LongType()))])
     closing = np.asarray([CLOSING_ID], "<u4").tobytes()
     step = 4 * capacity
 
@@ -62,7 +67,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
         pre = PreTokens(path)
         known = _Ids(pre)
         for batch in batches:
-            row, start, length, crc, total = [], [], [], [], []
+            row, start, length, crc, total, parts = [], [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 ids = b"".join(map(known.__getitem__, pre.ordered(value.as_py() or ""))) + closing
                 for at in range(0, len(ids), step):
@@ -72,10 +77,16 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
                     length.append(len(piece) // 4)
                     crc.append(zlib.crc32(piece))
                     total.append(len(ids) // 4)
+                    parts.append([])
+                    if len(piece) < step:
+                        begin = 0
+                        for size in binary_parts(len(piece) // 4):
+                            parts[-1].append(zlib.crc32(piece[begin:begin + 4 * size]))
+                            begin += 4 * size
                 if len(known) > REMEMBERED:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(
-                pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=schema.names)
+                pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(parts, pa.list_(pa.int64()))], names=schema.names)
 
     ship_by_value()
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
@@ -102,48 +113,133 @@ def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Column generation for ``min sum x`` with ``patterns @ x = demand``; patterns are columns.
+def binary_parts(size: int) -> list[int]:
+    """Powers of two, largest first, that a length is cut into where cutting pays."""
+    return [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
 
-    Ends when the best price is within ``gap`` of 1: the value is then within ``gap`` of the optimum.
+
+def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: each pattern, filled from the largest class down, is used until it exhausts a
+    class that no later pattern has.  The matrix is thus triangular, and its counts are feasible."""
+    m = len(sizes)
+    left, basis, x, open_ = demand.astype(float), np.zeros((m, m)), np.zeros(m), np.ones(m, bool)
+    for j in range(m):
+        room, pattern = capacity, basis[:, j]
+        for i in np.flatnonzero(open_)[::-1]:
+            if sizes[i] <= room:
+                pattern[i] = min(room // sizes[i], max(1, np.ceil(left[i])))
+                room -= int(pattern[i] * sizes[i])
+                if room == 0:
+                    break
+        ratio = np.where(pattern > 0, left / np.maximum(pattern, 1), np.inf)
+        out = int(ratio.argmin())
+        x[j] = ratio[out]
+        left -= x[j] * pattern
+        left[out], open_[out] = 0, False
+    return basis, x
+
+
+def _cut_ahead(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float) -> np.ndarray:
+    """Pieces of each class to cut before the program starts.
+
+    While the first basis leaves more than ``gap`` unused, as much length as it wastes is cut from
+    the largest class among its wasteful patterns; the parts then fill those patterns' room.
+    """
+    at = {int(s): i for i, s in enumerate(sizes)}
+    demand, cut = demand.copy(), np.zeros(len(sizes), np.int64)
+    for _ in range(8):
+        basis, x = _greedy_basis(sizes, demand, capacity)
+        wasted = x * (capacity - sizes @ basis)
+        if wasted.sum() <= gap * (sizes @ demand):
+            break
+        weight = (basis * wasted).sum(axis=1) * (sizes & (sizes - 1) > 0)
+        i = int(weight.argmax())
+        times = int(min(demand[i], np.ceil(wasted.sum() / (2 * sizes[i]))))
+        if weight[i] <= 0 or times == 0:
+            break
+        cut[i] += times
+        demand[i] -= times
+        demand[[at[p] for p in binary_parts(int(sizes[i]))]] += times
+    return cut
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column generation: ``min cost @ x`` with ``columns @ x = demand`` and ``x >= 0``.
+
+    A column of cost 1 is a pattern; one of cost 0 cuts a piece into its binary parts (+1 for the
+    piece, -1 for each part, all of which are among the classes).  Ends when no column is worth
+    more than ``gap``, or the value is within ``gap`` of total length / capacity.
     """
     m = len(sizes)
-    copies = capacity // sizes
-    basis, inverse = np.diag(copies.astype(float)), np.diag(1.0 / copies)
-    x = demand / copies
-    for step in range(1, 60 * m + 200):
-        price = inverse.sum(axis=0)
-        value, pattern = _best_pattern(sizes, np.maximum(price, 0), capacity)
-        if value <= 1 + gap:
+    least = float(sizes @ demand) / capacity
+    basis, x = _greedy_basis(sizes, demand, capacity)
+    cost = np.ones(m)
+    at = {int(s): i for i, s in enumerate(sizes)}
+    cuts = np.zeros((m, m))  # row i: the column that cuts class i
+    for s, i in at.items():
+        if s & (s - 1):
+            cuts[i, i] = 1
+            cuts[i, [at[p] for p in binary_parts(s)]] = -1
+    inverse = np.linalg.inv(basis)
+    for step in range(1, MAX_STEPS):
+        if cost @ x <= least * (1 + gap):
             break
-        direction = inverse @ pattern
-        usable = direction > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[usable] = np.maximum(x[usable], 0) / direction[usable]
-        out = int(ratio.argmin())
-        theta = ratio[out]
-        x -= theta * direction
-        x[out] = theta
-        basis[:, out] = pattern
+        price = cost @ inverse
+        value, column = _best_pattern(sizes, np.maximum(price, 0), capacity)
+        saved = cuts @ price
+        cut = int(saved.argmax())
+        if max(value - 1, saved[cut]) <= gap:
+            break
+        new_cost = 1.0
+        if saved[cut] > value - 1:
+            column, new_cost = cuts[cut], 0.0
+        direction = inverse @ column
+        usable = np.flatnonzero(direction > 1e-7)
+        if not len(usable):
+            break
+        ratio = x[usable] / direction[usable]
+        tied = usable[ratio <= ratio.min() + 1e-9]
+        out = int(tied[direction[tied].argmax()])  # of equal steps, that with the safest pivot
+        theta = x[out] / direction[out]
+        x = np.maximum(x - theta * direction, 0)
+        x[out], cost[out], basis[:, out] = theta, new_cost, column
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        if step % 100 == 0:
+        if step % 50 == 0:
             inverse = np.linalg.inv(basis)
-            x = inverse @ demand
-    return basis, np.maximum(x, 0)
+            x = np.maximum(inverse @ demand, 0)
+    return basis, x, cost
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns ``{size: copies}`` with the number of sequences of each; they cover the histogram exactly."""
-    sizes = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[s] for s in sizes], np.int64)
+def plan_sequences(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Patterns ``{size: copies}`` with the number of sequences of each, and ``{size: pieces to cut
+    into binary parts}``; together they cover the histogram exactly."""
     plan: list[tuple[dict[int, int], int]] = []
-    if len(sizes):
-        patterns, x = solve_patterns(sizes, left.astype(float), capacity)
-        for j in np.argsort(-x, kind="stable"):
-            copies = np.rint(patterns[:, j]).astype(np.int64)
-            used = copies > 0
+    cut: dict[int, int] = {}
+    if not histogram:
+        return plan, cut
+    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
+    sizes = np.array(sorted({*histogram, *powers}), np.int64)
+    at = {int(s): i for i, s in enumerate(sizes)}
+    left = np.array([histogram.get(int(s), 0) for s in sizes], np.int64)
+    ahead = _cut_ahead(sizes, left, capacity, GAP)
+    for i in np.flatnonzero(ahead):
+        cut[int(sizes[i])] = int(ahead[i])
+        left[i] -= ahead[i]
+        left[[at[p] for p in binary_parts(int(sizes[i]))]] += ahead[i]
+    columns, x, cost = solve_patterns(sizes, left, capacity)
+    for j in np.flatnonzero((cost == 0) & (x > 1e-6)):
+        i = int(columns[:, j].argmax())
+        times = int(min(np.ceil(x[j] - 1e-6), left[i]))
+        if times:
+            cut[int(sizes[i])] = cut.get(int(sizes[i]), 0) + times
+            left[i] -= times
+            left[[at[p] for p in binary_parts(int(sizes[i]))]] += times
+    for j in np.argsort(-x, kind="stable"):
+        copies = np.rint(columns[:, j]).astype(np.int64)
+        used = copies > 0
+        if cost[j] and x[j] >= 1 - 1e-6:
             times = int(min(np.floor(x[j] + 1e-6), (left[used] // copies[used]).min()))
             if times > 0:
                 left = left - times * copies
@@ -156,15 +252,15 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[dict[
             if k:
                 pattern[int(sizes[i])] = k
                 room -= k * int(sizes[i])
-        times = min(int(left[np.searchsorted(sizes, s)]) // k for s, k in pattern.items())
+        times = min(int(left[at[s]]) // k for s, k in pattern.items())
         for s, k in pattern.items():
-            left[np.searchsorted(sizes, s)] -= k * times
+            left[at[s]] -= k * times
         plan.append((pattern, times))
-    return plan
+    return plan, cut
 
 
 def _rank_ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """``(class, from_rank, to_rank, first_sequence, copies, first_slot)``."""
+    """``(length, from_rank, to_rank, first_sequence, copies, first_slot)``."""
     at: dict[int, int] = {}
     rows, sequence = [], 0
     for pattern, times in plan:
@@ -178,37 +274,51 @@ def _rank_ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int,
     return rows
 
 
+def _ranked(pieces: DataFrame, n_rows: int) -> DataFrame:
+    """Adds ``rank``, from 0 within each length."""
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(16, -(-n_rows // BUCKET_ROWS)))).cast("int"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(sizes, ["length", "bucket"])
+    return ranked.withColumn("rank", F.col("rank") + F.col("ahead")).drop("bucket", "ahead")
+
+
+def _small_table(spark, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A table of the plan.  It has at most some dozens of rows for each of the ``capacity`` lengths."""
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns)))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         tokenizer_path: str | None = None, unit: int = UNIT) -> DataFrame:
+         tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece, with its sequence and its offset there."""
     spark = docs.sparkSession
+    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = cut_lineage(token_pieces(docs, id_col, text_col, capacity, tokenizer_path), "pieces")
-    pieces = pieces.withColumn("class", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
-    # At most capacity / unit rows reach the driver.
-    histogram = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    plan = plan_sequences(histogram, capacity // unit)
-    buckets = max(16, -(-sum(histogram.values()) // BUCKET_ROWS))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = pieces.groupBy("class", "bucket").agg(F.count("*").alias("n"))
-    sizes = sizes.select("class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("class", "bucket").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")
-    ranked = (
-        pieces.withColumn("rank", F.row_number().over(within) - 1)
-        .join(sizes, ["class", "bucket"])
-        .withColumn("rank", F.col("rank") + F.col("ahead"))
-    )
-    ranges = spark.createDataFrame(
-        _rank_ranges(plan),
-        "class int, from_rank long, to_rank long, first_sequence long, copies long, first_slot long")
-    placed = ranked.join(F.broadcast(ranges), "class").where("rank >= from_rank AND rank < to_rank")  # bounded by the classes
-    placed = placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+    # At most ``capacity`` rows reach the driver.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan, cut = plan_sequences(histogram, capacity)
+    n_pieces = sum(histogram.values())
+    ranked = _ranked(pieces, n_pieces)
+    if cut:
+        ranked = ranked.join(_small_table(spark, list(cut.items()), ["length", "n_cut"]), "length", "left")
+        ranked = ranked.withColumn("rank", F.col("rank") - F.coalesce("n_cut", F.lit(0)))
+        parts = ranked.where("rank < 0").withColumn("sizes", F.expr(
+            f"filter(transform(sequence({capacity.bit_length() - 1}, 0), k -> shiftleft(1L, k)), p -> (length & p) != 0)"))
+        parts = parts.select("doc_id", "start", "doc_tokens", "sizes", F.posexplode("part_crcs").alias("k", "crc")).select(
+            "doc_id",
+            F.expr("start + aggregate(slice(sizes, 1, k), 0L, (a, p) -> a + p)").alias("start"),
+            F.expr("sizes[k]").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens")
+        whole = _small_table(spark, [(s, n - cut.get(s, 0)) for s, n in histogram.items()], ["length", "n_whole"])
+        parts = _ranked(parts, n_pieces).join(whole, "length", "left")
+        parts = parts.withColumn("rank", F.col("rank") + F.coalesce("n_whole", F.lit(0)))
+        ranked = ranked.where("rank >= 0").select(*keep, "rank").unionByName(parts.select(*keep, "rank"))
+    ranges = _small_table(spark, _rank_ranges(plan), ["length", "from_rank", "to_rank", "first_sequence", "copies", "first_slot"])
+    placed = ranked.join(ranges, "length").where("rank >= from_rank AND rank < to_rank").select(
+        *keep,
         F.expr("first_sequence + (rank - from_rank) div copies").alias("sequence_id"),
         F.expr("first_slot + (rank - from_rank) % copies").alias("slot"),
     )
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-        F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"),
-    )
+    return placed.select(*keep, "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
