@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vicinity.llm import langid, packing, repetition, secrets, tokencount
+from vicinity.llm import langid, packing, repetition, secrets, tokencount, warc
 from vicinity.llm.common import read_table
 
 
@@ -14,6 +14,15 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    pages = warc.read_archives(spark, path)
+    return pages.select(
+        pages.page.cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        pages.refers_to.cast("long").alias("refers_to"))
+
+
 def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -33,10 +42,21 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op4_warc_segments": op4_warc_segments,
     "op7_secret_novelty": op7_secret_novelty,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
+        r AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM r
+    """,
+}
