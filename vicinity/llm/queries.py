@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vicinity.llm import langid, packing, repetition, secrets, tokencount, warc
+from vicinity.llm import langid, mixing, packing, pii, repetition, secrets, tokencount, warc
 from vicinity.llm.common import read_table
 
 
+#: Target shares of the mixture, for the query and the pipeline.
+MIX_WEIGHTS = {"src0": 0.20, **{f"src{i}": 0.04 for i in range(1, 20)}}
+MIX_OTHER = 0.04
+
+
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_OTHER)
+    return mixed.withColumn("mean", F.round("mean", 6))
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +34,10 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages.refers_to.cast("long").alias("refers_to"))
 
 
+def op5_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -41,15 +56,38 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_poisson_mixing": op1_poisson_mixing,
     "op2_repetition_coverage": op2_repetition_coverage,
     "op4_warc_segments": op4_warc_segments,
+    "op5_pii_weak_supervision": op5_pii_weak_supervision,
     "op7_secret_novelty": op7_secret_novelty,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
+_WEIGHTS_SQL = ", ".join(f"('{name}', {weight}::DOUBLE)" for name, weight in MIX_WEIGHTS.items())
+
 ORACLES: dict[str, str] = {
+    "op1_poisson_mixing": f"""
+        WITH w(grp, weight) AS (VALUES {_WEIGHTS_SQL}),
+        d AS (SELECT documents.*, w.grp,
+                     ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+              FROM documents LEFT JOIN w ON source = w.grp),
+        s AS (SELECT d.grp, sum(coalesce(length(text), 0))::DOUBLE AS chars, coalesce(max(weight), {MIX_OTHER})::DOUBLE AS weight
+              FROM d LEFT JOIN w ON d.grp = w.grp GROUP BY d.grp),
+        m AS (SELECT grp, CASE WHEN chars > 0
+                THEN 1.0::DOUBLE * weight / (SELECT sum(weight) FROM s WHERE chars > 0) * (SELECT sum(chars) FROM s) / chars
+                ELSE 1.0::DOUBLE END AS mean FROM s),
+        k AS (SELECT grp, mean, unnest(range(0, cast(ceil(mean + 12 * sqrt(mean) + 30) AS BIGINT) + 1)) AS k FROM m),
+        p AS (SELECT grp, mean, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM k),
+        f AS (SELECT grp, mean, k, sum(p) OVER (PARTITION BY grp ORDER BY k) AS cdf FROM p),
+        c AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, f.mean, d.u, list(f.cdf) AS cdfs
+              FROM d JOIN f ON d.grp IS NOT DISTINCT FROM f.grp GROUP BY ALL),
+        n AS (SELECT doc_id, text, lang, source, n_chars, round(mean, 6) AS mean, len(list_filter(cdfs, lambda x: x <= u)) AS copies FROM c),
+        e AS (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM n)
+        SELECT *, md5('0:' || coalesce(doc_id::VARCHAR, '') || '#' || copy_no) AS shuffle_key FROM e
+    """,
     "op4_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
