@@ -46,6 +46,10 @@ class PreTokens:
         self._splitter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self._quick = pattern == USUAL_SPLIT and kinds == USUAL_NORMALIZERS
+        rest = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] != "Split"]
+        plain_bytes = [p["type"] for p in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        self._to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False) if plain_bytes else None
+        self._model = self.library.model
 
     def split(self, text: str) -> tuple[list[str], list[int]]:
         """Pre-tokens in order, and the ids of added tokens written out in the text.
@@ -84,6 +88,11 @@ class PreTokens:
         return [p for p, _ in self._splitter.pre_tokenize_str(text)]
 
     def ids(self, pre_token: str) -> list[int]:
+        """Ids of one pre-token.  It needs no normalising or splitting again, so only the model is asked."""
+        if self._to_bytes is not None:
+            if not (pre_token.isascii() and pre_token.isprintable()):  # the byte alphabet keeps printable ASCII
+                pre_token = "".join(part for part, _ in self._to_bytes.pre_tokenize_str(pre_token))
+            return [t.id for t in self._model.tokenize(pre_token)]
         return self.library.encode(pre_token, add_special_tokens=False).ids
 
     def counts(self, pre_tokens: list[str]) -> list[int]:
