@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import langid, mixing, packing, pii, repetition, secrets, tokencount, warc
+from vicinity.llm import hamming, langid, mixing, packing, pii, repetition, secrets, tokencount, warc
 from vicinity.llm.common import read_table
 
 
@@ -25,6 +25,14 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read_table(spark, sf_dir, "documents"))
 
 
+TOP_K = 10
+
+
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, rows.where("vec_id % 100 = 0"), TOP_K, "vec_id", "code", "vec_id", "code")
+
+
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(read_table(spark, sf_dir, "pages"), path)
@@ -58,6 +66,7 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op3_hamming_top_k": op3_hamming_top_k,
     "op4_warc_segments": op4_warc_segments,
     "op5_pii_weak_supervision": op5_pii_weak_supervision,
     "op7_secret_novelty": op7_secret_novelty,
@@ -88,6 +97,15 @@ ORACLES: dict[str, str] = {
         e AS (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM n)
         SELECT *, md5('0:' || coalesce(doc_id::VARCHAR, '') || '#' || copy_no) AS shuffle_key FROM e
     """,
+    "op3_hamming_top_k": f"""
+        WITH s AS (SELECT DISTINCT vec_id, [coalesce(embedding[i + 1] >= 0, false) FOR i IN range(64)] AS bits
+                   FROM embeddings WHERE embedding IS NOT NULL),
+        d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id,
+                     len(list_filter(list_zip(q.bits, r.bits), lambda p: p[1] <> p[2])) AS distance
+              FROM s q, s r WHERE q.vec_id % 100 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank, neighbour_id, distance
+        FROM d QUALIFY rank <= {TOP_K}
+    """,
     "op4_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
