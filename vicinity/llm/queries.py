@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import hamming, langid, mixing, packing, pii, repetition, secrets, tokencount, warc
+from vicinity.llm import hamming, langid, mixing, neardup, packing, pii, repetition, secrets, tokencount, warc
 from vicinity.llm.common import read_table
 
 
@@ -46,6 +46,10 @@ def op5_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bayes_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -69,12 +73,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hamming_top_k": op3_hamming_top_k,
     "op4_warc_segments": op4_warc_segments,
     "op5_pii_weak_supervision": op5_pii_weak_supervision,
+    "op6_bayes_near_duplicates": op6_bayes_near_duplicates,
     "op7_secret_novelty": op7_secret_novelty,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
+def near_duplicates_sql(table: str) -> str:
+    """Components of ``table(doc_id, text)`` by comparing all sets that share a shingle."""
+    return f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x20\\x09-\\x0D]+') AS words FROM {table}),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                     ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingles FROM w),
+        c AS (SELECT md5(array_to_string(list_sort(shingles), chr(10))) AS class, min(doc_id) AS first_id, any_value(shingles) AS shingles,
+                     any_value(len(shingles)) AS n FROM s WHERE len(shingles) > 0 GROUP BY class),
+        e AS (SELECT first_id, n, unnest(shingles) AS shingle FROM c),
+        l AS (SELECT a.first_id AS u, b.first_id AS v FROM e a JOIN e b USING (shingle) WHERE a.first_id <> b.first_id
+              GROUP BY a.first_id, b.first_id HAVING 100 * count(*) >= {neardup.SIMILARITY_PCT} * (any_value(a.n) + any_value(b.n) - count(*))),
+        r(node, label) AS (SELECT first_id, first_id FROM c UNION SELECT l.v, r.label FROM r JOIN l ON l.u = r.node),
+        m AS (SELECT node, min(label) AS label FROM r GROUP BY node),
+        k AS (SELECT md5(array_to_string(list_sort(shingles), chr(10))) AS class, doc_id, len(shingles) AS n FROM s)
+        SELECT k.doc_id, k.n AS n_shingles, coalesce(m.label, k.doc_id) AS component_id, k.doc_id = coalesce(m.label, k.doc_id) AS kept
+        FROM k LEFT JOIN c ON k.class = c.class AND k.n > 0 LEFT JOIN m ON m.node = c.first_id
+    """
+
+
 _WEIGHTS_SQL = ", ".join(f"('{name}', {weight}::DOUBLE)" for name, weight in MIX_WEIGHTS.items())
 
 ORACLES: dict[str, str] = {
@@ -106,6 +132,7 @@ ORACLES: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank, neighbour_id, distance
         FROM d QUALIFY rank <= {TOP_K}
     """,
+    "op6_bayes_near_duplicates": near_duplicates_sql("documents"),
     "op4_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
