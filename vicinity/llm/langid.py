@@ -74,80 +74,114 @@ def _stretches(word: str) -> list[str]:
     return [word[i:i + STRETCH] for i in range(0, len(word), STRETCH)]
 
 
+class PieceTable:
+    """Finds the pieces among all substrings of many words at once, by hashes of their letters."""
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int], slot_bits: int = 20, probes: int = 8) -> None:
+        self._shift, self._mask = np.uint64(64 - slot_bits), (1 << slot_bits) - 1
+        self._hash = np.zeros(1 << slot_bits, np.uint64)
+        self._piece = np.full(1 << slot_bits, -1, np.int32)
+        self._probes = 1
+        for piece, i in pieces.items():
+            h = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for c in piece:
+                    h = h * self._BASE + np.uint64(ord(c))
+            at = int(self._slots(np.array([h]))[0])
+            for n in range(probes):
+                if self._piece[at + n & self._mask] < 0:
+                    self._hash[at + n & self._mask], self._piece[at + n & self._mask] = h, i
+                    self._probes = max(self._probes, n + 1)
+                    break
+            else:
+                raise ValueError("too many pieces for the table")
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * self._BASE >> self._shift).astype(np.int64)
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        slot = self._slots(h)
+        out = np.where(self._hash[slot] == h, self._piece[slot], -1)
+        for n in range(1, self._probes):
+            at = slot + n & self._mask
+            out = np.where((out < 0) & (self._hash[at] == h), self._piece[at], out)
+        return out
+
+    def edges(self, words: list[str], length: int, unknown: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(start, size, which words, piece)`` of all substrings that are pieces; a letter that is
+        none is the piece ``unknown``.  All words have the given length."""
+        letters = np.array(words, dtype=f"<U{length}").view(np.uint32).reshape(len(words), length).astype(np.uint64)
+        out = []
+        for start in range(length):
+            h = np.zeros(len(words), np.uint64)
+            for size in range(1, min(MAX_PIECE, length - start) + 1):
+                h = h * self._BASE + letters[:, start + size - 1]
+                piece = self._look_up(h)
+                if size == 1:
+                    piece = np.where(piece < 0, unknown, piece)
+                at = np.flatnonzero(piece >= 0)
+                if len(at):
+                    out.append((start, size, at, piece[at]))
+        return out
+
+
 class Lattice:
     """Sums over all segmentations of many words at once.
 
-    ``probability`` has a row for each piece, then one for an unknown letter, then one of zeros
-    (no such piece); a column for each language.
+    ``probability`` has a row for each piece and a column for each language; a letter that is no
+    piece has a small probability of its own.
     """
 
     def __init__(self, pieces: dict[str, int], probability: np.ndarray) -> None:
-        self.pieces, self.n_langs = pieces, probability.shape[1]
-        self.unknown, self.none = len(pieces), len(pieces) + 1
-        self.table = np.vstack([probability, np.full((1, self.n_langs), UNKNOWN), np.zeros((1, self.n_langs))])
-
-    def _ids(self, words: list[str], length: int) -> np.ndarray:
-        """Piece of each substring, at [word, start, length - 1]."""
-        get, none, unknown, longest = self.pieces.get, self.none, self.unknown, min(MAX_PIECE, length)
-        flat = [
-            get(w[i:i + k], unknown if k == 1 else none) if i + k <= length else none
-            for w in words for i in range(length) for k in range(1, longest + 1)
-        ]
-        return np.array(flat, np.int32).reshape(len(words), length, longest)
-
-    def _groups(self, words: list[str], step: int = 4096):
-        by_length: dict[int, list[int]] = {}
+        self.pieces, self.n_langs, self.unknown = PieceTable(pieces), probability.shape[1], len(pieces)
+        self.table = np.vstack([probability, np.full((1, self.n_langs), UNKNOWN)])
+
+    def _groups(self, words: list[str], step: int = 8192):
+        """Stretches of the words, by equal length: ``(length, stretches, index of the word)``."""
+        by_length: dict[int, tuple[list[str], list[int]]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for length, at in by_length.items():
-            for lo in range(0, len(at), step):
-                yield length, at[lo:lo + step]
+            for s in _stretches(w):
+                parts, owner = by_length.setdefault(len(s), ([], []))
+                parts.append(s)
+                owner.append(i)
+        for length, (parts, owner) in by_length.items():
+            for lo in range(0, len(parts), step):
+                yield length, parts[lo:lo + step], np.array(owner[lo:lo + step])
 
-    def _forward(self, ids: np.ndarray, length: int) -> np.ndarray:
+    def _forward(self, edges, length: int, n: int) -> np.ndarray:
         """Probability of each prefix, at [end, word, language]."""
-        alpha = np.zeros((length + 1, len(ids), self.n_langs))
+        alpha = np.zeros((length + 1, n, self.n_langs))
         alpha[0] = 1
-        for start in range(length):
-            for k in range(1, min(ids.shape[2], length - start) + 1):
-                alpha[start + k] += alpha[start] * self.table[ids[:, start, k - 1]]
+        for start, size, at, piece in edges:  # in order of their start
+            alpha[start + size][at] += alpha[start][at] * self.table[piece]
         return alpha
 
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Log-probability of whole words, [word, language]."""
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for s in _stretches(w):
-                parts.append(s)
-                owner.append(i)
-        logs = np.empty((len(parts), self.n_langs))
-        for length, at in self._groups(parts):
-            alpha = self._forward(self._ids([parts[i] for i in at], length), length)
-            logs[at] = np.log(alpha[length])
         out = np.zeros((len(words), self.n_langs))
-        np.add.at(out, owner, logs)
+        for length, parts, owner in self._groups(words):
+            alpha = self._forward(self.pieces.edges(parts, length, self.unknown), length, len(parts))
+            np.add.at(out, owner, np.log(alpha[length]))
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, total: np.ndarray) -> None:
         """Adds the expected pieces of ``words`` (``counts`` by language) to ``total``."""
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for s in _stretches(w):
-                parts.append(s)
-                owner.append(i)
-        owner = np.array(owner)
-        for length, at in self._groups(parts):
-            ids = self._ids([parts[i] for i in at], length)
-            alpha = self._forward(ids, length)
+        for length, parts, owner in self._groups(words):
+            edges = self.pieces.edges(parts, length, self.unknown)
+            alpha = self._forward(edges, length, len(parts))
             beta = np.zeros_like(alpha)
-            beta[length] = counts[owner[at]] / alpha[length]
-            for start in range(length - 1, -1, -1):
-                for k in range(1, min(ids.shape[2], length - start) + 1):
-                    p = self.table[ids[:, start, k - 1]]
-                    through = p * beta[start + k]
-                    beta[start] += through
-                    weight = alpha[start] * through
-                    for lang in range(self.n_langs):
-                        total[:, lang] += np.bincount(ids[:, start, k - 1], weight[:, lang], len(total))
+            beta[length] = counts[owner] / alpha[length]
+            seen, weights = [], []
+            for start, size, at, piece in reversed(edges):
+                through = self.table[piece] * beta[start + size][at]
+                beta[start][at] += through
+                seen.append(piece)
+                weights.append(alpha[start][at] * through)
+            seen, weights = np.concatenate(seen), np.concatenate(weights)
+            for lang in range(self.n_langs):
+                total[:, lang] += np.bincount(seen, weights[:, lang], len(total))
 
 
 def held_out(id_col: str) -> Column:
@@ -262,3 +296,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Learn from the labelled rows that are not held out, and predict every row."""
     langs, probability = train(docs.where(~held_out(id_col)), text_col, lang_col, vocabulary)
     return predict(docs, langs, probability, id_col, text_col, vocabulary, keep)
+
+
+def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    vocabulary: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language could be told, with a score of at least ``min_score``."""
+    langs, probability = train(docs.where(~held_out(id_col)), text_col, lang_col, vocabulary)
+    whole = docs.select(F.col(text_col).alias("_text_"), F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"))
+    found = predict(whole, langs, probability, text_col="_text_", vocabulary=vocabulary, keep=["_doc"])
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("_doc.*")

@@ -236,4 +236,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs, id_col, text_col)
     dropped = cut_lineage(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped-ids")
     dropped, _ = broadcast_checked(dropped, 1)
-    return docs.join(dropped, id_col, "left_anti")
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
