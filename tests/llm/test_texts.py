@@ -1,0 +1,225 @@
+"""Operators on texts (2, 5, 7, 8, 9) against plain Python, with odd input."""
+
+import os
+import random
+
+import brute
+import numpy as np
+import pytest
+
+from vicinity.llm import langid, pii, pretoken, repetition, secrets, tokencount
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+SF = "/root/testdata/sf0.01"
+DOC = "doc_id long, text string"
+
+
+def clashing(spark, rows, schema=DOC):
+    """Rows with a repeated one and with columns named like those of results."""
+    df = spark.createDataFrame(rows + rows[:1], schema).repartition(3)
+    return df.selectExpr("*", "'x' AS n_words", "1 AS spans", "2 AS n_tokens", "3 AS kept", "4 AS lang_pred", "5 AS _text_")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd_texts():
+    rng = random.Random(3)
+    parts = ["a", "Z", "9", "0", "4", "@", ".", "+", "-", "_", " ", "(", ")", "%", "é", "\n", "\x0b", "\x85", "😀", "1", "2",
+             "same words here again now ", "same line\n", "tel: ", "555-123-4567", "token=", "AKIA", "deadbeef01", "|", "<"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 80)))) for i in range(400)]
+    rows += [
+        (1000, None), (1001, ""), (1002, " \n\n "), (None, "x@y.z 1.2.3.4"),
+        (1003, "x@y.z_q@r.s a@b@c.d 1.2.3.4.5.6.7.8 1.2.3.999 0000255.1.1.1 4111 1111 1111 1111 +1 (555) 555 5555"),
+        (1004, "9" * 5000 + " " + "1 " * 5000 + "a@b" + ".c" * 5000), (1005, "word " * 30_000), (1006, "a " * 9), (1007, "b c " * 5),
+    ]
+    return rows
+
+
+def test_repetition(spark, documents, odd_texts):
+    rows = odd_texts + [(r.doc_id + 10_000, r.text) for r in documents.limit(300).collect()]
+    got = repetition.repetition_rules(clashing(spark, rows)).collect()
+    assert len(got) == len(rows) + 1
+    by_id = dict(rows)
+    for r in got:
+        n_words, chars, symbols, dup, repeat, shares, line_share = brute.repetition(by_id[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n_words, chars, symbols, dup, repeat)
+        assert r.base_failed == (n_words < 10 or 100 * repeat > 20 * n_words)
+        assert r.dup_line_share == pytest.approx(line_share)
+        assert all(r[f"dup_{n}gram_share"] == pytest.approx(s) for n, s in shares.items())
+        bad = line_share > 0.2 or any(shares[n] > most for n, most in repetition.MAX_NGRAM_SHARE.items())
+        assert r.kept == (not r.base_failed and not bad)
+
+
+def test_repetition_empty(spark):
+    assert repetition.repetition_rules(spark.createDataFrame([], DOC)).count() == 0
+
+
+def check_personal(by_id, got):
+    for r in got:
+        spans = brute.personal(by_id[r.doc_id])
+        assert r.base_sha256 == brute.sha(spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in spans) for k in pii.BASE_KINDS]
+        shown = r.spans.split(",") if r.spans else []
+        assert set(spans) <= set(shown) and len(shown) == len(spans) + r.n_added
+
+
+def test_personal_data(spark, odd_texts):
+    got = pii.find_personal_data(clashing(spark, odd_texts)).collect()
+    assert len(got) == len(odd_texts) + 1
+    check_personal(dict(odd_texts), got)
+
+
+def test_personal_data_on_documents(spark, documents):
+    got = pii.find_personal_data(documents).collect()
+    check_personal({r.doc_id: r.text for r in documents.collect()}, got)
+    assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got) > 0
+
+
+def test_personal_data_method_adds_what_labelers_support(spark):
+    rows = [(i, f"Write to ann{i}@mail.example.com or call +1 (555) 123-45{i:02d}. Ask for Dr. Anna Smith, tel: 555-123-45{i:02d}.") for i in range(40)]
+    rows += [(100 + i, f"number{i}x12345678{i:02d}y and 98765432{i:02d}a") for i in range(40)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, DOC)).collect()}
+    check_personal(dict(rows), got.values())
+    assert all("phone_local" in got[i].spans for i in range(40))
+    assert all(got[i].n_added == 0 for i in range(100, 140))
+
+
+def test_reliabilities_separate_labelers(spark):
+    rows = [([1, 1, 1, 1, 1], 80), ([1, 1, 0, 1, 1], 20), ([0, 0, 1, 0, 0], 50), ([0, 0, 0, 0, 0], 50)]
+    em = pii.estimate_reliabilities(spark.createDataFrame(rows, "votes array<int>, n long"))
+    assert em["prior"] == pytest.approx(0.5, abs=0.05)
+    assert em["hit"][0] > 0.95 and em["miss"][0] < 0.05 and 0.7 < em["hit"][2] < 0.9
+
+
+def test_personal_data_without_candidates(spark):
+    assert pii.find_personal_data(spark.createDataFrame([], DOC)).count() == 0
+    r = pii.find_personal_data(spark.createDataFrame([(1, None)], DOC)).collect()[0]
+    assert (r.n_email, r.base_sha256, r.spans, r.n_added) == (0, brute.sha([]), "", 0)
+
+
+def shown(spans):
+    return [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans]
+
+
+def test_secrets(spark, odd_texts, documents):
+    rows = odd_texts + [(r.doc_id + 10_000, r.text) for r in documents.collect()]
+    rows += [(50_000, 'é Token : "abcdef" ToKen=x1 API_KEY=\'abc.def\' paſſword=abcdefg api key=abcdefg'), (50_001, "AKIA" + "B" * 15), (50_002, "AKIA" + "B" * 16)]
+    by_id = dict(rows)
+    got = secrets.scan(clashing(spark, rows)).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        base = brute.secret_spans(by_id[r.doc_id])
+        assert r.base_sha256 == brute.sha(shown(base))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in base) for k in range(3)]
+        assert set(shown(base)) <= set(r.spans.split(",") if r.spans else [])
+    assert secrets.scan(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_novelty_tells_random_from_built_names():
+    scanner = secrets.Scanner()
+    text = "client credentials follow Zk83hQpX0vLw92TbRm7YcN4d in the config"
+    assert [text[s:e] for s, _, e in scanner.novel(text, [])] == ["Zk83hQpX0vLw92TbRm7YcN4d"]
+    built = "client credentials follow authorization_token_session_id_0123456789 in the config"
+    assert scanner.novel(built, []) == []
+    assert scanner.novel("no such context Zk83hQpX0vLw92TbRm7YcN4d here", []) == []
+
+
+def test_redaction(spark):
+    key = "0123456789abcdef01234567"
+    rows = [(1, f"x token={key} y", "a"), (2, None, "b"), (3, "clean", "c"), (3, "clean", "c")]
+    got = secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    assert sorted((r.doc_id, r.text or "", r.spans) for r in got) == [(1, "x [SECRET] y", "a"), (2, "", "b"), (3, "clean", "c"), (3, "clean", "c")]
+
+
+def brute_word(word, pieces, probability):
+    out = np.zeros(probability.shape[1])
+    for part in langid._stretches(word):
+        alpha = [np.ones(probability.shape[1])] + [np.zeros(probability.shape[1]) for _ in part]
+        for i in range(len(part)):
+            for k in range(1, min(langid.MAX_PIECE, len(part) - i) + 1):
+                p = probability[pieces[part[i:i + k]]] if part[i:i + k] in pieces else (langid.UNKNOWN if k == 1 else 0)
+                alpha[i + k] = alpha[i + k] + alpha[i] * p
+        out += np.log(alpha[-1])
+    return out
+
+
+def test_segmentations_are_summed():
+    pieces = langid.load_pieces(None)
+    probability = np.random.default_rng(0).random((len(pieces), 3))
+    probability /= probability.sum(axis=0)
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdeêñ日xyz") for _ in range(rng.randint(1, 60))) for _ in range(100)] + ["the", "nation", "schön"]
+    got = langid.Lattice(pieces, probability).log_probability(words)
+    assert np.allclose(got, [brute_word(w, pieces, probability) for w in words])
+
+
+def test_expected_counts_are_shares_of_segmentations():
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
+    probability = np.array([[0.2], [0.2], [0.2], [0.2], [0.2]])
+    lattice, total = langid.Lattice(pieces, probability), np.zeros((6, 1))
+    lattice.expected(["ab"], np.array([[10.0]]), total)
+    # ▁ a b: 0.008, ▁ ab: 0.04, ▁a b: 0.04
+    z = 0.088
+    assert np.allclose(total[:5, 0] * z / 10, [0.048, 0.008, 0.048, 0.04, 0.04])
+
+
+def test_language_held_out_accuracy(spark, documents):
+    got = langid.identify(documents, keep=["doc_id", "lang"]).withColumn("held_out", langid.held_out("doc_id")).collect()
+    unseen = [r for r in got if r.held_out and r.lang is not None]
+    assert len(got) == documents.count() and len(unseen) > 100
+    assert sum(r.lang_pred == r.lang for r in unseen) / len(unseen) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_odd_input(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(8)] + [(20 + i, "der hund schläft im haus", "de") for i in range(8)]
+    rows += [(40, None, "en"), (41, "", "de"), (42, "123 !? ²½", None), (43, "der hund " * 50_000, None), (None, "the mat", None), (44, "x" * 100_000, None)]
+    df = clashing(spark, rows, "doc_id long, text string, lang string")
+    got = [r.asDict() for r in langid.identify(df).collect()]
+    assert len(got) == len(rows) + 1
+    pred = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert pred[40] == pred[41] == pred[42] == ("und", 0.0)
+    assert pred[43][0] == "de" and pred[None][0] == "en" and pred[44][0] in ("en", "de")
+    assert langid.keep_identified(df, 0.5).columns == df.columns
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identify(empty).count() == 0
+    unlabelled = df.where("lang IS NULL")
+    assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+WEIRD = ["<|startoftext|>Hi<|endoftext|> a", "ΑΣ Σ’s ﬁ İstanbul Å é \x1c a\x85b c", "x²½ Ⅷ ١٢ _a_ it's IT'S ''s", "日本語 テスト😀😀", "",
+         "  \n", "a\x00b ſ ÿŸ × ÷ « »", "<|startoftext|", "don't We'LL 12ab", "a" * 5000, "é" * 3000]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(pretoken.default_path())
+
+
+def test_pre_tokens_give_the_librarys_ids(library):
+    pre = pretoken.PreTokens()
+    for text in WEIRD:
+        ids = [i for p in pre.ordered(text) for i in ([p] if isinstance(p, int) else pre.ids(p))]
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("head", [20, 100_000])
+def test_token_counts(spark, documents, library, head):
+    rows = [(i, t) for i, t in enumerate(WEIRD)] + [(100, None), (None, "abc")]
+    rows += [(r.doc_id + 1000, r.text) for r in documents.limit(120).collect()]
+    got = tokencount.count_tokens(clashing(spark, rows), head=head).collect()
+    assert len(got) == len(rows) + 1
+    by_id = dict(rows)
+    for r in got:
+        text = by_id[r.doc_id] or ""
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 2048)
+
+
+def test_token_counts_empty(spark):
+    assert tokencount.count_tokens(spark.createDataFrame([], DOC)).count() == 0

@@ -86,7 +86,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str, code_col: st
     """The k rows nearest to each query: ``query_id, rank, neighbour_id, distance``.
 
     ``n_segments`` is, by default, the number of bits over log2 of the number of codes, so that a
-    key holds about one code.
+    key holds about one code; a segment has four bits at least.
     """
     plain = rows.select(F.col(code_col).alias("code"), F.col(id_col).alias("id")).where("code is not null").distinct()
     # The k smallest ids of each code; the limit on ranks is applied before the shuffle too.
@@ -96,7 +96,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str, code_col: st
     active = cut_lineage(queries.select(F.col(query_id_col).alias("query_id"), F.col(query_code_col).alias("q_code"))
                          .where("q_code is not null").distinct(), "hamming-queries")
     n_codes = index.count()
-    m = n_segments or max(1, math.ceil(bits / max(1.0, math.log2(max(n_codes, 2)))))
+    m = n_segments or max(1, math.ceil(bits / max(4.0, math.log2(max(n_codes, 2)))))
     parts = segments_of(bits, m)
     answers = []
     covered = min(bits, m - 1)
