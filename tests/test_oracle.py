@@ -5,10 +5,11 @@ import pytest
 
 from conftest import ROOT, SF001  # noqa: F401
 import __spark_entry__ as E
+from vicinity import registry
 from tools.compare import TABLES, digest
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")
