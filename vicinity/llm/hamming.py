@@ -29,7 +29,9 @@ from vicinity.llm.common import cut_lineage
 
 BITS = 64
 #: Bits by which the covered radius grows from one step to the next.
-STEP = 2
+STEP = 4
+#: Codes that one key of a segment holds on average: a probe reads about so many.
+CODES_PER_KEY = 64
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -61,32 +63,33 @@ def radii(covered: int, n_segments: int) -> list[int]:
     return [a if s <= j else a - 1 for s in range(n_segments)]
 
 
-def _within(index: DataFrame, active: DataFrame, covered: int, parts: list[tuple[int, int]]) -> DataFrame:
-    """``(query_id, code_id, distance)`` of all pairs within ``covered`` bits, each once."""
-    spark, per = index.sparkSession, radii(covered, len(parts))
-    found, earlier = None, "true"
-    for (shift, width), radius in zip(parts, per, strict=True):
-        if radius < 0:
-            continue
-        masks = spark.createDataFrame([(masks_within(width, radius),)], "masks array<long>")  # at most 2**width, by the parameters
-        key = segment_key("q_code", shift, width)
-        probes = active.join(F.broadcast(masks)).select("query_id", "q_code", F.explode("masks").alias("mask")).select(
-            "query_id", "q_code", F.expr(f"{key} ^ mask").alias("key"))
-        entries = index.select("code", F.expr(segment_key("code", shift, width)).alias("key"))
-        near = entries.join(probes, "key").where(f"bit_count(code ^ q_code) <= {covered} and {earlier}")
-        near = near.select("query_id", "code", F.expr("bit_count(code ^ q_code)").alias("distance"))
-        found = near if found is None else found.unionByName(near)
-        own = f"{segment_key('code', shift, width)} ^ {segment_key('q_code', shift, width)}"
-        earlier += f" and bit_count({own}) > {radius}"
-    return found
+def _within(entries: DataFrame, active: DataFrame, covered: int, parts: list[tuple[int, int]]) -> DataFrame:
+    """``(query_id, code, distance)`` of all pairs within ``covered`` bits, each once.
+
+    ``entries`` is the index: ``(segment, key, code, n_ids)``, one row for each segment of a code."""
+    per = radii(covered, len(parts))
+    # At most 2**width masks for each segment, whatever the data; kept as one expression.
+    masks = [(s, mask) for s, ((_, width), r) in enumerate(zip(parts, per, strict=True)) if r >= 0 for mask in masks_within(width, r)]
+    listed = ", ".join(f"{s}:{mask}" for s, mask in masks).replace(" ", "")
+    keys = " ".join(f"when {s} then {segment_key('q_code', *part)}" for s, part in enumerate(parts))
+    probes = active.select("query_id", "q_code", F.explode(F.split(F.lit(listed), ",")).alias("p")).select(
+        "query_id", "q_code", F.expr("cast(split_part(p, ':', 1) as int)").alias("segment"),
+        F.expr("cast(split_part(p, ':', 2) as long)").alias("mask"))
+    probes = probes.select("query_id", "q_code", "segment", F.expr(f"(case segment {keys} end) ^ mask").alias("key"))
+    # The segment in which a pair counts: the first that lies within its radius.
+    first = " ".join(f"when bit_count({segment_key('(code ^ q_code)', *part)}) <= {r} then {s}"
+                     for s, (part, r) in enumerate(zip(parts, per, strict=True)) if r >= 0)
+    near = entries.join(probes, ["segment", "key"]).where(
+        f"bit_count(code ^ q_code) <= {covered} and (case {first} end) = segment")
+    return near.select("query_id", "code", "n_ids", F.expr("bit_count(code ^ q_code)").alias("distance"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str, code_col: str, query_id_col: str, query_code_col: str,
           bits: int = BITS, n_segments: int | None = None, step: int = STEP) -> DataFrame:
     """The k rows nearest to each query: ``query_id, rank, neighbour_id, distance``.
 
-    ``n_segments`` is, by default, the number of bits over log2 of the number of codes, so that a
-    key holds about one code; a segment has four bits at least.
+    ``n_segments`` is, by default, chosen so that a key holds about ``CODES_PER_KEY`` codes; a
+    segment has four bits at least.
     """
     plain = rows.select(F.col(code_col).alias("code"), F.col(id_col).alias("id")).where("code is not null").distinct()
     # The k smallest ids of each code; the limit on ranks is applied before the shuffle too.
@@ -96,15 +99,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str, code_col: st
     active = cut_lineage(queries.select(F.col(query_id_col).alias("query_id"), F.col(query_code_col).alias("q_code"))
                          .where("q_code is not null").distinct(), "hamming-queries")
     n_codes = index.count()
-    m = n_segments or max(1, math.ceil(bits / max(4.0, math.log2(max(n_codes, 2)))))
+    m = n_segments or max(1, math.ceil(bits / max(4.0, math.log2(max(n_codes / CODES_PER_KEY, 2)))))
     parts = segments_of(bits, m)
+    own = ", ".join(f"named_struct('segment', {s}, 'key', {segment_key('code', *part)})" for s, part in enumerate(parts))
+    entries = cut_lineage(index.select("code", "n_ids", F.explode(F.expr(f"array({own})")).alias("e")).select(
+        "e.segment", "e.key", "code", "n_ids"), "hamming-entries")
     answers = []
     covered = min(bits, m - 1)
     while True:
-        near = cut_lineage(_within(index, active, covered, parts).join(index, "code"), "hamming-near")
+        near = cut_lineage(_within(entries, active, covered, parts), "hamming-near")
         enough = near.groupBy("query_id").agg(F.sum("n_ids").alias("n")).where(F.col("n") >= k)
         done = near if covered >= bits else near.join(enough.select("query_id"), "query_id", "left_semi")
-        answers.append(done)
+        answers.append(done if covered >= bits else cut_lineage(done, "hamming-done"))
         if covered >= bits:
             break
         active = cut_lineage(active.join(enough.select("query_id"), "query_id", "left_anti"), "hamming-left")
