@@ -48,7 +48,13 @@ def dot_product(a: str, b: str) -> str:
     return _guard(a, b, dot(a, b))
 
 
+def neg_sq_l2(a: str, b: str) -> str:
+    """A user metric of the registry."""
+    return _guard(a, b, f"(0.0 - list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))")
+
+
 METRIC_SQL = {
+    "neg_sq_l2": neg_sq_l2,
     "cosine": cosine,
     "euclidean_sim": euclidean,
     "manhattan_sim": manhattan,
@@ -178,7 +184,7 @@ SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similar
 
 
 def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: int, max_depth: int,
-                min_leaf: int, iterations: int, seed: int) -> str:
+                min_leaf: int, iterations: int, seed: int, invalid: str = "false") -> str:
     """CTE list building the sharded k-means forest: ends with ``nodes`` and
     ``members(shard, leaf_id, id, vec)``.  One CTE per level and Lloyd step."""
     sq = "list_sum(list_transform(list_zip(w.vec, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
@@ -190,9 +196,10 @@ def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: i
                 f"GROUP BY w.shard, w.node_id, w.id")
 
     parts = [f"base AS ({table_sql})",
-             f"r0 AS (SELECT {id_col} AS id, vec, "
+             f"rall AS (SELECT {id_col} AS id, vec, "
              f"CAST((('0x' || substr(md5(CAST({id_col} AS VARCHAR)), 1, 8))::BIGINT % {shards}) AS INTEGER) "
-             f"AS shard, 'root' AS node_id FROM base)"]
+             f"AS shard, 'root' AS node_id, {invalid} AS bad FROM base)",
+             "r0 AS (SELECT id, vec, shard, node_id FROM rall WHERE NOT bad)"]
     leaf_parts, kid_parts = [], []
     can_split = k >= 2
     depth_range = range(max_depth if can_split else 0)
@@ -234,6 +241,7 @@ def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: i
         parts.append(f"r{d + 1} AS (SELECT shard, node_id || '_' || child_no AS node_id, id, vec FROM a{d})")
     last = len(depth_range)
     leaf_parts.append(f"SELECT shard, node_id AS leaf_id, id, vec FROM r{last}")
+    leaf_parts.append("SELECT shard, 'invalid' AS leaf_id, id, vec FROM rall WHERE bad")
     parts.append("roots AS (SELECT shard, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, "
                  "CAST(NULL AS INTEGER) AS child_no, 0 AS depth, CAST(count(*) AS BIGINT) AS member_count, "
                  "CAST(NULL AS BIGINT) AS rep_id, CAST(NULL AS DOUBLE[]) AS rep_vec FROM r0 GROUP BY shard)")
@@ -266,15 +274,15 @@ def descent_ctes(query_sql: str, metric_name: str, max_depth: int) -> str:
     return ",\n".join(parts)
 
 
-def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp) -> str:
+def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp, invalid: str = "false") -> str:
     return ("WITH " + forest_ctes(table_sql, id_col, metric_name, fp.shards, fp.k, fp.max_depth, fp.min_leaf,
-                                  fp.iterations, fp.seed)
+                                  fp.iterations, fp.seed, invalid)
             + ",\n" + descent_ctes(query_sql, metric_name, fp.max_depth))
 
 
-def forest_topk_sql(table_sql: str, id_col: str, query_sql: str, metric_name: str, k: int, fp) -> str:
+def forest_topk_sql(table_sql: str, id_col: str, query_sql: str, metric_name: str, k: int, fp, invalid: str = "false") -> str:
     s = metric(metric_name, "m.vec", "h.q")
-    return forest_all_ctes(table_sql, id_col, metric_name, query_sql, fp) + f"""
+    return forest_all_ctes(table_sql, id_col, metric_name, query_sql, fp, invalid) + f"""
 SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similarity_score FROM (
   SELECT h.query_id, m.id, {s} AS score,
          CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY {s} DESC, m.id) AS INTEGER) AS rank

@@ -137,7 +137,7 @@ def test_user_metric_in_all_native_modes(spark):
     from vicinity.plans.transform import TransformParams, transform_top_k
     from vicinity.sources import tables as T
     from vicinity.sources.queries import queries_by_id
-    name = M.register_metric("neg_sq_l2", lambda a, b: f"-({M.sq_distance_sql(a, b)})")
+    name = M.register_metric("neg_sq_l2", lambda a, b: f"(0D - {M.sq_distance_sql(a, b)})")
     t = T.embeddings(spark, "/root/testdata/sf0.01")
     q = queries_by_id(t, "vec_id", 5)
     mine = [r.vec_id for r in exact_top_k(t, q, name, 8, "vec_id", info=QueryInfo(1, 64)).orderBy("rank").collect()]
@@ -145,23 +145,58 @@ def test_user_metric_in_all_native_modes(spark):
            .orderBy("rank").collect()]
     assert mine == ref                      # same order as 1/(1+L2)
     p = TransformParams(n_refs=3, sample_size=50, seed=1)
-    assert transform_top_k(t, q, name, 3, "vec_id", p, n_queries=1, dim=64).count() == 3
+    assert transform_top_k(t, q, name, 3, "vec_id", p, one_query=True).count() == 3
     f = FO.build_forest(t, "vec_id", name, FO.ForestParams(shards=2, k=2, max_depth=1, min_leaf=10,
-                                                           iterations=1), tempfile.mkdtemp(), dim=64)
+                                                           iterations=1), tempfile.mkdtemp())
     assert FO.forest_top_k(f, q, name, 3, QueryInfo(1, 64)).count() == 3
     with pytest.raises(ValueError):
         M.register_metric("cosine", lambda a, b: "0D")
     from vicinity.plans.arrow_scan import arrow_top_k
     with pytest.raises(ValueError):
-        arrow_top_k(t, q, name, 3, "vec_id", info=QueryInfo(1, 64))
+        arrow_top_k(t, q, name, 3, "vec_id")
 
 
-def test_large_k_single_query_only(spark):
+def test_large_k_for_one_and_for_many_queries(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 1501)]
     got = ranked(spark, rows, [1.0, 1.0], "manhattan_sim", k=1200)
     assert len(got) == 1200 and got[0][0] == 1
-    from vicinity.plans.exact import exact_top_k as etk
-    t = table(spark, rows)
     two = spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0, 1.0])], "query_id long, q array<double>")
-    with pytest.raises(ValueError):
-        etk(t, two, "cosine", 1200, "id", info=QueryInfo(2, 2))
+    both = exact_top_k(table(spark, rows), two, "manhattan_sim", 1200, "id").collect()
+    assert [r.id for r in sorted(both, key=lambda r: r.rank) if r.query_id == 0] == [i for i, _ in got]
+    assert len(both) == 2400
+
+
+def test_two_queries_declared_as_one_fail(spark):
+    t = table(spark, [(i, [float(i), 1.0]) for i in range(1, 20)])
+    two = spark.createDataFrame([(5, [1.0, 1.0]), (5, [2.0, 1.0])], "query_id long, q array<double>")
+    with pytest.raises(Exception, match="more than the one query"):
+        exact_top_k(t, two, "cosine", 5, "id", info=QueryInfo(1, 2)).collect()
+    # any other number is counted, whatever was said
+    three = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "query_id long, q array<double>")
+    assert exact_top_k(t, three, "cosine", 5, "id", info=QueryInfo(2, 2)).count() == 15
+    assert exact_top_k(t, three.limit(0), "cosine", 5, "id", info=QueryInfo(1, 2)).count() == 0
+
+
+def test_queries_in_blocks_give_the_same(spark, monkeypatch):
+    from vicinity.operators import broadcast
+    t = table(spark, [(i, [float(i % 7), float(i % 5)]) for i in range(60)])
+    qs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "query_id long, q array<double>")
+    whole = exact_top_k(t, qs, "euclidean_sim", 4, "id")
+    monkeypatch.setattr(broadcast, "MAX_BROADCAST_BYTES", 1024)
+    blocks = exact_top_k(t, qs, "euclidean_sim", 4, "id")
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") > 2
+    assert sorted(blocks.collect()) == sorted(whole.collect())
+
+
+def test_mixed_requests_answer_what_they_can(spark):
+    from vicinity.plans.exact import exact_top_k_mixed
+    t = table(spark, [(i, [float(i), 1.0]) for i in range(1, 6)])
+    reqs = spark.createDataFrame(
+        [(1, [1.0, 1.0], "Dot"), (2, [1.0, 1.0], "nonsense"), (3, [1.0], "cosine"), (4, None, "cosine"), (5, [2.0, 1.0], " EUCLIDEAN "),
+         (6, [1.0, 1.0], None)], "query_id long, q array<double>, metric string")
+    got = exact_top_k_mixed(t, reqs, 2, "id").collect()
+    assert sorted((r.query_id, r.metric, r.rank, r.id) for r in got if r.error is None) == [
+        (1, "dot_product", 1, 5), (1, "dot_product", 2, 4), (5, "euclidean_sim", 1, 2), (5, "euclidean_sim", 2, 1)]
+    assert {r.query_id: r.error for r in got if r.error} == {
+        2: "unknown metric: nonsense", 3: "dimension 1 instead of 2", 4: "no query vector", 6: "unknown metric: null"}

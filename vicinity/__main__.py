@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from vicinity.functions.vectors import VEC, feature_columns, to_vector_table
 from vicinity.operators.topk import ranked_report
 from vicinity.plans import forest as FO
-from vicinity.plans.exact import QueryInfo
 from vicinity.plans.modes import MODES, SearchOptions, search
 from vicinity.plans.transform import TransformParams
 from vicinity.sources.generate import uniform_vectors
@@ -24,6 +23,7 @@ from vicinity.sources.queries import constant_query, queries_by_id, seeded_query
 from vicinity.sources.store import load_or_materialise
 
 
+# Option names and defaults are fixed values: they must be those of the jobs that this command replaces.
 def parse_args(argv=None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="vicinity", description="Vector similarity search on Spark")
     p.add_argument("--data-path", required=True, help="Parquet vector table (read, or written if generated)")
@@ -35,7 +35,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--num-partitions", type=int, default=None)
     p.add_argument("--regenerate-data", action="store_true")
     p.add_argument("--search-mode", choices=MODES, default="absolute")
-    p.add_argument("--engine", choices=["native", "arrow", "auto"], default="native",
+    p.add_argument("--engine", choices=["native", "arrow"], default="native",
                    help="scorer for the absolute mode")
     p.add_argument("--top-x-results", type=int, default=5)
     p.add_argument("--similarity-metric", default="cosine")
@@ -51,7 +51,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--k-per-level", type=int, default=5)
     p.add_argument("--max-depth", type=int, default=3)
     p.add_argument("--min-leaf-size", type=int, default=100)
-    p.add_argument("--kmeans-iterations", type=int, default=10)
+    p.add_argument("--kmeans-iterations", type=int, default=100)
     p.add_argument("--kmeans-seed", type=int, default=42)
     return p.parse_args(argv)
 
@@ -71,13 +71,11 @@ def run(spark: SparkSession, a: argparse.Namespace):
     if a.query_id is not None:
         qid = int(a.query_id) if str(a.query_id).lstrip("-").isdigit() else a.query_id
         queries = queries_by_id(table, a.id_column_name, qid)
-        info = None
     else:
         if dim is None:
             dim = table.select(F.size(VEC).alias("k")).first()["k"]
         queries = (seeded_query(spark, dim, a.query_vector_seed) if a.query_vector_seed is not None
                    else constant_query(spark, dim))
-        info = QueryInfo(1, dim)
     opts = SearchOptions(
         transform=TransformParams(a.num_references_N, a.ref_selection_sample_size, 42, a.use_median_for_center),
         forest=FO.ForestParams(a.num_shards, a.k_per_level, a.max_depth, a.min_leaf_size, a.kmeans_iterations,
@@ -87,7 +85,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
         space_path=a.save_transformed_data_path,
         engine=a.engine)
     result = search(table, queries, a.search_mode, a.similarity_metric, a.top_x_results, a.id_column_name,
-                    opts, info=info)
+                    opts, one_query=True)
     return ranked_report(result).orderBy("query_id", "rank")
 
 

@@ -151,6 +151,16 @@ def register_metric(name: str, sql_builder: Callable[[str, str], str],
     return key
 
 
+def known_metrics() -> list[str]:
+    """Canonical names of all metrics, user metrics included."""
+    return list(_METRICS)
+
+
+def metric_aliases() -> dict[str, str]:
+    """Every accepted (lower-case) name with its canonical one."""
+    return dict(_ALIASES)
+
+
 def resolve_metric(name: str) -> str:
     """Canonical metric name; unknown names raise ValueError at plan time."""
     if not isinstance(name, str):

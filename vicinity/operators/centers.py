@@ -23,7 +23,8 @@ def mean_vector(df: DataFrame, vec_col: str = VEC, group_cols: list[str] | None
     per input partition, whatever the group sizes (skew-safe).
     """
     g = list(group_cols or [])
-    valid = df.filter(is_valid_vector(vec_col))
+    # vectors without features have no mean: no row, rather than a failing summarizer
+    valid = df.filter(is_valid_vector(vec_col) & (F.size(vec_col) > 0))
     # A global mean groups by a constant key: empty input then yields no row
     # (a missing center) instead of a summarizer that has seen nothing.
     keys = g or [F.lit(0).alias("_all")]

@@ -1,11 +1,9 @@
 """Row sampling.
 
 ``hash_sample`` is the deterministic sample: the n rows with the smallest
-``md5(id || seed)``.  At scale it never sorts the table: a prefix of the hash
-(as a fraction of 2^32) first keeps about 1.5 n rows in a pushed-down filter,
-then a bounded top-n over those rows gives the exact bottom-n; if the prefix
-kept too few rows, the top-n is redone over the full table.  The sample is
-checkpointed (reused by every step of the reference search).
+``md5(id || seed)``.  ``orderBy(hash, id).limit(n)`` is a bounded top-n in
+every partition, so the table is neither sorted nor counted.  The sample is
+written to the shared folder (reused by every step of the reference search).
 """
 
 from __future__ import annotations
@@ -22,33 +20,15 @@ def sample_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def hash_fraction(id_col: str, seed: int) -> Column:
-    """First 32 bits of the sample hash as a fraction in [0, 1)."""
-    return F.conv(F.substring(sample_hash(id_col, seed), 1, 8), 16, 10).cast("double") / float(2 ** 32)
-
-
 def bernoulli_sample(df: DataFrame, target_rows: int, total_rows: int, seed: int = 42) -> DataFrame:
     """Bernoulli sample without replacement, fraction min(1, 1.2 * target / total)."""
     frac = 1.0 if total_rows <= 0 else min(1.0, 1.2 * target_rows / total_rows)
     return df.sample(withReplacement=False, fraction=frac, seed=seed)
 
 
-def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, total_rows: int | None = None,
-                materialise: bool = True) -> DataFrame:
+def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows with the smallest md5(id || seed) (id breaks ties)."""
     if n <= 0:
         return df.limit(0)
-    total = df.count() if total_rows is None else total_rows
-    ordered = [F.col(HASH), F.col(id_col)]
-    if total > 4 * n:
-        keep = min(1.0, (1.5 * n + 64) / total)
-        pre = df.filter(hash_fraction(id_col, seed) < keep).withColumn(HASH, sample_hash(id_col, seed))
-        out = pre.orderBy(*ordered).limit(n).drop(HASH)
-        if materialise:
-            out = cut_lineage(out)
-            if out.count() >= min(n, total):
-                return out
-        else:
-            return out
-    out = df.withColumn(HASH, sample_hash(id_col, seed)).orderBy(*ordered).limit(n).drop(HASH)
-    return cut_lineage(out) if materialise else out
+    ordered = df.withColumn(HASH, sample_hash(id_col, seed)).orderBy(HASH, id_col)
+    return cut_lineage(ordered.limit(n).drop(HASH), "sample")

@@ -17,21 +17,13 @@ from vicinity.functions.metrics import is_valid_score
 SCORE = "similarity_score"
 RANK = "rank"
 
-# Spark applies the partial (map-side) group limit only up to this k; above
-# it every scored row would be shuffled, so k is capped at plan time for
-# several groups.  One group (one query) uses TakeOrderedAndProject, which
-# keeps a per-partition top-k at any size; its k is bounded by the memory of
-# the final merge task instead.
-MAX_K = 1000
-MAX_K_SINGLE = 100_000
 
-
-def validate_k(k: int, single_group: bool = False) -> int:
+def validate_k(k: int) -> int:
+    """Any positive k.  Up to 1000 rows per group Spark limits each group before
+    the shuffle; a larger k of many groups is ranked after it.  One group keeps a
+    per-partition top-k at any size (TakeOrderedAndProject)."""
     if not isinstance(k, int) or isinstance(k, bool) or k < 1:
         raise ValueError(f"k must be a positive integer, got {k!r}")
-    cap = MAX_K_SINGLE if single_group else MAX_K
-    if k > cap:
-        raise ValueError(f"k={k} exceeds {cap}, the largest k with a bounded per-partition top-k")
     return k
 
 
@@ -62,7 +54,7 @@ def top_k(scored: DataFrame, k: int, id_col: str, score_col: str = SCORE,
     a filter before it would be pushed into the join below and make Catalyst
     evaluate the score expression once more per conjunct.
     """
-    validate_k(k, single_group)
+    validate_k(k)
     keys = [by] if isinstance(by, str) else list(by or [])
     order = [F.col(score_col).desc_nulls_last(), F.col(id_col).asc()]
     w = Window.partitionBy(*keys).orderBy(*order)

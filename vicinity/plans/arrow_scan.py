@@ -24,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinity.functions import metrics as M
 from vicinity.functions.vectors import VEC
-from vicinity.operators.broadcast import MAX_BROADCAST_BYTES, estimate_bytes
+from vicinity.operators.broadcast import broadcast_blocks
 from vicinity.operators.topk import SCORE, top_k, validate_k
-from vicinity.plans.exact import QueryInfo, query_info
+from vicinity.plans.exact import query_info
 from vicinity.sources.queries import Q, QID
 
 
@@ -72,14 +73,13 @@ def _scores(metric: str, X: np.ndarray, Qm: np.ndarray, present: np.ndarray) ->
             return s
         if metric == "dot_product":
             return X @ Qm.T
-        if metric == "euclidean_sim":
-            d2 = (np.einsum("ij,ij->i", X, X)[:, None] + np.einsum("ij,ij->i", Qm, Qm)[None, :]
-                  - 2.0 * (X @ Qm.T))
-            return 1.0 / (1.0 + np.sqrt(np.maximum(d2, 0.0)))
-        # manhattan: one pass per query keeps memory at rows x K
+        # Distances are taken of the differences themselves, one query at a time: the expanded
+        # square would cancel for close vectors, and memory stays at rows x K.
         out = np.empty((X.shape[0], Qm.shape[0]))
         for j in range(Qm.shape[0]):
-            out[:, j] = 1.0 / (1.0 + np.abs(X - Qm[j]).sum(axis=1))
+            diff = X - Qm[j]
+            length = np.sqrt(np.einsum("ij,ij->i", diff, diff)) if metric == "euclidean_sim" else np.abs(diff).sum(axis=1)
+            out[:, j] = 1.0 / (1.0 + length)
         return out
 
 
@@ -93,54 +93,61 @@ def _candidates(col: np.ndarray, k: int) -> np.ndarray:
     return ok[vals >= kth]
 
 
-def arrow_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_col: str, vec_col: str = VEC,
-                info: QueryInfo | None = None) -> DataFrame:
-    """Exact top-k per query, scored with NumPy per Arrow batch."""
-    metric = M.resolve_metric(metric)
-    if metric not in M.METRIC_NAMES:
-        raise ValueError(f"the Arrow scorer supports the built-in metrics only, not {metric!r}")
-    info = info or query_info(queries)
-    validate_k(k, info.rows == 1)
-    if estimate_bytes(info.rows, info.dim) > MAX_BROADCAST_BYTES:
-        raise ValueError("query set exceeds the broadcast limit; use plans.exact")
+def _block_top_k(table: DataFrame, block: DataFrame, metric: str, k: int, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """Candidates of one block of queries, with ``_qn`` (the query's place in the block) and its id."""
     spark = table.sparkSession
-    # The query set is bounded (checked above) and shipped once per executor,
+    # A block is bounded by the broadcast limit; it is shipped once per executor,
     # as the build side of a broadcast join would be.
-    qrows = queries.select(QID, Q).collect()
-    qids = np.array([r[QID] for r in qrows], dtype=np.int64)
-    dim = info.dim
-    Qm = np.array([r[Q] if r[Q] is not None else [np.nan] * dim for r in qrows], dtype=np.float64).reshape(
-        len(qrows), dim)
-    bc = spark.sparkContext.broadcast((qids, Qm, dim))
-    id_type = table.schema[id_col].dataType
-    out_schema = T.StructType([T.StructField(QID, T.LongType()), T.StructField(id_col, id_type),
+    qrows = block.select(QID, Q).collect()
+    Qm = np.array([r[Q] if r[Q] is not None else [np.nan] * dim for r in qrows], dtype=np.float64).reshape(len(qrows), dim)
+    bc = spark.sparkContext.broadcast(Qm)
+    qid_type = block.schema[QID].dataType
+    names = spark.createDataFrame([(i, r[QID]) for i, r in enumerate(qrows)], T.StructType([
+        T.StructField("_qn", T.IntegerType()), T.StructField(QID, qid_type)]))
+    out_schema = T.StructType([T.StructField("_qn", T.IntegerType()), T.StructField(id_col, table.schema[id_col].dataType),
                                T.StructField(SCORE, T.DoubleType())])
 
     def score_partition(batches):
-        q_ids, q_mat, d = bc.value
+        q_mat = bc.value
         for batch in batches:
-            if batch.num_rows == 0:
+            if batch.num_rows == 0 or len(q_mat) == 0:
                 continue
             ids = batch.column(id_col)
-            if d == 0:
+            if dim == 0:
                 lens = np.asarray(batch.column(vec_col).value_lengths().fill_null(0))
                 keep = np.nonzero(lens == 0)[0]
-                s = np.zeros((len(keep), len(q_ids)))
+                s = np.zeros((len(keep), len(q_mat)))
                 ids = ids.take(pa.array(keep))
             else:
-                X, present = _batch_matrix(batch.column(vec_col), d)
+                X, present = _batch_matrix(batch.column(vec_col), dim)
                 s = _scores(metric, X, q_mat, present)
             out_q, out_i, out_s = [], [], []
-            for j, qid in enumerate(q_ids):
+            for j in range(len(q_mat)):
                 sel = _candidates(s[:, j], k)
-                out_q.append(np.full(len(sel), qid, dtype=np.int64))
+                out_q.append(np.full(len(sel), j, dtype=np.int32))
                 out_i.append(ids.take(pa.array(sel)))
                 out_s.append(s[sel, j])
-            if out_q:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_q)), pa.concat_arrays(out_i), pa.array(np.concatenate(out_s))],
-                    names=[QID, id_col, SCORE])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_q)), pa.concat_arrays(out_i), pa.array(np.concatenate(out_s))],
+                names=["_qn", id_col, SCORE])
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     scored = table.select(id_col, vec_col).mapInArrow(score_partition, out_schema)
-    return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)
+    best = top_k(scored, k, id_col, by="_qn")
+    return best.join(F.broadcast(names), "_qn").select(QID, "rank", id_col, SCORE)  # names: one block's ids
+
+
+def arrow_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_col: str, vec_col: str = VEC) -> DataFrame:
+    """Exact top-k per query, scored with NumPy per Arrow batch.  Queries beyond
+    the broadcast limit are scored in blocks; ids of queries may have any type."""
+    metric = M.resolve_metric(metric)
+    if metric not in M.METRIC_NAMES:
+        raise ValueError(f"the Arrow scorer supports the built-in metrics only, not {metric!r}")
+    validate_k(k)
+    info = query_info(queries)
+    parts = [_block_top_k(table, b, metric, k, id_col, vec_col, info.dim)
+             for b in broadcast_blocks(queries, QID, info.dim, info.rows)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -14,13 +14,20 @@ The tree is built level by level for all nodes of all shards at once:
 * each child's representative is the member most similar, by the search
   metric, to the child's final centroid (ties to the lowest id).
 
-Plan shape per level: rows never move to their node.  The per-node centroid
-arrays (one row per node) are broadcast (size-checked; otherwise an equi-join
-that AQE's skew handling can split), each row picks its nearest centroid in a
-projection, and new centroids are partial aggregates (one buffer per
-(node, child) per input partition).  Small per-iteration tables are
-checkpointed to keep lineage flat; the level table is persisted (lineage
-from the source is only ``max_depth`` projections deep).
+Plan shape: rows are stored by shard once (the only shuffle of vectors before
+the leaves are written).  From then on they never move to their node: the
+per-node centroid arrays (one row per node) are broadcast, in batches of
+shards where they exceed the broadcast limit; each row picks its nearest
+centroid in a projection; new centroids are partial aggregates (one buffer per
+(node, child) per input partition).  Seeds and representatives are chosen on
+ids, hashes and scores alone, and only the chosen vectors are fetched.  Level
+tables and centroid tables are written, so lineage stays flat and a lost
+executor costs at most a re-read.
+
+A build writes into a folder of its own (``build=<id>``: members, tree and,
+per metric, reps) and, as its last act, the pointer ``meta`` that names the
+folder.  A reader sees either the previous build or the new one, never a
+mixture, and representatives always belong to the build they lie in.
 
 Search: a greedy descent per (query, shard) over the small ``nodes`` table
 (strict best child by metric score vs. the representative, lowest child
@@ -33,9 +40,9 @@ and scored; the per-query top-k merges all shards.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +53,9 @@ from vicinity.operators.broadcast import MAX_BROADCAST_BYTES, estimate_bytes
 from vicinity.operators.centers import CENTER, mean_vector
 from vicinity.operators.sampling import sample_hash
 from vicinity.operators.topk import SCORE, rank_key, top_k, validate_k
-from vicinity.plans.exact import QueryInfo, query_info, search_score, with_query_norm, Q_NORM
-from vicinity.session import cut_lineage
+from vicinity.plans.exact import (Q_NORM, QueryInfo, only_query, query_info, search_score, with_query_norm,
+                                  with_row_norm)
+from vicinity.session import cut_lineage, scratch_path
 from vicinity.sources.queries import Q, QID
 from vicinity.sources.store import read_parquet, try_read, write_parquet
 
@@ -65,14 +73,15 @@ ROOT = "root"
 INVALID = "invalid"
 CENTS = "_cents"
 CENTROID = "centroid"
-FORMAT = 3
+FORMAT = 4
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
 CHECKPOINT_INTERVAL = 4
 # Relative centroid movement below which two checkpoints count as converged.
 CONVERGENCE_TOL = 1e-12
-# Largest number of (shard, leaf) keys turned into a static partition filter.
-MAX_STATIC_LEAVES = 20000
+# (query, shard, leaf) keys that one block of queries brings to the driver;
+# larger query sets are searched in several such blocks.
+LEAF_KEYS_PER_BLOCK = 20000
 
 
 @dataclass(frozen=True)
@@ -81,7 +90,7 @@ class ForestParams:
     k: int = 5
     max_depth: int = 3
     min_leaf: int = 100
-    iterations: int = 10
+    iterations: int = 100
     seed: int = 42
 
 
@@ -98,19 +107,31 @@ def shard_of(id_col: str, shards: int) -> Column:
     return F.pmod(h, F.lit(shards)).cast("int")
 
 
-def fingerprint(table: DataFrame, id_col: str) -> dict:
-    """Cheap content fingerprint of a vector table (row count, id hash sum)."""
-    r = table.agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.xxhash64(F.col(id_col)).cast("decimal(38,0)")).cast("string").alias("h")).first()
-    return {"rows": int(r["n"]), "id_hash": r["h"]}
+def fingerprint(table: DataFrame, id_col: str, vec_col: str = VEC) -> dict:
+    """Content fingerprint of a vector table: rows, dimension, and an order-free
+    hash sum over ids with their vectors."""
+    r = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d"),
+                  F.sum(F.xxhash64(F.col(id_col), F.col(vec_col)).cast("decimal(38,0)")).cast("string").alias("h")).first()
+    return {"rows": int(r["n"]), "dim": max(0, int(r["d"] or 0)), "content_hash": r["h"]}
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int, dim: int,
-                how: str = "inner") -> DataFrame:
-    """Broadcast ``small`` when its proven size fits, else a plain equi-join."""
-    if estimate_bytes(rows, dim) <= MAX_BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return big.join(small, keys, how)
+def _join_nodes(big: DataFrame, small: DataFrame, keys: list[str], rows: int, dim: int,
+                how: str = "inner", limit_bytes: int | None = None) -> DataFrame:
+    """Rows with what a small table holds for their node.
+
+    ``small`` (``rows`` rows) is broadcast; beyond the limit, in batches of
+    shards, each of which meets only the rows of its shards (pruned files,
+    where the rows are stored by shard).  ``big`` is never shuffled."""
+    limit = MAX_BROADCAST_BYTES if limit_bytes is None else limit_bytes
+    n = max(1, -(-estimate_bytes(rows, dim) // limit))
+    if n == 1:
+        return big.join(F.broadcast(small), keys, how)
+    out = None
+    for i in range(n):
+        mine = F.pmod(F.col(SHARD), F.lit(n)) == i
+        part = big.filter(mine).join(F.broadcast(small.filter(mine)), keys, how)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _pack(cents: DataFrame) -> DataFrame:
@@ -121,19 +142,23 @@ def _pack(cents: DataFrame) -> DataFrame:
 
 def _assign(work: DataFrame, packed: DataFrame, id_col: str, n_nodes: int, k: int, dim: int) -> DataFrame:
     """Nearest centroid of the row's own node (squared Euclidean, then child)."""
-    j = _join_small(work, packed, [SHARD, NODE], n_nodes, k * dim)
+    j = _join_nodes(work, packed, [SHARD, NODE], n_nodes, k * dim)
     best = F.expr(f"array_min(transform({CENTS}, cc -> named_struct('d', {M.sq_distance_sql(VEC, 'cc.c')}, "
                   f"'ch', cc.{CHILD}))).ch")
     return j.select(SHARD, NODE, id_col, VEC, best.alias(CHILD))
 
 
-def _seeds(work: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
-    """First min(k, n) rows of each node by md5(id || seed): a partial
-    per-partition group limit, so only k rows per node per partition move."""
+def _seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int) -> DataFrame:
+    """First min(k, n) rows of each node by md5(id || seed).  Only (hash, id)
+    is ranked (a per-partition group limit first); the chosen vectors are then
+    fetched by their ids."""
     from pyspark.sql import Window
-    w = Window.partitionBy(SHARD, NODE).orderBy(sample_hash(id_col, seed), F.col(id_col))
-    ranked = work.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    return ranked.select(SHARD, NODE, (F.col("_rn") - 1).alias(CHILD), F.col(VEC).alias(CENTER))
+    w = Window.partitionBy(SHARD, NODE).orderBy("_h", id_col)
+    ids = work.select(SHARD, NODE, id_col, sample_hash(id_col, seed).alias("_h"))
+    ids = ids.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    ids = ids.select(SHARD, NODE, id_col, (F.col("_rn") - 1).alias(CHILD))
+    found = _join_nodes(work, ids, [SHARD, NODE, id_col], n_nodes * k, 4)
+    return found.select(SHARD, NODE, CHILD, F.col(VEC).alias(CENTER))
 
 
 def _converged(before: DataFrame, after: DataFrame, tol: float = CONVERGENCE_TOL) -> bool:
@@ -169,82 +194,74 @@ def _check_params(p: ForestParams) -> None:
         raise ValueError(f"invalid forest parameters {p}")
 
 
-def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path: str,
-                     dim: int | None = None, vec_col: str = VEC) -> dict:
-    """The metric-independent part of the index: k-means tree per shard
-    (``tree``: node rows with counts and centroids) and ``members``
-    (partitioned by shard and leaf), plus ``meta``.  Returns the meta."""
+def _write_by_shard(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Written and read back, one folder per shard."""
+    df.write.mode(mode).partitionBy(SHARD).parquet(path)
+    return read_parquet(df.sparkSession, path, df.schema)
+
+
+def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path: str, vec_col: str = VEC) -> dict:
+    """The metric-independent part of the index in a new build folder: k-means
+    tree per shard (``tree``: node rows with counts and centroids) and
+    ``members`` (a folder per shard, files sorted by leaf).  Writes no pointer
+    (see ``publish``); returns the meta."""
     p = params
     _check_params(p)
     spark = table.sparkSession
+    build = uuid.uuid4().hex
+    root = _build_path(path, build)
+    work_path = scratch_path(spark, f"forest-levels-{build}")
     rows = table.select(F.col(id_col), F.col(vec_col).alias(VEC)).withColumn(SHARD, shard_of(id_col, p.shards))
-    if dim is None:
-        first = rows.select(F.size(VEC).alias("k")).filter(F.col("k") > 0).first()
-        dim = int(first["k"]) if first else 0
 
-    members_path = f"{path}/members"
+    def write_members(df: DataFrame) -> None:
+        # ``rebalance`` lets AQE split a leaf holding a large share of the rows over several tasks
+        # (and merge small ones); files sorted by leaf are pruned by their row-group statistics.
+        df.hint("rebalance", SHARD, LEAF).sortWithinPartitions(SHARD, LEAF).write.mode("append").partitionBy(
+            SHARD).parquet(f"{root}/members")
 
-    def write_members(df: DataFrame, mode: str) -> None:
-        # ``rebalance`` lets AQE split a leaf holding a large share of the rows
-        # over several tasks (and merge small ones) instead of one task per
-        # (shard, leaf) hash bucket.
-        df.hint("rebalance", SHARD, LEAF).write.mode(mode).partitionBy(SHARD, LEAF).parquet(members_path)
-
-    # The source is read once: a validity-tagged copy is persisted and both the
-    # fingerprint, the ``invalid`` leaf and the first level come from it.
-    tagged = rows.withColumn("_ok", is_valid_vector(VEC)).persist(StorageLevel.MEMORY_AND_DISK)
+    # The source is read once: rows go to their shard's folder, and fingerprint,
+    # ``invalid`` leaf and first level come from there.
+    tagged = rows.withColumn("_ok", F.coalesce(is_valid_vector(VEC), F.lit(False)))
+    tagged = _write_by_shard(tagged.hint("rebalance", SHARD), f"{work_path}/rows")
     fp = fingerprint(tagged, id_col)
+    dim = fp["dim"]
     invalid = _members(tagged.filter(~F.col("_ok")), id_col, F.lit(INVALID))
-    members_schema = invalid.schema
-    write_members(invalid, "overwrite")
+    write_members(invalid)
     level = tagged.filter(F.col("_ok")).drop("_ok").withColumn(NODE, F.lit(ROOT))
     roots = level.groupBy(SHARD).agg(F.count(F.lit(1)).cast("long").alias(COUNT)).select(
         SHARD, F.lit(ROOT).alias(NODE), F.lit(None).cast("string").alias(PARENT),
         F.lit(None).cast("int").alias(CHILD), F.lit(0).alias(DEPTH), COUNT,
         F.lit(None).cast("array<double>").alias(CENTROID))
-    roots = roots.persist(StorageLevel.MEMORY_AND_DISK)
-    node_parts = [roots]
-    small = [roots]           # node tables: kept until the end
-    big = [tagged]            # row tables: released once the next level exists
+    node_parts = [cut_lineage(roots, "roots")]
+    used: list[int] = []
     can_split = p.k >= 2 and dim > 0
     for d in range(p.max_depth if can_split else 0):
         stats = level.groupBy(SHARD, NODE).agg(F.count(F.lit(1)).alias("n"))
-        active = stats.filter((F.col("n") >= p.min_leaf) & (F.col("n") >= 2)).select(
-            SHARD, NODE, F.least(F.lit(p.k), F.col("n")).alias("kk")).persist(StorageLevel.MEMORY_AND_DISK)
-        small.append(active)
-        n_active = active.count()          # materialises ``level``
-        for df in big[:-1]:
-            df.unpersist()
-        big = big[-1:]
+        active = cut_lineage(stats.filter((F.col("n") >= p.min_leaf) & (F.col("n") >= 2)).select(
+            SHARD, NODE, F.least(F.lit(p.k), F.col("n")).alias("kk")), "active")
+        n_active = active.count()
         if n_active == 0:
             break
         keys = active.select(SHARD, NODE)
-        write_members(_members(_join_small(level, keys, [SHARD, NODE], n_active, 0, "left_anti"),
-                               id_col, F.col(NODE)), "append")
-        work = _join_small(level, keys, [SHARD, NODE], n_active, 0, "left_semi")
+        write_members(_members(_join_nodes(level, keys, [SHARD, NODE], n_active, 0, "left_anti"), id_col, F.col(NODE)))
+        work = _join_nodes(level, keys, [SHARD, NODE], n_active, 0, "left_semi")
 
-        cents = _seeds(work, id_col, p.k, p.seed)
-        written, previous = False, None
-        for it in range(p.iterations):
+        cents = cut_lineage(_seeds(work, id_col, p.k, p.seed, n_active), "seeds")
+        previous, done = cents, 0
+        for it in range(1, p.iterations + 1):
             assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim)
-            cents = mean_vector(assigned, VEC, [SHARD, NODE, CHILD])
-            written = False
-            if (it + 1) % CHECKPOINT_INTERVAL == 0 and it + 1 < p.iterations:
-                cents, written = cut_lineage(cents, "cents"), True
-                if previous is not None and _converged(previous, cents):
+            cents, done = mean_vector(assigned, VEC, [SHARD, NODE, CHILD]), it
+            if it % CHECKPOINT_INTERVAL == 0 or it == p.iterations:
+                cents = cut_lineage(cents, "cents")
+                if it < p.iterations and _converged(previous, cents):
                     break
                 previous = cents
-        if not written:
-            cents = cut_lineage(cents, "cents")
-        assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim).persist(StorageLevel.MEMORY_AND_DISK)
-        kids = _children(active, assigned, cents, d).persist(StorageLevel.MEMORY_AND_DISK)
-        big.append(assigned)
-        small.append(kids)
-        node_parts.append(kids)
+        used.append(done)
+        assigned = _write_by_shard(_assign(work, _pack(cents), id_col, n_active, p.k, dim), f"{work_path}/level{d + 1}")
+        node_parts.append(cut_lineage(_children(active, assigned, cents, d), "children"))
         level = assigned.select(SHARD, F.concat(F.col(NODE), F.lit("_"), F.col(CHILD).cast("string")).alias(NODE),
                                 id_col, VEC)
-    write_members(_members(level, id_col, F.col(NODE)), "append")
-    persisted = big + small
+    write_members(_members(level, id_col, F.col(NODE)))
 
     nodes = node_parts[0]
     for part in node_parts[1:]:
@@ -253,16 +270,21 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
     nodes = nodes.join(parents.withColumn("_has_kids", F.lit(True)), [SHARD, NODE], "left").withColumn(
         IS_LEAF, F.col("_has_kids").isNull()).drop("_has_kids")
     tree = nodes.select(SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, CENTROID)
-    write_parquet(tree, f"{path}/tree")
-    n_nodes = read_parquet(spark, f"{path}/tree", tree.schema).count()
-    meta = {"format": FORMAT, "dim": dim, "id_col": id_col, "nodes": n_nodes, **asdict(p),
-            **fp, "tree_schema": tree.schema.json(),
-            "members_schema": members_schema.json()}
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(
+    write_parquet(tree, f"{root}/tree")
+    n_nodes = read_parquet(spark, f"{root}/tree", tree.schema).count()
+    return {"format": FORMAT, "build": build, "id_col": id_col, "nodes": n_nodes, "iterations_used": used,
+            **asdict(p), **fp, "tree_schema": tree.schema.json(), "members_schema": invalid.schema.json()}
+
+
+def _build_path(path: str, build: str) -> str:
+    return f"{path}/build={build}"
+
+
+def publish(spark: SparkSession, path: str, meta: dict) -> None:
+    """Point readers at a finished build.  The last act of a build: until then
+    they keep reading the one before."""
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode(
         "overwrite").json(f"{path}/meta")
-    for df in persisted:
-        df.unpersist()
-    return meta
 
 
 def representatives(members: DataFrame, tree: DataFrame, metric: str, id_col: str, dim: int) -> DataFrame:
@@ -270,12 +292,12 @@ def representatives(members: DataFrame, tree: DataFrame, metric: str, id_col: st
     member of its subtree most similar (by ``metric``) to its centroid, ties
     to the lowest id.
 
-    One pass for all levels: each member row is expanded to its ancestors
-    (node ids are ``root_<i>_<j>...``, so ancestors are prefixes of the leaf
-    id; at most ``max_depth`` copies), joined to the small centroid table and
-    reduced by a partial per-node top-1 before the shuffle.
+    Each member row is expanded to its ancestors (node ids are
+    ``root_<i>_<j>...``, so ancestors are prefixes of the leaf id) and meets
+    their centroids by broadcast.  The best score of a node, and then the
+    lowest id at that score, are plain hash aggregates over scores and ids;
+    only the chosen rows' vectors are fetched.
     """
-    from pyspark.sql import Window
     metric = M.resolve_metric(metric)
     parts = F.split(F.col(LEAF), "_")
     anc = F.explode(F.sequence(F.lit(2), F.size(parts))).alias("_n")
@@ -284,33 +306,36 @@ def representatives(members: DataFrame, tree: DataFrame, metric: str, id_col: st
                 .select(SHARD, id_col, VEC, F.array_join(F.slice("_p", 1, F.col("_n")), "_").alias(NODE)))
     cents = tree.filter(F.col(CENTROID).isNotNull()).select(SHARD, NODE, CENTROID)
     n_nodes = tree.count()   # small table (node rows)
-    scored = _join_small(expanded, cents, [SHARD, NODE], n_nodes, dim).select(
-        SHARD, NODE, id_col, VEC, rank_key(M.score(metric, VEC, CENTROID)).alias("_s"))
-    w = Window.partitionBy(SHARD, NODE).orderBy(F.col("_s").desc_nulls_last(), F.col(id_col).asc())
-    return (scored.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= 1) & F.col("_s").isNotNull())
-            .select(SHARD, NODE, F.col(id_col).alias(REP_ID), F.col(VEC).alias(REP_VEC)))
+    scored = _join_nodes(expanded, cents, [SHARD, NODE], n_nodes, dim).select(
+        SHARD, NODE, id_col, rank_key(M.score(metric, VEC, CENTROID)).alias("_s")).filter(F.col("_s").isNotNull())
+    best = cut_lineage(scored.groupBy(SHARD, NODE).agg(F.max("_s").alias("_best")), "best-scores")
+    chosen = _join_nodes(scored, best, [SHARD, NODE], n_nodes, 1).filter("_s = _best")
+    chosen = cut_lineage(chosen.groupBy(SHARD, NODE).agg(F.min(id_col).alias(id_col)), "rep-ids")
+    found = _join_nodes(members.filter(F.col(LEAF) != INVALID).select(SHARD, id_col, VEC), chosen, [SHARD, id_col], n_nodes, 4)
+    return found.select(SHARD, NODE, F.col(id_col).alias(REP_ID), F.col(VEC).alias(REP_VEC))
 
 
-def _reps_path(path: str, metric: str) -> str:
-    return f"{path}/reps/{M.resolve_metric(metric)}"
+def _reps_path(path: str, meta: dict, metric: str) -> str:
+    return f"{_build_path(path, meta['build'])}/reps/{M.resolve_metric(metric)}"
 
 
-def build_representatives(spark: SparkSession, path: str, metric: str) -> None:
-    meta = read_meta(spark, path)
-    tree = read_parquet(spark, f"{path}/tree", _schema(meta, "tree_schema"))
-    members = read_parquet(spark, f"{path}/members", _schema(meta, "members_schema"))
+def build_representatives(spark: SparkSession, path: str, meta: dict, metric: str) -> None:
+    root = _build_path(path, meta["build"])
+    tree = read_parquet(spark, f"{root}/tree", _schema(meta, "tree_schema"))
+    members = read_parquet(spark, f"{root}/members", _schema(meta, "members_schema"))
     write_parquet(representatives(members, tree, metric, meta["id_col"], int(meta["dim"])),
-                  _reps_path(path, metric))
+                  _reps_path(path, meta, metric))
 
 
 def build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParams, path: str,
-                 dim: int | None = None, vec_col: str = VEC) -> Forest:
-    """Build the whole index of ``table`` under ``path``: the clustering
-    (``meta``, ``tree``, ``members``) and the representatives for ``metric``."""
+                 vec_col: str = VEC) -> Forest:
+    """A new build of the whole index under ``path``: the clustering, the
+    representatives for ``metric``, and last the pointer to both."""
     metric = M.resolve_metric(metric)
-    build_clustering(table, id_col, params, path, dim, vec_col)
     spark = table.sparkSession
-    build_representatives(spark, path, metric)
+    meta = build_clustering(table, id_col, params, path, vec_col)
+    build_representatives(spark, path, meta, metric)
+    publish(spark, path, meta)
     return load_forest(spark, path, metric)
 
 
@@ -327,11 +352,11 @@ def _reps_schema(meta: dict) -> T.StructType | None:
                          T.StructField(REP_ID, id_type), T.StructField(REP_VEC, T.ArrayType(T.DoubleType()))])
 
 
-def _reps_written(spark: SparkSession, path: str, metric: str) -> bool:
+def _reps_written(spark: SparkSession, path: str, meta: dict, metric: str) -> bool:
     """True once the representatives of ``metric`` were written (the write's
     ``_SUCCESS`` marker is present, even for an empty table)."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{_reps_path(path, metric)}/_SUCCESS")
+    hpath = jvm.org.apache.hadoop.fs.Path(f"{_reps_path(path, meta, metric)}/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
 
@@ -343,15 +368,19 @@ def read_meta(spark: SparkSession, path: str) -> dict | None:
 
 
 def load_forest(spark: SparkSession, path: str, metric: str) -> Forest | None:
-    """The stored index with the representatives of ``metric``, or None."""
+    """The published index with the representatives of ``metric`` (added to it
+    if missing), or None.  The indexed table itself is not looked at."""
     metric = M.resolve_metric(metric)
     meta = read_meta(spark, path)
-    if meta is None:
+    if meta is None or meta.get("format") != FORMAT:
         return None
-    tree = try_read(spark, f"{path}/tree", _schema(meta, "tree_schema"))
-    members = try_read(spark, f"{path}/members", _schema(meta, "members_schema"))
-    reps = try_read(spark, _reps_path(path, metric), _reps_schema(meta))
-    if meta is None or tree is None or members is None or reps is None:
+    if not _reps_written(spark, path, meta, metric):
+        build_representatives(spark, path, meta, metric)
+    root = _build_path(path, meta["build"])
+    tree = try_read(spark, f"{root}/tree", _schema(meta, "tree_schema"))
+    members = try_read(spark, f"{root}/members", _schema(meta, "members_schema"))
+    reps = try_read(spark, _reps_path(path, meta, metric), _reps_schema(meta))
+    if tree is None or members is None or reps is None:
         return None
     nodes = tree.join(reps, [SHARD, NODE], "left").select(
         SHARD, NODE, PARENT, CHILD, DEPTH, IS_LEAF, COUNT, REP_ID, REP_VEC)
@@ -367,29 +396,24 @@ def try_read_json(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load_or_build_forest(table: DataFrame, id_col: str, metric: str, params: ForestParams, path: str,
-                         force: bool = False, dim: int | None = None) -> Forest:
-    """Reuse what is stored: the clustering when its meta matches (format,
-    id column, parameters and a fingerprint of the table), the representatives
-    of ``metric`` when present.  Missing or stale parts are (re)built; the
-    clustering is shared by all metrics."""
+                         force: bool = False) -> Forest:
+    """Reuse the published build when it belongs to this table and these
+    parameters (format, id column, parameters, and a fingerprint of ids and
+    vectors); otherwise, or with ``force``, make a new one.  The clustering is
+    shared by all metrics."""
     spark = table.sparkSession
-    metric = M.resolve_metric(metric)
-    fresh = False
     if not force:
         m = read_meta(spark, path)
         want = {"format": FORMAT, "id_col": id_col, **asdict(params)}
         if m is not None and all(m.get(key) == val for key, val in want.items()):
-            fp = fingerprint(table, id_col)
-            fresh = m.get("rows") == fp["rows"] and m.get("id_hash") == fp["id_hash"]
-    if not fresh:
-        build_clustering(table, id_col, params, path, dim)
-        build_representatives(spark, path, metric)
-    elif not _reps_written(spark, path, metric):
-        build_representatives(spark, path, metric)
-    return load_forest(spark, path, metric)
+            if all(m.get(key) == val for key, val in fingerprint(table, id_col).items()):
+                forest = load_forest(spark, path, metric)
+                if forest is not None:
+                    return forest
+    return build_forest(table, id_col, metric, params, path)
 
 
-def descend(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -> DataFrame:
+def descend(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
     """Greedy descent: ``(query_id, q, shard, leaf_id)``, one leaf per
     (query, shard) at most.
 
@@ -419,50 +443,68 @@ def descend(forest: Forest, queries: DataFrame, metric: str, n_queries: int) ->
     return frontier.select(QID, Q, SHARD, F.col(NODE).alias(LEAF))
 
 
-def leaf_hits(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -> DataFrame:
+def leaf_hits(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
     """Chosen leaves plus each shard's ``invalid`` leaf, per query."""
-    leaves = descend(forest, queries, metric, n_queries)
+    leaves = descend(forest, queries, metric)
     return leaves.withColumn(LEAF, F.explode(F.array(F.col(LEAF), F.lit(INVALID))))
 
 
-def leaf_scores(forest: Forest, queries: DataFrame, metric: str, n_queries: int) -> DataFrame:
-    """``(query_id, shard, leaf_id, id, similarity_score)`` for every member of
-    the chosen leaves.
-
-    The descent runs once: its leaf keys (ids only, at most queries x shards
-    x 2, a bound checked here) are collected and become (a) a partition filter
-    on ``members``, so the scan lists and reads only the chosen
-    ``shard=/leaf_id=`` directories, and (b) a small local table joined back
-    to the query vectors.  Beyond the bound the descent stays lazy and the
-    members are filtered by the join alone.
+def _block_scores(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
+    """Scores of one block of queries.
+
+    The descent runs once: its leaf keys (ids only, a bounded number) are
+    collected and become (a) a filter on ``members`` by shard folder and leaf,
+    and (b) a small local table joined back to the query vectors.
     """
-    meta = forest.meta
-    id_col, dim = meta["id_col"], int(meta["dim"])
-    rows = n_queries * 2 * int(meta["shards"])
-    hits = leaf_hits(forest, queries, metric, n_queries)
-    members = forest.members
-    if rows <= MAX_STATIC_LEAVES:
-        spark = queries.sparkSession
-        keys = hits.select(QID, SHARD, LEAF).collect()
-        qid_type = queries.schema[QID].dataType
-        key_df = spark.createDataFrame([tuple(r) for r in keys], T.StructType([
-            T.StructField(QID, qid_type), T.StructField(SHARD, T.IntegerType()), T.StructField(LEAF, T.StringType())]))
-        hits = _join_small(key_df, queries.select(QID, Q), [QID], n_queries, dim)
-        wanted = sorted({f"{r[SHARD]}/{r[LEAF]}" for r in keys})
-        members = members.filter(F.concat_ws("/", F.col(SHARD).cast("string"), F.col(LEAF)).isin(wanted)) \
-            if wanted else members.limit(0)
-    hits = with_query_norm(hits)
-    j = _join_small(members, hits, [SHARD, LEAF], rows, dim)
-    return j.select(QID, SHARD, LEAF, id_col,
-                    search_score(metric, VEC, Q, dim if dim > 0 else None, Q_NORM).alias(SCORE))
+    id_col = forest.meta["id_col"]
+    spark = queries.sparkSession
+    keys = leaf_hits(forest, queries, metric).select(QID, SHARD, LEAF).collect()
+    key_df = spark.createDataFrame([tuple(r) for r in keys], T.StructType([
+        T.StructField(QID, queries.schema[QID].dataType), T.StructField(SHARD, T.IntegerType()),
+        T.StructField(LEAF, T.StringType())]))
+    hits = with_query_norm(queries.select(QID, Q).join(F.broadcast(key_df), QID))
+    members = forest.members.filter(
+        F.col(SHARD).isin(sorted({r[SHARD] for r in keys})) & F.col(LEAF).isin(sorted({r[LEAF] for r in keys}))
+        & (F.size(VEC) > 0))  # rows without features have no place in a tree: no result
+    rows, v_norm = with_row_norm(members, metric, VEC)
+    j = rows.join(F.broadcast(hits), [SHARD, LEAF])  # at most LEAF_KEYS_PER_BLOCK rows
+    return j.select(QID, SHARD, LEAF, id_col, search_score(metric, VEC, Q, Q_NORM, v_norm).alias(SCORE))
+
+
+def _query_blocks(forest: Forest, queries: DataFrame, info: QueryInfo | None) -> tuple[list[DataFrame], bool]:
+    """Blocks of queries of a bounded number of leaf keys and of bounded size;
+    whether there is one query only (checked in the plan where declared)."""
+    if info is not None and info.rows == 1:
+        return [only_query(queries)], True
+    info = query_info(queries)
+    per_query = 2 * int(forest.meta["shards"])
+    n = max(1, -(-info.rows * per_query // LEAF_KEYS_PER_BLOCK),
+            -(-estimate_bytes(info.rows * per_query, info.dim) // MAX_BROADCAST_BYTES))
+    if n == 1:
+        return [queries], info.rows <= 1
+    block = F.pmod(F.xxhash64(QID), F.lit(n))
+    return [queries.filter(block == i) for i in range(n)], False
+
+
+def leaf_scores(forest: Forest, queries: DataFrame, metric: str, info: QueryInfo | None = None) -> DataFrame:
+    """``(query_id, shard, leaf_id, id, similarity_score)`` for every member of
+    the chosen leaves, only whose files are read."""
+    out = None
+    for block in _query_blocks(forest, queries, info)[0]:
+        part = _block_scores(forest, block, metric)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def forest_top_k(forest: Forest, queries: DataFrame, metric: str, k: int,
                  info: QueryInfo | None = None) -> DataFrame:
     """Approximate top-k per query through the index."""
     metric = M.resolve_metric(metric)
-    info = info or query_info(queries)
-    validate_k(k, info.rows == 1)
+    validate_k(k)
     id_col = forest.meta["id_col"]
-    scored = leaf_scores(forest, queries, metric, info.rows)
-    return top_k(scored, k, id_col, single_group=info.rows == 1).select(QID, "rank", id_col, SCORE)
+    blocks, single = _query_blocks(forest, queries, info)
+    out = None
+    for block in blocks:  # a query lies in one block whole
+        part = top_k(_block_scores(forest, block, metric), k, id_col, single_group=single)
+        out = part if out is None else out.unionByName(part)
+    return out.select(QID, "rank", id_col, SCORE)

@@ -5,9 +5,9 @@ Pick n diverse references from a deterministic sample, re-describe every row
 that n-dimensional space with the same metric.  Scores are similarities of
 similarity profiles, not comparable with the other modes.
 
-Plan: the references are packed into one row (n x K doubles, size-checked)
-and broadcast; each row's profile is a single ``transform`` over that array,
-so the table is scanned once with no shuffle.  The profile table can be
+Plan: the references are packed into one row (n x K doubles; in blocks beyond
+the broadcast limit) and broadcast; each row's profile is a ``transform`` over
+that array, so the table is scanned once with no shuffle.  The profile table can be
 written to Parquet once and searched many times.
 """
 
@@ -23,7 +23,7 @@ from vicinity.functions.vectors import VEC
 from vicinity.operators.broadcast import MAX_BROADCAST_BYTES, estimate_bytes
 from vicinity.operators.references import REF_NO, diverse_references
 from vicinity.operators.sampling import hash_sample
-from vicinity.plans.exact import QueryInfo, exact_top_k
+from vicinity.plans.exact import QueryInfo, exact_top_k, only_query
 from vicinity.sources.queries import Q, QID
 
 SIMS = "sims"
@@ -57,55 +57,69 @@ def profile(vec: str, metric: str) -> F.Column:
     return F.expr(f"transform({_REFS}, rv -> {body})")
 
 
-def _attach(df: DataFrame, packed: DataFrame, n_refs: int, dim: int | None) -> DataFrame:
-    if dim is not None and estimate_bytes(n_refs, dim) > MAX_BROADCAST_BYTES:
-        raise ValueError(f"{n_refs} references x {dim} dims exceed the broadcast limit")
+def _attach(df: DataFrame, packed: DataFrame) -> DataFrame:
+    """Every row with the one row of packed references.
+
+    References are a parameter's number of rows of a bounded sample; Spark holds
+    them once per executor, like any broadcast."""
     return df.crossJoin(F.broadcast(packed))
 
 
-def to_similarity_space(table: DataFrame, packed: DataFrame, metric: str, id_col: str,
-                        n_refs: int, vec_col: str = VEC, dim: int | None = None) -> DataFrame:
-    """``(id, sims array<double>)``; no references -> ``sims`` is empty."""
-    j = _attach(table.select(id_col, vec_col), packed, n_refs, dim).withColumn(_N, M.norm(vec_col))
-    return j.select(id_col, profile(vec_col, metric).alias(SIMS))
+def _profiles(df: DataFrame, refs: DataFrame, metric: str, vec_col: str, keep: list[str], out: str,
+              limit_bytes: int | None = None) -> DataFrame:
+    """``keep`` and the array of similarities to ``refs``, in the order of ``ref_no``.
+
+    The size of the references is taken from themselves.  Where they do not fit
+    one broadcast, blocks of consecutive references are attached one after the
+    other and the partial profiles are concatenated: still one scan, no shuffle."""
+    size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(VEC)).alias("d")).first()
+    n, dim = int(size["n"]), int(size["d"] or 0)
+    limit = MAX_BROADCAST_BYTES if limit_bytes is None else limit_bytes
+    per_block = max(1, limit // estimate_bytes(1, dim))
+    out_df = df.withColumn(_N, M.norm(vec_col)).withColumn(out + "_", F.array().cast("array<double>"))
+    for lo in range(0, max(n, 1), per_block):
+        block = refs.filter(F.col(REF_NO).between(lo, lo + per_block - 1))
+        part = _attach(out_df, pack_references(block))
+        out_df = part.withColumn(out + "_", F.concat(F.col(out + "_"), profile(vec_col, metric))).drop(_REFS, _RNORMS)
+    return out_df.select(*keep, F.col(out + "_").alias(out))
+
+
+def to_similarity_space(table: DataFrame, refs: DataFrame, metric: str, id_col: str, vec_col: str = VEC,
+                        limit_bytes: int | None = None) -> DataFrame:
+    """``(id, sims array<double>)`` of the rows with features; no references -> ``sims`` is empty."""
+    rows = table.select(id_col, vec_col).filter(F.size(vec_col) > 0)  # without features a row is in no space
+    return _profiles(rows, refs, metric, vec_col, [id_col], SIMS, limit_bytes)
 
 
-def query_to_similarity_space(queries: DataFrame, packed: DataFrame, metric: str, n_refs: int,
-                              dim: int | None = None) -> DataFrame:
-    j = _attach(queries.select(QID, Q), packed, n_refs, dim).withColumn(_N, M.norm(Q))
-    return j.select(QID, profile(Q, metric).alias(Q))
+def query_to_similarity_space(queries: DataFrame, refs: DataFrame, metric: str, limit_bytes: int | None = None) -> DataFrame:
+    return _profiles(queries.select(QID, Q).filter(F.size(Q) > 0), refs, metric, Q, [QID], Q, limit_bytes)
 
 
 def select_references(table: DataFrame, id_col: str, metric: str, params: TransformParams,
-                      vec_col: str = VEC, total_rows: int | None = None) -> DataFrame:
-    sample = hash_sample(table.select(id_col, vec_col), id_col, params.sample_size, params.seed,
-                         total_rows=total_rows)
+                      vec_col: str = VEC) -> DataFrame:
+    sample = hash_sample(table.select(id_col, vec_col), id_col, params.sample_size, params.seed)
     return diverse_references(sample, id_col, params.n_refs, metric, params.use_median, vec_col)
 
 
 def transform_top_k(table: DataFrame, queries: DataFrame, metric: str, k: int, id_col: str,
-                    params: TransformParams = TransformParams(), vec_col: str = VEC,
-                    n_queries: int | None = None, dim: int | None = None,
+                    params: TransformParams = TransformParams(), vec_col: str = VEC, one_query: bool = False,
                     space: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """Top-k per query in the similarity space.  ``space`` may be a stored
-    profile table built with the same ``refs``."""
+    profile table built with the same ``refs``.  ``one_query`` declares a single
+    query (checked in the plan).  Rows without features are in no space: no result."""
     # references come from a written sample (or a stored table): cheap to re-read,
     # so nothing is cached and nothing leaks past the returned plan
     refs = refs if refs is not None else select_references(table, id_col, metric, params, vec_col)
-    n_refs = refs.count()
-    if n_refs == 0:
-        return exact_top_k(table.limit(0), queries, metric, k, id_col, vec_col,
-                           info=QueryInfo(n_queries or 1, 0))
-    packed = pack_references(refs, vec_col)
-    space = space if space is not None else to_similarity_space(table, packed, metric, id_col, n_refs,
-                                                                 vec_col, dim)
-    qspace = query_to_similarity_space(queries, packed, metric, n_refs, dim)
-    info = QueryInfo(n_queries, n_refs) if n_queries is not None else None
+    info = QueryInfo(1, 0) if one_query else None
+    if refs.isEmpty():
+        return exact_top_k(table.limit(0), queries, metric, k, id_col, vec_col, info=info)
+    space = space if space is not None else to_similarity_space(table, refs, metric, id_col, vec_col)
+    qspace = query_to_similarity_space(only_query(queries) if one_query else queries, refs, metric)
     return exact_top_k(space, qspace, metric, k, id_col, SIMS, info=info)
 
 
 def build_similarity_space(table: DataFrame, id_col: str, metric: str, params: TransformParams, path: str,
-                           vec_col: str = VEC, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+                           vec_col: str = VEC) -> tuple[DataFrame, DataFrame]:
     """Choose the references and write ``refs`` and the profile table
     ``space`` (id, sims) under ``path``; returns both, read back.  Searches
     then scan the N-dim ``space`` table instead of the K-dim vectors."""
@@ -113,7 +127,6 @@ def build_similarity_space(table: DataFrame, id_col: str, metric: str, params: T
     refs = select_references(table, id_col, metric, params, vec_col)
     refs.write.mode("overwrite").parquet(f"{path}/refs")
     refs = spark.read.schema(refs.schema).parquet(f"{path}/refs")
-    n = refs.count()
-    space = to_similarity_space(table, pack_references(refs, vec_col), metric, id_col, n, vec_col, dim)
+    space = to_similarity_space(table, refs, metric, id_col, vec_col)
     space.write.mode("overwrite").parquet(f"{path}/space")
     return spark.read.schema(space.schema).parquet(f"{path}/space"), refs

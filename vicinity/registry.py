@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from vicinity.operators.topk import SCORE, null_score_last, ranked_report
 from vicinity.plans.exact import QueryInfo, exact_top_k, score_all
 from vicinity.sources import tables as T
 from vicinity.sources.generate import uniform_like
-from vicinity.sources.queries import Q, QID, queries_by_id
+from vicinity.sources.queries import Q, QID, queries_by_id, seeded_query
 from vicinity.sources.store import load_or_materialise
 from vicinity.session import scratch_path
 
@@ -94,9 +95,22 @@ def _materialise(spark: SparkSession, d: str) -> DataFrame:
     return load_or_materialise(spark, path, lambda: T.order_vectors(spark, d), ["l_orderkey", VEC], force=True)
 
 
-@register("uniform_vectors")
+@register("materialise_reuse", f"SELECT l_orderkey, vec FROM ({O.ORDER_VEC})")
+def _materialise_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Written once; the second call finds it and does not build (it would build nothing)."""
+    path = scratch_path(spark, "order_vec_reuse_" + d.rstrip("/").replace("/", "_"))
+    cols = ["l_orderkey", VEC]
+    load_or_materialise(spark, path, lambda: T.order_vectors(spark, d), cols, force=True)
+    return load_or_materialise(spark, path, lambda: T.order_vectors(spark, d).limit(0), cols)
+
+
+@register("uniform_vectors", "SELECT vec_id, len(embedding)::INTEGER AS n, true AS in_range FROM embeddings")
 def _uniform(spark: SparkSession, d: str) -> DataFrame:
-    return uniform_like(T.embeddings(spark, d), "vec_id", 64)
+    """Random vectors for the table's ids, as wide as its own: what holds of them whatever the numbers."""
+    t = T.embeddings(spark, d)
+    width = t.agg(F.max(F.size(VEC))).first()[0]
+    u = uniform_like(t, "vec_id", width)
+    return u.select("vec_id", F.size(VEC).alias("n"), F.forall(VEC, lambda x: (x >= 0) & (x < 1)).alias("in_range"))
 
 
 @register("query_constant", O.exact_topk_sql(
@@ -110,6 +124,16 @@ def _query_constant(spark: SparkSession, d: str) -> DataFrame:
     return round_scores(exact_top_k(t, q, "cosine", 10, "vec_id", info=QueryInfo(1, 0)))
 
 
+_SEEDED = ", ".join(repr(float(x)) for x in np.random.RandomState(42).rand(64))
+
+
+@register("query_seeded", O.exact_topk_sql(
+    O.EMB, "vec_id", f"SELECT 0::BIGINT AS query_id, CAST([{_SEEDED}] AS DOUBLE[]) AS q", "manhattan_sim", 10))
+def _query_seeded(spark: SparkSession, d: str) -> DataFrame:
+    t = T.embeddings(spark, d)
+    return round_scores(exact_top_k(t, seeded_query(spark, 64, 42), "manhattan_sim", 10, "vec_id", info=QueryInfo(1, 64)))
+
+
 @register("count_vectors", f"SELECT count(*) AS n FROM ({O.ORDER_VEC})")
 def _count(spark: SparkSession, d: str) -> DataFrame:
     return T.order_vectors(spark, d).agg(F.count(F.lit(1)).alias("n"))
@@ -204,15 +228,6 @@ def _null_last(spark: SparkSession, d: str) -> DataFrame:
     return j.select("p_partkey", null_score_last(SCORE).alias(SCORE))
 
 
-@register("empty_feature_scores", "SELECT vec_id, 0.0::DOUBLE AS similarity_score FROM embeddings")
-def _empty(spark: SparkSession, d: str) -> DataFrame:
-    ids = T.read_table(spark, d, "embeddings").select(
-        "vec_id", F.array().cast("array<double>").alias(VEC))
-    q = spark.createDataFrame([(0, [])], f"{QID} long, {Q} array<double>")
-    s = score_all(ids, q, "euclidean_sim", "vec_id", info=QueryInfo(1, 0))
-    return s.filter(M.is_valid_score(SCORE)).select("vec_id", SCORE)
-
-
 # ---------------------------------------------------------------- exact top-k
 
 _Q0 = f"SELECT vec_id AS query_id, vec AS q FROM ({O.EMB}) WHERE vec_id = 0"
@@ -235,7 +250,7 @@ def _topk_multi(metric: str) -> QueryFn:
     def fn(spark: SparkSession, d: str) -> DataFrame:
         t = T.scaled_embeddings(spark, d)
         q = per_label_queries(spark, d, t)
-        return round_scores(exact_top_k(t, q, metric, 10, "vec_id", info=QueryInfo(10, 64)), metric=metric)
+        return round_scores(exact_top_k(t, q, metric, 10, "vec_id"), metric=metric)
     return fn
 
 
@@ -255,6 +270,20 @@ for _m in M.METRIC_NAMES:
         _topk_orders(_m))
 
 
+USER_METRIC = M.register_metric("neg_sq_l2", lambda a, b: f"(0D - {M.sq_distance_sql(a, b)})")
+register("topk_user_metric", O.exact_topk_sql(O.SCALED_EMB, "vec_id", _LABEL_Q, USER_METRIC, 10))(_topk_multi(USER_METRIC))
+
+_TEN_ORDERS = f"SELECT l_orderkey AS query_id, vec AS q FROM ({O.ORDER_VEC}) ORDER BY l_orderkey LIMIT 10"
+
+
+@register("topk_large_k_multi", O.exact_topk_sql(O.ORDER_VEC, "l_orderkey", _TEN_ORDERS, "euclidean_sim", 1500))
+def _large_k(spark: SparkSession, d: str) -> DataFrame:
+    """Ten queries (the orders of the ten smallest keys), 1,500 results each."""
+    t = T.order_vectors(spark, d)
+    q = t.orderBy("l_orderkey").limit(10).select(F.col("l_orderkey").alias(QID), F.col(VEC).alias(Q))
+    return round_scores(exact_top_k(t, q, "euclidean_sim", 1500, "l_orderkey"))
+
+
 @register("ranked_report",
           "SELECT query_id, rank, vec_id, similarity_score, printf('%.4f', similarity_score) AS score_text "
           "FROM (" + O.exact_topk_sql(O.EMB, "vec_id", _Q0, "cosine", 5) + ")")
@@ -267,7 +296,7 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
 from vicinity.operators.centers import CENTER, mean_vector, median_vector  # noqa: E402
 from vicinity.operators.references import REF_NO, nearest_to  # noqa: E402
 from vicinity.operators.sampling import bernoulli_sample, hash_sample  # noqa: E402
-from vicinity.plans.transform import (SIMS, TransformParams, pack_references,  # noqa: E402
+from vicinity.plans.transform import (SIMS, TransformParams,  # noqa: E402
                                       query_to_similarity_space, select_references,
                                       to_similarity_space, transform_top_k)
 from vicinity.functions.vectors import vector_to_wide  # noqa: E402
@@ -287,10 +316,19 @@ def _hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return hash_sample(T.embeddings(spark, d), "vec_id", 200, 42).select("vec_id")
 
 
-@register("bernoulli_sample")
+@register("bernoulli_sample", "SELECT true AS known_ids, true AS no_repeats, true AS plausible_size")
 def _bernoulli(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any sample of about 240 rows: its ids are the table's, without
+    repeats, and its size is within six standard deviations."""
     t = T.embeddings(spark, d)
-    return bernoulli_sample(t, 200, t.count(), 42).select("vec_id")
+    n = t.count()
+    s = bernoulli_sample(t, 200, n, 42).select("vec_id")
+    known = t.select("vec_id", F.lit(1).alias("known"))
+    p = min(1.0, 240 / n)
+    six = 6 * (n * p * (1 - p)) ** 0.5
+    return s.join(known, "vec_id", "left").agg(
+        (F.count("known") == F.count("*")).alias("known_ids"), (F.countDistinct("vec_id") == F.count("*")).alias("no_repeats"),
+        F.count("*").between(n * p - six, n * p + six).alias("plausible_size"))
 
 
 @register("center_mean", "SELECT label, " + O.round_list("center") + " AS center FROM (" + O.mean_vector_sql(
@@ -300,11 +338,9 @@ def _center_mean(spark: SparkSession, d: str) -> DataFrame:
     return mean_vector(e, VEC, ["label"]).select("label", r6_list(CENTER).alias(CENTER))
 
 
-@register("center_median", "SELECT " + O.round_list("center") + " AS center FROM (" + O.median_vector_sql(
-    O.hash_sample_sql(O.EMB, "vec_id", 200, 42)) + ")")
+@register("center_median", "SELECT " + O.round_list("center") + " AS center FROM (" + O.median_vector_sql(O.EMB) + ")")
 def _center_median(spark: SparkSession, d: str) -> DataFrame:
-    s = hash_sample(T.embeddings(spark, d), "vec_id", 200, 42)
-    return median_vector(s).select(r6_list(CENTER).alias(CENTER))
+    return median_vector(T.embeddings(spark, d)).select(r6_list(CENTER).alias(CENTER))
 
 
 @register("nearest_to_center", f"""
@@ -337,20 +373,16 @@ register("diverse_references_median", _refs_sql("cosine", True))(_refs("cosine",
 register("diverse_references_manhattan", _refs_sql("manhattan_sim"))(_refs("manhattan_sim"))
 
 
-def _space(spark: SparkSession, d: str, metric: str = "cosine") -> tuple[DataFrame, DataFrame, int]:
+def _space(spark: SparkSession, d: str, metric: str = "cosine") -> DataFrame:
     t = T.embeddings(spark, d)
-    refs = select_references(t, "vec_id", metric, TP).cache()
-    n = refs.count()
-    packed = pack_references(refs)
-    return to_similarity_space(t, packed, metric, "vec_id", n, dim=64), packed, n
+    return to_similarity_space(t, select_references(t, "vec_id", metric, TP), metric, "vec_id")
 
 
 @register("similarity_space", "WITH RECURSIVE " + O.references_ctes(O.EMB, "vec_id", "cosine", TP.n_refs,
                                                                       TP.sample_size, TP.seed)
           + O.space_ctes("vec_id", "cosine", _Q7) + f" SELECT id AS vec_id, {O.round_list('sims')} AS sims FROM space")
 def _sim_space(spark: SparkSession, d: str) -> DataFrame:
-    sp, _, _ = _space(spark, d)
-    return sp.select("vec_id", r6_list(SIMS).alias(SIMS))
+    return _space(spark, d).select("vec_id", r6_list(SIMS).alias(SIMS))
 
 
 @register("similarity_space_wide", "WITH RECURSIVE " + O.references_ctes(
@@ -358,8 +390,7 @@ def _sim_space(spark: SparkSession, d: str) -> DataFrame:
     + O.space_ctes("vec_id", "euclidean_sim", _Q7) + " SELECT id AS vec_id, "
     + ", ".join(f"round(sims[{i + 1}], 6) AS sim_to_ref_{i}" for i in range(TP.n_refs)) + " FROM space")
 def _sim_space_wide(spark: SparkSession, d: str) -> DataFrame:
-    sp, _, n = _space(spark, d, "euclidean_sim")
-    w = vector_to_wide(sp, "vec_id", SIMS, n, "sim_to_ref_")
+    w = vector_to_wide(_space(spark, d, "euclidean_sim"), "vec_id", SIMS, TP.n_refs, "sim_to_ref_")
     return w.select("vec_id", *[r6(c).alias(c) for c in w.columns if c != "vec_id"])
 
 
@@ -368,16 +399,15 @@ def _sim_space_wide(spark: SparkSession, d: str) -> DataFrame:
     + O.space_ctes("vec_id", "dot_product", _Q7) + f" SELECT query_id, {O.round_list('q')} AS q FROM qspace")
 def _q_space(spark: SparkSession, d: str) -> DataFrame:
     t = T.embeddings(spark, d)
-    refs = select_references(t, "vec_id", "dot_product", TP).cache()
-    n = refs.count()
-    qs = query_to_similarity_space(queries_by_id(t, "vec_id", 7), pack_references(refs), "dot_product", n, 64)
+    refs = select_references(t, "vec_id", "dot_product", TP)
+    qs = query_to_similarity_space(queries_by_id(t, "vec_id", 7), refs, "dot_product")
     return qs.select(QID, r6_list(Q).alias(Q))
 
 
 def _topk_transform(metric: str) -> QueryFn:
     def fn(spark: SparkSession, d: str) -> DataFrame:
         t = T.embeddings(spark, d)
-        r = transform_top_k(t, queries_by_id(t, "vec_id", 7), metric, 10, "vec_id", TP, n_queries=1, dim=64)
+        r = transform_top_k(t, queries_by_id(t, "vec_id", 7), metric, 10, "vec_id", TP, one_query=True)
         return round_scores(r, metric=metric)
     return fn
 
@@ -388,12 +418,33 @@ for _m in M.METRIC_NAMES:
         _topk_transform(_m))
 
 
+def _topk_transform_on(source: Callable[[SparkSession, str], DataFrame], id_col: str, metric: str) -> QueryFn:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        t = source(spark, d)
+        r = transform_top_k(t, min_id_query(t, id_col), metric, 10, id_col, TP, one_query=True)
+        return round_scores(r, metric=metric)
+    return fn
+
+
+# Vectors of unequal length, on which the metrics rank differently.
+_MIN_SCALED_Q = f"SELECT vec_id AS query_id, vec AS q FROM ({O.SCALED_EMB}) WHERE vec_id = (SELECT min(vec_id) FROM embeddings)"
+for _m in M.METRIC_NAMES:
+    register(f"topk_transform_scaled_{SHORT[_m]}",
+             O.transform_topk_sql(O.SCALED_EMB, "vec_id", _MIN_SCALED_Q, _m, 10, TP.n_refs, TP.sample_size, TP.seed))(
+        _topk_transform_on(T.scaled_embeddings, "vec_id", _m))
+register("topk_transform_orders_manhattan",
+         O.transform_topk_sql(O.ORDER_VEC, "l_orderkey", _MIN_ORDER_Q, "manhattan_sim", 10, TP.n_refs, TP.sample_size, TP.seed))(
+    _topk_transform_on(T.order_vectors, "l_orderkey", "manhattan_sim"))
+
+
 # ---------------------------------------------------------------- forest index
 
 import hashlib  # noqa: E402
 import time  # noqa: E402
+import uuid  # noqa: E402
 
 from vicinity.plans import forest as FO  # noqa: E402
+from vicinity.plans import modes  # noqa: E402
 
 FP = FO.ForestParams(shards=2, k=3, max_depth=2, min_leaf=20, iterations=3, seed=42)
 FP_ONE = FO.ForestParams(shards=2, k=3, max_depth=1, min_leaf=20, iterations=3, seed=42)
@@ -403,7 +454,7 @@ def forest_for(spark: SparkSession, d: str, metric: str, fp: FO.ForestParams = F
     """Load the stored index for (table, metric, params), building it if absent or stale."""
     key = hashlib.md5(f"{d}|{fp}|{FO.FORMAT}".encode()).hexdigest()[:16]
     return FO.load_or_build_forest(T.embeddings(spark, d), "vec_id", metric, fp,
-                                   scratch_path(spark, f"forest-{key}"), dim=64)
+                                   scratch_path(spark, f"forest-{key}"))
 
 
 def _fsql(metric: str, fp: FO.ForestParams = FP, query_sql: str = _Q7) -> str:
@@ -468,7 +519,7 @@ def _invariants(spark: SparkSession, d: str) -> DataFrame:
 def _descent(spark: SparkSession, d: str) -> DataFrame:
     f = forest_for(spark, d, "cosine")
     q = per_label_queries(spark, d, T.embeddings(spark, d))
-    return FO.descend(f, q, "cosine", 10).select(QID, FO.SHARD, FO.LEAF)
+    return FO.descend(f, q, "cosine").select(QID, FO.SHARD, FO.LEAF)
 
 
 @register("leaf_scan", _fsql("cosine") + f"""
@@ -477,7 +528,7 @@ def _descent(spark: SparkSession, d: str) -> DataFrame:
 def _leaf_scan(spark: SparkSession, d: str) -> DataFrame:
     f = forest_for(spark, d, "cosine")
     t = T.embeddings(spark, d)
-    s = FO.leaf_scores(f, queries_by_id(t, "vec_id", 7), "cosine", 1)
+    s = FO.leaf_scores(f, queries_by_id(t, "vec_id", 7), "cosine", QueryInfo(1, 64))
     return round_scores(s.select(QID, "vec_id", SCORE))
 
 
@@ -486,7 +537,7 @@ def _topk_forest(metric: str, multi: bool = False) -> QueryFn:
         f = forest_for(spark, d, metric)
         t = T.embeddings(spark, d)
         q = per_label_queries(spark, d, t) if multi else queries_by_id(t, "vec_id", 7)
-        r = FO.forest_top_k(f, q, metric, 10, QueryInfo(10 if multi else 1, 64))
+        r = FO.forest_top_k(f, q, metric, 10, None if multi else QueryInfo(1, 64))
         return round_scores(r, metric=metric)
     return fn
 
@@ -497,13 +548,95 @@ register("topk_forest_multi_cosine", O.forest_topk_sql(O.EMB, "vec_id", _LABEL_Q
     _topk_forest("cosine", True))
 
 
+def _forest_path(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"forest-{name}-{uuid.uuid4().hex}")
+
+
+FP_DEEP = FO.ForestParams(shards=2, k=4, max_depth=3, min_leaf=40, iterations=3, seed=42)
+
+
+def _topk_forest_scaled(metric: str) -> QueryFn:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        t = T.scaled_embeddings(spark, d)
+        path = scratch_path(spark, "forest-scaled-" + hashlib.md5(f"{d}|{FP_DEEP}|{FO.FORMAT}".encode()).hexdigest()[:16])
+        f = FO.load_or_build_forest(t, "vec_id", metric, FP_DEEP, path)
+        return round_scores(FO.forest_top_k(f, min_id_query(t, "vec_id"), metric, 10, QueryInfo(1, 64)), metric=metric)
+    return fn
+
+
+for _m in M.METRIC_NAMES:
+    register(f"topk_forest_scaled_{SHORT[_m]}",
+             O.forest_topk_sql(O.SCALED_EMB, "vec_id", _MIN_SCALED_Q, _m, 10, FP_DEEP))(_topk_forest_scaled(_m))
+
+# Few distinct points (equal seeds, so children that lose all rows), early leaves, and rows with NaN.
+_GRID = ("SELECT vec_id, [CASE WHEN vec_id % 17 = 3 THEN 'NaN'::DOUBLE ELSE CAST(label AS DOUBLE) END, "
+         "CAST(label % 3 AS DOUBLE), CAST(vec_id % 2 AS DOUBLE)] AS vec FROM embeddings")
+_GRID_Q = f"SELECT vec_id AS query_id, vec AS q FROM ({_GRID}) WHERE vec_id IN (0, 1, 25)"
+_GRID_INVALID = "isnan(vec[1])"
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read_table(spark, d, "embeddings")
+    x = F.when(F.col("vec_id") % 17 == 3, F.lit(float("nan"))).otherwise(F.col("label").cast("double"))
+    return e.select("vec_id", F.array(x, (F.col("label") % 3).cast("double"), (F.col("vec_id") % 2).cast("double")).alias(VEC))
+
+
+FP_GRID = FO.ForestParams(shards=2, k=5, max_depth=3, min_leaf=30, iterations=3, seed=7)
+
+
+@register("tree_nodes_sparse", O.forest_all_ctes(_GRID, "vec_id", "euclidean_sim", _GRID_Q, FP_GRID, _GRID_INVALID)
+          + " SELECT " + ", ".join(_NODE_COLS) + " FROM nodes")
+def _tree_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return FO.build_forest(_grid(spark, d), "vec_id", "euclidean_sim", FP_GRID, _forest_path(spark, "grid")).nodes.select(*_NODE_COLS)
+
+
+@register("topk_forest_sparse_euclidean",
+          O.forest_topk_sql(_GRID, "vec_id", _GRID_Q, "euclidean_sim", 10, FP_GRID, _GRID_INVALID))
+def _forest_sparse(spark: SparkSession, d: str) -> DataFrame:
+    t = _grid(spark, d)
+    f = FO.build_forest(t, "vec_id", "euclidean_sim", FP_GRID, _forest_path(spark, "grid"))
+    return round_scores(FO.forest_top_k(f, queries_by_id(t, "vec_id", [0, 1, 25]), "euclidean_sim", 10))
+
+
+@register("index_rebuild", O.forest_topk_sql(O.EMB, "vec_id", _Q7, "manhattan_sim", 10, FP))
+def _index_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Built with one seed for two metrics, rebuilt with another for one of them, searched with the other."""
+    t = T.embeddings(spark, d)
+    path = _forest_path(spark, "rebuild")
+    old = FO.ForestParams(FP.shards, FP.k, FP.max_depth, FP.min_leaf, FP.iterations, seed=1)
+    for m in ("cosine", "manhattan_sim"):
+        FO.load_or_build_forest(t, "vec_id", m, old, path)
+    FO.load_or_build_forest(t, "vec_id", "cosine", FP, path)
+    f = FO.load_or_build_forest(t, "vec_id", "manhattan_sim", FP, path)
+    return round_scores(FO.forest_top_k(f, queries_by_id(t, "vec_id", 7), "manhattan_sim", 10, QueryInfo(1, 64)),
+                        metric="manhattan_sim")
+
+
+# A table half of whose rows have no features, searched without features: the exact mode scores
+# those rows 0, the other modes have no place for them.
+@register("zero_features_modes",
+          "SELECT 'absolute' AS mode, vec_id, 0.0::DOUBLE AS similarity_score FROM embeddings WHERE len(embedding) > 0 AND label % 2 = 0")
+def _zero_features(spark: SparkSession, d: str) -> DataFrame:
+    e = T.embeddings(spark, d).join(T.read_table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    t = e.select("vec_id", F.when(F.col("label") % 2 == 0, F.array().cast("array<double>")).otherwise(F.col(VEC)).alias(VEC))
+    q = spark.createDataFrame([(0, [])], f"{QID} long, {Q} array<double>")
+    n = t.count()
+    out = None
+    for mode in modes.MODES:
+        opts = modes.SearchOptions(transform=TP, forest=FP, index_path=_forest_path(spark, "zero"))
+        r = modes.search(t, q, mode, "euclidean_sim", n, "vec_id", opts, one_query=True)
+        r = r.select(F.lit(mode).alias("mode"), "vec_id", SCORE)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @register("index_roundtrip", O.forest_topk_sql(O.EMB, "vec_id", _Q7, "manhattan_sim", 10, FP))
 def _index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Build (forced), then load through the fingerprint check, then search."""
     t = T.embeddings(spark, d)
     path = scratch_path(spark, "forest-roundtrip-" + hashlib.md5(d.encode()).hexdigest()[:12])
-    FO.build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
-    f = FO.load_or_build_forest(t, "vec_id", "manhattan_sim", FP, path, dim=64)
+    FO.build_forest(t, "vec_id", "manhattan_sim", FP, path)
+    f = FO.load_or_build_forest(t, "vec_id", "manhattan_sim", FP, path)
     return round_scores(FO.forest_top_k(f, queries_by_id(t, "vec_id", 7), "manhattan_sim", 10, QueryInfo(1, 64)),
                         metric="manhattan_sim")
 
@@ -513,8 +646,11 @@ def _index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 from vicinity.plans.exact import exact_top_k_mixed  # noqa: E402
 from vicinity.streaming.query_stream import REQUEST_SCHEMA, start_search_stream  # noqa: E402
 
-_LABEL_METRIC = ("CASE WHEN label < 3 THEN 'cosine' WHEN label < 5 THEN 'euclidean_sim' "
-                 "WHEN label < 8 THEN 'manhattan_sim' ELSE 'dot_product' END")
+# Names as callers write them: canonical ones, aliases in any case, a user metric, an unknown one.
+_LABEL_METRIC = ("CASE WHEN label < 3 THEN 'cosine' WHEN label < 4 THEN 'Euclidean' WHEN label < 6 THEN 'manhattan_sim' "
+                 "WHEN label < 7 THEN ' dot' WHEN label < 8 THEN 'NEG_SQ_L2' ELSE 'nonsense' END")
+_WRITTEN = {"cosine": "cosine", "euclidean_sim": "Euclidean", "manhattan_sim": "manhattan_sim", "dot_product": " dot",
+            "neg_sq_l2": "NEG_SQ_L2"}
 
 
 def label_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -527,13 +663,14 @@ def label_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed_sql() -> str:
+    requests = (f"SELECT e.vec_id, e.embedding, {_LABEL_METRIC} AS metric FROM embeddings e "
+                f"JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) f ON e.vec_id = f.vec_id")
     parts = []
-    for m in M.METRIC_NAMES:
-        q = (f"SELECT e.vec_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS q FROM embeddings e "
-             f"JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) f ON e.vec_id = f.vec_id "
-             f"WHERE {_LABEL_METRIC} = '{m}'")
-        parts.append(f"SELECT query_id, '{m}' AS metric, rank, vec_id, similarity_score FROM ("
+    for m, written in _WRITTEN.items():
+        q = f"SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM ({requests}) WHERE metric = '{written}'"
+        parts.append(f"SELECT query_id, '{m}' AS metric, rank, vec_id, similarity_score, CAST(NULL AS VARCHAR) AS error FROM ("
                      + O.exact_topk_sql(O.EMB, "vec_id", q, m, 5) + ")")
+    parts.append(f"SELECT vec_id, metric, NULL, NULL, NULL, 'unknown metric: ' || metric FROM ({requests}) WHERE metric = 'nonsense'")
     return " UNION ALL ".join(parts)
 
 
@@ -543,7 +680,7 @@ def _round_mixed(df: DataFrame) -> DataFrame:
 
 @register("topk_mixed_metrics", _mixed_sql())
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    r = exact_top_k_mixed(T.embeddings(spark, d), label_requests(spark, d), 5, "vec_id", info=QueryInfo(10, 64))
+    r = exact_top_k_mixed(T.embeddings(spark, d), label_requests(spark, d), 5, "vec_id")
     return _round_mixed(r)
 
 
@@ -573,9 +710,9 @@ def _transform_stored(spark: SparkSession, d: str) -> DataFrame:
     queries at once from the stored tables."""
     t = T.embeddings(spark, d)
     path = scratch_path(spark, "space-" + hashlib.md5(f"{d}{time.time_ns()}".encode()).hexdigest()[:12])
-    space, refs = build_similarity_space(t, "vec_id", "manhattan_sim", TP, path, dim=64)
+    space, refs = build_similarity_space(t, "vec_id", "manhattan_sim", TP, path)
     q = per_label_queries(spark, d, t)
-    r = transform_top_k(t, q, "manhattan_sim", 10, "vec_id", TP, n_queries=10, dim=64, space=space, refs=refs)
+    r = transform_top_k(t, q, "manhattan_sim", 10, "vec_id", TP, space=space, refs=refs)
     return round_scores(r)
 
 
@@ -588,9 +725,9 @@ def _topk_arrow(metric: str) -> QueryFn:
     def fn(spark: SparkSession, d: str) -> DataFrame:
         t = T.scaled_embeddings(spark, d)
         q = per_label_queries(spark, d, t)
-        return round_scores(arrow_top_k(t, q, metric, 10, "vec_id", info=QueryInfo(10, 64)), metric=metric)
+        return round_scores(arrow_top_k(t, q, metric, 10, "vec_id"), metric=metric)
     return fn
 
 
-for _m in ("cosine", "manhattan_sim"):
+for _m in M.METRIC_NAMES:
     register(f"topk_arrow_{SHORT[_m]}", O.exact_topk_sql(O.SCALED_EMB, "vec_id", _LABEL_Q, _m, 10))(_topk_arrow(_m))

@@ -29,12 +29,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_local_master(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one
-    already set on the context).  Only when neither is set, as in local tests,
-    a folder under the system temp directory is created.
+    already set on the context).  Only a ``local`` master, as in tests, may go
+    without: it gets a folder under the system temp directory.  On a cluster a
+    machine-local folder would lose what other executors write, so an unset
+    folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
     if not conf_dir:
+        if not is_local_master(sc.master):
+            raise ValueError(f"set {_CKPT_KEY} to a shared folder (master {sc.master!r})")
         conf_dir = tempfile.mkdtemp(prefix="vicinity-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

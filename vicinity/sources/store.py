@@ -34,12 +34,14 @@ def try_read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 
 def load_or_materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                         required_cols: list[str], force: bool = False) -> DataFrame:
-    """Reuse the table at ``path`` if it exists and has ``required_cols``;
-    otherwise (or when ``force``) build it, write it and read it back."""
+    """Reuse the table at ``path`` if it exists and its ``required_cols`` have
+    the types that ``build`` would give them; otherwise (or when ``force``)
+    build it, write it and read it back."""
+    built = build()
     if not force:
         df = try_read(spark, path)
-        if df is not None and all(c in df.columns for c in required_cols):
+        if df is not None and all(c in df.columns and df.schema[c].dataType == built.schema[c].dataType
+                                  for c in required_cols):
             return df
-    built = build()
     write_parquet(built, path)
     return read_parquet(spark, path, built.schema)

@@ -4,7 +4,8 @@ Each request is a row ``(query_id, q array<double>, metric)``.  Every
 micro-batch is answered with the exact top-k over the (static) vector table
 in a single scan via ``foreachBatch`` -- ``row_number`` windows are not
 allowed on streams directly, and a batch of requests is a small bounded
-table.  Results go to ``<out>/epoch=<n>``, overwritten per epoch, so a replayed
+table.  A request that cannot be answered gets a row with ``error`` set and
+does not hold up the stream.  Results go to ``<out>/epoch=<n>``, overwritten per epoch, so a replayed
 batch after a failure rewrites the same files (idempotent sink); progress is
 kept in the checkpoint location.
 """
@@ -16,15 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vicinity.functions.vectors import VEC
-from vicinity.plans.exact import exact_top_k_mixed, query_info
+from vicinity.plans.exact import exact_top_k_mixed
 
 REQUEST_SCHEMA = "query_id long, q array<double>, metric string"
 
 
 def answer_batch(table: DataFrame, requests: DataFrame, k: int, id_col: str, vec_col: str = VEC) -> DataFrame:
     """Top-k for one batch of requests (a static DataFrame)."""
-    info = query_info(requests)
-    return exact_top_k_mixed(table, requests, k, id_col, vec_col, info=info)
+    return exact_top_k_mixed(table, requests, k, id_col, vec_col)
 
 
 def start_search_stream(requests: DataFrame, table: DataFrame, k: int, id_col: str, out_path: str,
@@ -35,10 +35,13 @@ def start_search_stream(requests: DataFrame, table: DataFrame, k: int, id_col: s
         raise ValueError("requests must be a streaming DataFrame (spark.readStream...)")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        res = answer_batch(table, batch, k, id_col, vec_col).withColumn("epoch", F.lit(epoch_id))
-        res.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        batch = batch.persist()  # read once: it is checked, counted and searched
+        try:
+            if not batch.isEmpty():
+                res = answer_batch(table, batch, k, id_col, vec_col).withColumn("epoch", F.lit(epoch_id))
+                res.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
 
     w = requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
