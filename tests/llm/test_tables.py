@@ -208,16 +208,17 @@ def test_near_duplicates_odd_input(spark):
 
 
 def test_bayes_limits_miss_rarely():
-    limits = neardup.bayes_limits(3, 0.85)
+    limits = neardup.bayes_limits(16, 0.85)
     assert limits == sorted(limits)
     rng = np.random.default_rng(0)
-    differing = rng.random((200_000, 192)) < (1 - 0.85) / 2
+    differing = rng.random((50_000, 1024)) < (1 - 0.85) / 2
     ok = np.ones(len(differing), bool)
     for n, most in enumerate(limits, 1):
         ok &= differing[:, :64 * n].sum(axis=1) <= most
     assert (~ok).mean() < 1e-4
-    far = rng.random((20_000, 192)) < (1 - 0.3) / 2
-    assert (far.sum(axis=1) <= limits[2]).mean() < 0.01
+    far = rng.random((20_000, 1024)) < (1 - 0.7) / 2
+    assert (far.sum(axis=1) <= limits[-1]).mean() < 0.01
+    assert (far[:, :192].sum(axis=1) <= limits[2]).mean() > 0.5  # three batches alone do not tell
 
 
 def test_components(spark):

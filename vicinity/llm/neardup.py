@@ -7,10 +7,11 @@
    number of pairs is that of the members).  Components of the confirmed links follow.
 4. Only buckets whose members are still in different components are looked at again, and there only
    pairs across components with one member outside the smallest member's component.
-5. Every pair is verified sequentially: after each batch of 64 one-bit signature positions, it is
-   dropped if the posterior probability of the target similarity is below the miss probability.
-   The test is a condition of the join, so dropped pairs never become rows.  Survivors are compared
-   on their full shingle sets, and only those links count.
+5. Every pair is verified sequentially: members of buckets get a longer signature of one-bit
+   positions, and after each batch of 64 of them a pair is dropped if the posterior probability of
+   the target similarity is below the miss probability.  The test is a condition of the join, so
+   dropped pairs never become rows.  Survivors are compared on their full shingle sets, and only
+   those links count.
 
 No pair of two texts that share a band is lost: it is linked, refuted, or already in one component.
 With 32 bands of 6 values, texts of similarity 0.85 share no band with a chance of 3e-7.
@@ -41,10 +42,12 @@ WORDS = 5
 SIMILARITY_PCT = 85
 BANDS = 32
 BAND_ROWS = 6
+#: Batches of 64 one-bit positions that a pair can be tested on.
+SKETCH_WORDS = 16
 #: Chance of dropping a pair of the target similarity that each Bayesian test may take.
 MISS = 1e-6
 #: Shingles that are hashed in one go.
-_CHUNK = 512
+_CHUNK = 256
 
 
 def bayes_limits(n_batches: int, similarity: float, miss: float = MISS, batch: int = 64) -> list[int]:
@@ -53,7 +56,7 @@ def bayes_limits(n_batches: int, similarity: float, miss: float = MISS, batch: i
     Positions of two sets agree with probability (1 + similarity) / 2; the prior of the similarity is
     uniform.  A pair goes once P(similarity >= target | differences so far) falls below ``miss``.
     """
-    agree = np.linspace(0.5, 1.0, 40_001)[1:-1]
+    agree = np.linspace(0.5, 1.0, 5_001)[1:-1]
     wanted = agree >= (1 + similarity) / 2
     limits = []
     for n in range(batch, batch * n_batches + 1, batch):
@@ -79,55 +82,75 @@ def _signature(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return least
 
 
+def _hashed_sets(column: pa.Array, n_words: int, powers: Powers):
+    """``(lo, hi, sets)``: for runs of rows, the hashes of each text's distinct shingles; None without words."""
+    for lo, hi, data, offsets in text_blocks(column):
+        words = Block(data, offsets, powers, lower=True).words()
+        rolling = None
+        for size in range(1, n_words + 1):
+            rolling, _ = windows(words, size, rolling)
+        edges = np.searchsorted(words.doc, np.arange(hi - lo + 1))
+        sets: list[np.ndarray | None] = []
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if first == last:
+                sets.append(None)
+            elif last - first < n_words:  # the whole sequence as one shingle
+                whole = np.array([last - first], np.uint64)
+                for h in words.hash[first:last]:
+                    whole = mix(whole ^ h)
+                sets.append(whole)
+            else:
+                sets.append(np.unique(mix(rolling[first:last - n_words + 1])))
+        yield lo, hi, sets
+
+
 def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``(doc_id, text, n_shingles, digest, bands, sketch)``; no digest for an empty set."""
+    """``(doc_id, text, n_shingles, digest, bands)``; no digest and no bands for an empty set."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()),
-        T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+        T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def hash_texts(batches):
         powers, multipliers = Powers(), _multipliers(bands * rows)
         band_no = np.arange(1, bands + 1, dtype=np.uint64)
         weights = _multipliers(rows + 1)[1:]
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                words = Block(data, offsets, powers, lower=True).words()
-                rolling = None
-                for size in range(1, n_words + 1):
-                    rolling, _ = windows(words, size, rolling)
-                edges = np.searchsorted(words.doc, np.arange(hi - lo + 1))
-                counts, digests, keys, sketches = [], [], [], []
-                for i in range(hi - lo):
-                    first, last = int(edges[i]), int(edges[i + 1])
-                    if first == last:
-                        counts.append(0)
+            for lo, hi, sets in _hashed_sets(batch.column(1), n_words, powers):
+                digests, keys = [], []
+                for shingles in sets:
+                    if shingles is None:
                         digests.append(None)
                         keys.append(None)
-                        sketches.append(None)
                         continue
-                    if last - first < n_words:  # the whole sequence as one shingle
-                        whole = U(last - first)
-                        for h in words.hash[first:last]:
-                            whole = mix(np.array([whole ^ h]))[0]
-                        shingles = np.array([whole])
-                    else:
-                        shingles = np.unique(mix(rolling[first:last - n_words + 1]))
-                    least = _signature(shingles, multipliers)
-                    in_bands = (least.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
-                    counts.append(len(shingles))
+                    in_bands = (_signature(shingles, multipliers).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
                     digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                     keys.append(mix(in_bands ^ mix(band_no)).view(np.int64))
-                    sketches.append(np.packbits((mix(least) & U(1)).astype(bool)).view(np.int64))
+                counts = [0 if x is None else len(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=schema.names)
+                     pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     ship_by_value()
     return docs.select(id_col, text_col).mapInArrow(hash_texts, schema)
 
 
+def sketch_rows(texts: DataFrame, n_words: int = WORDS, sketch_words: int = SKETCH_WORDS, skip: int = BANDS * BAND_ROWS) -> DataFrame:
+    """``(node, n, sketch)`` of ``texts(node, text)``: set size and one-bit MinHash positions, by 64 in a
+    long, of hash functions other than the bands'."""
+
+    def sketch(batches):
+        powers, multipliers = Powers(), _multipliers(skip + 64 * sketch_words)[skip:]
+        for batch in batches:
+            for lo, hi, sets in _hashed_sets(batch.column(1), n_words, powers):
+                bits = [np.packbits((mix(_signature(x, multipliers)) & U(1)).astype(bool)).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["node", "n", "sketch"])
+
+    ship_by_value()
+    return texts.select("node", "text").mapInArrow(sketch, "node long, n long, sketch array<long>")
+
+
 def shingle_set(text: str, n_words: int = WORDS) -> frozenset:
     """The shingles themselves: tuples of words, or the whole sequence of a shorter text."""
     words = text.encode().lower().split()  # bytes: only A-Z are lowered, only ASCII space splits
@@ -141,7 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words:
     pairs = cut_lineage(pairs.select("u", "v").distinct(), "near-pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted, _ = broadcast_checked(cut_lineage(nodes, "near-nodes"), 1)
-    texts = cut_lineage(texts.join(wanted, "node", "left_semi"), "near-texts")
+    texts = texts.join(wanted, "node", "left_semi")
     rows = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
     rows = rows.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
 
@@ -169,40 +192,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words:
     return rows.mapInArrow(compare, "u long, v long")
 
 
-def _passes(a: str, b: str, limits: list[int]) -> str:
-    """The sequential test as a condition: each batch is counted only if those before passed."""
-    tests = []
+def _passes(limits: list[int], similarity_pct: int) -> str:
+    """The sequential test of sketches a and b as a condition: sizes first, then batch after batch,
+    each counted only if those before it passed."""
+    tests = [f"100 * least(na, nb) >= {similarity_pct} * greatest(na, nb)"]
     for n, most in enumerate(limits, 1):
-        tests.append(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(n)) + f" <= {most}")
+        tests.append(" + ".join(f"bit_count(a[{i}] ^ b[{i}])" for i in range(n)) + f" <= {most}")
     return " and ".join(f"({t})" for t in tests)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity_pct: int = SIMILARITY_PCT,
-                    n_words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, miss: float = MISS) -> DataFrame:
+                    n_words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS,
+                    miss: float = MISS) -> DataFrame:
     """One row per document: size of its shingle set, component, and whether it is the one kept."""
-    if bands * band_rows % 64:
-        raise ValueError("bands x band_rows must be a multiple of 64")
-    limits = bayes_limits(bands * band_rows // 64, similarity_pct / 100, miss)
+    passes = _passes(bayes_limits(sketch_words, similarity_pct / 100, miss), similarity_pct)
     table = shingle_rows(docs, id_col, text_col, n_words, bands, band_rows).withColumn("row_no", F.monotonically_increasing_id())
     table = cut_lineage(table, "shingles")
     filled = table.where("digest is not null")
     classes = cut_lineage(filled.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("first_id")), "classes")
     one_each = cut_lineage(
         filled.join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").select(
-            F.col("row_no").alias("node"), "bands", "sketch"), "class-signatures")
+            F.col("row_no").alias("node"), "bands"), "class-signatures")
     members = one_each.select("node", F.explode("bands").alias("key"))
     buckets = cut_lineage(
         members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n"), "buckets")
     members = cut_lineage(members.join(buckets, "key"), "bucket-members")
-    sketches = one_each.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
-    sketches = cut_lineage(sketches, "sketches")
-    texts = table.select(F.col("row_no").alias("node"), "text")
+    wanted, _ = broadcast_checked(cut_lineage(members.select("node").distinct(), "bucket-nodes"), 1)
+    texts = cut_lineage(table.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi"), "member-texts")
+    sketches = cut_lineage(sketch_rows(texts, n_words, sketch_words, bands * band_rows), "sketches")
 
     stars = cut_lineage(members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
     tested = (
-        stars.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
-        .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
-        .where(_passes("a", "b", limits)).select("u", "v"))
+        stars.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na")), "u")
+        .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb")), "v")
+        .where(passes).select("u", "v"))
     links = cut_lineage(confirmed(tested, texts, similarity_pct, n_words), "star-links")
     label = cut_lineage(components(links), "star-components")
 
@@ -214,11 +237,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = cut_lineage(open_.join(hubs, "key"), "open-buckets")
     rest = cut_lineage(placed.join(open_, "key").join(sketches, "node"), "open-members")
     outside = rest.where("component <> hub_component").select(
-        "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("a"))
+        "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("a"), F.col("n").alias("na"))
     other = rest.where("node <> hub").select(  # the hub itself has been compared with all
-        "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("sketch").alias("b"),
+        "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("sketch").alias("b"), F.col("n").alias("nb"),
         (F.col("component") == F.col("hub_component")).alias("inside"))
-    across = outside.join(other, "key").where(f"cu <> cv and (inside or u < v) and {_passes('a', 'b', limits)}").select("u", "v")
+    across = outside.join(other, "key").where(f"cu <> cv and (inside or u < v) and {passes}").select("u", "v")
     more = confirmed(across, texts, similarity_pct, n_words)
     label = cut_lineage(components(links.unionByName(more)), "all-components")
 
