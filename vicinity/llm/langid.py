@@ -38,6 +38,8 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-7
 #: Words that a task holds before it hands its counts on, or forgets their scores.
 HELD = 400_000
+#: Texts whose word counts are held at a time.
+ROWS = 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -193,22 +195,19 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """``(word, counts: array<struct<lang, n>>)``."""
 
     def count(batches):
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
         def flush():
-            if seen:
-                langs, words = zip(*seen, strict=True)
+            for lang, words in seen.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int64())],
+                    [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
                     names=["lang", "word", "n"])
-                seen.clear()
+            seen.clear()
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                lang = lang.as_py()
-                for word, n in Counter(words_of(text.as_py())).items():
-                    seen[lang, word] += n
-                if len(seen) > HELD:
+                seen.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
+                if sum(map(len, seen.values())) > HELD:
                     yield from flush()
         yield from flush()
 
@@ -264,15 +263,18 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, id_col:
     def score(batches):
         lattice = Lattice(load_pieces(vocabulary), sent.value)
         place: dict[str, int] = {}
-        logs = np.empty((0, len(langs)))
-        for batch in batches:
+        logs, n_logs = np.empty((0, len(langs))), 0
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             if len(place) > HELD:
-                place, logs = {}, np.empty((0, len(langs)))
+                place, n_logs = {}, 0
             counted = [Counter(words_of(t)) if t else Counter() for t in batch.column(0).to_pylist()]
             fresh = list({w for c in counted for w in c if w not in place}) if langs else []
             if fresh:
-                place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-                logs = np.vstack([logs, lattice.log_probability(fresh)])
+                place.update(zip(fresh, range(n_logs, n_logs + len(fresh)), strict=True))
+                if n_logs + len(fresh) > len(logs):
+                    logs = np.vstack([logs[:n_logs], np.empty((n_logs + 2 * len(fresh), len(langs)))])
+                logs[n_logs:n_logs + len(fresh)] = lattice.log_probability(fresh)
+                n_logs += len(fresh)
             pred, best = [], []
             for c in counted:
                 if not langs or not has_letter(c):
