@@ -101,6 +101,39 @@ def near_duplicates_sql(table: str) -> str:
     """
 
 
+def repetition_sql(table: str) -> str:
+    """Word and line repetition of ``table(doc_id, text)``."""
+    limits = repetition.MAX_NGRAM_SHARE
+    word = "[^\\x20\\x09-\\x0D]"
+    shares = ", ".join(f"coalesce(sum(chars) FILTER (n = {n}), 0) AS later_{n}" for n in limits)
+    named = ", ".join(f"coalesce(later_{n}, 0) / greatest(word_chars, 1) AS dup_{n}gram_share" for n in limits)
+    bad = " OR ".join(f"dup_{n}gram_share > {most}" for n, most in limits.items())
+    return f"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+                          regexp_extract_all(coalesce(text, ''), '{word}+') AS words FROM {table}),
+        c AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN words]), 0) AS BIGINT) AS word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+        g AS (SELECT r, words, n, unnest(range(1, CAST(len(words) AS BIGINT) - n + 2)) AS i FROM w, (VALUES {", ".join(f"({n})" for n in limits)}) t(n)),
+        k AS (SELECT r, n, i, words[i:i + n - 1] AS gram FROM g),
+        d AS (SELECT r, n, i, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS nth, count(*) OVER (PARTITION BY r, n, gram) AS times FROM k),
+        a AS (SELECT DISTINCT r, unnest(range(i, i + 5)) AS pos FROM d WHERE n = 5 AND times > 1),
+        a2 AS (SELECT r, count(*) AS n_repeat_words FROM a GROUP BY r),
+        l AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS pos FROM d WHERE nth > 1),
+        l2 AS (SELECT l.r, l.n, sum(length(w.words[pos])) AS chars FROM l JOIN w USING (r) GROUP BY l.r, l.n),
+        l3 AS (SELECT r, {shares} FROM l2 GROUP BY r),
+        p AS (SELECT r, string_split(text, chr(10)) AS lines FROM w),
+        q AS (SELECT r, lines[i] AS line, i FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM p)),
+        s AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM q WHERE regexp_matches(line, '{word}')),
+        s2 AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(length(line)) FILTER (nth > 1), 0) AS dup_chars,
+                      sum(length(line)) AS line_chars FROM s GROUP BY r),
+        m AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                     coalesce(dup_chars, 0) / greatest(coalesce(line_chars, 0), 1) AS dup_line_share, {named}
+              FROM c LEFT JOIN a2 USING (r) LEFT JOIN l3 USING (r) LEFT JOIN s2 USING (r)),
+        b AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_WORDS_PCT} * n_words AS base_failed FROM m)
+        SELECT *, NOT base_failed AND NOT (dup_line_share > {repetition.MAX_LINE_SHARE} OR {bad}) AS kept FROM b
+    """
+
+
 _WEIGHTS_SQL = ", ".join(f"('{name}', {weight}::DOUBLE)" for name, weight in MIX_WEIGHTS.items())
 
 ORACLES: dict[str, str] = {
@@ -123,6 +156,7 @@ ORACLES: dict[str, str] = {
         e AS (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM n)
         SELECT *, md5('0:' || coalesce(doc_id::VARCHAR, '') || '#' || copy_no) AS shuffle_key FROM e
     """,
+    "op2_repetition_coverage": repetition_sql("documents"),
     "op3_hamming_top_k": f"""
         WITH s AS (SELECT DISTINCT vec_id, [coalesce(embedding[i + 1] >= 0, false) FOR i IN range(64)] AS bits
                    FROM embeddings WHERE embedding IS NOT NULL),
