@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vicinity.session import cut_lineage, scratch_path  # noqa: F401  (re-exported to the operators)
 
@@ -24,12 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, id_col: str) -> DataFrame:
-    """Deal rows evenly when the scan has fewer tasks than the session's shuffle partitions would
-    use.  Not needed for splittable inputs; kept for single-row-group files."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(id_col))
-
-
 def text_blocks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole texts of about ``limit`` UTF-8 bytes.
 
