@@ -4,9 +4,9 @@
    with partial minima, so thousands of copies cost no more than one row in each task.
 2. MinHash signatures are cut into bands; classes that share a band's key are candidates.
 3. In each bucket every member is first compared with the bucket's smallest member (a star, so the
-   number of pairs is that of the members).  Components of the confirmed links follow.
-4. Only buckets whose members are still in different components are looked at again, and there only
-   pairs across components with one member outside the smallest member's component.
+   number of pairs is that of the members).  A round over the confirmed links labels what is connected.
+4. Only buckets whose members still have different labels are looked at again, and there only pairs
+   of different labels with one member outside the smallest member's.
 5. Every pair is verified sequentially: members of buckets get a longer signature of one-bit
    positions, and after each batch of 64 of them a pair is dropped if the posterior probability of
    the target similarity is below the miss probability.  The test is a condition of the join, so
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinity.llm.common import cut_lineage, ship_by_value, text_blocks
-from vicinity.llm.components import components
+from vicinity.llm.components import components, star_round
 from vicinity.llm.wordscan import U, Block, Powers, mix, windows
 from vicinity.operators.broadcast import broadcast_checked
 
@@ -104,6 +104,19 @@ def _hashed_sets(column: pa.Array, n_words: int, powers: Powers):
         yield lo, hi, sets
 
 
+class _Bands:
+    """Band keys of a set of shingle hashes."""
+
+    def __init__(self, bands: int, rows: int) -> None:
+        self._shape = bands, rows
+        self._multipliers, self._weights = _multipliers(bands * rows), _multipliers(rows + 1)[1:]
+        self._salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        least = _signature(shingles, self._multipliers).reshape(self._shape)
+        return mix((least * self._weights).sum(axis=1, dtype=np.uint64) ^ mix(self._salt)).view(np.int64)
+
+
 def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """``(doc_id, text, n_shingles, digest, bands)``; no digest and no bands for an empty set."""
     schema = T.StructType([
@@ -111,20 +124,11 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WOR
         T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def hash_texts(batches):
-        powers, multipliers = Powers(), _multipliers(bands * rows)
-        band_no = np.arange(1, bands + 1, dtype=np.uint64)
-        weights = _multipliers(rows + 1)[1:]
+        powers, in_bands = Powers(), _Bands(bands, rows)
         for batch in batches:
             for lo, hi, sets in _hashed_sets(batch.column(1), n_words, powers):
-                digests, keys = [], []
-                for shingles in sets:
-                    if shingles is None:
-                        digests.append(None)
-                        keys.append(None)
-                        continue
-                    in_bands = (_signature(shingles, multipliers).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
-                    digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                    keys.append(mix(in_bands ^ mix(band_no)).view(np.int64))
+                digests = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                keys = [None if x is None else in_bands.keys(x) for x in sets]
                 counts = [0 if x is None else len(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()),
@@ -134,21 +138,23 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WOR
     return docs.select(id_col, text_col).mapInArrow(hash_texts, schema)
 
 
-def sketch_rows(texts: DataFrame, n_words: int = WORDS, sketch_words: int = SKETCH_WORDS, skip: int = BANDS * BAND_ROWS) -> DataFrame:
-    """``(node, n, sketch)`` of ``texts(node, text)``: set size and one-bit MinHash positions, by 64 in a
-    long, of hash functions other than the bands'."""
+def sketch_rows(texts: DataFrame, n_words: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS) -> DataFrame:
+    """``(node, n, bands, sketch)`` of ``texts(node, text)``: set size, band keys, and one-bit MinHash
+    positions, by 64 in a long, of hash functions other than the bands'."""
 
     def sketch(batches):
-        powers, multipliers = Powers(), _multipliers(skip + 64 * sketch_words)[skip:]
+        powers, in_bands = Powers(), _Bands(bands, rows)
+        multipliers = _multipliers(bands * rows + 64 * sketch_words)[bands * rows:]
         for batch in batches:
             for lo, hi, sets in _hashed_sets(batch.column(1), n_words, powers):
                 bits = [np.packbits((mix(_signature(x, multipliers)) & U(1)).astype(bool)).view(np.int64) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
-                    names=["node", "n", "sketch"])
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()),
+                     pa.array([in_bands.keys(x) for x in sets], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["node", "n", "bands", "sketch"])
 
     ship_by_value()
-    return texts.select("node", "text").mapInArrow(sketch, "node long, n long, sketch array<long>")
+    return texts.select("node", "text").mapInArrow(sketch, "node long, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_set(text: str, n_words: int = WORDS) -> frozenset:
@@ -160,10 +166,10 @@ def shingle_set(text: str, n_words: int = WORDS) -> frozenset:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full sets are similar enough.  ``texts`` is ``(node, text)``."""
-    pairs = cut_lineage(pairs.select("u", "v").distinct(), "near-pairs")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted, _ = broadcast_checked(cut_lineage(nodes, "near-nodes"), 1)
+    """Those of ``pairs(u, v)``, each given once, whose full sets are similar enough.  ``texts`` is
+    ``(node, text)``."""
+    pairs = cut_lineage(pairs, "near-pairs")
+    wanted, _ = broadcast_checked(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))), 1)
     texts = texts.join(wanted, "node", "left_semi")
     rows = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
     rows = rows.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
@@ -189,7 +195,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ship_by_value()
-    return rows.mapInArrow(compare, "u long, v long")
+    return cut_lineage(rows.mapInArrow(compare, "u long, v long"), "confirmed")
 
 
 def _passes(limits: list[int], similarity_pct: int) -> str:
@@ -219,29 +225,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut_lineage(members.join(buckets, "key"), "bucket-members")
     wanted, _ = broadcast_checked(cut_lineage(members.select("node").distinct(), "bucket-nodes"), 1)
     texts = cut_lineage(table.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi"), "member-texts")
-    sketches = cut_lineage(sketch_rows(texts, n_words, sketch_words, bands * band_rows), "sketches")
+    sketches = cut_lineage(sketch_rows(texts, n_words, bands, band_rows, sketch_words), "sketches")
 
     stars = cut_lineage(members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
     tested = (
         stars.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na")), "u")
         .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb")), "v")
         .where(passes).select("u", "v"))
-    links = cut_lineage(confirmed(tested, texts, similarity_pct, n_words), "star-links")
-    label = cut_lineage(components(links), "star-components")
+    links = star_round(confirmed(tested, texts, similarity_pct, n_words))
+    # Labels after one round: equal ones are connected, which is all that the next step needs.
+    label = cut_lineage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "star-labels")
 
     placed = members.join(label, "node", "left").select(
         "key", "node", "hub", F.coalesce("component", "node").alias("component"))
     placed = cut_lineage(placed, "placed-members")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    hubs = placed.where("node = hub").select("key", F.col("component").alias("hub_component"))
-    open_ = cut_lineage(open_.join(hubs, "key"), "open-buckets")
+    at_hub = F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("hub_component")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), at_hub).where("lo < hi")
+    open_ = cut_lineage(open_.select("key", "hub_component"), "open-buckets")
     rest = cut_lineage(placed.join(open_, "key").join(sketches, "node"), "open-members")
     outside = rest.where("component <> hub_component").select(
-        "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("a"), F.col("n").alias("na"))
+        "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("a"), F.col("n").alias("na"),
+        F.col("bands").alias("ba"))
     other = rest.where("node <> hub").select(  # the hub itself has been compared with all
-        "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("sketch").alias("b"), F.col("n").alias("nb"),
+        "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("sketch").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"),
         (F.col("component") == F.col("hub_component")).alias("inside"))
-    across = outside.join(other, "key").where(f"cu <> cv and (inside or u < v) and {passes}").select("u", "v")
+    # A pair counts in the first band that it shares, so it is a row once.
+    first = "get(filter(zip_with(ba, bb, (x, y) -> if(x = y, x, null)), x -> x is not null), 0) = key"
+    across = outside.join(other, "key").where(f"cu <> cv and (inside or u < v) and {passes} and {first}").select("u", "v")
     more = confirmed(across, texts, similarity_pct, n_words)
     label = cut_lineage(components(links.unionByName(more)), "all-components")
 
