@@ -63,6 +63,19 @@ def load_pieces(path: str | None) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(found))}
 
 
+class _Places(dict):
+    """Numbers words as they come; ``fresh`` collects the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = at = len(self)
+        return at
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -73,6 +86,8 @@ def has_letter(words) -> bool:
 
 def _stretches(word: str) -> list[str]:
     word = "▁" + word
+    if len(word) <= STRETCH:
+        return [word]
     return [word[i:i + STRETCH] for i in range(0, len(word), STRETCH)]
 
 
@@ -99,17 +114,22 @@ class PieceTable:
                     break
             else:
                 raise ValueError("too many pieces for the table")
+        self._taken = self._piece >= 0
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(29))) * self._BASE >> self._shift).astype(np.int64)
 
-    def _look_up(self, h: np.ndarray) -> np.ndarray:
+    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and which pieces."""
         slot = self._slots(h)
-        out = np.where(self._hash[slot] == h, self._piece[slot], -1)
-        for n in range(1, self._probes):
+        some = np.flatnonzero(self._taken[slot])  # an empty slot ends the search for nearly all
+        slot, h = slot[some], h[some]
+        out = np.full(len(some), -1, np.int32)
+        for n in range(self._probes):
             at = slot + n & self._mask
             out = np.where((out < 0) & (self._hash[at] == h), self._piece[at], out)
-        return out
+        found = out >= 0
+        return some[found], out[found]
 
     def edges(self, words: list[str], length: int, unknown: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """``(start, size, which words, piece)`` of all substrings that are pieces; a letter that is
@@ -120,12 +140,13 @@ class PieceTable:
             h = np.zeros(len(words), np.uint64)
             for size in range(1, min(MAX_PIECE, length - start) + 1):
                 h = h * self._BASE + letters[:, start + size - 1]
-                piece = self._look_up(h)
-                if size == 1:
-                    piece = np.where(piece < 0, unknown, piece)
-                at = np.flatnonzero(piece >= 0)
+                at, piece = self._look_up(h)
+                if size == 1 and len(at) < len(words):
+                    letter = np.full(len(words), unknown, np.int32)
+                    letter[at] = piece
+                    at, piece = np.arange(len(words)), letter
                 if len(at):
-                    out.append((start, size, at, piece[at]))
+                    out.append((start, size, at, piece))
         return out
 
 
@@ -262,27 +283,27 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, id_col:
 
     def score(batches):
         lattice = Lattice(load_pieces(vocabulary), sent.value)
-        place: dict[str, int] = {}
-        logs, n_logs = np.empty((0, len(langs))), 0
+        place, logs = _Places(), np.empty((0, len(langs)))
         for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             if len(place) > HELD:
-                place, n_logs = {}, 0
-            counted = [Counter(words_of(t)) if t else Counter() for t in batch.column(0).to_pylist()]
-            fresh = list({w for c in counted for w in c if w not in place}) if langs else []
-            if fresh:
-                place.update(zip(fresh, range(n_logs, n_logs + len(fresh)), strict=True))
-                if n_logs + len(fresh) > len(logs):
-                    logs = np.vstack([logs[:n_logs], np.empty((n_logs + 2 * len(fresh), len(langs)))])
-                logs[n_logs:n_logs + len(fresh)] = lattice.log_probability(fresh)
-                n_logs += len(fresh)
+                place, logs = _Places(), np.empty((0, len(langs)))
+            known = len(place)
+            found = []
+            for text in batch.column(0).to_pylist():
+                words = words_of(text) if text and langs else []
+                found.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)) if has_letter(words) else None)
+            if place.fresh:
+                if len(place) > len(logs):
+                    logs = np.vstack([logs[:known], np.empty((len(place) + len(place.fresh), len(langs)))])
+                logs[known:len(place)] = lattice.log_probability(place.fresh)
+                place.fresh.clear()
             pred, best = [], []
-            for c in counted:
-                if not langs or not has_letter(c):
+            for at in found:
+                if at is None:
                     pred.append(UNDETERMINED)
                     best.append(0.0)
                     continue
-                n = np.fromiter(c.values(), np.float64, len(c))
-                total = n @ logs[np.fromiter(map(place.__getitem__, c), np.int64, len(c))]
+                total = logs[at].sum(axis=0)
                 share = np.exp(total - total.max())
                 top = int(share.argmax())
                 pred.append(langs[top])
