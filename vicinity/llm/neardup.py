@@ -3,10 +3,11 @@
 1. Texts with equal shingle sets form a class; only one member of each goes on.  Classes are found
    with partial minima, so thousands of copies cost no more than one row in each task.
 2. MinHash signatures are cut into bands; classes that share a band's key are candidates.
-3. In each bucket every member is first compared with the bucket's smallest member (a star, so the
-   number of pairs is that of the members).  A round over the confirmed links labels what is connected.
+3. In each bucket every member is first compared with the bucket's hub, the member that meets most
+   others (a star, so the number of pairs is that of the members).  A round over the confirmed links
+   labels what is connected.
 4. Only buckets whose members still have different labels are looked at again, and there only pairs
-   of different labels with one member outside the smallest member's.
+   of different labels with one member outside the hub's.
 5. Every pair is verified sequentially: members of buckets get a longer signature of one-bit
    positions, and after each batch of 64 of them a pair is dropped if the posterior probability of
    the target similarity is below the miss probability.  The test is a condition of the join, so
@@ -220,9 +221,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         filled.join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").select(
             F.col("row_no").alias("node"), "bands"), "class-signatures")
     members = one_each.select("node", F.explode("bands").alias("key"))
-    buckets = cut_lineage(
-        members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n"), "buckets")
+    buckets = cut_lineage(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = cut_lineage(members.join(buckets, "key"), "bucket-members")
+    # The hub of a bucket is the member that meets most others in all its buckets: the likely centre of a group.
+    met = cut_lineage(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).getField("node").alias("hub"))
+    members = cut_lineage(members.drop("n").join(hubs, "key"), "hub-members")
     wanted, _ = broadcast_checked(cut_lineage(members.select("node").distinct(), "bucket-nodes"), 1)
     texts = cut_lineage(table.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi"), "member-texts")
     sketches = cut_lineage(sketch_rows(texts, n_words, bands, band_rows, sketch_words), "sketches")
