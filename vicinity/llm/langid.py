@@ -37,7 +37,7 @@ STRETCH = 24
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
 #: Words that a task holds before it hands its counts on, or forgets their scores.
-HELD = 400_000
+HELD = 300_000
 #: Texts whose word counts are held at a time.
 ROWS = 256
 
