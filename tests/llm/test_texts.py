@@ -128,6 +128,23 @@ def test_novelty_tells_random_from_built_names():
     assert scanner.novel("no such context Zk83hQpX0vLw92TbRm7YcN4d here", []) == []
 
 
+@pytest.mark.parametrize("before", [
+    "AWS_SECRET_ACCESS_KEY=", "export DB_AUTH=", "auth=", "access_key=", "session=", "private_key=", "https://host.example/a?b=c&signature=",
+    "SIGNING_KEY_OF_THE_SECOND_" + "STAGING_" * 5 + "SERVER=", "signature==", "key=session="])
+@pytest.mark.parametrize("value", ["Zk83hQpX0vLw92TbRm7YcN4d", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzq83hQpX0v=="])
+def test_novelty_sees_values_of_names(before, value):
+    text = f"DEBUG=true\n{before}{value}\nRETRIES=3&x=1"
+    assert [text[s:e] for s, _, e in secrets.Scanner().novel(text, [])] == [value]
+
+
+def test_novelty_leaves_built_values_and_other_names():
+    scanner = secrets.Scanner()
+    assert scanner.novel("session=authorization_token_session_id_0123456789\n", []) == []
+    assert scanner.novel("colour=Zk83hQpX0vLw92TbRm7YcN4d\n" + "." * 50 + "session\n", []) == []
+    short = "bearer k=Zk83hQpX0vLw92"  # no part is long enough: the run is measured whole
+    assert [short[s:e] for s, _, e in scanner.novel(short, [])] == ["k=Zk83hQpX0vLw92"]
+
+
 def test_redaction(spark):
     key = "0123456789abcdef01234567"
     rows = [(1, f"x token={key} y", "a"), (2, None, "b"), (3, "clean", "c"), (3, "clean", "c")]

@@ -3,7 +3,8 @@
 Fixed patterns give the base spans.  The method adds strings that stand in a sensitive context and
 do not compress: zstandard is primed with a dictionary of identifiers, and a candidate is measured
 by the bytes it adds when the code around it is compressed with and without it.  A name built from
-known parts adds little; random material adds nearly its own length.
+known parts adds little; random material adds nearly its own length.  Of NAME=value only the value
+is measured, and a sensitive word in the name is context.
 
 Each text is scanned alone, inside Arrow batches; nothing is shuffled or collected.
 
@@ -36,7 +37,10 @@ MIN_VALUE = 6
 SENSITIVE_WORDS = ("access", "apikey", "api_key", "auth", "bearer", "certificate", "client_id", "credential",
                    "passw", "private", "secret", "session", "signature", "signing", "token", "webhook")
 _SENSITIVE = re.compile("(?ai:" + "|".join(SENSITIVE_WORDS) + ")")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A run, or a part of NAME=value, of at least so many characters is a candidate.
+MIN_CANDIDATE = 16
+_PART = re.compile(r"[^=]+=*")
 
 #: Identifiers that prime the compressor.
 IDENTIFIERS = """
@@ -64,6 +68,13 @@ NOVEL_SHARE = 0.5
 Span = tuple[int, int, int]  # start, kind, end
 
 
+def candidates(start: int, run: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of the candidates in a run of characters.  After an inner '=' there is a value:
+    it is a candidate of its own, without its name.  A run without a value long enough is one."""
+    values = [(start + m.start(), start + m.end()) for m in list(_PART.finditer(run))[1:] if m.end() - m.start() >= MIN_CANDIDATE]
+    return values or [(start, start + len(run))]
+
+
 class Scanner:
     def __init__(self, identifiers: bytes = IDENTIFIERS, novel_share: float = NOVEL_SHARE) -> None:
         import zstandard
@@ -91,23 +102,24 @@ class Scanner:
         low = text.lower()
         if not any(w in low for w in SENSITIVE_WORDS):
             return []
-        taken, at, reach, found = sorted((s, e) for s, _, e in base), 0, -1, []
+        taken, at, reach, named, found = sorted((s, e) for s, _, e in base), 0, -1, -1, []
         words = _SENSITIVE.finditer(text)
         word = next(words, None)
-        for m in _CANDIDATE.finditer(text):
-            while word is not None and word.start() < m.start():
-                reach = word.end() + REACH
-                word = next(words, None)
-            start, end = m.span()
-            if start > reach or not any(c.isdigit() for c in m[0]):
-                continue
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if any(s < end and e > start for s, e in taken[at:at + 4]):
-                continue
-            size = end - start
-            if self.added_bytes(text[max(0, start - AROUND):start], m[0], text[end:end + AROUND]) >= self._share * size:
-                found.append((start, 3, end))
+        for m in _RUN.finditer(text):
+            for start, end in candidates(m.start(), m[0]):
+                while word is not None and word.start() < start:
+                    named, reach = word.start(), word.end() + REACH
+                    word = next(words, None)
+                candidate = text[start:end]
+                # A sensitive word in the name of NAME=value counts however long the name is.
+                if start > reach and named < m.start() or not any(c.isdigit() for c in candidate):
+                    continue
+                while at < len(taken) and taken[at][1] <= start:
+                    at += 1
+                if any(s < end and e > start for s, e in taken[at:at + 4]):
+                    continue
+                if self.added_bytes(text[max(0, start - AROUND):start], candidate, text[end:end + AROUND]) >= self._share * (end - start):
+                    found.append((start, 3, end))
         return found
 
 
