@@ -4,7 +4,8 @@ Fixed patterns give the base spans.  The method adds strings that stand in a sen
 do not compress: zstandard is primed with a dictionary of identifiers, and a candidate is measured
 by the bytes it adds when the code around it is compressed with and without it.  A name built from
 known parts adds little; random material adds nearly its own length.  Of NAME=value only the value
-is measured, and a sensitive word in the name is context.
+is measured, and a sensitive word in the name is context.  What follows a reported span directly, after
+a dot or alone on the next line, is in its context, and so is all between sensitive BEGIN and END lines.
 
 Each text is scanned alone, inside Arrow batches; nothing is shuffled or collected.
 
@@ -41,6 +42,15 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A run, or a part of NAME=value, of at least so many characters is a candidate.
 MIN_CANDIDATE = 16
 _PART = re.compile(r"[^=]+=*")
+#: What may stand between a reported span and the next part of the same secret: a dot, also with short
+#: parts and dots after it, or a line end (also an escaped one) with quotes and indentation.
+_JOIN = re.compile(r"""\.(?:[A-Za-z0-9_-]{0,15}\.)*|["'\\+,;\x20\t]*\r?\n["'\x20\t]*|\\(?:r\\)?""")
+#: What ends a line, so that a part of a secret has it to itself.
+_LINE_END = re.compile(r"""[."'\\+,;)<\x20\t]*(?:\r?\n|\Z)|[\\<]""")
+#: Blocks of lines between BEGIN and END, and the short last lines in them.
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9\x20]*-----")
+_END = "-----END "
+_TAIL = re.compile(r"[A-Za-z0-9+/=]{1,15}(?![A-Za-z0-9+/_=-])")
 
 #: Identifiers that prime the compressor.
 IDENTIFIERS = """
@@ -59,15 +69,37 @@ version void webhook www your_api_key_here yield 0123456789abcdef 1234567890
 ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/
 """.encode()
 
-#: Characters after a sensitive word in which a candidate may start; characters of code around it.
+#: Characters after a sensitive word in which a first candidate may start; characters of code around it.
 REACH = 40
 AROUND = 200
 #: Least share of a candidate's length that it must add to the compressed size.
 NOVEL_SHARE = 0.5
+#: The same for a candidate without a digit outside a block: long words and names add 0.6 to 0.8 of theirs.
+LETTERS_SHARE = 0.75
 
 Span = tuple[int, int, int]  # start, kind, end
 
 
+def blocks(text: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of what stands between BEGIN and END lines whose name is sensitive."""
+    out, ended = [], -1
+    begins = list(_BEGIN.finditer(text)) if "-----BEGIN " in text else []
+    for i, m in enumerate(begins):
+        if ended < m.end():
+            ended = text.find(_END, m.end())
+        if ended < 0:
+            break
+        if _SENSITIVE.search(m[0]) and (i + 1 == len(begins) or ended < begins[i + 1].start()):
+            out.append((m.end(), ended))
+    return out
+
+
+def _joined(text: str, end: int) -> int:
+    """Where the next part of a secret that ends at ``end`` would start; -1 if nothing can follow."""
+    m = _JOIN.match(text, end)
+    return m.end() if m else -1
+
+
 def candidates(start: int, run: str) -> list[tuple[int, int]]:
     """``(start, end)`` of the candidates in a run of characters.  After an inner '=' there is a value:
     it is a candidate of its own, without its name.  A run without a value long enough is one."""
@@ -103,23 +135,38 @@ class Scanner:
         if not any(w in low for w in SENSITIVE_WORDS):
             return []
         taken, at, reach, named, found = sorted((s, e) for s, _, e in base), 0, -1, -1, []
-        words = _SENSITIVE.finditer(text)
+        words, inside, reported, joined = _SENSITIVE.finditer(text), blocks(text), -1, -1
         word = next(words, None)
         for m in _RUN.finditer(text):
             for start, end in candidates(m.start(), m[0]):
+                if start < reported:
+                    continue
                 while word is not None and word.start() < start:
                     named, reach = word.start(), word.end() + REACH
                     word = next(words, None)
-                candidate = text[start:end]
-                # A sensitive word in the name of NAME=value counts however long the name is.
-                if start > reach and named < m.start() or not any(c.isdigit() for c in candidate):
-                    continue
+                while inside and inside[0][1] <= start:
+                    inside.pop(0)
                 while at < len(taken) and taken[at][1] <= start:
+                    if taken[at][1] > reported:
+                        reported, joined = taken[at][1], _joined(text, taken[at][1])
                     at += 1
+                candidate, block = text[start:end], bool(inside) and inside[0][0] <= start
+                follows = start == joined and "=" not in candidate.rstrip("=") and (
+                    text[reported] == "." or _LINE_END.match(text, end) is not None)
+                # A sensitive word in the name of NAME=value counts however long the name is.
+                if start > reach and named < m.start() and not block and not follows:
+                    continue
                 if any(s < end and e > start for s, e in taken[at:at + 4]):
                     continue
-                if self.added_bytes(text[max(0, start - AROUND):start], candidate, text[end:end + AROUND]) >= self._share * (end - start):
-                    found.append((start, 3, end))
+                least = self._share if block or any(c.isdigit() for c in candidate) else max(self._share, LETTERS_SHARE)
+                if self.added_bytes(text[max(0, start - AROUND):start], candidate, text[end:end + AROUND]) < least * (end - start):
+                    continue
+                # Short parts between dots belong to what they stand in.
+                found.append((reported + 1 if follows and text[reported] == "." else start, 3, end))
+                reported, joined = end, _joined(text, end)
+                while block and joined >= 0 and (tail := _TAIL.match(text, joined)) and tail.end() <= inside[0][1]:
+                    found.append((joined, 3, tail.end()))
+                    reported, joined = tail.end(), _joined(text, tail.end())
         return found
 
 
