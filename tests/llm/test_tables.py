@@ -207,6 +207,25 @@ def test_near_duplicates_odd_input(spark):
     assert got == Counter({(1, 2, 1, True): 2, (2, 2, 1, False): 1, (3, 0, 3, True): 2, (4, 1, 4, True): 1, (5, 1, 4, False): 1})
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    a, b, c, d, e = (" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(5))
+    rows = [(1, a, "x")] * 3                             # repeated rows
+    rows += [(None, b, "x")] * 2                         # copies without an id
+    rows += [(None, c, "null"), (4, c + " end", "four")]  # a null id comes after all others
+    rows += [(5, d, "first"), (9, d + " end", "copy"), (9, e, "clean")]  # one id, two texts
+    rows += [(None, None, "x")] * 2 + [(7, "", "x")] * 2  # empty sets are no copies of each other
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns and [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+    want = [(1, a, "x"), (None, b, "x"), (4, c + " end", "four"), (5, d, "first"), (9, e, "clean")]
+    assert Counter(map(tuple, got.collect())) == Counter(want + [(None, None, "x")] * 2 + [(7, "", "x")] * 2)
+    only = df.select("text", "doc_id")  # no other columns, another order
+    assert Counter(map(tuple, neardup.keep_one(only).collect())) == Counter((t, i) for i, t, _ in want + [(None, None, "x")] * 2 + [(7, "", "x")] * 2)
+
+
 def test_bayes_limits_miss_rarely():
     limits = neardup.bayes_limits(16, 0.85)
     assert limits == sorted(limits)

@@ -118,11 +118,15 @@ class _Bands:
         return mix((least * self._weights).sum(axis=1, dtype=np.uint64) ^ mix(self._salt)).view(np.int64)
 
 
-def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``(doc_id, text, n_shingles, digest, bands)``; no digest and no bands for an empty set."""
+def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, text, n_shingles, digest, bands)``; no digest and no bands for an empty set.  The
+    columns ``keep`` come along as the fields of ``others``."""
+    docs = docs.select(id_col, text_col, *([F.struct(*(F.col(c) for c in keep)).alias("others")] if keep else []))
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()),
-        T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+        T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        *docs.schema.fields[2:]])
 
     def hash_texts(batches):
         powers, in_bands = Powers(), _Bands(bands, rows)
@@ -133,10 +137,11 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WOR
                 counts = [0 if x is None else len(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+                     pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(c.slice(lo, hi - lo) for c in batch.columns[2:])],
+                    names=schema.names)
 
     ship_by_value()
-    return docs.select(id_col, text_col).mapInArrow(hash_texts, schema)
+    return docs.mapInArrow(hash_texts, schema)
 
 
 def sketch_rows(texts: DataFrame, n_words: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS) -> DataFrame:
@@ -208,12 +213,13 @@ def _passes(limits: list[int], similarity_pct: int) -> str:
     return " and ".join(f"({t})" for t in tests)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity_pct: int = SIMILARITY_PCT,
-                    n_words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS,
-                    miss: float = MISS) -> DataFrame:
-    """One row per document: size of its shingle set, component, and whether it is the one kept."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity_pct: int = SIMILARITY_PCT, n_words: int = WORDS, bands: int = BANDS,
+             band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS, miss: float = MISS,
+             keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The written shingle rows with a ``row_no``, and the component of each class of them:
+    ``(digest, component, component_id)``, named by the smallest id in it."""
     passes = _passes(bayes_limits(sketch_words, similarity_pct / 100, miss), similarity_pct)
-    table = shingle_rows(docs, id_col, text_col, n_words, bands, band_rows).withColumn("row_no", F.monotonically_increasing_id())
+    table = shingle_rows(docs, id_col, text_col, n_words, bands, band_rows, keep).withColumn("row_no", F.monotonically_increasing_id())
     table = cut_lineage(table, "shingles")
     filled = table.where("digest is not null")
     classes = cut_lineage(filled.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("first_id")), "classes")
@@ -262,15 +268,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Each class's component, named by the smallest id in it.
     grouped = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = cut_lineage(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names")
-    named = cut_lineage(grouped.join(names, "component").select("digest", "component_id"), "class-components")
-    out = filled.select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    return table, cut_lineage(grouped.join(names, "component").select("digest", "component", "component_id"), "class-components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity_pct: int = SIMILARITY_PCT,
+                    n_words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS,
+                    miss: float = MISS) -> DataFrame:
+    """One row per document: size of its shingle set, component, and whether its id is the one kept."""
+    table, named = _grouped(docs, id_col, text_col, similarity_pct, n_words, bands, band_rows, sketch_words, miss)
+    out = table.where("digest is not null").select("doc_id", "n_shingles", "digest").join(named.drop("component"), "digest").select(
+        "doc_id", "n_shingles", "component_id")
     alone = table.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are near-duplicates of one of smaller id."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = cut_lineage(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped-ids")
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id, a null id last,
+    and of equal ids the first one written.  Rows are dropped by number, so repeated and null ids do no harm."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    table, named = _grouped(docs, id_col, text_col, keep=others)
+    rows = table.where("digest is not null").select("doc_id", "digest", "row_no").join(named, "digest").select(
+        "row_no", "component", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("smallest"))
+    rows = cut_lineage(rows, "component-rows")
+    first = rows.where("smallest").groupBy("component").agg(F.min("row_no").alias("row_no"))
+    dropped = cut_lineage(rows.join(first, "row_no", "left_anti").select("row_no"), "dropped-rows")
     dropped, _ = broadcast_checked(dropped, 1)
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    of = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return table.join(dropped, "row_no", "left_anti").select(
+        *((of[c] if c in of else F.col("others").getField(c)).alias(c) for c in docs.columns))
