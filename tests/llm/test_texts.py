@@ -265,6 +265,12 @@ WEIRD = ["<|startoftext|>Hi<|endoftext|> a", "ΑΣ Σ’s ﬁ İstanbul Å é \x
          "  \n", "a\x00b ſ ÿŸ × ÷ « »", "<|startoftext|", "don't We'LL 12ab", "a" * 5000, "é" * 3000]
 
 
+def test_documents_stay_where_no_language_is_learned(spark):
+    rows = [(1, "the cat", None), (1, "the cat", None), (2, "12 34 ½ _", None), (3, None, None), (4, "", None), (None, "ж 1", None)]
+    got = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 0.5)
+    assert sorted(r.text for r in got.collect()) == ["the cat", "the cat", "ж 1"]
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer

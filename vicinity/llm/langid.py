@@ -323,8 +323,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     vocabulary: str | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language could be told, with a score of at least ``min_score``."""
+    """The rows of ``docs`` whose language could be told, with a score of at least ``min_score``.  With no
+    labelled row to learn from, every row whose text has a letter."""
     langs, probability = train(docs.where(~held_out(id_col)), text_col, lang_col, vocabulary)
+    if not langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     whole = docs.select(F.col(text_col).alias("_text_"), F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"))
     found = predict(whole, langs, probability, text_col="_text_", vocabulary=vocabulary, keep=["_doc"])
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("_doc.*")
