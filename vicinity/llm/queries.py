@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import hamming, langid, mixing, neardup, packing, pii, repetition, secrets, tokencount, warc
+from vicinity.llm import conversations, fim, hamming, langid, mixing, neardup, packing, pii, repetition, secrets, tokencount, warc
 from vicinity.llm.common import read_table
 
 
@@ -67,6 +67,14 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.with_digests(fim.transform(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_repetition_coverage": op2_repetition_coverage,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 def near_duplicates_sql(table: str) -> str:
@@ -134,6 +144,79 @@ def repetition_sql(table: str) -> str:
     """
 
 
+def conversations_sql(table: str) -> str:
+    """Damage and cheapest repair of ``table(conv_id, turn, role, text)``: one step of the recursion takes one row of every
+    conversation, and keeps for each state of the grammar (0 nothing, 1 after s, 2 after u, 3 after a) the best edits."""
+    space = "\\x20\\x09-\\x0D"
+    return f"""
+        WITH RECURSIVE t AS (SELECT list(c ORDER BY n) AS t FROM (
+                SELECT n, list_reduce(list_prepend(n::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                      lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1))) AS c FROM range(256) r(n))),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM {table}),
+        d AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                         list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS d FROM k, t),
+        m AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+                     CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE d <> 0),
+        n AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+              FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                             WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 'truncated' ELSE 'none' END AS fault FROM n),
+        nx(q, to_q, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+        kp(q, initial, to_q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        ins(q, to_q, edits, lines, cost) AS (
+            SELECT q, q, '', []::VARCHAR[], 0 FROM nx UNION ALL SELECT q, to_q, 'I', [role || ':'], 2 FROM nx
+            UNION ALL SELECT a.q, b.to_q, 'II', [a.role || ':', b.role || ':'], 4 FROM nx a JOIN nx b ON b.q = a.to_q),
+        ways AS (
+            SELECT ins.q, f.conv_id, f.i, ins.to_q, ins.edits || 'D' AS edits, ins.lines, ins.cost + 3 AS cost FROM ins, f
+            UNION ALL SELECT ins.q, f.conv_id, f.i, kp.to_q, ins.edits || 'K', list_append(ins.lines, f.role || ':' || f.text),
+                   ins.cost + (fault = 'truncated')::INT FROM ins JOIN kp ON kp.q = ins.to_q JOIN f ON left(f.role, 1) = kp.initial
+                   WHERE fault IN ('none', 'truncated')
+            UNION ALL SELECT ins.q, f.conv_id, f.i, nx.to_q, ins.edits || 'R', list_append(ins.lines, nx.role || ':' || f.text),
+                   ins.cost + 2 + (fault = 'truncated')::INT FROM ins JOIN nx ON nx.q = ins.to_q, f WHERE fault IN ('none', 'truncated')),
+        r(conv_id, i, q, cost, edits, lines) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM f
+            UNION ALL
+            SELECT conv_id, i, to_q, b.cost, b.edits, b.lines FROM (
+                SELECT w.conv_id, w.i, w.to_q, min(struct_pack(cost := r.cost + w.cost, edits := r.edits || w.edits,
+                                                               lines := list_concat(r.lines, w.lines))) AS b
+                FROM r JOIN ways w ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.i + 1 AND w.q = r.q GROUP BY w.conv_id, w.i, w.to_q)),
+        c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+              FROM f GROUP BY conv_id),
+        e AS (SELECT c.conv_id, min(struct_pack(cost := r.cost + ins.cost, edits := r.edits || ins.edits,
+                                                lines := list_concat(r.lines, ins.lines))) AS b
+              FROM c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.n JOIN ins ON ins.q = r.q
+              WHERE ins.to_q = 3 OR ins.edits = '' AND ins.to_q = 0 GROUP BY c.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.b.cost, 0)::BIGINT AS cost,
+               coalesce(e.b.edits, '') AS audit, sha256(coalesce(array_to_string(e.b.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM {table}) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
+def fill_in_middle_sql(table: str) -> str:
+    draws = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM {table}),
+        d AS (SELECT doc_id, text, length(text) AS n, {draws} FROM t),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p
+    """
+
+
 _WEIGHTS_SQL = ", ".join(f"('{name}', {weight}::DOUBLE)" for name, weight in MIX_WEIGHTS.items())
 
 ORACLES: dict[str, str] = {
@@ -167,6 +250,8 @@ ORACLES: dict[str, str] = {
         FROM d QUALIFY rank <= {TOP_K}
     """,
     "op6_bayes_near_duplicates": near_duplicates_sql("documents"),
+    "op11_conversation_repair": conversations_sql("conversations"),
+    "op13_fill_in_middle": fill_in_middle_sql("documents"),
     "op4_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
