@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import conversations, fim, hamming, langid, mixing, neardup, packing, pii, repetition, secrets, tokencount, warc
+from vicinity.llm import conversations, fim, hamming, langid, mixing, neardup, ngramjoin, packing, pii, repetition, secrets, tokencount, warc
 from vicinity.llm.common import read_table
 
 
@@ -71,6 +71,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.with_digests(fim.transform(read_table(spark, sf_dir, "documents")))
 
@@ -87,26 +91,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-def near_duplicates_sql(table: str) -> str:
+def near_duplicates_sql(table: str, n_words: int = neardup.WORDS, pct: int = neardup.SIMILARITY_PCT, kept: bool = True) -> str:
     """Components of ``table(doc_id, text)`` by comparing all sets that share a shingle."""
+    last = ", k.doc_id = coalesce(m.label, k.doc_id) AS kept" if kept else ""
     return f"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                               '[^\\x20\\x09-\\x0D]+') AS words FROM {table}),
-        s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-                     ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingles FROM w),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {n_words} THEN [array_to_string(words, ' ')]
+                     ELSE [array_to_string(words[i:i + {n_words - 1}], ' ') FOR i IN range(1, len(words) - {n_words - 2})] END) AS shingles FROM w),
         c AS (SELECT md5(array_to_string(list_sort(shingles), chr(10))) AS class, min(doc_id) AS first_id, any_value(shingles) AS shingles,
                      any_value(len(shingles)) AS n FROM s WHERE len(shingles) > 0 GROUP BY class),
         e AS (SELECT first_id, n, unnest(shingles) AS shingle FROM c),
         l AS (SELECT a.first_id AS u, b.first_id AS v FROM e a JOIN e b USING (shingle) WHERE a.first_id <> b.first_id
-              GROUP BY a.first_id, b.first_id HAVING 100 * count(*) >= {neardup.SIMILARITY_PCT} * (any_value(a.n) + any_value(b.n) - count(*))),
+              GROUP BY a.first_id, b.first_id HAVING 100 * count(*) >= {pct} * (any_value(a.n) + any_value(b.n) - count(*))),
         r(node, label) AS (SELECT first_id, first_id FROM c UNION SELECT l.v, r.label FROM r JOIN l ON l.u = r.node),
         m AS (SELECT node, min(label) AS label FROM r GROUP BY node),
         k AS (SELECT md5(array_to_string(list_sort(shingles), chr(10))) AS class, doc_id, len(shingles) AS n FROM s)
-        SELECT k.doc_id, k.n AS n_shingles, coalesce(m.label, k.doc_id) AS component_id, k.doc_id = coalesce(m.label, k.doc_id) AS kept
+        SELECT k.doc_id, k.n AS n_shingles, coalesce(m.label, k.doc_id) AS component_id{last}
         FROM k LEFT JOIN c ON k.class = c.class AND k.n > 0 LEFT JOIN m ON m.node = c.first_id
     """
 
@@ -251,6 +257,7 @@ ORACLES: dict[str, str] = {
     """,
     "op6_bayes_near_duplicates": near_duplicates_sql("documents"),
     "op11_conversation_repair": conversations_sql("conversations"),
+    "op12_ngram_jaccard_join": near_duplicates_sql("documents", ngramjoin.WORDS, ngramjoin.SIMILARITY_PCT, kept=False),
     "op13_fill_in_middle": fill_in_middle_sql("documents"),
     "op4_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

@@ -1,8 +1,9 @@
 """Words and their hashes, found in numpy over the UTF-8 bytes of many texts at once.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D.  The hash of a byte run is
-polynomial modulo 2**64 over a random table of byte values, so that one running sum serves every
-run: ``(sum[end] - sum[start]) * base**-start``, mixed with the length.
+A word is a maximal run of bytes other than space and 0x09-0x0D.  The hash of a byte run is made of
+two polynomials over random tables of byte values, one modulo 2**64 and one modulo the prime 2**31-1:
+strings such as the Thue-Morse words, which any base modulo a power of two confuses, differ in the
+second.  One running sum serves every run: ``(sum[end] - sum[start]) * base**-start``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ U = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 0x5851F42D
+_PRIME_INVERSE = pow(_PRIME_BASE, -1, _PRIME)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,19 +38,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), np.uint64)
+    have = 1
+    while have < n:  # each step doubles what is there
+        more = min(have, n - have)
+        out[have:have + more] = out[:more] * U(pow(base, have, _PRIME)) % U(_PRIME)
+        have += more
+    return out[:n]
+
+
 class Powers:
-    """Powers of the base and of its inverse, grown as longer blocks come."""
+    """Powers of both bases and of their inverses, grown as longer blocks come."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.empty(0, np.uint64)
+        self._all = (np.empty(0, np.uint64),) * 4
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
-        return self.up[:n], self.down[:n]
+    def upto(self, n: int) -> tuple[np.ndarray, ...]:
+        """Up and down modulo 2**64, up and down modulo the prime."""
+        if len(self._all[0]) < n:
+            self._all = (_powers(_BASE, n), _powers(_INVERSE, n), _prime_powers(_PRIME_BASE, n), _prime_powers(_PRIME_INVERSE, n))
+        return tuple(x[:n] for x in self._all)
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+_BYTE_PRIME = BYTE_VALUE % U(_PRIME)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -68,12 +84,14 @@ class Block:
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data, self.offsets, self.n_docs = data, offsets, len(offsets) - 1
-        up, self._down = powers.upto(len(data) + 1)
-        self._sum = np.zeros(len(data) + 1, np.uint64)
+        up, self._down, prime_up, self._prime_down = powers.upto(len(data) + 1)
+        self._sum, self._prime_sum = np.zeros((2, len(data) + 1), np.uint64)
         np.cumsum(BYTE_VALUE[data] * up[:-1], out=self._sum[1:])
+        np.cumsum(_BYTE_PRIME[data] * prime_up[:-1] % U(_PRIME), out=self._prime_sum[1:])  # exact below 2**33 bytes
 
     def run_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))
+        prime = (self._prime_sum[end] - self._prime_sum[start]) % U(_PRIME) * self._prime_down[start] % U(_PRIME)
+        return mix(((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64)) ^ mix(prime + U(1)))
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, "right") - 1
