@@ -274,15 +274,43 @@ def descent_ctes(query_sql: str, metric_name: str, max_depth: int) -> str:
     return ",\n".join(parts)
 
 
-def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp, invalid: str = "false") -> str:
+def best_first_ctes(query_sql: str, metric_name: str, max_depth: int, n_leaves: int) -> str:
+    """After ``forest_ctes``: ``hits(query_id, q, shard, leaf_id)`` of the best-first descent."""
+    parts = [f"qs AS ({query_sql})",
+             "f0 AS (SELECT qs.query_id, s.shard, 'root' AS node_id, CAST(0 AS DOUBLE) AS loss FROM qs "
+             "CROSS JOIN (SELECT DISTINCT shard FROM roots) s)"]
+    s = metric(metric_name, "qs.q", "kn.rep_vec")
+    for step in range(1, max_depth + 1):
+        parts.append(
+            f"x{step} AS (SELECT f.query_id, f.shard, f.node_id, f.loss, kn.node_id AS child, "
+            f"CASE WHEN kn.node_id IS NULL OR isnan({s}) THEN NULL ELSE {s} END AS score "
+            f"FROM f{step - 1} f JOIN qs ON qs.query_id = f.query_id "
+            f"LEFT JOIN (SELECT * FROM nodes WHERE parent_id IS NOT NULL AND rep_vec IS NOT NULL) kn "
+            f"ON kn.shard = f.shard AND kn.parent_id = f.node_id)")
+        parts.append(
+            f"y{step} AS (SELECT query_id, shard, CASE WHEN child IS NULL THEN node_id WHEN score IS NOT NULL THEN child END AS nxt, "
+            f"loss + coalesce(max(score) OVER (PARTITION BY query_id, shard, node_id) - score, 0) AS loss FROM x{step})")
+        parts.append(
+            f"f{step} AS (SELECT query_id, shard, nxt AS node_id, loss FROM y{step} WHERE nxt IS NOT NULL "
+            f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY loss, shard, nxt) <= {n_leaves})")
+    last = f"f{max_depth}"
+    parts.append(f"hits AS (SELECT h.query_id, qs.q, h.shard, h.leaf_id FROM (SELECT query_id, shard, node_id AS leaf_id FROM {last} "
+                 f"UNION ALL SELECT DISTINCT query_id, shard, 'invalid' FROM {last}) h JOIN qs ON qs.query_id = h.query_id)")
+    return ",\n".join(parts)
+
+
+def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp, invalid: str = "false",
+                    n_leaves: int | None = None) -> str:
     return ("WITH " + forest_ctes(table_sql, id_col, metric_name, fp.shards, fp.k, fp.max_depth, fp.min_leaf,
                                   fp.iterations, fp.seed, invalid)
-            + ",\n" + descent_ctes(query_sql, metric_name, fp.max_depth))
+            + ",\n" + (descent_ctes(query_sql, metric_name, fp.max_depth) if n_leaves is None
+                       else best_first_ctes(query_sql, metric_name, fp.max_depth, n_leaves)))
 
 
-def forest_topk_sql(table_sql: str, id_col: str, query_sql: str, metric_name: str, k: int, fp, invalid: str = "false") -> str:
+def forest_topk_sql(table_sql: str, id_col: str, query_sql: str, metric_name: str, k: int, fp, invalid: str = "false",
+                    n_leaves: int | None = None) -> str:
     s = metric(metric_name, "m.vec", "h.q")
-    return forest_all_ctes(table_sql, id_col, metric_name, query_sql, fp, invalid) + f"""
+    return forest_all_ctes(table_sql, id_col, metric_name, query_sql, fp, invalid, n_leaves) + f"""
 SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similarity_score FROM (
   SELECT h.query_id, m.id, {s} AS score,
          CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY {s} DESC, m.id) AS INTEGER) AS rank

@@ -73,6 +73,7 @@ ROOT = "root"
 INVALID = "invalid"
 CENTS = "_cents"
 CENTROID = "centroid"
+LOSS = "loss"
 FORMAT = 4
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
@@ -443,13 +444,62 @@ def descend(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
     return frontier.select(QID, Q, SHARD, F.col(NODE).alias(LEAF))
 
 
-def leaf_hits(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
-    """Chosen leaves plus each shard's ``invalid`` leaf, per query."""
-    leaves = descend(forest, queries, metric)
-    return leaves.withColumn(LEAF, F.explode(F.array(F.col(LEAF), F.lit(INVALID))))
+def descend_best_first(forest: Forest, queries: DataFrame, metric: str, n_leaves: int) -> DataFrame:
+    """Best-first descent: ``(query_id, shard, leaf_id, loss)``, the ``n_leaves`` leaves per query, over all
+    shards, whose branches lost most narrowly.
+
+    A branch loses by the gap between the best score among its siblings and its own; the loss of a node is
+    the sum of the gaps on the way to it, so the leaf of the greedy descent has loss 0 in each shard.  The
+    frontier goes down one level at a time and keeps the ``n_leaves`` nodes of least loss (ties by shard and
+    node).  Nothing is lost by that: losses never fall on the way down and each kept node has a leaf of its
+    own loss below it, so these are the leaves that a queue ordered by loss would give first.  Rows carry
+    ids and losses only; the frontier has at most ``n_leaves`` rows per query.
+    """
+    from pyspark.sql import Window
+    metric = M.resolve_metric(metric)
+    meta = forest.meta
+    nodes = forest.nodes
+    n_nodes = int(meta.get("nodes") or nodes.count())
+    kids = nodes.filter(F.col(PARENT).isNotNull() & F.col(REP_VEC).isNotNull()).select(
+        SHARD, F.col(PARENT).alias(NODE), F.col(NODE).alias("_child"), REP_VEC)
+    if estimate_bytes(n_nodes, int(meta["dim"])) <= MAX_BROADCAST_BYTES:
+        kids = F.broadcast(kids)
+    shards = nodes.filter(F.col(DEPTH) == 0).select(SHARD)
+    queries = queries.select(QID, Q)
+    # one root per shard; the queries are those of one block, whose size is checked
+    frontier = queries.select(QID).crossJoin(F.broadcast(shards)).select(QID, SHARD, F.lit(ROOT).alias(NODE), F.lit(0.0).alias(LOSS))
+    siblings = Window.partitionBy(QID, SHARD, NODE)
+    w = Window.partitionBy(QID).orderBy(LOSS, SHARD, "_next")
+    for _ in range(int(meta["max_depth"])):
+        x = frontier.join(kids, [SHARD, NODE], "left").join(F.broadcast(queries), QID)
+        x = x.select(QID, SHARD, NODE, LOSS, "_child", rank_key(M.score(metric, Q, REP_VEC)).alias("_s"))
+        gap = F.max("_s").over(siblings) - F.col("_s")
+        nxt = F.when(F.col("_child").isNull(), F.col(NODE)).when(F.col("_s").isNotNull(), F.col("_child"))
+        x = x.select(QID, SHARD, nxt.alias("_next"), (F.col(LOSS) + F.coalesce(F.nanvl(gap, F.lit(0.0)), F.lit(0.0))).alias(LOSS))
+        x = x.filter(F.col("_next").isNotNull()).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_leaves)
+        frontier = x.select(QID, SHARD, F.col("_next").alias(NODE), LOSS)
+    return frontier.select(QID, SHARD, F.col(NODE).alias(LEAF), LOSS)
+
+
+def leaf_hits(forest: Forest, queries: DataFrame, metric: str, n_leaves: int | None = None) -> DataFrame:
+    """``(query_id, shard, leaf_id)``: chosen leaves plus the ``invalid`` leaf of each shard that has one, per
+    query.  Leaves come from the greedy descent, or with ``n_leaves`` from the best-first one."""
+    if n_leaves is None:
+        leaves = descend(forest, queries, metric)
+        return leaves.select(QID, SHARD, F.explode(F.array(F.col(LEAF), F.lit(INVALID))).alias(LEAF))
+    leaves = descend_best_first(forest, queries, metric, n_leaves).select(QID, SHARD, LEAF)
+    return leaves.unionByName(leaves.select(QID, SHARD).distinct().withColumn(LEAF, F.lit(INVALID)))
+
+
+def rows_read(forest: Forest, queries: DataFrame, metric: str, n_leaves: int | None = None) -> DataFrame:
+    """``(query_id, leaves, rows, share)``: leaves that a search reads, their rows, and the share of all rows."""
+    valid = forest.nodes.filter(F.col(IS_LEAF)).select(SHARD, F.col(NODE).alias(LEAF), COUNT)
+    hits = leaf_hits(forest, queries, metric, n_leaves).filter(F.col(LEAF) != INVALID).join(valid, [SHARD, LEAF])
+    return hits.groupBy(QID).agg(F.count(F.lit(1)).alias("leaves"), F.sum(COUNT).alias("rows")).withColumn(
+        "share", F.col("rows") / F.lit(max(1, int(forest.meta["rows"]))))
 
 
-def _block_scores(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
+def _block_scores(forest: Forest, queries: DataFrame, metric: str, n_leaves: int | None = None) -> DataFrame:
     """Scores of one block of queries.
 
     The descent runs once: its leaf keys (ids only, a bounded number) are
@@ -458,7 +508,7 @@ def _block_scores(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
     """
     id_col = forest.meta["id_col"]
     spark = queries.sparkSession
-    keys = leaf_hits(forest, queries, metric).select(QID, SHARD, LEAF).collect()
+    keys = leaf_hits(forest, queries, metric, n_leaves).collect()
     key_df = spark.createDataFrame([tuple(r) for r in keys], T.StructType([
         T.StructField(QID, queries.schema[QID].dataType), T.StructField(SHARD, T.IntegerType()),
         T.StructField(LEAF, T.StringType())]))
@@ -471,13 +521,15 @@ def _block_scores(forest: Forest, queries: DataFrame, metric: str) -> DataFrame:
     return j.select(QID, SHARD, LEAF, id_col, search_score(metric, VEC, Q, Q_NORM, v_norm).alias(SCORE))
 
 
-def _query_blocks(forest: Forest, queries: DataFrame, info: QueryInfo | None) -> tuple[list[DataFrame], bool]:
+def _query_blocks(forest: Forest, queries: DataFrame, info: QueryInfo | None,
+                  n_leaves: int | None = None) -> tuple[list[DataFrame], bool]:
     """Blocks of queries of a bounded number of leaf keys and of bounded size;
     whether there is one query only (checked in the plan where declared)."""
     if info is not None and info.rows == 1:
         return [only_query(queries)], True
     info = query_info(queries)
-    per_query = 2 * int(forest.meta["shards"])
+    shards = int(forest.meta["shards"])
+    per_query = 2 * shards if n_leaves is None else shards + n_leaves
     n = max(1, -(-info.rows * per_query // LEAF_KEYS_PER_BLOCK),
             -(-estimate_bytes(info.rows * per_query, info.dim) // MAX_BROADCAST_BYTES))
     if n == 1:
@@ -497,14 +549,17 @@ def leaf_scores(forest: Forest, queries: DataFrame, metric: str, info: QueryInfo
 
 
 def forest_top_k(forest: Forest, queries: DataFrame, metric: str, k: int,
-                 info: QueryInfo | None = None) -> DataFrame:
-    """Approximate top-k per query through the index."""
+                 info: QueryInfo | None = None, n_leaves: int | None = None) -> DataFrame:
+    """Approximate top-k per query through the index: one leaf per shard by the greedy descent, or, with
+    ``n_leaves``, that many leaves per query by the best-first one.  With all leaves the result is exact."""
     metric = M.resolve_metric(metric)
     validate_k(k)
+    if n_leaves is not None and n_leaves < 1:
+        raise ValueError(f"n_leaves must be positive, got {n_leaves}")
     id_col = forest.meta["id_col"]
-    blocks, single = _query_blocks(forest, queries, info)
+    blocks, single = _query_blocks(forest, queries, info, n_leaves)
     out = None
     for block in blocks:  # a query lies in one block whole
-        part = top_k(_block_scores(forest, block, metric), k, id_col, single_group=single)
+        part = top_k(_block_scores(forest, block, metric, n_leaves), k, id_col, single_group=single)
         out = part if out is None else out.unionByName(part)
     return out.select(QID, "rank", id_col, SCORE)

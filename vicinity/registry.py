@@ -548,6 +548,36 @@ register("topk_forest_multi_cosine", O.forest_topk_sql(O.EMB, "vec_id", _LABEL_Q
     _topk_forest("cosine", True))
 
 
+BEST_LEAVES = 7
+
+
+@register("topk_forest_best_first", O.forest_topk_sql(O.EMB, "vec_id", _LABEL_Q_EMB, "euclidean_sim", 10, FP, n_leaves=BEST_LEAVES))
+def _topk_best_first(spark: SparkSession, d: str) -> DataFrame:
+    f = forest_for(spark, d, "euclidean_sim")
+    q = per_label_queries(spark, d, T.embeddings(spark, d))
+    return round_scores(FO.forest_top_k(f, q, "euclidean_sim", 10, n_leaves=BEST_LEAVES))
+
+
+@register("forest_best_first_leaves", _fsql("cosine", FP, _LABEL_Q_EMB).split(",\nqs AS")[0] + ",\n"
+          + O.best_first_ctes(_LABEL_Q_EMB, "cosine", FP.max_depth, BEST_LEAVES)
+          + f" SELECT query_id, shard, node_id AS leaf_id, round(loss, 6) AS loss FROM f{FP.max_depth}")
+def _best_first_leaves(spark: SparkSession, d: str) -> DataFrame:
+    f = forest_for(spark, d, "cosine")
+    q = per_label_queries(spark, d, T.embeddings(spark, d))
+    leaves = FO.descend_best_first(f, q, "cosine", BEST_LEAVES)
+    return leaves.select(QID, FO.SHARD, FO.LEAF, r6(FO.LOSS).alias(FO.LOSS))
+
+
+@register("forest_rows_read", O.forest_all_ctes(O.EMB, "vec_id", "euclidean_sim", _LABEL_Q_EMB, FP, n_leaves=BEST_LEAVES) + """
+SELECT h.query_id, count(DISTINCT (h.shard, h.leaf_id)) AS leaves, count(*) AS rows,
+       round(count(*) / (SELECT count(*) FROM members), 6) AS share
+FROM hits h JOIN members m ON m.shard = h.shard AND m.leaf_id = h.leaf_id WHERE h.leaf_id <> 'invalid' GROUP BY h.query_id""")
+def _forest_rows_read(spark: SparkSession, d: str) -> DataFrame:
+    f = forest_for(spark, d, "euclidean_sim")
+    q = per_label_queries(spark, d, T.embeddings(spark, d))
+    return FO.rows_read(f, q, "euclidean_sim", BEST_LEAVES).withColumn("share", r6("share"))
+
+
 def _forest_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"forest-{name}-{uuid.uuid4().hex}")
 
