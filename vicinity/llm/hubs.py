@@ -8,8 +8,10 @@ others in all its buckets, and
    hub, are sought in the space of differences: with D(x) the symmetric difference of x and the hub,
    ``x ^ y = D(x) ^ D(y)`` as sets.  Where two sets may differ in at most d elements and x is not
    similar to the hub, D(x) and D(y) must share ``(|D(x)| + |D(y)| - d) / 2 > 0`` elements or more.
-   So a prefix filter over the differences finds all pairs that can be similar, and since what a
-   member has of its own comes first in the order, members that were edited apart never meet.
+   So a prefix filter over the differences finds all pairs that can be similar.  What a member has of
+   its own comes first in the order, so members that were edited apart hardly meet; and where they do,
+   the join's condition asks for the parities of their sets in 256 cells, of which no more can differ
+   than elements do.
 
 No pair that shares a bucket is lost: it is compared, refuted by its sizes and differences, or
 already in one component.
@@ -28,6 +30,10 @@ from vicinity.operators.broadcast import broadcast_checked
 
 #: Members that one task compares with a hub in one go; a larger hub is dealt over several tasks.
 PIECE = 64
+#: Least number of longs of cell parities: what a row of the prefix filter carries.
+PARITY = 4
+#: Times the length of a prefix that is kept of a large difference.
+ROOM = 4
 
 
 def hashed_sets(column: pa.Array, n_words: int, powers: Powers):
@@ -60,28 +66,58 @@ def shingle_set(text: str, n_words: int) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(n_words)), strict=False))
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64, 128, ... cells, some one to two times as many as tokens, whether the set has an odd number of
+    hashes there.  Two sets differ in at least as many elements as their parities do in cells."""
+    longs = max(PARITY, 1 << (max(0, len(tokens) - 1) // 64).bit_length())
+    cells = np.bincount((tokens & U(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(cells, bitorder="little").view(np.int64)
+
+
+def folded(cells: np.ndarray) -> np.ndarray:
+    """The same over the least number of cells."""
+    return np.bitwise_xor.reduce(cells.reshape(-1, PARITY), axis=0)
+
+
 def may_differ(sizes: str, similarity_pct: int) -> str:
     """SQL: the most elements in which two similar sets with sizes of this sum can differ."""
     return f"({sizes}) - 2 * (({similarity_pct} * ({sizes}) + {99 + similarity_pct}) div {100 + similarity_pct})"
 
 
-def elect(members: DataFrame) -> DataFrame:
-    """``(node, hub)``, each pair once, of ``members(key, node)``: buckets of two and more with their hubs."""
+def elect(members: DataFrame, rounds: int = 3) -> DataFrame:
+    """``(node, hub)``, each pair once, of ``members(key, node)``: buckets of two and more with their hubs.
+
+    The hub of a bucket may itself be a member where a greater hub is: then that one takes the bucket over,
+    ``rounds`` times, so that a group which is spread over many buckets has one centre.  The new hub need not
+    be in the bucket: differences may be taken from any set, as long as all members take them from the same."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(members.join(cut_lineage(sizes, "bucket-sizes"), "key"), "bucket-members")
+    # Both sides grow with the data, so they are merged at any size.
+    members = cut_lineage(members.join(cut_lineage(sizes, "bucket-sizes").hint("merge"), "key"), "bucket-members")
     met = cut_lineage(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
     met, _ = broadcast_checked(met, 2)
-    hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).getField("node").alias("hub"))
-    hubs, _ = broadcast_checked(cut_lineage(hubs, "hubs"), 2)
+    hubs = cut_lineage(members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub")), "hubs")
+    placed = cut_lineage(members.join(broadcast_checked(hubs, 3)[0], "key").select("key", "node", "hub"), "placed")
+    above = cut_lineage(placed.groupBy("node").agg(F.max("hub").alias("above")), "superiors")
+    above, _ = broadcast_checked(above.select(F.col("node").alias("at"), "above"), 3)
+    for _ in range(rounds):
+        hubs = hubs.join(above, hubs["hub.node"] == F.col("at")).select("key", F.col("above").alias("hub"))
+    hubs, _ = broadcast_checked(cut_lineage(hubs.select("key", F.col("hub.node").alias("hub")), "last-hubs"), 2)
     return cut_lineage(members.join(hubs, "key").where("node <> hub").select("node", "hub").distinct(), "star-pairs")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int, differences: bool = False) -> DataFrame:
+def prefix_size(n: str, similarity_pct: int) -> str:
+    """SQL: the most elements that a prefix filter asks of a difference, for a set of ``n``."""
+    return f"({100 - similarity_pct} * ({n} + 100 * {n} div {similarity_pct}) div {100 + similarity_pct} + 1)"
+
+
+def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int, differences: bool = False, whole: bool = False) -> DataFrame:
     """``(u, v, linked)`` of ``pairs(u, v)``, each given once, by the full sets of ``texts(node, text)``.
 
-    With ``differences`` also ``n`` (size of v's set), ``d_size`` and ``d``: size of the symmetric
-    difference and its first elements, v's own before those that only u has, as many as a prefix
-    filter can ask for.  Texts of v go to u's tasks, ``PIECE`` of them to a task, and u's text to each.
+    With ``differences`` also ``n`` (size of v's set) and the symmetric difference: v's ``own`` shingles and
+    the ``missing`` ones, which only u has, the size ``d_size`` of both together, whether v is a ``voter``, one of u's first piece, and its ``parities``
+    over many and few cells (``sketch``, ``cells``).  Where v has many shingles of its own, only the first
+    of them and no missing ones are kept, unless ``whole``.  Texts of v go to u's
+    tasks, some ``PIECE`` of them to a task, and u's text to each.
     """
     pieces = F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")
     counts, _ = broadcast_checked(cut_lineage(pairs.groupBy("u").agg(pieces), "pieces"), 2)
@@ -96,7 +132,8 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: in
     def examine(batches):
         powers, hub, hub_text, hub_set, exact = Powers(), None, None, none, None
         for batch in batches:
-            us, roles, nodes, texts_ = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            us, pieces, roles, nodes = (batch.column(c).to_pylist() for c in range(4))
+            texts_ = batch.column(4)
             for lo, hi, sets in hashed_sets(texts_, n_words, powers):
                 out = []
                 for i, x in zip(range(lo, hi), sets, strict=True):
@@ -115,20 +152,26 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: in
                         other = shingle_set(texts_[i].as_py(), n_words)
                         both = len(exact & other)
                         linked = 100 * both >= similarity_pct * (len(exact) + len(other) - both)
-                    d = None
+                    own = missing = sketch = cells = d_size = None
                     if differences:
-                        missing = np.ones(nh, bool)
-                        missing[at[inside]] = False
-                        most = (100 - similarity_pct) * (nx + 100 * nx // similarity_pct) // (100 + similarity_pct) + 1
-                        d = np.concatenate([x[~inside], hub_set[missing]])[:most].view(np.int64)
-                    out.append((hub, nodes[i], linked, nx, nx + nh - 2 * common, d))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
-                                                                            pa.list_(pa.int64())))],
-                    names=["u", "v", "linked", "n", "d_size", "d"])
+                        d_size, enough = nx + nh - 2 * common, ROOM * ((100 - similarity_pct) * (nx + 100 * nx // similarity_pct) // (100 + similarity_pct) + 1)
+                        own = x[~inside].view(np.int64)
+                        if len(own) >= enough and not whole:
+                            own = own[:enough]
+                        else:
+                            lacks = np.ones(nh, bool)
+                            lacks[at[inside]] = False
+                            missing = hub_set[lacks].view(np.int64)
+                        sketch = parities(x)
+                        cells = folded(sketch)
+                    out.append((hub, nodes[i], linked, nx, d_size, pieces[i] == 0, own, missing, sketch, cells))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=names)
 
     ship_by_value()
-    out = rows.mapInArrow(examine, "u long, v long, linked boolean, n long, d_size long, d array<long>")
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 4)
+    names = ["u", "v", "linked", "n", "d_size", "voter", "own", "missing", "sketch", "cells"]
+    out = rows.mapInArrow(examine, "u long, v long, linked boolean, n long, d_size long, voter boolean, own array<long>, missing array<long>, "
+                                "sketch array<long>, cells array<long>")
     return cut_lineage(out if differences else out.select("u", "v", "linked"), "compared")
 
 
@@ -147,16 +190,46 @@ def outsiders(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(open_, "u", "left_semi")
 
 
-def candidates(rows: DataFrame, similarity_pct: int) -> DataFrame:
+def candidates(rows: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int) -> DataFrame:
     """``(u, v)``, each once: pairs of two members of one hub, one an outsider, that their differences from the
-    hub do not refute.  ``rows`` is the result of ``outsiders`` over rows of ``compare``."""
-    tokens = rows.select("u", "v", "n", "d_size", "component", "outside", F.posexplode("d").alias("pos", "token"))
+    hub do not refute.  ``rows`` is the result of ``outsiders`` over rows of ``compare``.
+
+    In the order of the prefix filter come a member's own shingles first, then missing ones, and last those
+    that two of the hub's first piece of members have in common, which would bring all together."""
+    both = F.concat("own", F.coalesce("missing", F.array().cast("array<long>")))
+    votes = rows.where("voter").select("u", F.explode(both).alias("token")).groupBy("u", "token").agg(F.count("*").alias("n"))
+    common = cut_lineage(votes.where("n > 1").groupBy("u").agg(F.collect_list("token").alias("common")), "common-differences")
+    most = prefix_size("n", similarity_pct)
+
+    def with_prefix(rows: DataFrame) -> DataFrame:
+        rows = rows.join(common, "u", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+        alone = F.array_except("own", "common")
+        order = F.concat(alone, F.array_except("missing", "common"), F.array_sort(F.array_intersect(both, "common")))
+        order = F.when(F.col("missing").isNotNull(), order).when(F.size(alone) >= F.expr(most), alone)
+        return rows.select("u", "v", "n", "d_size", "component", "outside", "cells", "sketch", F.slice(order, 1, F.expr(f"cast({most} as int)")).alias("prefix"))
+
+    rows = cut_lineage(with_prefix(rows), "prefixes")
+    # Where too few of the kept shingles are v's alone, the whole differences are needed.
+    short = rows.where("prefix is null").drop("prefix")
+    again = compare(short.select("u", "v"), texts, similarity_pct, n_words, differences=True, whole=True)
+    again = again.select("u", "v", "own", "missing").join(short, ["u", "v"])
+    rows = rows.where("prefix is not null").unionByName(with_prefix(again))
+    tokens = rows.select("u", "v", "n", "d_size", "component", "outside", "cells", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut_lineage(tokens, "difference-tokens")
-    a, b = (tokens.select(F.col("u").alias("hub"), "token", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "d_size", "component", "outside", "pos")))
+    a, b = (tokens.select(F.col("u").alias("hub"), "token", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "d_size", "component", "outside", "cells", "pos")))
             for side in "ab")
     differ = may_differ("n_a + n_b", similarity_pct)
     share = f"greatest(1, (d_size_a + d_size_b - ({differ}) + 1) div 2)"
+    cells = " + ".join(f"bit_count(cells_a[{i}] ^ cells_b[{i}])" for i in range(PARITY))
     met = a.where("outside_a").join(b, ["hub", "token"]).where(
         f"component_a <> component_b and (not outside_b or v_a < v_b) and abs(d_size_a - d_size_b) <= {differ} "
-        f"and 100 * least(n_a, n_b) >= {similarity_pct} * greatest(n_a, n_b) and pos_a <= d_size_a - {share} and pos_b <= d_size_b - {share}")
-    return cut_lineage(met.select(F.least("v_a", "v_b").alias("u"), F.greatest("v_a", "v_b").alias("v")).distinct(), "difference-pairs")
+        f"and 100 * least(n_a, n_b) >= {similarity_pct} * greatest(n_a, n_b) and pos_a <= d_size_a - {share} and pos_b <= d_size_b - {share} and {cells} <= {differ}")
+    pairs = cut_lineage(met.select(F.least("v_a", "v_b").alias("u"), F.greatest("v_a", "v_b").alias("v")).distinct(), "met-pairs")
+    # Few cells say nothing of large sets: pairs are asked again for parities over as many cells as tokens.
+    sketches = cut_lineage(rows.groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "parities")
+    pairs = pairs.join(sketches.select(F.col("v").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("a")), "u").join(
+        sketches.select("v", F.col("n").alias("n_b"), F.col("sketch").alias("b")), "v")
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, 1 + size({0}) div 2, size({0}) div 2), (x, y) -> x ^ y)"
+    fold = "if(size({0}) > size({1}), " + half + ", {0})"  # similar sets are of the same power of two, or of the next
+    odd = f"aggregate(zip_with({fold.format('a', 'b')}, {fold.format('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return cut_lineage(pairs.where(f"{odd} <= {differ}").select("u", "v"), "difference-pairs")

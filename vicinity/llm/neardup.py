@@ -6,13 +6,12 @@
 3. In each bucket every member is first compared with the bucket's hub, the member that meets most
    others (a star, so the number of pairs is that of the members).  A round over the confirmed links
    labels what is connected.
-4. Only buckets whose members still have different labels are looked at again, and there only pairs
-   of different labels with one member outside the hub's.
+4. Only members outside their hub's component are looked at again, and there only pairs that can be
+   similar by their differences from the hub (``hubs.py``).
 5. Every pair is verified sequentially: members of buckets get a longer signature of one-bit
    positions, and after each batch of 64 of them a pair is dropped if the posterior probability of
-   the target similarity is below the miss probability.  The test is a condition of the join, so
-   dropped pairs never become rows.  Survivors are compared on their full shingle sets, and only
-   those links count.
+   the target similarity is below the miss probability.  Survivors are compared on their full shingle
+   sets, and only those links count.
 
 No pair of two texts that share a band is lost: it is linked, refuted, or already in one component.
 With 32 bands of 6 values, texts of similarity 0.85 share no band with a chance of 3e-7.
@@ -26,7 +25,6 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinity.llm.common import cut_lineage, ship_by_value, text_blocks
+from vicinity.llm import hubs
+from vicinity.llm.common import cut_lineage, ship_by_value
 from vicinity.llm.components import components, star_round
-from vicinity.llm.wordscan import U, Block, Powers, mix, windows
+from vicinity.llm.hubs import hashed_sets
+from vicinity.llm.wordscan import U, Powers, mix
 from vicinity.operators.broadcast import broadcast_checked
 
 WORDS = 5
@@ -83,28 +83,6 @@ def _signature(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return least
 
 
-def _hashed_sets(column: pa.Array, n_words: int, powers: Powers):
-    """``(lo, hi, sets)``: for runs of rows, the hashes of each text's distinct shingles; None without words."""
-    for lo, hi, data, offsets in text_blocks(column):
-        words = Block(data, offsets, powers, lower=True).words()
-        rolling = None
-        for size in range(1, n_words + 1):
-            rolling, _ = windows(words, size, rolling)
-        edges = np.searchsorted(words.doc, np.arange(hi - lo + 1))
-        sets: list[np.ndarray | None] = []
-        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if first == last:
-                sets.append(None)
-            elif last - first < n_words:  # the whole sequence as one shingle
-                whole = np.array([last - first], np.uint64)
-                for h in words.hash[first:last]:
-                    whole = mix(whole ^ h)
-                sets.append(whole)
-            else:
-                sets.append(np.unique(mix(rolling[first:last - n_words + 1])))
-        yield lo, hi, sets
-
-
 class _Bands:
     """Band keys of a set of shingle hashes."""
 
@@ -131,7 +109,7 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int = WOR
     def hash_texts(batches):
         powers, in_bands = Powers(), _Bands(bands, rows)
         for batch in batches:
-            for lo, hi, sets in _hashed_sets(batch.column(1), n_words, powers):
+            for lo, hi, sets in hashed_sets(batch.column(1), n_words, powers):
                 digests = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 keys = [None if x is None else in_bands.keys(x) for x in sets]
                 counts = [0 if x is None else len(x) for x in sets]
@@ -152,7 +130,7 @@ def sketch_rows(texts: DataFrame, n_words: int = WORDS, bands: int = BANDS, rows
         powers, in_bands = Powers(), _Bands(bands, rows)
         multipliers = _multipliers(bands * rows + 64 * sketch_words)[bands * rows:]
         for batch in batches:
-            for lo, hi, sets in _hashed_sets(batch.column(1), n_words, powers):
+            for lo, hi, sets in hashed_sets(batch.column(1), n_words, powers):
                 bits = [np.packbits((mix(_signature(x, multipliers)) & U(1)).astype(bool)).view(np.int64) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()),
@@ -163,47 +141,6 @@ def sketch_rows(texts: DataFrame, n_words: int = WORDS, bands: int = BANDS, rows
     return texts.select("node", "text").mapInArrow(sketch, "node long, n long, bands array<long>, sketch array<long>")
 
 
-def shingle_set(text: str, n_words: int = WORDS) -> frozenset:
-    """The shingles themselves: tuples of words, or the whole sequence of a shorter text."""
-    words = text.encode().lower().split()  # bytes: only A-Z are lowered, only ASCII space splits
-    if len(words) < n_words:
-        return frozenset([tuple(words)]) if words else frozenset()
-    return frozenset(zip(*(words[i:] for i in range(n_words)), strict=False))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int) -> DataFrame:
-    """Those of ``pairs(u, v)``, each given once, whose full sets are similar enough.  ``texts`` is
-    ``(node, text)``."""
-    pairs = cut_lineage(pairs, "near-pairs")
-    wanted, _ = broadcast_checked(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))), 1)
-    texts = texts.join(wanted, "node", "left_semi")
-    rows = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
-    rows = rows.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
-
-    def compare(batches):
-        recent: OrderedDict = OrderedDict()  # sets of a few texts: a star's centre comes again and again
-
-        def set_of(node: int, text: str) -> frozenset:
-            if node not in recent:
-                recent[node] = shingle_set(text, n_words)
-                if len(recent) > 8:
-                    recent.popitem(last=False)
-            recent.move_to_end(node)
-            return recent[node]
-
-        for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (u, v) in enumerate(zip(us, vs, strict=True)):
-                a, b = set_of(u, batch.column(2)[i].as_py()), shingle_set(batch.column(3)[i].as_py(), n_words)
-                both = len(a & b)
-                keep.append(100 * both >= similarity_pct * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    ship_by_value()
-    return cut_lineage(rows.mapInArrow(compare, "u long, v long"), "confirmed")
-
-
 def _passes(limits: list[int], similarity_pct: int) -> str:
     """The sequential test of sketches a and b as a condition: sizes first, then batch after batch,
     each counted only if those before it passed."""
@@ -226,43 +163,27 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity_pct: int =
     one_each = cut_lineage(
         filled.join(classes.select(F.col("node").alias("row_no")), "row_no", "left_semi").select(
             F.col("row_no").alias("node"), "bands"), "class-signatures")
-    members = one_each.select("node", F.explode("bands").alias("key"))
-    buckets = cut_lineage(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = cut_lineage(members.join(buckets, "key"), "bucket-members")
-    # The hub of a bucket is the member that meets most others in all its buckets: the likely centre of a group.
-    met = cut_lineage(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
-    hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).getField("node").alias("hub"))
-    members = cut_lineage(members.drop("n").join(hubs, "key"), "hub-members")
-    wanted, _ = broadcast_checked(cut_lineage(members.select("node").distinct(), "bucket-nodes"), 1)
+    stars = hubs.elect(one_each.select("node", F.explode("bands").alias("key"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    nodes = cut_lineage(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "bucket-nodes")
+    wanted, _ = broadcast_checked(nodes, 1)
     texts = cut_lineage(table.select(F.col("row_no").alias("node"), "text").join(wanted, "node", "left_semi"), "member-texts")
     sketches = cut_lineage(sketch_rows(texts, n_words, bands, band_rows, sketch_words), "sketches")
+    a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na"))
+    b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb"))
 
-    stars = cut_lineage(members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
-    tested = (
-        stars.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na")), "u")
-        .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb")), "v")
-        .where(passes).select("u", "v"))
-    links = star_round(confirmed(tested, texts, similarity_pct, n_words))
+    tested = cut_lineage(stars.join(a, "u").join(b, "v").select("u", "v", F.expr(passes).alias("passed")), "tested-stars")
+    near = hubs.compare(tested.where("passed").select("u", "v"), texts, similarity_pct, n_words, differences=True)
+    links = star_round(near.where("linked").select("u", "v"))
     # Labels after one round: equal ones are connected, which is all that the next step needs.
     label = cut_lineage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "star-labels")
 
-    placed = members.join(label, "node", "left").select(
-        "key", "node", "hub", F.coalesce("component", "node").alias("component"))
-    placed = cut_lineage(placed, "placed-members")
-    at_hub = F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("hub_component")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), at_hub).where("lo < hi")
-    open_ = cut_lineage(open_.select("key", "hub_component"), "open-buckets")
-    rest = cut_lineage(placed.join(open_, "key").join(sketches, "node"), "open-members")
-    outside = rest.where("component <> hub_component").select(
-        "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("sketch").alias("a"), F.col("n").alias("na"),
-        F.col("bands").alias("ba"))
-    other = rest.where("node <> hub").select(  # the hub itself has been compared with all
-        "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("sketch").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb"),
-        (F.col("component") == F.col("hub_component")).alias("inside"))
-    # A pair counts in the first band that it shares, so it is a row once.
-    first = "get(filter(zip_with(ba, bb, (x, y) -> if(x = y, x, null)), x -> x is not null), 0) = key"
-    across = outside.join(other, "key").where(f"cu <> cv and (inside or u < v) and {passes} and {first}").select("u", "v")
-    more = confirmed(across, texts, similarity_pct, n_words)
+    far = tested.where("not passed").select("u", "v", F.lit(False).alias("linked"))
+    placed = cut_lineage(hubs.outsiders(near.unionByName(far, allowMissingColumns=True), label), "open-members")
+    late = hubs.compare(placed.where("own is null").select("u", "v"), texts, similarity_pct, n_words, differences=True)
+    late = late.drop("linked").join(placed.where("own is null").select("u", "v", "linked", "component", "outside"), ["u", "v"])
+    across = hubs.candidates(placed.where("own is not null").unionByName(late), texts, similarity_pct, n_words)
+    across = across.join(a, "u").join(b, "v").where(passes).select("u", "v")
+    more = hubs.compare(across, texts, similarity_pct, n_words).where("linked").select("u", "v")
     label = cut_lineage(components(links.unionByName(more)), "all-components")
 
     # Each class's component, named by the smallest id in it.
