@@ -29,6 +29,12 @@ def star_round(links: DataFrame) -> DataFrame:
     return cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
 
+def labels(stars: DataFrame) -> DataFrame:
+    """``(node, component)`` after a round: nodes of one label are connected, though not all connected ones
+    need have one."""
+    return cut_lineage(stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "star-labels")
+
+
 def _are_stars(links: DataFrame) -> bool:
     """Whether every node is either a centre or linked to one centre only."""
     roles = links.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(

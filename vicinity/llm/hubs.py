@@ -4,7 +4,9 @@ Members of a bucket are likely to be similar.  Each bucket has a hub, the member
 others in all its buckets, and
 
 1. every member is compared with its hubs, so the number of comparisons is that of the members;
-2. members that are in one component with their hub need no more.  The others, the outsiders of the
+2. where members differ from the hub in the same way, the one that is nearest to most takes its place
+   and they are compared with that one;
+3. members that are in one component with their hub need no more.  The others, the outsiders of the
    hub, are sought in the space of differences: with D(x) the symmetric difference of x and the hub,
    ``x ^ y = D(x) ^ D(y)`` as sets.  Where two sets may differ in at most d elements and x is not
    similar to the hub, D(x) and D(y) must share ``(|D(x)| + |D(y)| - d) / 2 > 0`` elements or more.
@@ -190,6 +192,31 @@ def outsiders(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(open_, "u", "left_semi")
 
 
+def recentre(placed: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int) -> DataFrame:
+    """Rows of ``compare`` of the members of open hubs with the centre of each.
+
+    ``placed`` comes from ``outsiders``.  The first piece of a hub's members votes: what most of them differ
+    in from the hub is the hub's own doing.  The member that differs least from what most agree on takes the
+    hub's place, and the hub becomes a member; where that is the hub itself, its comparisons are kept."""
+    near = placed.where("missing is not null")
+    both = F.concat("own", "missing")
+    votes = near.where("voter").select("u", F.explode(both).alias("token")).groupBy("u", "token").agg(F.count("*").alias("n"))
+    voters = near.where("voter").groupBy("u").agg(F.count("*").alias("voters"))
+    major = votes.join(voters, "u").where("2 * n > voters").groupBy("u").agg(F.collect_list("token").alias("major"))
+    major = cut_lineage(major, "major-differences")
+    apart = F.col("d_size") + F.size("major") - 2 * F.size(F.array_intersect(both, "major"))
+    best = near.join(major, "u").groupBy("u").agg(F.min(F.struct(apart.alias("apart"), "v")).alias("best"), F.first(F.size("major")).alias("hub_apart"))
+    moved = cut_lineage(best.where("best.apart < hub_apart").select("u", F.col("best.v").alias("centre")), "centres")
+    moved, _ = broadcast_checked(moved, 2)
+    columns = [c for c in placed.columns if c not in ("component", "outside")]
+    stay = cut_lineage(placed.where("own is not null").join(moved, "u", "left_anti").select(columns), "kept-centres")
+    pairs = placed.join(moved, "u").select(F.col("centre").alias("u"), "v").unionByName(
+        moved.select(F.col("centre").alias("u"), F.col("u").alias("v"))).where("u <> v").unionByName(
+        placed.where("own is null").join(moved, "u", "left_anti").select("u", "v")).distinct()
+    pairs = cut_lineage(pairs.join(stay.select("u", "v"), ["u", "v"], "left_anti"), "centre-pairs")
+    return stay.unionByName(compare(pairs, texts, similarity_pct, n_words, differences=True).select(columns))
+
+
 def candidates(rows: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int) -> DataFrame:
     """``(u, v)``, each once: pairs of two members of one hub, one an outsider, that their differences from the
     hub do not refute.  ``rows`` is the result of ``outsiders`` over rows of ``compare``.

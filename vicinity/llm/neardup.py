@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from vicinity.llm import hubs
 from vicinity.llm.common import cut_lineage, ship_by_value
-from vicinity.llm.components import components, star_round
+from vicinity.llm.components import components, labels, star_round
 from vicinity.llm.hubs import hashed_sets
 from vicinity.llm.wordscan import U, Powers, mix
 from vicinity.operators.broadcast import broadcast_checked
@@ -174,14 +174,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity_pct: int =
     tested = cut_lineage(stars.join(a, "u").join(b, "v").select("u", "v", F.expr(passes).alias("passed")), "tested-stars")
     near = hubs.compare(tested.where("passed").select("u", "v"), texts, similarity_pct, n_words, differences=True)
     links = star_round(near.where("linked").select("u", "v"))
-    # Labels after one round: equal ones are connected, which is all that the next step needs.
-    label = cut_lineage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "star-labels")
-
     far = tested.where("not passed").select("u", "v", F.lit(False).alias("linked"))
-    placed = cut_lineage(hubs.outsiders(near.unionByName(far, allowMissingColumns=True), label), "open-members")
-    late = hubs.compare(placed.where("own is null").select("u", "v"), texts, similarity_pct, n_words, differences=True)
-    late = late.drop("linked").join(placed.where("own is null").select("u", "v", "linked", "component", "outside"), ["u", "v"])
-    across = hubs.candidates(placed.where("own is not null").unionByName(late), texts, similarity_pct, n_words)
+    placed = cut_lineage(hubs.outsiders(near.unionByName(far, allowMissingColumns=True), labels(links)), "open-members")
+    compared = hubs.recentre(placed, texts, similarity_pct, n_words)
+    links = star_round(links.unionByName(compared.where("linked").select("u", "v")))
+    across = hubs.candidates(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
     across = across.join(a, "u").join(b, "v").where(passes).select("u", "v")
     more = hubs.compare(across, texts, similarity_pct, n_words).where("linked").select("u", "v")
     label = cut_lineage(components(links.unionByName(more)), "all-components")

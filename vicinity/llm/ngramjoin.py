@@ -11,9 +11,11 @@ signatures made of a prefix of its tokens:
   most one token of each part.  So a prefix is extended until its tokens, less one for each part that
   it touches, are more than e; then similar sets have a common signature (of the two prefixes the one
   that ends first lies within the other).
-* Rare tokens come first in the order, then frequent ones, then those that were not counted; ties by
-  hash.  Frequencies are counted over the tokens with the lowest quarter of hashes, of all sets.  They
-  and the bounds below steer costs, never results.
+* Frequencies are counted over the tokens with the lowest quarter of hashes, of all sets.  Tokens of one
+  set alone come first in the order, then repeated ones, then frequent ones, then those that were not
+  counted; ties by hash.  A token of one set alone meets nobody, so it is not indexed.  Tasks are told
+  the repeated tokens as a bitmap and the frequent ones as a list, both bounded; beyond the bounds the
+  most frequent ones are told, and all rare tokens are indexed.  This steers costs, never results.
 * The number of parts follows the size of the larger set, by powers of two; a set whose partners can
   reach the next power is indexed for both.
 
@@ -30,6 +32,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import types as T
 
 from vicinity.llm import hubs
 from vicinity.llm.common import cut_lineage, ship_by_value
-from vicinity.llm.components import components, star_round
+from vicinity.llm.components import components, labels, star_round
 from vicinity.llm.wordscan import U, Powers, mix
 from vicinity.operators.broadcast import broadcast_checked
 
@@ -50,6 +53,30 @@ COUNTED = 1 << 62
 #: Least number of sets that makes a token frequent, and the most frequent tokens that tasks are told.
 FREQUENT = 32
 MOST_FREQUENT = 1 << 17
+#: Bits of the map of repeated tokens, and the most tokens that are put into it.
+MAP_BITS = 27
+MOST_REPEATED = 1 << 24
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """What tasks know of counted tokens: a bitmap of repeated ones by their highest bits, whether it holds
+    all of them, and the sorted frequent ones."""
+
+    repeated: np.ndarray
+    complete: bool
+    frequent: np.ndarray
+
+    def classes(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for tokens not known to be repeated, 1 repeated, 2 frequent, 3 not counted."""
+        counted = tokens < U(COUNTED)
+        place = np.where(counted, tokens, U(0)) >> U(62 - MAP_BITS)
+        out = (self.repeated[place >> U(6)] >> (place & U(63)) & U(1)).astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+            out[self.frequent[at] == tokens] = 2
+        out[~counted] = 3
+        return out
 
 
 def _missing(n: int, similarity_pct: int) -> int:
@@ -57,55 +84,78 @@ def _missing(n: int, similarity_pct: int) -> int:
     return n - -(-similarity_pct * n // 100)
 
 
-def token_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
-    """``(doc_id, text, n_shingles, digest, counted)``: size and digest of the set, and its tokens with low hashes."""
+def set_rows(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
+    """``(doc_id, text, n_shingles, digest)``: size and digest of each document's set; no digest for an empty one."""
     docs = docs.select(id_col, text_col)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_shingles", T.LongType()),
-        T.StructField("digest", T.BinaryType()), T.StructField("counted", T.ArrayType(T.LongType()))])
+        T.StructField("digest", T.BinaryType())])
 
     def hash_texts(batches):
         powers = Powers()
         for batch in batches:
             for lo, hi, sets in hubs.hashed_sets(batch.column(1), n_words, powers):
                 digests = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                low = [None if x is None else x[:np.searchsorted(x, U(COUNTED))].view(np.int64) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([0 if x is None else len(x) for x in sets], pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(low, pa.list_(pa.int64()))], names=schema.names)
+                     pa.array(digests, pa.binary())], names=schema.names)
 
     ship_by_value()
     return docs.mapInArrow(hash_texts, schema)
 
 
-def frequent_tokens(tokens: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """The tokens (``token``, one row for each set that has it) of ``least`` sets and more; if they are more than
-    ``most``, only those above a higher count.  A histogram of counts, in steps of an eighth of a power of two,
-    tells which."""
-    counts = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least), "token-counts")
-    step = F.floor(8 * F.log2("n")).cast("int").alias("step")
-    total, lowest = 0, None
-    for row in counts.groupBy(step).count().orderBy(F.col("step").desc()).collect():
-        if total + row["count"] > most:
-            break
-        total, lowest = total + row["count"], row["step"]
-    if lowest is None:
-        return np.empty(0, np.uint64)
-    rows = counts.where(F.floor(8 * F.log2("n")) >= lowest).select("token").collect()
-    return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
+def token_rows(texts: DataFrame, n_words: int) -> DataFrame:
+    """``token``: the tokens with low hashes, once for each set of ``texts(text)``."""
+    def low(batches):
+        powers = Powers()
+        for batch in batches:
+            for _, _, sets in hubs.hashed_sets(batch.column(0), n_words, powers):
+                tokens = [x[:np.searchsorted(x, U(COUNTED))] for x in sets if x is not None]
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64))], names=["token"])
+
+    ship_by_value()
+    return texts.select("text").mapInArrow(low, "token long")
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, similarity_pct: int = SIMILARITY_PCT) -> np.ndarray:
+def frequencies(tokens: DataFrame, least: int = FREQUENT, most_frequent: int = MOST_FREQUENT, most_repeated: int = MOST_REPEATED) -> Frequencies:
+    """Counts over ``token``, one row for each set that has it.  A histogram of counts, in steps of an eighth of
+    a power of two, tells from which count on the tokens fit into each bound."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut_lineage(counts.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "token-counts")
+    steps = counts.groupBy("step").agg(F.count("*").alias("tokens"), F.min("n").alias("n")).orderBy(F.col("step").desc()).collect()
+
+    def from_step(most: int, least: int) -> tuple[int, bool]:
+        total, lowest = 0, 1 << 30
+        for row in steps:
+            if row["n"] < least:
+                break
+            total += row["tokens"]
+            if total > most:
+                return lowest, False
+            lowest = row["step"]
+        return lowest, True
+
+    frequent_from, _ = from_step(most_frequent, least)
+    repeated_from, complete = from_step(most_repeated, 2)
+    frequent = counts.where(F.col("step") >= frequent_from).select("token").toArrow().column(0).to_numpy()
+    place = F.shiftright("token", 62 - MAP_BITS)
+    bits = counts.where(F.col("step") >= repeated_from).groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(shiftright(token, {62 - MAP_BITS}) & 63 as int)))").alias("bits")).toArrow()
+    repeated = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    repeated[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
+    return Frequencies(repeated, complete, np.sort(frequent.view(np.uint64)))
+
+
+def signatures(tokens: np.ndarray, known: Frequencies, similarity_pct: int = SIMILARITY_PCT) -> np.ndarray:
     """Signatures of a set, given by its sorted token hashes; none for a set that only its copies resemble."""
     n = len(tokens)
     largest = 100 * n // similarity_pct
     if largest == n:
         return np.empty(0, np.uint64)
-    counted = tokens < U(COUNTED)
-    at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
-    often = (frequent[at] == tokens) if len(frequent) else np.zeros(n, bool)
-    order = np.argsort(np.where(often, 1, np.where(counted, 0, 2)), kind="stable")  # rare, frequent, not counted
-    tokens, often = tokens[order], often[order]
+    kind = known.classes(tokens)
+    order = np.argsort(kind, kind="stable")
+    tokens, often, alone = tokens[order], kind[order] == 2, (kind[order] == 0) & known.complete
     out = []
     for power in range(n.bit_length() - 1, largest.bit_length()):
         parts = max(1, (100 - similarity_pct) * (1 << power) // 100)
@@ -114,7 +164,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, similarity_pct: int = S
         first = np.unique(part[often], return_index=True)[1]
         counts[np.flatnonzero(often)[first]] = 0  # one token of each part may be shared without a signature
         size = int(np.searchsorted(np.cumsum(counts), _missing(n, similarity_pct) + 1)) + 1
-        out.append(mix(tokens[:size][~often[:size]]))
+        out.append(mix(tokens[:size][~(often | alone)[:size]]))
         own, mine = part[:size][often[:size]], tokens[:size][often[:size]]
         by_part = np.argsort(own, kind="stable")
         own, mine = own[by_part], mine[by_part]
@@ -127,13 +177,13 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, similarity_pct: int = S
     return np.unique(np.concatenate(out))
 
 
-def signature_rows(texts: DataFrame, frequent: np.ndarray, similarity_pct: int, n_words: int) -> DataFrame:
+def signature_rows(texts: DataFrame, known: Frequencies, similarity_pct: int, n_words: int) -> DataFrame:
     """``(key, node)`` of ``texts(node, text)``: one row for each signature."""
     def index(batches):
         powers = Powers()
         for batch in batches:
             for lo, hi, sets in hubs.hashed_sets(batch.column(1), n_words, powers):
-                keys = [signatures(x, frequent, similarity_pct) for x in sets]
+                keys = [signatures(x, known, similarity_pct) for x in sets]
                 nodes = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
@@ -145,23 +195,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        n_words: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per document: size of its set, and the smallest id that
     links of similar sets reach."""
-    table = token_rows(docs, id_col, text_col, n_words).withColumn("row_no", F.monotonically_increasing_id())
+    table = set_rows(docs, id_col, text_col, n_words).withColumn("row_no", F.monotonically_increasing_id())
     table = cut_lineage(table, "token-sets")
     filled = table.where("digest is not null")
     classes = cut_lineage(filled.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("first_id")), "classes")
     nodes, _ = broadcast_checked(classes.select("node"), 1)
     one_each = filled.withColumnRenamed("row_no", "node").join(nodes, "node", "left_semi")
-    frequent = frequent_tokens(one_each.select(F.explode("counted").alias("token")))
-    stars = hubs.elect(cut_lineage(signature_rows(one_each, frequent, similarity_pct, n_words), "signatures"))
+    known = frequencies(token_rows(one_each, n_words))
+    stars = hubs.elect(cut_lineage(signature_rows(one_each, known, similarity_pct, n_words), "signatures"))
     stars = stars.select(F.col("hub").alias("u"), F.col("node").alias("v"))
     wanted, _ = broadcast_checked(cut_lineage(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "bucket-nodes"), 1)
     texts = cut_lineage(one_each.select("node", "text").join(wanted, "node", "left_semi"), "member-texts")
 
     compared = hubs.compare(stars, texts, similarity_pct, n_words, differences=True)
     links = star_round(compared.where("linked").select("u", "v"))
-    # Labels after one round: equal ones are connected, which is all that the next step needs.
-    label = cut_lineage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "star-labels")
-    across = hubs.candidates(hubs.outsiders(compared, label), similarity_pct)
+    compared = hubs.recentre(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
+    links = star_round(links.unionByName(compared.where("linked").select("u", "v")))
+    across = hubs.candidates(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
     more = hubs.compare(across, texts, similarity_pct, n_words).where("linked").select("u", "v")
     label = cut_lineage(components(links.unionByName(more)), "all-components")
 
