@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinity.llm import hubs
-from vicinity.llm.common import cut_lineage, ship_by_value
+from vicinity.llm.common import cut_lineage, ship_by_value, short_batches
 from vicinity.llm.components import components, labels, star_round
 from vicinity.llm.wordscan import U, Powers, mix
 from vicinity.operators.broadcast import broadcast_checked
@@ -54,8 +54,8 @@ COUNTED = 1 << 62
 FREQUENT = 32
 MOST_FREQUENT = 1 << 17
 #: Bits of the map of repeated tokens, and the most tokens that are put into it.
-MAP_BITS = 27
-MOST_REPEATED = 1 << 24
+MAP_BITS = 26
+MOST_REPEATED = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -195,25 +195,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        n_words: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per document: size of its set, and the smallest id that
     links of similar sets reach."""
-    table = set_rows(docs, id_col, text_col, n_words).withColumn("row_no", F.monotonically_increasing_id())
-    table = cut_lineage(table, "token-sets")
-    filled = table.where("digest is not null")
-    classes = cut_lineage(filled.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("first_id")), "classes")
-    nodes, _ = broadcast_checked(classes.select("node"), 1)
-    one_each = filled.withColumnRenamed("row_no", "node").join(nodes, "node", "left_semi")
-    known = frequencies(token_rows(one_each, n_words))
-    stars = hubs.elect(cut_lineage(signature_rows(one_each, known, similarity_pct, n_words), "signatures"))
-    stars = stars.select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    wanted, _ = broadcast_checked(cut_lineage(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "bucket-nodes"), 1)
-    texts = cut_lineage(one_each.select("node", "text").join(wanted, "node", "left_semi"), "member-texts")
-
-    compared = hubs.compare(stars, texts, similarity_pct, n_words, differences=True)
-    links = star_round(compared.where("linked").select("u", "v"))
-    compared = hubs.recentre(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
-    links = star_round(links.unionByName(compared.where("linked").select("u", "v")))
-    across = hubs.candidates(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
-    more = hubs.compare(across, texts, similarity_pct, n_words).where("linked").select("u", "v")
-    label = cut_lineage(components(links.unionByName(more)), "all-components")
+    with short_batches(docs.sparkSession):  # all jobs with Python in them run in here
+        table = set_rows(docs, id_col, text_col, n_words).withColumn("row_no", F.monotonically_increasing_id())
+        table = cut_lineage(table, "token-sets")
+        filled = table.where("digest is not null")
+        classes = cut_lineage(filled.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("first_id")), "classes")
+        nodes, _ = broadcast_checked(classes.select("node"), 1)
+        one_each = filled.withColumnRenamed("row_no", "node").join(nodes, "node", "left_semi")
+        known = frequencies(token_rows(one_each, n_words))
+        stars = hubs.elect(cut_lineage(signature_rows(one_each, known, similarity_pct, n_words), "signatures"))
+        stars = stars.select(F.col("hub").alias("u"), F.col("node").alias("v"))
+        wanted, _ = broadcast_checked(cut_lineage(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "bucket-nodes"), 1)
+        texts = cut_lineage(one_each.select("node", "text").join(wanted, "node", "left_semi"), "member-texts")
+
+        compared = hubs.compare(stars, texts, similarity_pct, n_words, differences=True)
+        links = star_round(compared.where("linked").select("u", "v"))
+        compared = hubs.recentre(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
+        links = star_round(links.unionByName(compared.where("linked").select("u", "v")))
+        across = hubs.candidates(hubs.outsiders(compared, labels(links)), texts, similarity_pct, n_words)
+        more = hubs.compare(across, texts, similarity_pct, n_words).where("linked").select("u", "v")
+        label = cut_lineage(components(links.unionByName(more)), "all-components")
 
     grouped = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = cut_lineage(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-names")
