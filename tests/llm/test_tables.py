@@ -335,6 +335,21 @@ def test_plans_cover_the_histogram(histogram):
     assert made == +want
 
 
+@pytest.mark.parametrize("name", ["middle", "uniform", "lognormal", "one length"])
+def test_column_generation_reaches_the_bound(name):
+    draw = np.random.default_rng(1)
+    lengths = {"middle": lambda: draw.integers(700, 1101, 50_000), "uniform": lambda: draw.integers(1, 2049, 20_000),
+               "lognormal": lambda: np.clip(draw.lognormal(6, 1, 20_000).astype(int), 1, 2048),
+               "one length": lambda: np.append(draw.integers(1, 2049, 10_000), [700] * 5_000)}[name]()
+    histogram = {int(k): v for k, v in Counter(lengths.tolist()).items()}
+    sizes = np.array(sorted({*histogram, *(1 << k for k in range(12))}), np.int64)
+    solution = packing.solve_patterns(sizes, np.array([histogram.get(int(s), 0) for s in sizes]), 2048)
+    assert solution.entered > 0 and solution.priced >= solution.entered
+    least = sum(s * n for s, n in histogram.items()) / 2048
+    assert solution.cost @ solution.x <= 1.002 * least
+    assert sum(times for _, times in packing.plan_sequences(histogram, 2048)[0]) <= 1.005 * least
+
+
 # ---- pipeline
 
 def test_pipeline(spark, tmp_path, library):

@@ -3,11 +3,11 @@
 Each text is tokenized, ended by one closing id and cut at multiples of the sequence length, so
 only its last piece is shorter.  Piece lengths make a histogram of at most ``capacity`` classes,
 whatever the corpus.  On that histogram the driver solves the cutting-stock linear program by
-column generation: a knapsack dynamic program over the classes prices new patterns, and a simplex
-step takes the best one in.  Where patterns alone leave room (say, a third of all texts have one
-awkward length), a second kind of column cuts pieces into powers of two.  Pattern counts are
-rounded down; what is left over (a few pieces for each class) is filled largest first.  Spark then
-ranks the pieces of each class, and a small table of rank ranges gives every piece its sequence.
+column generation, from patterns of one class each: a knapsack dynamic program over the classes
+prices new patterns, and simplex steps take the best ones in.  A second kind of column cuts a piece
+into powers of two, priced with the others.  Pattern counts are rounded down; what is left over (a
+few pieces for each class) is filled largest first.  Spark then ranks the pieces of each class, and
+a small table of rank ranges gives every piece its sequence.
 
 A rank within a class is the rank within one of many hash buckets plus the sizes of the buckets
 before, so a class with a third of all pieces is still ranked by many tasks.
@@ -19,6 +19,7 @@ packed as often as they occur; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,13 @@ from vicinity.llm.pretoken import PreTokens
 
 CAPACITY = 2048
 CLOSING_ID = 1
-#: Share of the total length by which the plan may miss the bound total length / capacity, and
-#: simplex steps after which the plan found so far is used (it is always a whole plan).
-GAP = 2e-3
-MAX_STEPS = 500
+#: Worth of a column, in sequences, below which it is not taken in, and share by which the program's
+#: value may miss the bound total length / capacity.
+GAP = 1e-3
+#: Patterns, and cuts, that one pricing offers to the program.
+COLUMNS_A_STEP = 64
+#: Steps of the simplex method between fresh inversions.
+REFRESH = 250
 #: Pre-tokens whose ids a task remembers.
 REMEMBERED = 300_000
 #: Pieces of one class that one ranking task should see.
@@ -92,25 +96,33 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, pat
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the pattern of the largest total price within the capacity."""
+def _knapsack(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack for every room up to the capacity: largest total price, and the class
+    taken last for it (-1: a place left empty)."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        best[room], last[room] = best[room - 1], -1
-        fit = int(np.searchsorted(sizes, room, "right"))
+        best[room], fit = best[room - 1], fits[room]
         if fit:
             values = best[room - sizes[:fit]] + price[:fit]
             j = int(values.argmax())
             if values[j] > best[room] + 1e-12:
                 best[room], last[room] = values[j], j
-    pattern, room = np.zeros(len(sizes)), capacity
+    return best, last
+
+
+def _pattern(sizes: np.ndarray, last: np.ndarray, capacity: int, first: int) -> np.ndarray:
+    """The best pattern among those that have the class ``first``."""
+    pattern, room = np.zeros(len(sizes)), capacity - int(sizes[first])
+    pattern[first] = 1
     while room > 0:
-        if last[room] < 0:
+        j = last[room]
+        if j < 0:
             room -= 1
         else:
-            pattern[last[room]] += 1
-            room -= sizes[last[room]]
-    return float(best[capacity]), pattern
+            pattern[j] += 1
+            room -= int(sizes[j])
+    return pattern
 
 
 def binary_parts(size: int) -> list[int]:
@@ -118,98 +130,106 @@ def binary_parts(size: int) -> list[int]:
     return [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
 
 
-def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A first basis: each pattern, filled from the largest class down, is used until it exhausts a
-    class that no later pattern has.  The matrix is thus triangular, and its counts are feasible."""
-    m = len(sizes)
-    left, basis, x, open_ = demand.astype(float), np.zeros((m, m)), np.zeros(m), np.ones(m, bool)
-    for j in range(m):
-        room, pattern = capacity, basis[:, j]
-        for i in np.flatnonzero(open_)[::-1]:
-            if sizes[i] <= room:
-                pattern[i] = min(room // sizes[i], max(1, np.ceil(left[i])))
-                room -= int(pattern[i] * sizes[i])
-                if room == 0:
-                    break
-        ratio = np.where(pattern > 0, left / np.maximum(pattern, 1), np.inf)
-        out = int(ratio.argmin())
-        x[j] = ratio[out]
-        left -= x[j] * pattern
-        left[out], open_[out] = 0, False
-    return basis, x
-
-
-def _cut_ahead(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float) -> np.ndarray:
-    """Pieces of each class to cut before the program starts.
-
-    While the first basis leaves more than ``gap`` unused, as much length as it wastes is cut from
-    the largest class among its wasteful patterns; the parts then fill those patterns' room.
-    """
-    at = {int(s): i for i, s in enumerate(sizes)}
-    demand, cut = demand.copy(), np.zeros(len(sizes), np.int64)
-    for _ in range(8):
-        basis, x = _greedy_basis(sizes, demand, capacity)
-        wasted = x * (capacity - sizes @ basis)
-        if wasted.sum() <= gap * (sizes @ demand):
-            break
-        weight = (basis * wasted).sum(axis=1) * (sizes & (sizes - 1) > 0)
-        i = int(weight.argmax())
-        times = int(min(demand[i], np.ceil(wasted.sum() / (2 * sizes[i]))))
-        if weight[i] <= 0 or times == 0:
-            break
-        cut[i] += times
-        demand[i] -= times
-        demand[[at[p] for p in binary_parts(int(sizes[i]))]] += times
-    return cut
+class Master:
+    """The restricted program ``min cost @ x`` with ``columns @ x = demand`` and ``x >= 0``.
 
+    Its first columns hold one class each, as often as it fits.  Demands are raised by less than a
+    thousandth of a piece, each by its own fraction, so that no step of the simplex method has length
+    zero and the method cannot cycle; rounding the counts removes it again.
+    """
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Column generation: ``min cost @ x`` with ``columns @ x = demand`` and ``x >= 0``.
+    def __init__(self, sizes: np.ndarray, demand: np.ndarray, capacity: int) -> None:
+        m = len(sizes)
+        fit = capacity // sizes
+        self.demand = demand + 1e-3 * np.random.default_rng(m).random(m)
+        self.columns, self.inverse = np.diag(fit.astype(float)), np.diag(1 / fit)
+        self.cost, self.x, self.price = np.ones(m), self.demand / fit, 1 / fit
+        self.pivots = 0
+
+    @property
+    def value(self) -> float:
+        return float(self.cost @ self.x)
+
+    def enter(self, column: np.ndarray, cost: float, least: float) -> bool:
+        """Takes a column in if it is worth more than ``least`` at the prices of this moment."""
+        worth = float(self.price @ column) - cost
+        if worth <= least:
+            return False
+        used = np.flatnonzero(column)
+        direction = self.inverse[:, used] @ column[used]
+        usable = np.flatnonzero(direction > 1e-7)
+        if not len(usable):
+            return False
+        ratio = self.x[usable] / direction[usable]
+        out = int(usable[ratio.argmin()])
+        step = self.x[out] / direction[out]
+        self.x = np.maximum(self.x - step * direction, 0)
+        row = self.inverse[out] / direction[out]
+        rows, cols = np.flatnonzero(np.abs(direction) > 1e-13), np.flatnonzero(row)
+        self.inverse[np.ix_(rows, cols)] -= np.outer(direction[rows], row[cols])
+        self.inverse[out] = row
+        self.price = self.price - worth * row
+        self.x[out], self.cost[out], self.columns[:, out] = step, cost, column
+        self.pivots += 1
+        if self.pivots % REFRESH == 0:  # rounding errors do not pile up
+            self.inverse = np.linalg.inv(self.columns)
+            self.x = np.maximum(self.inverse @ self.demand, 0)
+            self.price = self.cost @ self.inverse
+        return True
+
+
+@dataclass
+class Solution:
+    columns: np.ndarray
+    x: np.ndarray
+    cost: np.ndarray
+    #: Columns that pricing made, and those of them that entered the program.
+    priced: int
+    entered: int
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> Solution:
+    """Column generation over the whole histogram.
 
     A column of cost 1 is a pattern; one of cost 0 cuts a piece into its binary parts (+1 for the
-    piece, -1 for each part, all of which are among the classes).  Ends when no column is worth
-    more than ``gap``, or the value is within ``gap`` of total length / capacity.
+    piece, -1 for each part, all of which are among the classes).  One knapsack prices the best
+    pattern for every class; the most valuable ``COLUMNS_A_STEP`` of them and as many cuts are
+    offered to the program, each at the prices the one before has left.  Prices are first drawn half
+    way to ``size / capacity``, prices under which no column pays, which steadies them; where that
+    finds nothing, the program's own prices are used.  Ends when at those no column is worth more
+    than ``gap``, or when the value is within ``gap`` of total length / capacity, below which no
+    plan can be.  There is no other limit.
     """
     m = len(sizes)
     least = float(sizes @ demand) / capacity
-    basis, x = _greedy_basis(sizes, demand, capacity)
-    cost = np.ones(m)
     at = {int(s): i for i, s in enumerate(sizes)}
     cuts = np.zeros((m, m))  # row i: the column that cuts class i
     for s, i in at.items():
         if s & (s - 1):
             cuts[i, i] = 1
             cuts[i, [at[p] for p in binary_parts(s)]] = -1
-    inverse = np.linalg.inv(basis)
-    for step in range(1, MAX_STEPS):
-        if cost @ x <= least * (1 + gap):
+    program = Master(sizes, demand, capacity)
+    steady, priced, entered = sizes / capacity, 0, 0
+    share = 0.5
+    while True:
+        price = (1 - share) * program.price + share * steady
+        positive = np.maximum(price, 0)
+        best, last = _knapsack(sizes, positive, capacity)
+        worth, saved = positive + best[capacity - sizes] - 1, cuts @ price
+        if not share and max(worth.max(), saved.max()) <= gap:
             break
-        price = cost @ inverse
-        value, column = _best_pattern(sizes, np.maximum(price, 0), capacity)
-        saved = cuts @ price
-        cut = int(saved.argmax())
-        if max(value - 1, saved[cut]) <= gap:
+        floor = 0 if share else gap
+        offers = [(worth[i], 1.0, _pattern(sizes, last, capacity, i)) for i in np.argsort(-worth, kind="stable")[:COLUMNS_A_STEP] if worth[i] > floor]
+        offers += [(saved[i], 0.0, cuts[i]) for i in np.argsort(-saved, kind="stable")[:COLUMNS_A_STEP] if saved[i] > floor]
+        priced += len(offers)
+        taken = sum(program.enter(column, cost, gap / 2) for _, cost, column in sorted(offers, key=lambda o: -o[0]))
+        entered += taken
+        if program.value <= least * (1 + gap):
             break
-        new_cost = 1.0
-        if saved[cut] > value - 1:
-            column, new_cost = cuts[cut], 0.0
-        direction = inverse @ column
-        usable = np.flatnonzero(direction > 1e-7)
-        if not len(usable):
+        if not taken and not share:
             break
-        ratio = x[usable] / direction[usable]
-        tied = usable[ratio <= ratio.min() + 1e-9]
-        out = int(tied[direction[tied].argmax()])  # of equal steps, that with the safest pivot
-        theta = x[out] / direction[out]
-        x = np.maximum(x - theta * direction, 0)
-        x[out], cost[out], basis[:, out] = theta, new_cost, column
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        if step % 50 == 0:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
-    return basis, x, cost
+        share = 0.5 if taken else 0.0
+    return Solution(program.columns, program.x, program.cost, priced, entered)
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
@@ -223,12 +243,8 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> tuple[list[tuple
     sizes = np.array(sorted({*histogram, *powers}), np.int64)
     at = {int(s): i for i, s in enumerate(sizes)}
     left = np.array([histogram.get(int(s), 0) for s in sizes], np.int64)
-    ahead = _cut_ahead(sizes, left, capacity, GAP)
-    for i in np.flatnonzero(ahead):
-        cut[int(sizes[i])] = int(ahead[i])
-        left[i] -= ahead[i]
-        left[[at[p] for p in binary_parts(int(sizes[i]))]] += ahead[i]
-    columns, x, cost = solve_patterns(sizes, left, capacity)
+    solution = solve_patterns(sizes, left, capacity)
+    columns, x, cost = solution.columns, solution.x, solution.cost
     for j in np.flatnonzero((cost == 0) & (x > 1e-6)):
         i = int(columns[:, j].argmax())
         times = int(min(np.ceil(x[j] - 1e-6), left[i]))
@@ -259,19 +275,27 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> tuple[list[tuple
     return plan, cut
 
 
-def _rank_ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """``(length, from_rank, to_rank, first_sequence, copies, first_slot)``."""
+def _rank_ranges(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int, int, int]]]:
+    """``(length, width)`` and ``(length, cell, from_rank, to_rank, first_sequence, copies, first_slot)``.
+
+    The ranks of a length are divided into as many cells of one width as it has ranges, and a range
+    is listed in every cell that it reaches into.  The cells of a length thus list less than twice its
+    ranges, and a rank that looks in its cell meets fewer than two ranges on average.
+    """
     at: dict[int, int] = {}
-    rows, sequence = [], 0
+    found: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    sequence = 0
     for pattern, times in plan:
         slot = 0
         for size, copies in sorted(pattern.items(), reverse=True):
             begin = at.get(size, 0)
             at[size] = begin + copies * times
-            rows.append((size, begin, at[size], sequence, copies, slot))
+            found.setdefault(size, []).append((begin, at[size], sequence, copies, slot))
             slot += copies
         sequence += times
-    return rows
+    widths = [(size, max(1, -(-at[size] // len(rows)))) for size, rows in found.items()]
+    return widths, [(size, cell, *row) for size, width in widths for row in found[size]
+                    for cell in range(row[0] // width, (row[1] - 1) // width + 1)]
 
 
 def _ranked(pieces: DataFrame, n_rows: int) -> DataFrame:
@@ -314,8 +338,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         parts = _ranked(parts, n_pieces).join(whole, "length", "left")
         parts = parts.withColumn("rank", F.col("rank") + F.coalesce("n_whole", F.lit(0)))
         ranked = ranked.where("rank >= 0").select(*keep, "rank").unionByName(parts.select(*keep, "rank"))
-    ranges = _small_table(spark, _rank_ranges(plan), ["length", "from_rank", "to_rank", "first_sequence", "copies", "first_slot"])
-    placed = ranked.join(ranges, "length").where("rank >= from_rank AND rank < to_rank").select(
+    widths, rows = _rank_ranges(plan)
+    ranges = _small_table(spark, rows, ["length", "cell", "from_rank", "to_rank", "first_sequence", "copies", "first_slot"])
+    ranked = ranked.join(_small_table(spark, widths, ["length", "width"]), "length").withColumn("cell", F.expr("rank div width"))
+    placed = ranked.join(ranges, ["length", "cell"]).where("rank >= from_rank AND rank < to_rank").select(
         *keep,
         F.expr("first_sequence + (rank - from_rank) div copies").alias("sequence_id"),
         F.expr("first_slot + (rank - from_rank) % copies").alias("slot"),
