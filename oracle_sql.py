@@ -184,7 +184,7 @@ SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similar
 
 
 def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: int, max_depth: int,
-                min_leaf: int, iterations: int, seed: int, invalid: str = "false") -> str:
+                min_leaf: int, iterations: int, seed: int, invalid: str = "false", seeding: str = "hash") -> str:
     """CTE list building the sharded k-means forest: ends with ``nodes`` and
     ``members(shard, leaf_id, id, vec)``.  One CTE per level and Lloyd step."""
     sq = "list_sum(list_transform(list_zip(w.vec, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
@@ -212,10 +212,22 @@ def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: i
         parts.append(f"lm{d} AS (SELECT r.shard, r.node_id AS leaf_id, r.id, r.vec FROM r{d} r "
                      f"ANTI JOIN act{d} a ON r.shard = a.shard AND r.node_id = a.node_id)")
         leaf_parts.append(f"SELECT * FROM lm{d}")
-        parts.append(f"c{d}_0 AS (SELECT shard, node_id, child_no, vec AS c FROM ("
+        first = 1 if seeding == "spread" else k
+        parts.append(f"s{d}_0 AS (SELECT shard, node_id, child_no, vec AS c FROM ("
                      f"SELECT shard, node_id, vec, CAST(row_number() OVER (PARTITION BY shard, node_id "
                      f"ORDER BY md5(CAST(id AS VARCHAR) || '{seed}'), id) - 1 AS INTEGER) AS child_no FROM w{d}) "
-                     f"WHERE child_no < {k})")
+                     f"WHERE child_no < {first})")
+        rounds = k - 1 if seeding == "spread" else 0
+        for t in range(1, rounds + 1):
+            u = f"(('0x' || substr(md5(CAST(id AS VARCHAR) || '{seed}/{t}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE"
+            parts.append(f"d{d}_{t} AS (SELECT w.shard, w.node_id, w.id, any_value(w.vec) AS vec, min({sq}) AS dist "
+                         f"FROM w{d} w JOIN s{d}_{t - 1} c ON w.shard = c.shard AND w.node_id = c.node_id "
+                         f"GROUP BY w.shard, w.node_id, w.id)")
+            parts.append(f"s{d}_{t} AS (SELECT * FROM s{d}_{t - 1} UNION ALL "
+                         f"SELECT shard, node_id, CAST({t} AS INTEGER) AS child_no, vec AS c FROM ("
+                         f"SELECT shard, node_id, vec, row_number() OVER (PARTITION BY shard, node_id "
+                         f"ORDER BY -ln({u}) / dist, id) AS rn FROM d{d}_{t} WHERE dist > 0) WHERE rn = 1)")
+        parts.append(f"c{d}_0 AS (SELECT * FROM s{d}_{rounds})")
         for t in range(1, iterations + 1):
             parts.append(f"a{d}_{t} AS ({assign(f'w{d}', f'c{d}_{t - 1}')})")
             mean = mean_vector_sql(f"SELECT * FROM a{d}_{t}", group=["shard", "node_id", "child_no"])
@@ -302,7 +314,7 @@ def best_first_ctes(query_sql: str, metric_name: str, max_depth: int, n_leaves:
 def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp, invalid: str = "false",
                     n_leaves: int | None = None) -> str:
     return ("WITH " + forest_ctes(table_sql, id_col, metric_name, fp.shards, fp.k, fp.max_depth, fp.min_leaf,
-                                  fp.iterations, fp.seed, invalid)
+                                  fp.iterations, fp.seed, invalid, fp.seeding)
             + ",\n" + (descent_ctes(query_sql, metric_name, fp.max_depth) if n_leaves is None
                        else best_first_ctes(query_sql, metric_name, fp.max_depth, n_leaves)))
 

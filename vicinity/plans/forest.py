@@ -6,7 +6,8 @@ The tree is built level by level for all nodes of all shards at once:
 * a node is split when it has at least ``min_leaf`` rows, at least 2 rows,
   ``k >= 2`` and its depth is below ``max_depth``; otherwise it is a leaf;
 * splitting runs Lloyd's k-means (always squared Euclidean) with
-  ``min(k, n)`` seeds = the node's rows with the smallest md5(id || seed),
+  ``min(k, n)`` seeds = the node's rows with the smallest md5(id || seed)
+  (``seeding="spread"``: rows drawn by distance, see ``_spread_seeds``),
   at most ``iterations`` iterations (stopping early once two written
   centroid checkpoints agree), ties to the lowest child number; a child that
   loses all rows keeps its node (a leaf with 0 members, no representative)
@@ -93,6 +94,7 @@ class ForestParams:
     min_leaf: int = 100
     iterations: int = 100
     seed: int = 42
+    seeding: str = "hash"
 
 
 @dataclass
@@ -162,6 +164,32 @@ def _seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int) -> Dat
     return found.select(SHARD, NODE, CHILD, F.col(VEC).alias(CENTER))
 
 
+def _spread_seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int, dim: int) -> DataFrame:
+    """Seeds spread by distance, for all nodes at once.
+
+    The first is the row with the smallest md5(id || seed).  Each round then draws one row of every
+    node with odds in proportion to its squared distance from the node's nearest seed so far: of
+    -ln(u) / distance, u being a fraction hashed from id, seed and round, the smallest wins, ties to
+    the lowest id.  Rows that coincide with a seed are never drawn, so a node with fewer distinct
+    vectors than ``k`` has fewer seeds.  A round aggregates numbers only; the seeds (at most ``k`` a
+    node) meet the rows by broadcast, and only the chosen vectors are fetched.
+    """
+    cents = cut_lineage(_seeds(work, id_col, 1, seed, n_nodes), "seeds")
+    nearest = F.expr(f"array_min(transform({CENTS}, cc -> {M.sq_distance_sql(VEC, 'cc.c')}))")
+    for t in range(1, k):
+        digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"{seed}/{t}"))), 1, 13)
+        u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+        near = _join_nodes(work, _pack(cents), [SHARD, NODE], n_nodes, t * dim)
+        draws = near.select(SHARD, NODE, id_col, (-F.log(u) / F.nullif(nearest, F.lit(0.0))).alias("_key"))
+        best = cut_lineage(draws.groupBy(SHARD, NODE).agg(F.min("_key").alias("_best")).dropna(subset=["_best"]), "seed-draws")
+        chosen = _join_nodes(draws, best, [SHARD, NODE], n_nodes, 1).filter("_key = _best")
+        chosen = cut_lineage(chosen.groupBy(SHARD, NODE).agg(F.min(id_col).alias(id_col)), "seed-ids")
+        found = _join_nodes(work, chosen, [SHARD, NODE, id_col], n_nodes, 4).groupBy(SHARD, NODE).agg(
+            F.min(VEC).alias(CENTER))
+        cents = cut_lineage(cents.unionByName(found.select(SHARD, NODE, F.lit(t).alias(CHILD), CENTER)), "seeds")
+    return cents
+
+
 def _converged(before: DataFrame, after: DataFrame, tol: float = CONVERGENCE_TOL) -> bool:
     """True when both written centroid tables have the same (node, child) keys
     and no element moved by more than ``tol`` (relative): assignments are then
@@ -191,7 +219,7 @@ def _members(df: DataFrame, id_col: str, leaf: Column) -> DataFrame:
 
 
 def _check_params(p: ForestParams) -> None:
-    if p.shards < 1 or p.k < 0 or p.max_depth < 0 or p.iterations < 0:
+    if p.shards < 1 or p.k < 0 or p.max_depth < 0 or p.iterations < 0 or p.seeding not in ("hash", "spread"):
         raise ValueError(f"invalid forest parameters {p}")
 
 
@@ -247,7 +275,10 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         write_members(_members(_join_nodes(level, keys, [SHARD, NODE], n_active, 0, "left_anti"), id_col, F.col(NODE)))
         work = _join_nodes(level, keys, [SHARD, NODE], n_active, 0, "left_semi")
 
-        cents = cut_lineage(_seeds(work, id_col, p.k, p.seed, n_active), "seeds")
+        if p.seeding == "spread":
+            cents = _spread_seeds(work, id_col, p.k, p.seed, n_active, dim)
+        else:
+            cents = cut_lineage(_seeds(work, id_col, p.k, p.seed, n_active), "seeds")
         previous, done = cents, 0
         for it in range(1, p.iterations + 1):
             assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim)

@@ -478,6 +478,15 @@ def _kmeans_one(spark: SparkSession, d: str) -> DataFrame:
     return f.members.select(FO.SHARD, FO.LEAF, "vec_id")
 
 
+# Seeds drawn by distance, at both levels.
+FP_SPREAD = FO.ForestParams(shards=2, k=4, max_depth=2, min_leaf=20, iterations=2, seed=11, seeding="spread")
+
+
+@register("kmeans_spread_seeds", _fsql("cosine", FP_SPREAD) + " SELECT shard, leaf_id, id AS vec_id FROM members")
+def _kmeans_spread(spark: SparkSession, d: str) -> DataFrame:
+    return forest_for(spark, d, "cosine", FP_SPREAD).members.select(FO.SHARD, FO.LEAF, "vec_id")
+
+
 _NODE_COLS = [FO.SHARD, FO.NODE, FO.PARENT, FO.CHILD, FO.DEPTH, FO.IS_LEAF, FO.COUNT, FO.REP_ID]
 
 
