@@ -53,6 +53,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--min-leaf-size", type=int, default=100)
     p.add_argument("--kmeans-iterations", type=int, default=100)
     p.add_argument("--kmeans-seed", type=int, default=42)
+    p.add_argument("--kmeans-seeding", choices=("hash", "spread"), default="hash")
     return p.parse_args(argv)
 
 
@@ -79,7 +80,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
     opts = SearchOptions(
         transform=TransformParams(a.num_references_N, a.ref_selection_sample_size, 42, a.use_median_for_center),
         forest=FO.ForestParams(a.num_shards, a.k_per_level, a.max_depth, a.min_leaf_size, a.kmeans_iterations,
-                               a.kmeans_seed),
+                               a.kmeans_seed, a.kmeans_seeding),
         index_path=a.index_path or a.data_path.rstrip("/") + "_forest",
         force_rebuild=a.force_rebuild_tree,
         space_path=a.save_transformed_data_path,

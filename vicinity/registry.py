@@ -487,6 +487,24 @@ def _kmeans_spread(spark: SparkSession, d: str) -> DataFrame:
     return forest_for(spark, d, "cosine", FP_SPREAD).members.select(FO.SHARD, FO.LEAF, "vec_id")
 
 
+# The shipped limit of iterations: the build stops by itself, where every row is nearest to its own cluster's mean.
+FP_CONVERGED = FO.ForestParams(shards=2, k=3, max_depth=1, min_leaf=20, seeding="spread")
+
+
+@register("kmeans_converged", "SELECT CAST((('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT % 2) AS INTEGER) AS shard, "
+          f"count(*) AS n_rows, CAST(0 AS BIGINT) AS n_misplaced FROM ({O.EMB}) GROUP BY 1")
+def _kmeans_converged(spark: SparkSession, d: str) -> DataFrame:
+    members = forest_for(spark, d, "cosine", FP_CONVERGED).members
+    means = mean_vector(members, VEC, [FO.SHARD, FO.LEAF]).groupBy(FO.SHARD).agg(
+        F.collect_list(F.struct(FO.LEAF, F.col(CENTER).alias("c"))).alias("means"))
+    # At most k means a shard.
+    away = F.expr(f"transform(means, m -> named_struct('own', m.{FO.LEAF} = {FO.LEAF}, 'd', {M.sq_distance_sql(VEC, 'm.c')}))")
+    placed = members.join(F.broadcast(means), FO.SHARD).select(FO.SHARD, away.alias("away"))
+    misplaced = F.expr("array_min(transform(filter(away, a -> a.own), a -> a.d)) > "
+                       "array_min(transform(away, a -> a.d)) * (1 + 1e-9) + 1e-12")
+    return placed.groupBy(FO.SHARD).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(misplaced.cast("long")).alias("n_misplaced"))
+
+
 _NODE_COLS = [FO.SHARD, FO.NODE, FO.PARENT, FO.CHILD, FO.DEPTH, FO.IS_LEAF, FO.COUNT, FO.REP_ID]
 
 
