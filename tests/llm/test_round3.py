@@ -235,3 +235,12 @@ def test_words_that_one_modulus_confuses(spark):
     assert a != b
     df = spark.createDataFrame([(1, f"{word} x y z q"), (2, f"{other} x y z q")], "doc_id long, text string")
     assert {r.component_id for r in neardup.near_duplicates(df).collect()} == {1, 2}
+
+
+def test_head_of_frequencies_is_whole_classes(spark):
+    from vicinity.llm.tokencount import most_frequent
+
+    rows = [(f"a{i}", 1) for i in range(50)] + [(f"b{i}", 9) for i in range(5)] + [("c", 1000)]
+    table = spark.createDataFrame(rows, "pre_token string, n long")
+    found = {head: sorted(r.n for r in most_frequent(table, head).collect()) for head in (0, 1, 5, 6, 55, 56)}
+    assert found == {0: [], 1: [1000], 5: [1000], 6: [9] * 5 + [1000], 55: [9] * 5 + [1000], 56: [1] * 50 + [9] * 5 + [1000]}

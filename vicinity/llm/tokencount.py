@@ -67,13 +67,30 @@ def with_pieces(pre_tokens: DataFrame, path: str | None) -> DataFrame:
     return pre_tokens.select("pre_token", "n").mapInArrow(count, "pre_token string, n long, pieces long")
 
 
+def most_frequent(table: DataFrame, head: int) -> DataFrame:
+    """The pre-tokens of the largest counts, in whole classes of counts, at most ``head`` of them.
+
+    A class spans a sixteenth of a power of e, so a few hundred class sizes tell where to stop and the
+    rows themselves are filtered where they lie.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) * 16)
+    sizes = table.groupBy(size_class.alias("c")).agg(F.count("*").alias("rows")).collect()
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["c"]):
+        total += r["rows"]
+        if total > head:
+            break
+        least = r["c"]
+    return table.where(F.lit(False) if least is None else size_class >= least)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
                  tokenizer_path: str | None = None, head: int = HEAD) -> DataFrame:
     """One row per document: ``n_bytes``, ``n_tokens``, ``over_limit``."""
     ship_by_value()
     spark = docs.sparkSession
     table = cut_lineage(with_pieces(distinct_pre_tokens(docs, text_col, tokenizer_path), tokenizer_path), "pretokens")
-    first = table.orderBy(F.desc("n"), "pre_token").limit(head).select("pre_token", "pieces").toArrow()
+    first = most_frequent(table, head).select("pre_token", "pieces").toArrow()
     known = dict(zip(first.column(0).to_pylist(), first.column(1).to_pylist(), strict=True))
     shipped = spark.sparkContext.broadcast(known)
     id_type = docs.schema[id_col].dataType
