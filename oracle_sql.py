@@ -184,7 +184,8 @@ SELECT query_id, rank, id AS {id_col}, {rscore(metric_name, 'score')} AS similar
 
 
 def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: int, max_depth: int,
-                min_leaf: int, iterations: int, seed: int, invalid: str = "false", seeding: str = "hash") -> str:
+                min_leaf: int, iterations: int, seed: int, invalid: str = "false", seeding: str = "hash",
+                batch_size: int = 0, batch_steps: int = 0, starts: int = 1) -> str:
     """CTE list building the sharded k-means forest: ends with ``nodes`` and
     ``members(shard, leaf_id, id, vec)``.  One CTE per level and Lloyd step."""
     sq = "list_sum(list_transform(list_zip(w.vec, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
@@ -212,27 +213,58 @@ def forest_ctes(table_sql: str, id_col: str, metric_name: str, shards: int, k: i
         parts.append(f"lm{d} AS (SELECT r.shard, r.node_id AS leaf_id, r.id, r.vec FROM r{d} r "
                      f"ANTI JOIN act{d} a ON r.shard = a.shard AND r.node_id = a.node_id)")
         leaf_parts.append(f"SELECT * FROM lm{d}")
+        # Mini-batches: (node, start) stands for the node until a start has won.
+        src, seed_text = f"w{d}", f"'{seed}'"
+        if batch_size:
+            src, seed_text = f"p{d}", f"CAST({seed} + CAST(split_part(node_id, '#', 2) AS INTEGER) AS VARCHAR)"
+            parts.append(f"nb{d} AS (SELECT shard, node_id, CAST(ceil(n / {batch_size}) AS BIGINT) AS batches FROM st{d})")
+            dealt = [f"SELECT w.shard, w.node_id || '#{s}' AS node_id, w.id, w.vec, batches, CAST(floor("
+                     f"('0x' || substr(md5(CAST(w.id AS VARCHAR) || '{seed}/batch{s}'), 1, 13))::BIGINT / {1 << 52}::DOUBLE * batches) "
+                     f"AS BIGINT) AS batch FROM w{d} w JOIN nb{d} b ON w.shard = b.shard AND w.node_id = b.node_id"
+                     for s in range(starts)]
+            parts.append(f"p{d} AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(dealt)}) WHERE batch < {batch_steps})")
         first = 1 if seeding == "spread" else k
         parts.append(f"s{d}_0 AS (SELECT shard, node_id, child_no, vec AS c FROM ("
                      f"SELECT shard, node_id, vec, CAST(row_number() OVER (PARTITION BY shard, node_id "
-                     f"ORDER BY md5(CAST(id AS VARCHAR) || '{seed}'), id) - 1 AS INTEGER) AS child_no FROM w{d}) "
+                     f"ORDER BY md5(CAST(id AS VARCHAR) || {seed_text}), id) - 1 AS INTEGER) AS child_no FROM {src}) "
                      f"WHERE child_no < {first})")
         rounds = k - 1 if seeding == "spread" else 0
         for t in range(1, rounds + 1):
-            u = f"(('0x' || substr(md5(CAST(id AS VARCHAR) || '{seed}/{t}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE"
+            u = f"(('0x' || substr(md5(CAST(id AS VARCHAR) || {seed_text} || '/{t}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE"
             parts.append(f"d{d}_{t} AS (SELECT w.shard, w.node_id, w.id, any_value(w.vec) AS vec, min({sq}) AS dist "
-                         f"FROM w{d} w JOIN s{d}_{t - 1} c ON w.shard = c.shard AND w.node_id = c.node_id "
+                         f"FROM {src} w JOIN s{d}_{t - 1} c ON w.shard = c.shard AND w.node_id = c.node_id "
                          f"GROUP BY w.shard, w.node_id, w.id)")
             parts.append(f"s{d}_{t} AS (SELECT * FROM s{d}_{t - 1} UNION ALL "
                          f"SELECT shard, node_id, CAST({t} AS INTEGER) AS child_no, vec AS c FROM ("
                          f"SELECT shard, node_id, vec, row_number() OVER (PARTITION BY shard, node_id "
                          f"ORDER BY -ln({u}) / dist, id) AS rn FROM d{d}_{t} WHERE dist > 0) WHERE rn = 1)")
         parts.append(f"c{d}_0 AS (SELECT * FROM s{d}_{rounds})")
-        for t in range(1, iterations + 1):
+        if batch_size:
+            parts.append(f"b{d}_0 AS MATERIALIZED (SELECT *, CAST(0 AS BIGINT) AS seen FROM c{d}_0)")
+        for t in range(1, batch_steps + 1 if batch_size else 1):
+            parts.append(f"n{d}_{t} AS (SELECT * FROM p{d} WHERE {t - 1} % batches = batch)")
+            parts.append(f"ba{d}_{t} AS MATERIALIZED ({assign(f'n{d}_{t}', f'b{d}_{t - 1}')})")
+            mean = mean_vector_sql(f"SELECT * FROM ba{d}_{t}", group=["shard", "node_id", "child_no"])
+            parts.append(f"bm{d}_{t} AS (SELECT m.*, x.n FROM ({mean}) m JOIN (SELECT shard, node_id, child_no, count(*) AS n "
+                         f"FROM ba{d}_{t} GROUP BY ALL) x USING (shard, node_id, child_no))")
+            parts.append(f"b{d}_{t} AS MATERIALIZED (SELECT b.shard, b.node_id, b.child_no, CASE WHEN m.n IS NULL THEN b.c ELSE "
+                         f"list_transform(list_zip(b.c, m.center), lambda p: (p[1] * b.seen + p[2] * m.n) / (b.seen + m.n)) END AS c, "
+                         f"b.seen + coalesce(m.n, 0) AS seen FROM b{d}_{t - 1} b LEFT JOIN bm{d}_{t} m "
+                         f"ON b.shard = m.shard AND b.node_id = m.node_id AND b.child_no = m.child_no)")
+        if batch_size:
+            parts.append(f"bt{d} AS (SELECT w.shard, w.node_id, w.id, c.node_id AS try, min({sq}) AS dist FROM w{d} w "
+                         f"JOIN b{d}_{batch_steps} c ON w.shard = c.shard AND w.node_id = split_part(c.node_id, '#', 1) "
+                         f"GROUP BY w.shard, w.node_id, w.id, c.node_id)")
+            parts.append(f"bw{d} AS (SELECT shard, arg_min(try, (inertia, start)) AS try FROM (SELECT shard, node_id, try, "
+                         f"CAST(split_part(try, '#', 2) AS INTEGER) AS start, CAST(sum(dist) AS FLOAT) AS inertia FROM bt{d} "
+                         f"GROUP BY shard, node_id, try) GROUP BY shard, node_id)")
+            parts.append(f"c{d}_final AS MATERIALIZED (SELECT c.shard, split_part(c.node_id, '#', 1) AS node_id, c.child_no, c.c "
+                         f"FROM b{d}_{batch_steps} c SEMI JOIN bw{d} b ON c.shard = b.shard AND c.node_id = b.try)")
+        for t in range(1, 1 if batch_size else iterations + 1):
             parts.append(f"a{d}_{t} AS ({assign(f'w{d}', f'c{d}_{t - 1}')})")
             mean = mean_vector_sql(f"SELECT * FROM a{d}_{t}", group=["shard", "node_id", "child_no"])
             parts.append(f"c{d}_{t} AS (SELECT shard, node_id, child_no, center AS c FROM ({mean}))")
-        cf = f"c{d}_{iterations}"
+        cf = f"c{d}_final" if batch_size else f"c{d}_{iterations}"
         parts.append(f"a{d} AS ({assign(f'w{d}', cf)})")
         rep_score = metric(metric_name, "a.vec", "c.c")
         parts.append(f"rep{d} AS (SELECT shard, node_id, child_no, id AS rep_id, vec AS rep_vec FROM ("
@@ -314,7 +346,7 @@ def best_first_ctes(query_sql: str, metric_name: str, max_depth: int, n_leaves:
 def forest_all_ctes(table_sql: str, id_col: str, metric_name: str, query_sql: str, fp, invalid: str = "false",
                     n_leaves: int | None = None) -> str:
     return ("WITH " + forest_ctes(table_sql, id_col, metric_name, fp.shards, fp.k, fp.max_depth, fp.min_leaf,
-                                  fp.iterations, fp.seed, invalid, fp.seeding)
+                                  fp.iterations, fp.seed, invalid, fp.seeding, fp.batch_size, fp.batch_steps, fp.starts)
             + ",\n" + (descent_ctes(query_sql, metric_name, fp.max_depth) if n_leaves is None
                        else best_first_ctes(query_sql, metric_name, fp.max_depth, n_leaves)))
 

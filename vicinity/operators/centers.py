@@ -15,8 +15,9 @@ CENTER = "center"
 
 
 def mean_vector(df: DataFrame, vec_col: str = VEC, group_cols: list[str] | None = None,
-                out: str = CENTER) -> DataFrame:
-    """Element-wise mean of the valid vectors, per group (one row if no group).
+                out: str = CENTER, count: str | None = None) -> DataFrame:
+    """Element-wise mean of the valid vectors, per group (one row if no group);
+    ``count`` names a column for their number.
 
     ``Summarizer.mean`` is a typed JVM aggregate with a map-side partial
     buffer of K doubles per group, so the shuffle carries one row per group
@@ -28,8 +29,9 @@ def mean_vector(df: DataFrame, vec_col: str = VEC, group_cols: list[str] | None
     # A global mean groups by a constant key: empty input then yields no row
     # (a missing center) instead of a summarizer that has seen nothing.
     keys = g or [F.lit(0).alias("_all")]
-    agg = valid.groupBy(*keys).agg(Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_m"))
-    return agg.select(*g, vector_to_array(F.col("_m")).alias(out))
+    counts = [F.count(F.lit(1)).alias(count)] if count else []
+    agg = valid.groupBy(*keys).agg(Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_m"), *counts)
+    return agg.select(*g, vector_to_array(F.col("_m")).alias(out), *([count] if count else []))
 
 
 def median_vector(df: DataFrame, vec_col: str = VEC, out: str = CENTER) -> DataFrame:

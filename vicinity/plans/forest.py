@@ -12,6 +12,8 @@ The tree is built level by level for all nodes of all shards at once:
   centroid checkpoints agree), ties to the lowest child number; a child that
   loses all rows keeps its node (a leaf with 0 members, no representative)
   and gets no centroid in later iterations;
+* ``batch_size > 0`` splits by mini-batch k-means instead (``_minibatch``): ``batch_steps`` batches
+  of about that many rows a node, running means as centroids, the best of ``starts`` starts;
 * each child's representative is the member most similar, by the search
   metric, to the child's final centroid (ties to the lowest id).
 
@@ -52,7 +54,6 @@ from vicinity.functions import metrics as M
 from vicinity.functions.vectors import VEC, is_valid_vector
 from vicinity.operators.broadcast import MAX_BROADCAST_BYTES, estimate_bytes
 from vicinity.operators.centers import CENTER, mean_vector
-from vicinity.operators.sampling import sample_hash
 from vicinity.operators.topk import SCORE, rank_key, top_k, validate_k
 from vicinity.plans.exact import (Q_NORM, QueryInfo, only_query, query_info, search_score, with_query_norm,
                                   with_row_norm)
@@ -75,7 +76,9 @@ INVALID = "invalid"
 CENTS = "_cents"
 CENTROID = "centroid"
 LOSS = "loss"
-FORMAT = 4
+# Stands between a node and the number of a start in ``_minibatch``.
+START_MARK = "#"
+FORMAT = 5
 # Iterations between written centroid tables: bounds the plan (and recovery)
 # depth of the Lloyd loop, like Spark ML's checkpointInterval.
 CHECKPOINT_INTERVAL = 4
@@ -95,6 +98,9 @@ class ForestParams:
     iterations: int = 100
     seed: int = 42
     seeding: str = "hash"
+    batch_size: int = 0
+    batch_steps: int = 20
+    starts: int = 3
 
 
 @dataclass
@@ -151,20 +157,24 @@ def _assign(work: DataFrame, packed: DataFrame, id_col: str, n_nodes: int, k: in
     return j.select(SHARD, NODE, id_col, VEC, best.alias(CHILD))
 
 
-def _seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int) -> DataFrame:
+def _seed_text(seed: int | Column) -> Column:
+    return F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
+
+
+def _seeds(work: DataFrame, id_col: str, k: int, seed: int | Column, n_nodes: int) -> DataFrame:
     """First min(k, n) rows of each node by md5(id || seed).  Only (hash, id)
     is ranked (a per-partition group limit first); the chosen vectors are then
     fetched by their ids."""
     from pyspark.sql import Window
     w = Window.partitionBy(SHARD, NODE).orderBy("_h", id_col)
-    ids = work.select(SHARD, NODE, id_col, sample_hash(id_col, seed).alias("_h"))
+    ids = work.select(SHARD, NODE, id_col, F.md5(F.concat(F.col(id_col).cast("string"), _seed_text(seed))).alias("_h"))
     ids = ids.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     ids = ids.select(SHARD, NODE, id_col, (F.col("_rn") - 1).alias(CHILD))
     found = _join_nodes(work, ids, [SHARD, NODE, id_col], n_nodes * k, 4)
     return found.select(SHARD, NODE, CHILD, F.col(VEC).alias(CENTER))
 
 
-def _spread_seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int, dim: int) -> DataFrame:
+def _spread_seeds(work: DataFrame, id_col: str, k: int, seed: int | Column, n_nodes: int, dim: int) -> DataFrame:
     """Seeds spread by distance, for all nodes at once.
 
     The first is the row with the smallest md5(id || seed).  Each round then draws one row of every
@@ -177,7 +187,7 @@ def _spread_seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int,
     cents = cut_lineage(_seeds(work, id_col, 1, seed, n_nodes), "seeds")
     nearest = F.expr(f"array_min(transform({CENTS}, cc -> {M.sq_distance_sql(VEC, 'cc.c')}))")
     for t in range(1, k):
-        digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"{seed}/{t}"))), 1, 13)
+        digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), _seed_text(seed), F.lit(f"/{t}"))), 1, 13)
         u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
         near = _join_nodes(work, _pack(cents), [SHARD, NODE], n_nodes, t * dim)
         draws = near.select(SHARD, NODE, id_col, (-F.log(u) / F.nullif(nearest, F.lit(0.0))).alias("_key"))
@@ -190,6 +200,64 @@ def _spread_seeds(work: DataFrame, id_col: str, k: int, seed: int, n_nodes: int,
     return cents
 
 
+def _minibatch(work: DataFrame, active: DataFrame, id_col: str, p: ForestParams, n_nodes: int, dim: int) -> DataFrame:
+    """Centroids of every node by mini-batch k-means, for all nodes and starts at once.
+
+    A hash of id, seed and start deals the rows of a node with ``n`` rows into ``ceil(n / batch_size)``
+    batches; step ``t`` takes batch ``t`` modulo that number, so a small node repeats its few batches
+    and a large one never uses most of its rows.  Rows of used batches are written once, whatever
+    the number of starts: the table is read in full to draw them and to judge the starts, and a step
+    reads the drawn rows only.  A centroid is the running mean of all batch rows that were nearest to
+    it (a learning rate of its own, falling with the rows it has seen); one that is nearest to no row
+    of a batch stays where it is.  Every start has seeds of its own (``seed + start``) among its drawn
+    rows.  One pass over the node's rows sums the squared distances of all starts, and the smallest
+    sum wins; sums equal in single precision are ties, which go to the first start.
+    """
+    def start_of(node: str) -> Column:
+        return F.substring_index(node, START_MARK, -1).cast("int")
+
+    def batch(start: int) -> Column:
+        digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"{p.seed}/batch{start}"))), 1, 13)
+        u = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
+        return F.floor(u * F.col("_batches")).cast("long")
+
+    sizes = active.select(SHARD, NODE, F.ceil(F.col("n") / F.lit(float(p.batch_size))).cast("long").alias("_batches"))
+    drawn = _join_nodes(work, sizes, [SHARD, NODE], n_nodes, 1).select(
+        SHARD, NODE, id_col, VEC, "_batches", F.array(*(batch(s) for s in range(p.starts))).alias("_b"))
+    pool = cut_lineage(drawn.filter(F.exists("_b", lambda b: b < p.batch_steps)), "batches")
+    tries = pool.select(SHARD, NODE, id_col, VEC, "_batches", F.posexplode("_b").alias("_start", "_batch")).filter(
+        F.col("_batch") < p.batch_steps).withColumn(NODE, F.concat(F.col(NODE), F.lit(START_MARK), F.col("_start").cast("string")))
+
+    seed = F.lit(p.seed) + start_of(NODE)
+    if p.seeding == "spread":
+        cents = _spread_seeds(tries, id_col, p.k, seed, n_nodes * p.starts, dim)
+    else:
+        cents = cut_lineage(_seeds(tries, id_col, p.k, seed, n_nodes * p.starts), "seeds")
+    cents = cents.withColumn("_seen", F.lit(0).cast("long"))
+    for t in range(p.batch_steps):
+        now = tries.filter(F.pmod(F.lit(t), F.col("_batches")) == F.col("_batch"))
+        assigned = _assign(now, _pack(cents), id_col, n_nodes * p.starts, p.k, dim)
+        got = mean_vector(assigned, VEC, [SHARD, NODE, CHILD], out="_mean", count="_new")
+        moved = F.expr(f"CASE WHEN _new IS NULL THEN {CENTER} ELSE "
+                       f"zip_with({CENTER}, _mean, (a, b) -> (a * _seen + b * _new) / (_seen + _new)) END")
+        cents = cut_lineage(cents.join(got, [SHARD, NODE, CHILD], "left").select(
+            SHARD, NODE, CHILD, moved.alias(CENTER),
+            (F.col("_seen") + F.coalesce("_new", F.lit(0))).alias("_seen")), "cents")
+
+    # One row a node with the centroid arrays of all its starts, in the order of the starts.
+    all_starts = _pack(cents).groupBy(SHARD, F.substring_index(NODE, START_MARK, 1).alias(NODE)).agg(
+        F.array_sort(F.collect_list(F.struct(start_of(NODE).alias("start"), F.col(CENTS).alias("cents")))).alias("_starts"))
+    sums = F.expr(f"transform(_starts, s -> named_struct('start', s.start, 'd', "
+                  f"array_min(transform(s.cents, cc -> {M.sq_distance_sql(VEC, 'cc.c')}))))")
+    away = _join_nodes(work, all_starts, [SHARD, NODE], n_nodes, p.starts * p.k * dim).select(
+        SHARD, NODE, F.explode(sums).alias("s"))
+    inertia = away.groupBy(SHARD, NODE, "s.start").agg(F.sum("s.d").cast("float").alias("d"))
+    best = inertia.groupBy(SHARD, NODE).agg(F.min(F.struct("d", "start")).alias("b")).select(
+        SHARD, F.concat(F.col(NODE), F.lit(START_MARK), F.col("b.start").cast("string")).alias(NODE))
+    chosen = cents.join(best, [SHARD, NODE], "left_semi")
+    return cut_lineage(chosen.select(SHARD, F.substring_index(NODE, START_MARK, 1).alias(NODE), CHILD, CENTER), "cents")
+
+
 def _converged(before: DataFrame, after: DataFrame, tol: float = CONVERGENCE_TOL) -> bool:
     """True when both written centroid tables have the same (node, child) keys
     and no element moved by more than ``tol`` (relative): assignments are then
@@ -201,6 +269,24 @@ def _converged(before: DataFrame, after: DataFrame, tol: float = CONVERGENCE_TOL
     return a.join(b, [SHARD, NODE, CHILD], "full").filter(moved).limit(1).count() == 0
 
 
+def _lloyd(work: DataFrame, id_col: str, p: ForestParams, n_nodes: int, dim: int) -> tuple[DataFrame, int]:
+    """Centroids of every node by Lloyd's iterations, and how many were used."""
+    if p.seeding == "spread":
+        cents = _spread_seeds(work, id_col, p.k, p.seed, n_nodes, dim)
+    else:
+        cents = cut_lineage(_seeds(work, id_col, p.k, p.seed, n_nodes), "seeds")
+    previous, done = cents, 0
+    for it in range(1, p.iterations + 1):
+        assigned = _assign(work, _pack(cents), id_col, n_nodes, p.k, dim)
+        cents, done = mean_vector(assigned, VEC, [SHARD, NODE, CHILD]), it
+        if it % CHECKPOINT_INTERVAL == 0 or it == p.iterations:
+            cents = cut_lineage(cents, "cents")
+            if it < p.iterations and _converged(previous, cents):
+                break
+            previous = cents
+    return cents, done
+
+
 def _children(active: DataFrame, assigned: DataFrame, cents: DataFrame, depth: int) -> DataFrame:
     """Child node rows of the split nodes: count and final centroid (null for
     a child that lost its centroid)."""
@@ -221,6 +307,8 @@ def _members(df: DataFrame, id_col: str, leaf: Column) -> DataFrame:
 def _check_params(p: ForestParams) -> None:
     if p.shards < 1 or p.k < 0 or p.max_depth < 0 or p.iterations < 0 or p.seeding not in ("hash", "spread"):
         raise ValueError(f"invalid forest parameters {p}")
+    if p.batch_size < 0 or p.batch_steps < 1 or p.starts < 1:
+        raise ValueError(f"invalid forest parameters {p}")
 
 
 def _write_by_shard(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
@@ -267,7 +355,7 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
     for d in range(p.max_depth if can_split else 0):
         stats = level.groupBy(SHARD, NODE).agg(F.count(F.lit(1)).alias("n"))
         active = cut_lineage(stats.filter((F.col("n") >= p.min_leaf) & (F.col("n") >= 2)).select(
-            SHARD, NODE, F.least(F.lit(p.k), F.col("n")).alias("kk")), "active")
+            SHARD, NODE, "n", F.least(F.lit(p.k), F.col("n")).alias("kk")), "active")
         n_active = active.count()
         if n_active == 0:
             break
@@ -275,19 +363,10 @@ def build_clustering(table: DataFrame, id_col: str, params: ForestParams, path:
         write_members(_members(_join_nodes(level, keys, [SHARD, NODE], n_active, 0, "left_anti"), id_col, F.col(NODE)))
         work = _join_nodes(level, keys, [SHARD, NODE], n_active, 0, "left_semi")
 
-        if p.seeding == "spread":
-            cents = _spread_seeds(work, id_col, p.k, p.seed, n_active, dim)
+        if p.batch_size:
+            cents, done = _minibatch(work, active, id_col, p, n_active, dim), p.batch_steps
         else:
-            cents = cut_lineage(_seeds(work, id_col, p.k, p.seed, n_active), "seeds")
-        previous, done = cents, 0
-        for it in range(1, p.iterations + 1):
-            assigned = _assign(work, _pack(cents), id_col, n_active, p.k, dim)
-            cents, done = mean_vector(assigned, VEC, [SHARD, NODE, CHILD]), it
-            if it % CHECKPOINT_INTERVAL == 0 or it == p.iterations:
-                cents = cut_lineage(cents, "cents")
-                if it < p.iterations and _converged(previous, cents):
-                    break
-                previous = cents
+            cents, done = _lloyd(work, id_col, p, n_active, dim)
         used.append(done)
         assigned = _write_by_shard(_assign(work, _pack(cents), id_col, n_active, p.k, dim), f"{work_path}/level{d + 1}")
         node_parts.append(cut_lineage(_children(active, assigned, cents, d), "children"))

@@ -487,6 +487,19 @@ def _kmeans_spread(spark: SparkSession, d: str) -> DataFrame:
     return forest_for(spark, d, "cosine", FP_SPREAD).members.select(FO.SHARD, FO.LEAF, "vec_id")
 
 
+# Mini-batches with three starts: nodes of many batches and, below, of a single one.
+FP_BATCH = FO.ForestParams(shards=2, k=4, max_depth=2, min_leaf=20, seed=5, batch_size=64, batch_steps=6, starts=3)
+FP_BATCH_SPREAD = FO.ForestParams(shards=2, k=3, max_depth=1, min_leaf=20, seed=8, seeding="spread", batch_size=50, batch_steps=4, starts=2)
+
+
+def _members_of(fp: FO.ForestParams):
+    return lambda spark, d: forest_for(spark, d, "cosine", fp).members.select(FO.SHARD, FO.LEAF, "vec_id")
+
+
+for _name, _fp in (("kmeans_minibatch", FP_BATCH), ("kmeans_minibatch_spread", FP_BATCH_SPREAD)):
+    register(_name, _fsql("cosine", _fp) + " SELECT shard, leaf_id, id AS vec_id FROM members")(_members_of(_fp))
+
+
 # The shipped limit of iterations: the build stops by itself, where every row is nearest to its own cluster's mean.
 FP_CONVERGED = FO.ForestParams(shards=2, k=3, max_depth=1, min_leaf=20, seeding="spread")
 
