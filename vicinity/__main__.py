@@ -57,6 +57,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--kmeans-batch-size", type=int, default=0, help="rows of a mini-batch; 0: all rows in every iteration")
     p.add_argument("--kmeans-batch-steps", type=int, default=20)
     p.add_argument("--kmeans-starts", type=int, default=3, help="starts of the mini-batch clusterer")
+    p.add_argument("--kmeans-engine", choices=("native", "arrow"), default="native")
     return p.parse_args(argv)
 
 
@@ -83,7 +84,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
     opts = SearchOptions(
         transform=TransformParams(a.num_references_N, a.ref_selection_sample_size, 42, a.use_median_for_center),
         forest=FO.ForestParams(a.num_shards, a.k_per_level, a.max_depth, a.min_leaf_size, a.kmeans_iterations,
-                               a.kmeans_seed, a.kmeans_seeding, a.kmeans_batch_size, a.kmeans_batch_steps, a.kmeans_starts),
+                               a.kmeans_seed, a.kmeans_seeding, a.kmeans_batch_size, a.kmeans_batch_steps, a.kmeans_starts, a.kmeans_engine),
         index_path=a.index_path or a.data_path.rstrip("/") + "_forest",
         force_rebuild=a.force_rebuild_tree,
         space_path=a.save_transformed_data_path,

@@ -14,6 +14,9 @@ The tree is built level by level for all nodes of all shards at once:
   and gets no centroid in later iterations;
 * ``batch_size > 0`` splits by mini-batch k-means instead (``_minibatch``): ``batch_steps`` batches
   of about that many rows a node, running means as centroids, the best of ``starts`` starts;
+* ``engine="arrow"`` takes the sums of an iteration or batch in Python tasks (``arrow_kmeans``), where
+  the centroid table is within the broadcast limit; beyond it, and for the final assignment, the
+  native expressions are used;
 * each child's representative is the member most similar, by the search
   metric, to the child's final centroid (ties to the lowest id).
 
@@ -55,6 +58,7 @@ from vicinity.functions.vectors import VEC, is_valid_vector
 from vicinity.operators.broadcast import MAX_BROADCAST_BYTES, estimate_bytes
 from vicinity.operators.centers import CENTER, mean_vector
 from vicinity.operators.topk import SCORE, rank_key, top_k, validate_k
+from vicinity.plans.arrow_kmeans import nearest_sums
 from vicinity.plans.exact import (Q_NORM, QueryInfo, only_query, query_info, search_score, with_query_norm,
                                   with_row_norm)
 from vicinity.session import cut_lineage, scratch_path
@@ -101,6 +105,7 @@ class ForestParams:
     batch_size: int = 0
     batch_steps: int = 20
     starts: int = 3
+    engine: str = "native"
 
 
 @dataclass
@@ -200,6 +205,14 @@ def _spread_seeds(work: DataFrame, id_col: str, k: int, seed: int | Column, n_no
     return cents
 
 
+def _sums_by_arrow(p: ForestParams, n_nodes: int, dim: int) -> bool:
+    return p.engine == "arrow" and estimate_bytes(n_nodes, p.k * dim) <= MAX_BROADCAST_BYTES
+
+
+def _arrow_sums(work: DataFrame, cents: DataFrame) -> DataFrame:
+    return nearest_sums(work, cents, [SHARD, NODE], CHILD, VEC, CENTER, "_mean", "_new", "_loss")
+
+
 def _minibatch(work: DataFrame, active: DataFrame, id_col: str, p: ForestParams, n_nodes: int, dim: int) -> DataFrame:
     """Centroids of every node by mini-batch k-means, for all nodes and starts at once.
 
@@ -234,24 +247,35 @@ def _minibatch(work: DataFrame, active: DataFrame, id_col: str, p: ForestParams,
     else:
         cents = cut_lineage(_seeds(tries, id_col, p.k, seed, n_nodes * p.starts), "seeds")
     cents = cents.withColumn("_seen", F.lit(0).cast("long"))
+    arrow = _sums_by_arrow(p, n_nodes * p.starts, dim)
     for t in range(p.batch_steps):
         now = tries.filter(F.pmod(F.lit(t), F.col("_batches")) == F.col("_batch"))
-        assigned = _assign(now, _pack(cents), id_col, n_nodes * p.starts, p.k, dim)
-        got = mean_vector(assigned, VEC, [SHARD, NODE, CHILD], out="_mean", count="_new")
+        if arrow:
+            got = _arrow_sums(now, cents)
+        else:
+            assigned = _assign(now, _pack(cents), id_col, n_nodes * p.starts, p.k, dim)
+            got = mean_vector(assigned, VEC, [SHARD, NODE, CHILD], out="_mean", count="_new")
         moved = F.expr(f"CASE WHEN _new IS NULL THEN {CENTER} ELSE "
                        f"zip_with({CENTER}, _mean, (a, b) -> (a * _seen + b * _new) / (_seen + _new)) END")
         cents = cut_lineage(cents.join(got, [SHARD, NODE, CHILD], "left").select(
             SHARD, NODE, CHILD, moved.alias(CENTER),
             (F.col("_seen") + F.coalesce("_new", F.lit(0))).alias("_seen")), "cents")
 
-    # One row a node with the centroid arrays of all its starts, in the order of the starts.
-    all_starts = _pack(cents).groupBy(SHARD, F.substring_index(NODE, START_MARK, 1).alias(NODE)).agg(
-        F.array_sort(F.collect_list(F.struct(start_of(NODE).alias("start"), F.col(CENTS).alias("cents")))).alias("_starts"))
-    sums = F.expr(f"transform(_starts, s -> named_struct('start', s.start, 'd', "
-                  f"array_min(transform(s.cents, cc -> {M.sq_distance_sql(VEC, 'cc.c')}))))")
-    away = _join_nodes(work, all_starts, [SHARD, NODE], n_nodes, p.starts * p.k * dim).select(
-        SHARD, NODE, F.explode(sums).alias("s"))
-    inertia = away.groupBy(SHARD, NODE, "s.start").agg(F.sum("s.d").cast("float").alias("d"))
+    if arrow:
+        of_start = F.array(*(F.concat(F.col(NODE), F.lit(f"{START_MARK}{i}")) for i in range(p.starts)))
+        every = work.select(SHARD, F.explode(of_start).alias(NODE), VEC)
+        sums = _arrow_sums(every, cents).groupBy(
+            SHARD, F.substring_index(NODE, START_MARK, 1).alias(NODE), start_of(NODE).alias("start")).agg(F.sum("_loss").alias("d"))
+    else:
+        # One row a node with the centroid arrays of all its starts, in the order of the starts.
+        all_starts = _pack(cents).groupBy(SHARD, F.substring_index(NODE, START_MARK, 1).alias(NODE)).agg(
+            F.array_sort(F.collect_list(F.struct(start_of(NODE).alias("start"), F.col(CENTS).alias("cents")))).alias("_starts"))
+        losses = F.expr(f"transform(_starts, s -> named_struct('start', s.start, 'd', "
+                          f"array_min(transform(s.cents, cc -> {M.sq_distance_sql(VEC, 'cc.c')}))))")
+        away = _join_nodes(work, all_starts, [SHARD, NODE], n_nodes, p.starts * p.k * dim).select(
+            SHARD, NODE, F.explode(losses).alias("s"))
+        sums = away.groupBy(SHARD, NODE, "s.start").agg(F.sum("s.d").alias("d"))
+    inertia = sums.withColumn("d", F.col("d").cast("float"))
     best = inertia.groupBy(SHARD, NODE).agg(F.min(F.struct("d", "start")).alias("b")).select(
         SHARD, F.concat(F.col(NODE), F.lit(START_MARK), F.col("b.start").cast("string")).alias(NODE))
     chosen = cents.join(best, [SHARD, NODE], "left_semi")
@@ -275,12 +299,16 @@ def _lloyd(work: DataFrame, id_col: str, p: ForestParams, n_nodes: int, dim: int
         cents = _spread_seeds(work, id_col, p.k, p.seed, n_nodes, dim)
     else:
         cents = cut_lineage(_seeds(work, id_col, p.k, p.seed, n_nodes), "seeds")
-    previous, done = cents, 0
+    previous, done, arrow = cents, 0, _sums_by_arrow(p, n_nodes, dim)
     for it in range(1, p.iterations + 1):
-        assigned = _assign(work, _pack(cents), id_col, n_nodes, p.k, dim)
-        cents, done = mean_vector(assigned, VEC, [SHARD, NODE, CHILD]), it
+        if arrow:
+            # The table of the step before goes to the tasks, so each step is written.
+            cents = cut_lineage(_arrow_sums(work, cents).select(SHARD, NODE, CHILD, F.col("_mean").alias(CENTER)), "cents")
+        else:
+            cents = mean_vector(_assign(work, _pack(cents), id_col, n_nodes, p.k, dim), VEC, [SHARD, NODE, CHILD])
+        done = it
         if it % CHECKPOINT_INTERVAL == 0 or it == p.iterations:
-            cents = cut_lineage(cents, "cents")
+            cents = cents if arrow else cut_lineage(cents, "cents")
             if it < p.iterations and _converged(previous, cents):
                 break
             previous = cents
@@ -307,7 +335,7 @@ def _members(df: DataFrame, id_col: str, leaf: Column) -> DataFrame:
 def _check_params(p: ForestParams) -> None:
     if p.shards < 1 or p.k < 0 or p.max_depth < 0 or p.iterations < 0 or p.seeding not in ("hash", "spread"):
         raise ValueError(f"invalid forest parameters {p}")
-    if p.batch_size < 0 or p.batch_steps < 1 or p.starts < 1:
+    if p.batch_size < 0 or p.batch_steps < 1 or p.starts < 1 or p.engine not in ("native", "arrow"):
         raise ValueError(f"invalid forest parameters {p}")
 
 

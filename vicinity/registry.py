@@ -496,7 +496,12 @@ def _members_of(fp: FO.ForestParams):
     return lambda spark, d: forest_for(spark, d, "cosine", fp).members.select(FO.SHARD, FO.LEAF, "vec_id")
 
 
-for _name, _fp in (("kmeans_minibatch", FP_BATCH), ("kmeans_minibatch_spread", FP_BATCH_SPREAD)):
+# The same clusters with the sums taken in Arrow tasks.
+FP_BATCH_ARROW = FO.ForestParams(shards=2, k=4, max_depth=2, min_leaf=20, seed=6, batch_size=64, batch_steps=5, starts=3, engine="arrow")
+FP_ARROW = FO.ForestParams(shards=2, k=4, max_depth=2, min_leaf=20, iterations=3, seed=9, engine="arrow")
+
+for _name, _fp in (("kmeans_minibatch", FP_BATCH), ("kmeans_minibatch_spread", FP_BATCH_SPREAD),
+                   ("kmeans_minibatch_arrow", FP_BATCH_ARROW), ("kmeans_arrow", FP_ARROW)):
     register(_name, _fsql("cosine", _fp) + " SELECT shard, leaf_id, id AS vec_id FROM members")(_members_of(_fp))
 
 
