@@ -63,3 +63,22 @@ def test_a_round_of_seeds_takes_distances_once(spark, monkeypatch):
     FO._spread_seeds(work_of(spark, clouds(60, 3), nodes=2), "id", 3, 1, 2, 3)
     assert len(written) == 1 + 2 * 2
     assert [p.count("MapInArrow") for p in written] == [0, 1, 0, 1, 0]
+
+
+@pytest.mark.parametrize("metric", M.METRIC_NAMES)
+def test_representatives_score_each_pair_once(spark, monkeypatch, metric):
+    rows = [(0, f"root_{i % 3}", i, v) for i, v in enumerate([*clouds(60, 3), [0.0] * 3, [0.0] * 3, [0.0] * 3])]
+    rows += [(0, "root_1", None, [9.0] * 3), (0, FO.INVALID, 99, None)]
+    members = spark.createDataFrame(rows, f"{FO.SHARD} int, {FO.LEAF} string, id long, {FO.VEC} array<double>")
+    tree = spark.createDataFrame([(0, "root", None), (0, "root_0", [1.0, 2.0, 3.0]), (0, "root_1", [0.0] * 3), (0, "root_2", [9.0] * 3)],
+                                 f"{FO.SHARD} int, {FO.NODE} string, {FO.CENTROID} array<double>")
+    written = []
+    original = FO.cut_lineage
+    monkeypatch.setattr(FO, "cut_lineage", lambda df, tag="t": (written.append(plan(df)), original(df, tag))[1])
+    got = {r[FO.NODE]: r[FO.REP_ID] for r in FO.representatives(members, tree, metric, "id", 3).collect()}
+    assert len(written) == 1 and written[0].split("== Initial Plan ==")[-1].count("Generate explode") == 1
+    scored = members.filter("leaf_id <> 'invalid'").join(tree.withColumnRenamed(FO.NODE, FO.LEAF), [FO.SHARD, FO.LEAF]).select(
+        FO.LEAF, "id", M.score(metric, FO.VEC, FO.CENTROID).alias("s")).collect()
+    for node in ("root_0", "root_1", "root_2"):
+        mine = [(-r.s, r.id is None, r.id) for r in scored if r[FO.LEAF] == node]
+        assert got.get(node) == min(mine)[2]
