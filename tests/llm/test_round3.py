@@ -194,6 +194,50 @@ def test_near_duplicates_of_edited_copies(spark, copies):
     assert sorted(got, key=repr) == brute_components(copies, 5, 85)
 
 
+def test_ngram_join_moves_no_texts_to_pick_classes(spark, copies, monkeypatch):
+    """More classes than a broadcast list may hold: rows are picked by bitmaps, and their texts stay where they are."""
+    from vicinity.operators import broadcast
+    plans = {}
+
+    def written(df, tag="t", write=ngramjoin.cut_lineage):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(ngramjoin, "cut_lineage", written)
+    monkeypatch.setattr(broadcast, "MAX_BROADCAST_BYTES", 13_000)  # three bitmaps, or 180 numbers
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngramjoin.jaccard_components(df).collect()]
+    assert sorted(got, key=repr) == brute_components(copies, 3, 90)
+    for tag in ("signatures", "token-counts", "member-texts"):
+        assert not [x for x in plans[tag].splitlines() if "Exchange hashpartitioning(node" in x], plans[tag]
+
+
+@pytest.mark.parametrize("limit", [None, 1])
+def test_rows_among(spark, limit):
+    """By bitmaps and, beyond the limit, by a join: numbers at the ends of bitmaps, of many partitions, repeated rows and nulls."""
+    from vicinity.llm.common import rows_among
+    at = [0, 1, 7, 8, 63, 64, 32767, 32768, 65535, (1 << 33) - 1, 1 << 33, (5 << 33) + 40_000, (1 << 62) + 3]
+    rows = spark.createDataFrame([(n, f"t{n}") for m in at for n in (m, m + 1)] + [(7, "again"), (None, "none")], "node long, text string")
+    numbers = spark.createDataFrame([(n,) for n in at[::2]], "node long")
+    got = rows_among(rows, numbers, "node", limit_bytes=limit)
+    assert got.columns == rows.columns
+    want = [tuple(r) for r in rows.collect() if r.node in at[::2]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert rows_among(rows, numbers.limit(0), "node", limit_bytes=limit).collect() == []
+
+
+def test_token_map_grows_with_the_repeated_tokens(spark, monkeypatch):
+    """A map of a fixed size fills up, and tokens of one set look repeated."""
+    monkeypatch.setattr(ngramjoin, "MAP_BITS", 10)
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, ngramjoin.COUNTED, 3000, dtype=np.int64)
+    twice, once = tokens[:2000], tokens[2000:]
+    known = ngramjoin.frequencies(spark.createDataFrame([(int(t),) for t in [*twice, *twice, *once]], "token long").repartition(4))
+    assert known.complete and not len(known.frequent)
+    assert (known.classes(twice.view(np.uint64)) == 1).all()
+    assert (known.classes(once.view(np.uint64)) == 0).mean() > 0.8
+
+
 def test_ngram_join_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.jaccard_components(df).collect() == []

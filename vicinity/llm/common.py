@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vicinity.operators.broadcast import broadcast_checked
 from vicinity.session import cut_lineage, scratch_path  # noqa: F401  (re-exported to the operators)
 
 
@@ -37,6 +39,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Row numbers to a bitmap: as many bits as ``bitmap_construct_agg`` makes.
+_BITMAP = 1 << 15
+
+
+def rows_among(rows: DataFrame, numbers: DataFrame, column: str, limit_bytes: int | None = None) -> DataFrame:
+    """``rows`` whose ``column`` is in ``numbers(column)``: row numbers, not negative, that are dense in stretches
+    (``monotonically_increasing_id``).  They are sent along as bitmaps, a bit for each row, so the rows stay
+    where they are up to some hundred times as many numbers as a broadcast list could hold; beyond it is a join."""
+    chunk = F.expr(f"`{column}` div {_BITMAP}")
+    bits = numbers.select(chunk.alias("chunk"), F.expr(f"`{column}` % {_BITMAP}").alias("at")).repartition("chunk")
+    bits = cut_lineage(bits.groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits")), "row-bits")
+    bits, sent = broadcast_checked(bits, _BITMAP // 64, limit_bytes=limit_bytes)
+    if not sent:
+        return rows.join(numbers, column, "left_semi")
+    byte = f"cast(conv(hex(substring(bits, cast(`{column}` % {_BITMAP} div 8 as int) + 1, 1)), 16, 10) as int)"
+    met = rows.join(bits, chunk == F.col("chunk")).where(f"getbit({byte}, cast(`{column}` % 8 as int)) = 1")
+    return met.select(*rows.columns)
+
+
 def text_blocks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole texts of about ``limit`` UTF-8 bytes.
 

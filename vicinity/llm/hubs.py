@@ -237,9 +237,10 @@ def candidates(rows: DataFrame, texts: DataFrame, similarity_pct: int, n_words:
 
     rows = cut_lineage(with_prefix(rows), "prefixes")
     # Where too few of the kept shingles are v's alone, the whole differences are needed.
-    short = rows.where("prefix is null").drop("prefix")
+    short = rows.where("prefix is null")
     again = compare(short.select("u", "v"), texts, similarity_pct, n_words, differences=True, whole=True)
-    again = again.select("u", "v", "own", "missing").join(short, ["u", "v"])
+    # Whole differences are wide, so what is not in them comes to them.
+    again = again.join(broadcast_checked(short.select("u", "v", "component", "outside"), 4)[0], ["u", "v"])
     rows = rows.where("prefix is not null").unionByName(with_prefix(again))
     tokens = rows.select("u", "v", "n", "d_size", "component", "outside", "cells", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut_lineage(tokens, "difference-tokens")

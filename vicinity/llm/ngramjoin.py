@@ -41,10 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinity.llm import hubs
-from vicinity.llm.common import cut_lineage, ship_by_value, short_batches
+from vicinity.llm.common import cut_lineage, rows_among, ship_by_value, short_batches
 from vicinity.llm.components import components, labels, star_round
 from vicinity.llm.wordscan import U, Powers, mix
-from vicinity.operators.broadcast import broadcast_checked
 
 WORDS = 3
 SIMILARITY_PCT = 90
@@ -53,15 +52,16 @@ COUNTED = 1 << 62
 #: Least number of sets that makes a token frequent, and the most frequent tokens that tasks are told.
 FREQUENT = 32
 MOST_FREQUENT = 1 << 17
-#: Bits of the map of repeated tokens, and the most tokens that are put into it.
-MAP_BITS = 26
-MOST_REPEATED = 1 << 23
+#: Bits of the map of repeated tokens (as powers of two; at least, at most, and some to a token between them), and
+#: the most tokens that are put into it.
+MAP_BITS, MOST_MAP_BITS, BITS_EACH = 26, 28, 8
+MOST_REPEATED = 1 << 28
 
 
 @dataclass(frozen=True)
 class Frequencies:
-    """What tasks know of counted tokens: a bitmap of repeated ones by their highest bits, whether it holds
-    all of them, and the sorted frequent ones."""
+    """What tasks know of counted tokens: a bitmap of repeated ones by their highest bits (2^n longs), whether it
+    holds all of them, and the sorted frequent ones."""
 
     repeated: np.ndarray
     complete: bool
@@ -70,7 +70,7 @@ class Frequencies:
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         """0 for tokens not known to be repeated, 1 repeated, 2 frequent, 3 not counted."""
         counted = tokens < U(COUNTED)
-        place = np.where(counted, tokens, U(0)) >> U(62 - MAP_BITS)
+        place = np.where(counted, tokens, U(0)) >> U(62 - (64 * len(self.repeated) - 1).bit_length())
         out = (self.repeated[place >> U(6)] >> (place & U(63)) & U(1)).astype(np.int64)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
@@ -125,24 +125,25 @@ def frequencies(tokens: DataFrame, least: int = FREQUENT, most_frequent: int = M
     counts = cut_lineage(counts.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "token-counts")
     steps = counts.groupBy("step").agg(F.count("*").alias("tokens"), F.min("n").alias("n")).orderBy(F.col("step").desc()).collect()
 
-    def from_step(most: int, least: int) -> tuple[int, bool]:
+    def from_step(most: int, least: int) -> tuple[int, int, bool]:
         total, lowest = 0, 1 << 30
         for row in steps:
             if row["n"] < least:
                 break
+            if total + row["tokens"] > most:
+                return lowest, total, False
             total += row["tokens"]
-            if total > most:
-                return lowest, False
             lowest = row["step"]
-        return lowest, True
+        return lowest, total, True
 
-    frequent_from, _ = from_step(most_frequent, least)
-    repeated_from, complete = from_step(most_repeated, 2)
+    frequent_from, _, _ = from_step(most_frequent, least)
+    repeated_from, told, complete = from_step(most_repeated, 2)
+    map_bits = min(MOST_MAP_BITS, max(MAP_BITS, (BITS_EACH * told).bit_length()))
     frequent = counts.where(F.col("step") >= frequent_from).select("token").toArrow().column(0).to_numpy()
-    place = F.shiftright("token", 62 - MAP_BITS)
+    place = F.shiftright("token", 62 - map_bits)
     bits = counts.where(F.col("step") >= repeated_from).groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast(shiftright(token, {62 - MAP_BITS}) & 63 as int)))").alias("bits")).toArrow()
-    repeated = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+        F.expr(f"bit_or(shiftleft(1L, cast(shiftright(token, {62 - map_bits}) & 63 as int)))").alias("bits")).toArrow()
+    repeated = np.zeros(1 << (map_bits - 6), np.uint64)
     repeated[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
     return Frequencies(repeated, complete, np.sort(frequent.view(np.uint64)))
 
@@ -200,13 +201,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         table = cut_lineage(table, "token-sets")
         filled = table.where("digest is not null")
         classes = cut_lineage(filled.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("first_id")), "classes")
-        nodes, _ = broadcast_checked(classes.select("node"), 1)
-        one_each = filled.withColumnRenamed("row_no", "node").join(nodes, "node", "left_semi")
+        one_each = rows_among(filled.withColumnRenamed("row_no", "node"), classes.select("node"), "node")
         known = frequencies(token_rows(one_each, n_words))
         stars = hubs.elect(cut_lineage(signature_rows(one_each, known, similarity_pct, n_words), "signatures"))
         stars = stars.select(F.col("hub").alias("u"), F.col("node").alias("v"))
-        wanted, _ = broadcast_checked(cut_lineage(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "bucket-nodes"), 1)
-        texts = cut_lineage(one_each.select("node", "text").join(wanted, "node", "left_semi"), "member-texts")
+        wanted = cut_lineage(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "bucket-nodes")
+        texts = cut_lineage(rows_among(filled.select(F.col("row_no").alias("node"), "text"), wanted, "node"), "member-texts")
 
         compared = hubs.compare(stars, texts, similarity_pct, n_words, differences=True)
         links = star_round(compared.where("linked").select("u", "v"))
