@@ -238,6 +238,26 @@ def test_token_map_grows_with_the_repeated_tokens(spark, monkeypatch):
     assert (known.classes(once.view(np.uint64)) == 0).mean() > 0.8
 
 
+def test_whole_prefixes(spark, copies):
+    """Own shingles first, then missing ones, and last the common ones, of hubs with and without these; only the prefix is returned."""
+    import pyarrow as pa
+    rows = [(i, t) for i, (_, t) in enumerate(copies) if t and t.split()]
+    sets = {n: s[0] for n, t in rows for _, _, s in hubs.hashed_sets(pa.array([t]), 3, wordscan.Powers())}
+    apart = [n for n, t in rows if t.startswith("p0 ")]
+    pairs = [(0, v) for v in range(1, 150)] + [(apart[0], v) for v in apart[1:]] + [(apart[1], 3)]
+    common = {u: np.setxor1d(sets[u], sets[v])[::2].view(np.int64).tolist() for u, v in [(0, 5), (apart[0], apart[4])]}
+    got = hubs.whole_prefixes(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(list(common.items()), "u long, common array<long>"),
+                              spark.createDataFrame(rows, "node long, text string"), 90, 3)
+    assert got.columns == ["u", "v", "prefix"]
+    want = {}
+    for u, v in pairs:
+        own, missing = ([int(x) for x in sets[a].view(np.int64) if x not in set(sets[b].view(np.int64))] for a, b in ((v, u), (u, v)))
+        late = set(common.get(u, []))
+        order = [x for x in own if x not in late] + [x for x in missing if x not in late] + sorted(x for x in own + missing if x in late)
+        want[u, v] = order[:10 * (len(sets[v]) + 100 * len(sets[v]) // 90) // 190 + 1]
+    assert {(r.u, r.v): r.prefix for r in got.collect()} == want
+
+
 def test_ngram_join_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.jaccard_components(df).collect() == []

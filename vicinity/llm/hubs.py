@@ -112,23 +112,38 @@ def prefix_size(n: str, similarity_pct: int) -> str:
     return f"({100 - similarity_pct} * ({n} + 100 * {n} div {similarity_pct}) div {100 + similarity_pct} + 1)"
 
 
-def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int, differences: bool = False, whole: bool = False) -> DataFrame:
-    """``(u, v, linked)`` of ``pairs(u, v)``, each given once, by the full sets of ``texts(node, text)``.
+def longest_prefix(n: int, similarity_pct: int) -> int:
+    """The same of a number."""
+    return (100 - similarity_pct) * (n + 100 * n // similarity_pct) // (100 + similarity_pct) + 1
 
-    With ``differences`` also ``n`` (size of v's set) and the symmetric difference: v's ``own`` shingles and
-    the ``missing`` ones, which only u has, the size ``d_size`` of both together, whether v is a ``voter``, one of u's first piece, and its ``parities``
-    over many and few cells (``sketch``, ``cells``).  Where v has many shingles of its own, only the first
-    of them and no missing ones are kept, unless ``whole``.  Texts of v go to u's
-    tasks, some ``PIECE`` of them to a task, and u's text to each.
-    """
+
+def _gathered(pairs: DataFrame, texts: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """``(u, piece, role, node, text)``, by u and piece and sorted by role: u's text (0), then those of its v (1), some
+    ``PIECE`` of them to a piece.  Of ``notes(u, note)`` comes a row for each piece before them (-1), with the column ``note``."""
     pieces = F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")
     counts, _ = broadcast_checked(cut_lineage(pairs.groupBy("u").agg(pieces), "pieces"), 2)
     asked = pairs.join(counts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int").alias("piece"), F.lit(1).alias("role"),
                                            F.col("v").alias("node"))
-    heads = counts.select("u", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("role"), F.col("u").alias("node"))
+    each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+    heads = counts.select("u", each, F.lit(0).alias("role"), F.col("u").alias("node"))
     asked, _ = broadcast_checked(cut_lineage(asked.unionByName(heads), "asked"), 3)
     rows = texts.select("node", "text").join(asked, "node").select("u", "piece", "role", "node", "text")
-    rows = rows.repartition("u", "piece").sortWithinPartitions("u", "piece", "role")
+    if notes is not None:
+        notes = notes.join(counts, "u").select("u", each, F.lit(-1).alias("role"), F.col("u").alias("node"), "note")
+        rows = rows.unionByName(notes, allowMissingColumns=True)
+    return rows.repartition("u", "piece").sortWithinPartitions("u", "piece", "role")
+
+
+def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int, differences: bool = False) -> DataFrame:
+    """``(u, v, linked)`` of ``pairs(u, v)``, each given once, by the full sets of ``texts(node, text)``.
+
+    With ``differences`` also ``n`` (size of v's set) and the symmetric difference: v's ``own`` shingles and
+    the ``missing`` ones, which only u has, the size ``d_size`` of both together, whether v is a ``voter``, one of u's first piece, and its ``parities``
+    over many and few cells (``sketch``, ``cells``).  Where v has many shingles of its own, only the first
+    of them and no missing ones are kept.  Texts of v go to u's
+    tasks, some ``PIECE`` of them to a task, and u's text to each.
+    """
+    rows = _gathered(pairs, texts)
     none = np.empty(0, np.uint64)
 
     def examine(batches):
@@ -156,9 +171,9 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: in
                         linked = 100 * both >= similarity_pct * (len(exact) + len(other) - both)
                     own = missing = sketch = cells = d_size = None
                     if differences:
-                        d_size, enough = nx + nh - 2 * common, ROOM * ((100 - similarity_pct) * (nx + 100 * nx // similarity_pct) // (100 + similarity_pct) + 1)
+                        d_size, enough = nx + nh - 2 * common, ROOM * longest_prefix(nx, similarity_pct)
                         own = x[~inside].view(np.int64)
-                        if len(own) >= enough and not whole:
+                        if len(own) >= enough:
                             own = own[:enough]
                         else:
                             lacks = np.ones(nh, bool)
@@ -177,6 +192,41 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity_pct: int, n_words: in
     return cut_lineage(out if differences else out.select("u", "v", "linked"), "compared")
 
 
+def whole_prefixes(pairs: DataFrame, common: DataFrame, texts: DataFrame, similarity_pct: int, n_words: int) -> DataFrame:
+    """``(u, v, prefix)`` of ``pairs(u, v)``, each given once: the prefix that ``candidates`` takes of v's difference from u, from
+    the whole of it, which is far longer and so does not leave the task.  ``common(u, common)`` is the list of ``candidates``."""
+    rows = _gathered(pairs, texts, common.withColumnRenamed("common", "note"))
+    none = np.empty(0, np.uint64)
+
+    def examine(batches):
+        powers, hub, hub_set, noted, note = Powers(), None, none, None, none
+        for batch in batches:
+            us, _, roles, nodes = (batch.column(c).to_pylist() for c in range(4))
+            notes = batch.column(5)
+            for lo, hi, sets in hashed_sets(batch.column(4), n_words, powers):
+                out = []
+                for i, x in zip(range(lo, hi), sets, strict=True):
+                    x = none if x is None else x
+                    if roles[i] == -1:
+                        noted, note = us[i], notes[i].values.to_numpy().view(np.uint64)
+                        continue
+                    if roles[i] == 0:
+                        hub, hub_set, note = us[i], x, note if noted == us[i] else none
+                        continue
+                    if us[i] != hub:
+                        raise ValueError(f"text of {us[i]} is missing")
+                    own, missing = np.setdiff1d(x, hub_set, assume_unique=True), np.setdiff1d(hub_set, x, assume_unique=True)
+                    by_own, by_missing = np.isin(own, note), np.isin(missing, note)
+                    last = np.sort(np.concatenate([own[by_own], missing[by_missing]]).view(np.int64))
+                    order = np.concatenate([own[~by_own].view(np.int64), missing[~by_missing].view(np.int64), last])
+                    out.append((hub, nodes[i], order[:longest_prefix(len(x), similarity_pct)]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["u", "v", "prefix"])
+
+    ship_by_value()
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return cut_lineage(rows.mapInArrow(examine, "u long, v long, prefix array<long>"), "whole-prefixes")
+
+
 def outsiders(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """``pairs(u, v, linked, ...)`` (u a hub) with the ``component`` of v and whether v is ``outside`` the hub's,
     for hubs of two members and more that have an outsider.  ``label`` is ``(node, component)``; a node without
@@ -236,12 +286,10 @@ def candidates(rows: DataFrame, texts: DataFrame, similarity_pct: int, n_words:
         return rows.select("u", "v", "n", "d_size", "component", "outside", "cells", "sketch", F.slice(order, 1, F.expr(f"cast({most} as int)")).alias("prefix"))
 
     rows = cut_lineage(with_prefix(rows), "prefixes")
-    # Where too few of the kept shingles are v's alone, the whole differences are needed.
-    short = rows.where("prefix is null")
-    again = compare(short.select("u", "v"), texts, similarity_pct, n_words, differences=True, whole=True)
-    # Whole differences are wide, so what is not in them comes to them.
-    again = again.join(broadcast_checked(short.select("u", "v", "component", "outside"), 4)[0], ["u", "v"])
-    rows = rows.where("prefix is not null").unionByName(with_prefix(again))
+    # Where too few of the kept shingles are v's alone, the prefix is taken of the whole difference.
+    short = rows.where("prefix is null").drop("prefix")
+    whole = whole_prefixes(short.select("u", "v"), common, texts, similarity_pct, n_words)
+    rows = rows.where("prefix is not null").unionByName(whole.join(short, ["u", "v"]))
     tokens = rows.select("u", "v", "n", "d_size", "component", "outside", "cells", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut_lineage(tokens, "difference-tokens")
     a, b = (tokens.select(F.col("u").alias("hub"), "token", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "d_size", "component", "outside", "cells", "pos")))
